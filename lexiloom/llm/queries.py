@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import substring_dedup
+from lexiloom.shipping import ensure_on_workers
+
+from . import decontaminate, line_dedup, simhash_dedup, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ensure_on_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +45,69 @@ FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id
 """
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS k, array_to_string(ws[p:p + least(len(ws), 10) - 1], ' ') AS w
+  FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS p FROM b WHERE len(ws) > 0)
+), dw AS (
+  SELECT doc_id, k, p, array_to_string(ws[p:p + k - 1], ' ') AS w
+  FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM bw) WHERE len(ws) >= k)
+), hit AS (
+  SELECT dw.doc_id, dw.p, dw.k, bw.item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.w = bw.w
+), cover AS (
+  SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hit) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(i.s, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN cover c ON d.doc_id = c.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id
+"""
+
+
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.simhash_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+OP8_SQL = r"""
+WITH l AS (
+  SELECT doc_id, source, i, raw, trim(raw, ' ' || chr(9) || chr(13)) AS line
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
+), shared AS (
+  SELECT line FROM l WHERE line <> '' AND length(line) <= 200 GROUP BY line HAVING count(DISTINCT source) >= 10
+), marked AS (
+  SELECT doc_id, i, raw, line, line IN (SELECT line FROM shared) AS gone FROM l
+), per AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone, count(*) FILTER (NOT gone AND line <> '') AS n_left,
+    string_agg(raw, chr(10) ORDER BY i) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN n_gone > 0 AND n_left > 0 THEN kept ELSE d.text END AS text, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
+  CAST(CASE WHEN n_gone > 0 AND n_left > 0 THEN n_gone ELSE 0 END AS BIGINT) AS n_removed
+FROM documents d LEFT JOIN per p ON d.doc_id = p.doc_id
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_substring_dedup": op3_substring_dedup}
+    return {
+        "op3_substring_dedup": op3_substring_dedup,
+        "op4_decontaminate": op4_decontaminate,
+        "op5_simhash_dedup": op5_simhash_dedup,
+        "op8_line_dedup": op8_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op8_line_dedup": OP8_SQL}
