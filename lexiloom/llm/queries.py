@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.shipping import ensure_on_workers
 
-from . import decontaminate, line_dedup, simhash_dedup, substring_dedup
+from . import byte_bpe, decontaminate, line_dedup, simhash_dedup, substring_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +19,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ensure_on_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.substring_dedup(_table(spark, sf_dir, "documents")))
 
@@ -100,12 +106,18 @@ FROM documents d LEFT JOIN per p ON d.doc_id = p.doc_id
 """
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op2_byte_bpe": op2_byte_bpe,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_decontaminate": op4_decontaminate,
         "op5_simhash_dedup": op5_simhash_dedup,
         "op8_line_dedup": op8_line_dedup,
+        "op9_token_counts": op9_token_counts,
     }
 
 
