@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.shipping import ensure_on_workers
 
-from . import byte_bpe, decontaminate, line_dedup, simhash_dedup, substring_dedup, token_counts
+from . import byte_bpe, decontaminate, language_id, line_dedup, quality, simhash_dedup, substring_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,6 +84,10 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(_table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -110,14 +114,20 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_byte_bpe": op2_byte_bpe,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_decontaminate": op4_decontaminate,
         "op5_simhash_dedup": op5_simhash_dedup,
+        "op6_language_id": op6_language_id,
         "op8_line_dedup": op8_line_dedup,
         "op9_token_counts": op9_token_counts,
+        "op10_quality": op10_quality,
     }
 
 

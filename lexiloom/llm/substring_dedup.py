@@ -197,11 +197,13 @@ def _window_rows(window: int):
         for batch in batches:
             parts = []
             for part in slices(batch):
-                words = Words(part.column("text"))
-                spans = Spans(words.hashes())
                 lists = part.column("places")
                 runs = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.int64)
-                text = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(lists.offsets)))
+                if not len(runs):
+                    continue
+                words = Words(part.column("text"))
+                spans = Spans(words.hashes())
+                text = np.repeat(np.arange(part.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
                 count = runs & ((1 << _SHIFT) - 1)
                 inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 text = np.repeat(text, count)
@@ -260,7 +262,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     whole = named.join(groups, ["a", "b", "c"]).select("doc_id", (F.col("doc_id") != F.col("one")).alias("spare"))
     found = _repeated(texts.mapInArrow(_anchor_rows(window), "key long, n long, docs array<long>, places array<long>"), ["key"])
     listed = found.groupBy("doc_id").agg(F.collect_list("place").alias("places")).join(whole.filter("spare").select("doc_id"), "doc_id", "left_anti")
-    rows = by_doc(texts).join(listed, "doc_id").mapInArrow(_window_rows(window), "key long, other int, n long, docs array<long>, places array<int>")
+    # a left join, as the last one is: an inner join would filter null doc_ids first, and the exchange of the texts be made twice
+    rows = by_doc(texts).join(listed, "doc_id", "left").mapInArrow(_window_rows(window), "key long, other int, n long, docs array<long>, places array<int>")
     again = _repeated(rows, ["key", "other"])
     return again.groupBy("doc_id").agg(F.collect_list("place").alias("places")), whole.select("doc_id", F.lit(True).alias("whole"))
 
