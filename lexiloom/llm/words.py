@@ -13,7 +13,7 @@ import pyarrow as pa
 
 _BYTE_STEP = 0x9E3779B97F4A7C15
 _WORD_STEPS = (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
