@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.shipping import ensure_on_workers
 
-from . import byte_bpe, decontaminate, language_id, line_dedup, quality, simhash_dedup, substring_dedup, token_counts
+from . import byte_bpe, decontaminate, html_extract, language_id, line_dedup, quality, simhash_dedup, substring_dedup, token_counts, topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ensure_on_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.html_extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
@@ -88,6 +92,24 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.topk_search(_table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -120,11 +142,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_html_extract": op1_html_extract,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_decontaminate": op4_decontaminate,
         "op5_simhash_dedup": op5_simhash_dedup,
         "op6_language_id": op6_language_id,
+        "op7_topk_search": op7_topk_search,
         "op8_line_dedup": op8_line_dedup,
         "op9_token_counts": op9_token_counts,
         "op10_quality": op10_quality,
@@ -132,4 +156,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op7_topk_search": OP7_SQL, "op8_line_dedup": OP8_SQL}
