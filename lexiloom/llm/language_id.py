@@ -23,7 +23,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
 #: The training sample: rows of each language, windows of each row, languages (the most frequent) at most.
-ROWS, WINDOWS, LANGUAGES = 400, 4, 200
+ROWS, WINDOWS, LANGUAGES = 300, 4, 200
 _LETTER = regex.compile(r"\p{L}")
 _BATCH = 64
 
@@ -73,7 +73,7 @@ class ByteCnn:
         parts = [self._softmax(np.maximum(self._pooled(rows[at : at + _BATCH]) + self.weights["bias"], 0)) for at in range(0, len(rows), _BATCH)]
         return np.concatenate(parts) if parts else np.empty((0, len(self.languages)), np.float32)
 
-    def fit(self, rows: np.ndarray, labels: np.ndarray, epochs: int = 8, rate: float = 0.01, seed: int = 11) -> ByteCnn:
+    def fit(self, rows: np.ndarray, labels: np.ndarray, epochs: int = 6, rate: float = 0.01, seed: int = 11) -> ByteCnn:
         """Adam on the cross entropy; a third of the windows are cut short at random, as short texts are."""
         rng = np.random.default_rng(seed)
         share = 1 / np.maximum(np.bincount(labels, minlength=len(self.languages)), 1)
@@ -180,18 +180,21 @@ def _predict(model):
                 best = sums.argmax(axis=1)
                 score = np.where(total > 0, sums[np.arange(len(best)), best] / np.maximum(total, 1e-30), 0.0)
                 names = [own.languages[b] if t > 0 else UNKNOWN for b, t in zip(best.tolist(), total.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names), pa.array(np.clip(score, 0, 1))], ["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names), pa.array(np.clip(score, 0, 1)), part.column("row")], ["doc_id", "held_out", "lang_pred", "score", "row"])
 
     return run
 
 
-def language_id(docs: DataFrame, model: ByteCnn | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred and score (the mean probability of that language) of whole texts.
+def language_id(docs: DataFrame, model: ByteCnn | None = None, passed: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """The columns ``passed`` of docs (by default none), doc_id, held_out, lang_pred and score (the mean probability of that language) of whole texts.
 
     A text that is null or has no letter is "und" with score 0, as all are where no labelled rows exist. Equal scores go to the
     language first by name. One row for each input row; a null doc_id isn't held out; extra columns are ignored.
     """
     spark = docs.sparkSession
     model = model or train(docs)
-    texts = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(_predict(spark.sparkContext.broadcast(model)), "doc_id long, held_out boolean, lang_pred string, score double")
+    row = F.struct(*[F.col(c) for c in passed]) if passed else F.lit(None).cast("int")
+    texts = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"), row.alias("row"))
+    kind = texts.schema["row"].dataType.simpleString()
+    found = texts.mapInArrow(_predict(spark.sparkContext.broadcast(model)), f"doc_id long, held_out boolean, lang_pred string, score double, row {kind}")
+    return found.select(*[F.col(f"row.{c}").alias(c) for c in passed], *[c for c in ("doc_id", "held_out", "lang_pred", "score") if c not in passed])
