@@ -1,0 +1,29 @@
+"""Schemas of the experiment tables and of the learning app's tables."""
+
+from __future__ import annotations
+
+EXPERIMENT = {
+    "benchmarks": "id long, name string, language string, description string, mock_only boolean, created_at timestamp",
+    "constraint_sets": "id long, benchmark_id long, keyword string, expected_form string, constraints map<string,string>, target_language string, translation string, cefr_level string, created_at timestamp",
+    "method_configs": "id long, name string, method string, samples_per_case int, config string, created_at timestamp",
+    "experiments": "id long, benchmark_id long, method_config_id long, name string, status string, created_at timestamp, completed_at timestamp",
+    "generated_sentences": "id long, experiment_id long, constraint_set_id long, sentence string, translation string, sample_index int, generation_meta string, created_at timestamp",
+    "sentence_evaluations": "id long, sentence_id long, evaluator_name string, score double, details string, created_at timestamp",
+    "experiment_metrics": "id long, experiment_id long, metric_name string, value double, scope string, constraint_set_id long, breakdown string, created_at timestamp",
+}
+
+MASTERY = "strength double, box int, last_reviewed_at timestamp, next_due timestamp, streak int, failures int, successes int, learned boolean"
+VOCAB_ITEM = (
+    "id long, workspace_id long, lexeme_id long, word string, translation string, language string, tags array<string>, learned boolean, created_at long, "
+    "lemma string, surface_form string, surface_forms array<string>, pos string, cefr string, frequency_rank int, gender string, ipa string, gloss_primary string, "
+    "glosses array<string>, mastery struct<strength: double, box: int, last_reviewed_at: long, next_due: long, streak: int, failures: int, successes: int>"
+)
+LEARNING = {
+    "lexemes": "id long, language string, lemma string, pos string, gloss_primary string, glosses array<string>, tags array<string>, cefr string, frequency_rank int, gender string, morph_features map<string,string>, enrichment_status string, enriched_at timestamp",
+    "vocab": "id long, workspace_id long, lexeme_id long, word string, translation string, learned boolean, surface_form string, surface_forms array<string>, gloss_override string, last_seen_at timestamp",
+    "vocab_items": VOCAB_ITEM,
+    "mastery_events": "vocab_id long, ts timestamp, event_id long, outcome string",
+    "word_mastery": f"vocab_id long, {MASTERY}",
+    "word_occurrences": "workspace_id long, vocab_id long, context_type string, context_id long, surface_token string, char_start int, char_end int, source string",
+    "saved_views": "id long, workspace_id long, name string, layout string, config string, position int",
+}
