@@ -43,7 +43,12 @@ def key(text: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Shifted copies zipped together: an index into ``tokens`` inside a lambda would evaluate its expression for every place."""
+    size = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    out = F.slice(tokens, F.lit(1), size)
+    for k in range(2, n + 1):
+        out = F.zip_with(out, F.slice(tokens, F.lit(k), size), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def with_clitic_heads(tokens: Column) -> Column:
@@ -81,7 +86,7 @@ def cloze(text: Column, word: Column) -> Column:
     """The text with the first whole-word occurrence of the word, whatever its case, as ____."""
     quoted = F.concat(F.lit("(?iU)(?<![\\p{L}\\p{N}_])\\Q"), word, F.lit("\\E(?![\\p{L}\\p{N}_])"))
     first = F.regexp_substr(text, quoted)
-    at = F.instr(text, first)
+    at = F.regexp_instr(text, quoted)
     return F.when(first.isNull(), text).otherwise(F.concat(F.substring(text, F.lit(1), at - 1), F.lit("____"), F.substring(text, at + F.length(first), F.length(text))))
 
 

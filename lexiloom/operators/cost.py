@@ -39,4 +39,4 @@ def marginal(steps: DataFrame, arms: DataFrame) -> DataFrame:
 
 def energy(runs: DataFrame, watts: float = WATTS) -> DataFrame:
     """GPU seconds and watt hours."""
-    return runs.withColumn("gpu_s", F.round(F.col("ms") / 1000, 6)).withColumn("wh", F.round(F.col("ms") / 1000 * watts / 3600, 6))
+    return runs.withColumn("gpu_s", F.round(F.col("ms") / 1000, 6)).withColumn("wh", F.round(F.col("ms") / 1000 * watts / 3600, 9))

@@ -76,8 +76,8 @@ def nested_results(rows: DataFrame, column: str) -> DataFrame:
 
 def vocab_lines(lines: DataFrame) -> DataFrame:
     """word, translation and tags of lines ``word,translation[,tag;tag]``; blanks, comments and a header are skipped."""
-    rows = lines.withColumn("line", F.trim("line")).filter((F.col("line") != "") & ~F.col("line").startswith("#")).withColumn("parts", F.transform(F.split("line", ","), F.trim)).filter(F.size("parts") >= 2)
-    tags = F.filter(F.transform(F.split(F.coalesce(F.get("parts", F.lit(2)), F.lit("")), ";"), F.trim), lambda t: t.isin("noun", "verb", "adjective", "adverb", "preposition", "other"))
+    rows = lines.withColumn("line", F.trim("line")).filter((F.col("line") != "") & ~F.col("line").startswith("#")).withColumn("parts", F.transform(F.split("line", ","), lambda x: F.trim(x))).filter(F.size("parts") >= 2)
+    tags = F.filter(F.transform(F.split(F.coalesce(F.get("parts", F.lit(2)), F.lit("")), ";"), lambda x: F.trim(x)), lambda t: t.isin("noun", "verb", "adjective", "adverb", "preposition", "other"))
     header = (F.lower(F.col("parts")[0]) == "word") & (F.lower(F.col("parts")[1]) == "translation")
     return rows.filter(~header).select("*", F.col("parts")[0].alias("word"), F.col("parts")[1].alias("translation"), tags.alias("tags"))
 
