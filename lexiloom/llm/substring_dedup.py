@@ -121,6 +121,8 @@ def anchors(words: Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray,
     Each window of each text is in one run. The anchor is taken from the highest level that has a symbol with its context in
     the window and of half the window's length at most, the longest symbol first.
     """
+    if not len(words.starts):
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     hashes = words.hashes()
     spans = Spans(hashes)
     ok = np.zeros(len(hashes), bool)
