@@ -1,6 +1,7 @@
 """Every registered query against its SQL over the smallest driver tables."""
 
 import math
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -22,7 +23,7 @@ def duck():
 
 
 def _cell(value):
-    if isinstance(value, float):
+    if isinstance(value, (float, Decimal)):
         return "null" if math.isnan(value) else f"{value:.6g}"
     if isinstance(value, (list, tuple)):
         return "[" + ",".join(_cell(x) for x in value) + "]"
