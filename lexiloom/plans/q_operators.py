@@ -276,7 +276,7 @@ def j_38(spark, sf_dir):
 
 @register("j_01_expected_form", f"""
 WITH t AS (SELECT item_id, text, lower({sql_tokens().replace("text", "text")}[2]) AS form FROM benchmark WHERE len({sql_tokens()}) >= 2)
-SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 0.0 ELSE 1.0 END AS score, CASE WHEN item_id % 3 = 0 THEN 'missing_expected_aux' END AS reason FROM t""")
+SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 0e0 ELSE 1e0 END AS score, CASE WHEN item_id % 3 = 0 THEN 'missing_expected_aux' END AS reason FROM t""")
 def j_01(spark, sf_dir):
     rows = table(spark, sf_dir, "benchmark").withColumn("form", F.get(T.words(F.col("text")), F.lit(1))).filter("form is not null")
     aux = F.when(F.col("item_id") % 3 == 0, "zzzz")
