@@ -254,9 +254,3 @@ def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = rooted.join(named, "root").select("print", "component_id")
     return marked.join(by_print, "print").select("doc_id", "print", "component_id")
-
-
-def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents but those whose component has a smaller doc_id; the columns are those of docs."""
-    spare = found.filter("doc_id <> component_id").select("doc_id")
-    return docs.join(spare, "doc_id", "left_anti").select(*docs.columns)

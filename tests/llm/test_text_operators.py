@@ -12,7 +12,8 @@ import sentencepiece
 import tiktoken
 import xxhash
 
-from lexiloom.llm import byte_bpe, decontaminate, html_extract, line_dedup, simhash_dedup, substring_dedup, token_counts
+import corpus_pipeline
+from lexiloom.llm import byte_bpe, decontaminate, html_extract, line_dedup, similar_texts, simhash_dedup, substring_dedup, token_counts
 from lexiloom.llm.components import forest
 
 BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -206,6 +207,46 @@ def test_links_of_large_groups(spark):
         assert [label.get(i, i) for i in range(len(prints))] == brute_components(prints)
 
 
+def brute_similar(texts):
+    """The first of each text's group, by exact similarities."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return [root(i) for i in range(len(sets))]
+
+
+def test_similar_texts(docs, sample):
+    rnd = random.Random(3)
+    base = [rnd.choice("abcdefghijklmnop") * rnd.randint(1, 4) for _ in range(150)]
+    near = [" ".join(rnd.choice("qrstuv") if rnd.random() < 0.013 else w for w in base) for _ in range(60)]
+    texts = [*sample, *near, *(t and t.upper() for t in sample[:9]), " ".join(base[:9]), " ".join(base[:8])]
+    roots = brute_similar(texts)
+    for few, block in ((32, 2048), (2, 2048), (2, 7), (1000, 7)):  # pairs only, and cells of one and of two blocks
+        kept = similar_texts.keep_one(docs(texts), few=few, block=block)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(set(roots))
+    stage = corpus_pipeline.near_dedup_stage(docs(texts).sparkSession, docs(texts), "")
+    assert sorted(r.doc_id for r in stage.collect()) == sorted(set(roots))
+    assert similar_texts.keep_one(docs([])).count() == 0
+
+
+def test_similar_texts_null_and_repeated_ids(docs, sample):
+    texts = [sample[0], sample[0], sample[1], sample[1], sample[2], sample[2], sample[3], sample[4]]
+    kept = similar_texts.keep_one(docs(texts, ids=[None, None, 7, 7, None, 3, 5, 5])).collect()
+    place = {t: i for i, t in enumerate(sample[:5])}
+    assert sorted((place[r.text], -1 if r.doc_id is None else r.doc_id) for r in kept) == [(0, -1), (1, 7), (2, 3), (3, 5), (4, 5)]
+
+
 # line dedup ------------------------------------------------------------------------------------------------------------------
 def test_line_dedup(docs):
     texts = [f"own {i}\n All rights reserved. \n\nmore {i}\n{'long ' * 60}" for i in range(12)] + ["All rights reserved.", None, "", "x\nAll rights reserved.\r", "rare\nline", "line"]
