@@ -19,13 +19,13 @@ LOG_K = 12
 MARGIN = 0.25
 
 
-def _hashes(text: Column, most: int) -> Column:
-    """A hash for each line: of the line trimmed; null for blank lines and lines of more than ``most`` characters."""
+def _hashes(text: Column, most: int | None) -> Column:
+    """A hash for each line: of the line trimmed; null for blank lines and lines of more than ``most`` characters, if that is given."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\r")))
-    return F.transform(lines, lambda x: F.when((x != "") & (F.length(x) <= most), F.xxhash64(x)))
+    return F.transform(lines, lambda x: F.when((x != "") if most is None else (x != "") & (F.length(x) <= most), F.xxhash64(x)))
 
 
-def shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_chars: int = MAX_CHARS, site: str = "source") -> DataFrame:
+def shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_chars: int | None = MAX_CHARS, site: str = "source") -> DataFrame:
     """(line): hashes of the lines that ``min_sites`` different sites or more have."""
     lines = docs.filter(F.col(site).isNotNull()).select(F.col(site).alias("site"), F.explode(F.array_distinct(_hashes(F.col("text"), max_chars))).alias("line")).dropna()
     # one row for each line and site, joined in the tasks first: a line that is everywhere has as many rows as there are sites
@@ -40,11 +40,11 @@ def shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_chars: int = M
     return sure.select("line").union(exact.filter(F.col("sites") >= min_sites).select("line"))
 
 
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, max_chars: int = MAX_CHARS, site: str = "source") -> DataFrame:
+def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, max_chars: int | None = MAX_CHARS, site: str = "source") -> DataFrame:
     """The documents without boilerplate lines, and n_lines and n_removed.
 
     Lines are what "\\n" separates; they are compared without spaces, tabs and carriage returns at their ends. A line of at
-    most ``max_chars`` characters that ``min_sites`` different sites or more have goes from every text, but not from a text
+    most ``max_chars`` characters (None: any line) that ``min_sites`` different sites or more have goes from every text, but not from a text
     that has no other lines: that is a copy, and a matter of whole documents. Blank and longer lines stay. Rows with a null
     site remain and lose lines, but count for no site. Null texts stay null (0 lines); doc_id must be unique; a null doc_id
     loses nothing. Other columns are passed on; an own n_lines or n_removed of the input is replaced.

@@ -258,3 +258,11 @@ def test_line_dedup(docs):
     assert got[15]["text"] == "x" and got[16]["text"] == "rare\nline" and got[3]["key"] == 1
     assert rows(line_dedup.line_dedup(docs(texts, sources=sources), min_sites=13))[3]["n_removed"] == 0
     assert line_dedup.line_dedup(docs([])).count() == 0
+
+
+def test_line_stage_has_no_longest_line(spark, docs):
+    long = " ".join(f"word{k}" for k in range(80))
+    texts = [f"own {i}\n{long}\nmore {i}" for i in range(12)] + [long, f"x\n{long} y"]
+    got = rows(corpus_pipeline.line_stage(spark, docs(texts, sources=[f"s{i}" for i in range(14)]), ""))
+    assert got[3]["text"] == "own 3\nmore 3" and got[3]["n_chars"] == 12
+    assert got[12]["text"] == long and got[13]["text"] == texts[13]  # nothing else: left alone; and a rare line
