@@ -11,12 +11,13 @@ place, without an exchange. Beyond that the same join runs as a Spark join on th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .words import Spans, Words, slices
 
@@ -123,9 +124,10 @@ def _result(part: pa.RecordBatch, words: Words, start: np.ndarray, size: np.ndar
             spans.setdefault(t, []).append({"start": a - int(words.first[t]), "end": end - int(words.first[t])})
             a = end
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    more = [c for c in ("passed",) if "passed" in part.schema.names]
     return pa.RecordBatch.from_arrays(
-        [part.column("doc_id"), pa.array(words.counts.astype(np.int64)), pa.array(n_hit), pa.array(lists, pa.list_(pa.string())), pa.array([spans.get(t, []) for t in range(part.num_rows)], kind)],
-        ["doc_id", "n_words", "n_hit", "items", "spans"],
+        [part.column("doc_id"), pa.array(words.counts.astype(np.int64)), pa.array(n_hit), pa.array(lists, pa.list_(pa.string())), pa.array([spans.get(t, []) for t in range(part.num_rows)], kind), *(part.column(c) for c in more)],
+        ["doc_id", "n_words", "n_hit", "items", "spans", *more],
     )
 
 
@@ -174,14 +176,14 @@ def _count_rows(widths: list[int], wanted=None):
 
 
 def _place_rows(widths: list[int]):
-    """Places of all shingles of documents: shingle, width, doc_id, at."""
+    """Places of all shingles of documents: shingle, width, doc, at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 words = Words(part.column("text"), symbols=True)
                 spans = Spans(words.hashes())
-                docs, text = part.column("doc_id").to_numpy(zero_copy_only=False), words.text_of()
+                docs, text = part.column("doc").to_numpy(zero_copy_only=False), words.text_of()
                 for width in widths:
                     at = np.arange(len(words.starts) - width + 1)
                     own = text[at]
@@ -204,17 +206,20 @@ def _verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _result(part, words, start[ok], size[ok], [r[1]["items"] for r, x in zip(rows, ok, strict=True) if x])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, broadcast_windows: int = BROADCAST_WINDOWS, passed: Sequence[str] = ()) -> DataFrame:
     """Documents with the benchmark passages they hold: doc_id, n_words, n_hit, items (ids as strings, sorted), spans (of words).
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. A window is ``window`` consecutive words
     of an item; an item of fewer words, but not none, is one window. A word inside any occurrence of a window is hit.
 
     Null, empty and wordless texts have no words and no hits; such items have no windows. Items that repeat count once by id;
-    a null item_id counts as "null". Every document row is returned; extra columns are ignored.
+    a null item_id counts as "null". Every document row is returned, with a null or repeated doc_id too; extra columns are
+    ignored, but the ``passed`` ones come as the struct passed.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    more = [F.struct(*passed).alias("passed")] if passed else []
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *more)
+    schema = StructType([*StructType.fromDDL(_SCHEMA), *([f for f in texts.schema if f.name == "passed"] if passed else [])])
     found = windows(benchmark, window, shingle)
     widths = list(range(1, min(window, shingle) + 1))
     rows = found.limit(broadcast_windows + 1).toArrow()
@@ -230,17 +235,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         prefix = np.array([own[i] for own, i in zip(lists, rarest, strict=True)], np.int64).view(np.uint64)
         both = [rows[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("hash", "other")]
         index = _Index(rows["size"].to_numpy().astype(np.int64), rows["words"].to_pylist(), both, prefix, np.array(rarest, np.int64), rows["items"].to_pylist(), shingle)
-        return texts.mapInArrow(_scan(spark.sparkContext.broadcast(index)), _SCHEMA)
+        return texts.mapInArrow(_scan(spark.sparkContext.broadcast(index)), schema)
     counts = texts.mapInArrow(_count_rows(widths), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     each = found.select("size", "words", "hash", "other", "items", F.posexplode("shingles").alias("offset", "shingle"))
     ranked = each.join(counts, "shingle", "left").groupBy("size", "words").agg(
         F.min_by(F.struct("shingle", "offset", "hash", "other", "items"), F.struct(F.coalesce("n", F.lit(0)), "shingle", "offset")).alias("x")
     )
     table = ranked.select("size", "words", "x.*", F.least("size", F.lit(shingle)).alias("width"))
-    places = texts.mapInArrow(_place_rows(widths), "shingle long, width int, doc long, at long")
+    # rows join by what they hold, so any doc_id will do; rows that are equal, or whose hashes are, share candidates, each verified in each
+    keyed = texts.withColumn("doc", F.xxhash64("doc_id", "text"))
+    places = keyed.select("doc", "text").mapInArrow(_place_rows(widths), "shingle long, width int, doc long, at long")
     candidates = places.join(table, ["shingle", "width"]).withColumn("start", F.col("at") - F.col("offset")).filter("start >= 0")
-    by_doc = candidates.groupBy("doc").agg(F.collect_list(F.struct("start", "size", "words", "hash", "other", "items")).alias("found"))
-    return texts.join(by_doc, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "found").mapInArrow(_verify_rows, _SCHEMA)
+    by_doc = candidates.groupBy("doc").agg(F.collect_set(F.struct("start", "size", "words", "hash", "other", "items")).alias("found"))
+    return keyed.join(by_doc, "doc", "left").select(*texts.columns, "found").mapInArrow(_verify_rows, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -249,6 +256,13 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def keep_clean(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents without a hit; the columns are those of docs."""
-    return docs.join(found.filter("n_hit > 0").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """The documents without a hit; the columns are those of docs.
+
+    Rows go by doc_id and two hashes of the text, so that a null or repeated doc_id does no harm: equal texts have equal hits.
+    """
+    named = docs.withColumns({"__text_a": F.xxhash64("text"), "__text_b": F.xxhash64(F.lit(1), "text")})
+    found = decontaminate(named, benchmark, broadcast_windows=broadcast_windows, passed=["__text_a", "__text_b"])
+    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("__doc"), F.col("passed.__text_a").alias("__a"), F.col("passed.__text_b").alias("__b"))
+    same = named["doc_id"].cast("long").eqNullSafe(hit["__doc"]) & (named["__text_a"] == hit["__a"]) & (named["__text_b"] == hit["__b"])
+    return named.join(hit, same, "left_anti").select(*docs.columns)

@@ -149,6 +149,20 @@ def test_decontaminate_both_ways(spark, docs):
     assert decontaminate.decontaminate(docs(texts), bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_decontaminate_null_and_repeated_ids(spark, docs):
+    passage = "one two three four five six seven eight nine ten eleven"
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    texts = [passage, "clean words", "so " + passage, "clean too", f"a {passage} b", None, passage]
+    frame = docs(texts, ids=[None, None, 4, 4, 5, 6, None])
+    hits = sorted((-1 if i is None else i, n) for i, n in zip([None, None, 4, 4, 5, 6, None], [11, 0, 11, 0, 11, 0, 11], strict=True))
+    for most in (10_000, 0):  # by broadcast, and as a join
+        found = decontaminate.decontaminate(frame, bench, broadcast_windows=most).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_hit) for r in found) == hits
+        kept = decontaminate.keep_clean(frame, bench, broadcast_windows=most)
+        assert kept.schema.names == frame.schema.names
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "", r.words) for r in kept.collect()) == [(-1, "clean words", "w"), (4, "clean too", "w"), (6, "", "w")]
+
+
 # near-duplicates -------------------------------------------------------------------------------------------------------------
 def brute_print(text):
     words = (text or "").encode().lower().split()
