@@ -1,8 +1,11 @@
 """Removal of lines that many sites share.
 
-Method: distinct-site spread. A HyperLogLog sketch of the sites for each line hash merges by aggregation; lines whose estimate
-is near the threshold get an exact distinct count. All of it is DataFrame operations; a line that a third of all texts have is
-one partial row for each task before any exchange.
+Method: distinct-site spread. A HyperLogLog sketch of the sites for each line hash, made straight from the lines, merges by
+aggregation; lines whose estimate is near the threshold, and only these, get an exact distinct count. All of it is DataFrame
+operations; a line that a third of all texts have is one partial sketch for each task before any exchange.
+
+A line is told by a 64-bit hash. Only a line that has the hash of a shared one can be taken for it: with 10**11 different lines
+and a million shared ones that is expected for 0.005 lines.
 """
 
 from __future__ import annotations
@@ -10,10 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spark_tools import checkpointed
+from .spark_tools import checkpointed, join_spread
 
 MIN_SITES = 10
-MAX_CHARS = 200
 LOG_K = 12
 #: Estimates this share off the threshold or less are counted exactly; five standard errors of a sketch of 2**LOG_K cells are 0.08.
 MARGIN = 0.25
@@ -25,35 +27,34 @@ def _hashes(text: Column, most: int | None) -> Column:
     return F.transform(lines, lambda x: F.when((x != "") if most is None else (x != "") & (F.length(x) <= most), F.xxhash64(x)))
 
 
-def shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_chars: int | None = MAX_CHARS, site: str = "source") -> DataFrame:
-    """(line): hashes of the lines that ``min_sites`` different sites or more have."""
-    lines = docs.filter(F.col(site).isNotNull()).select(F.col(site).alias("site"), F.explode(F.array_distinct(_hashes(F.col("text"), max_chars))).alias("line")).dropna()
-    # one row for each line and site, joined in the tasks first: a line that is everywhere has as many rows as there are sites
-    some = lines.groupBy("line", "site").agg(F.count("*").alias("n"))
-    # fewer occurrences than sites asked for can't be enough; this is a plain count, and only the rest are sketched
-    often = some.groupBy("line").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_sites).select("line")
-    spread = some.join(often, "line", "left_semi").groupBy("line").agg(F.hll_sketch_agg("site", LOG_K).alias("sketch")).select("line", F.hll_sketch_estimate("sketch").alias("sites"))
-    spread = checkpointed(spread.filter(F.col("sites") >= min_sites * (1 - MARGIN)))
-    near = spread.filter(F.col("sites") <= min_sites * (1 + MARGIN)).select("line")
-    exact = some.join(near, "line", "left_semi").groupBy("line").agg(F.count("*").alias("sites"))
+def shared_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """(line, n): the hashes that ``min_sites`` different sites or more have, and their number of rows, of rows (line, site)."""
+    sketch = lines.groupBy("line").agg(F.hll_sketch_agg("site", LOG_K).alias("sketch"), F.count("*").alias("n"))
+    spread = sketch.withColumn("sites", F.hll_sketch_estimate("sketch")).filter(F.col("sites") >= min_sites * (1 - MARGIN))
+    spread = checkpointed(spread.select("line", "n", "sites"))
+    near = spread.filter(F.col("sites") <= min_sites * (1 + MARGIN)).select("line", "n")
+    pairs = join_spread(lines.dropna(), near, ["line"]).groupBy("line", "n", "site").agg(F.lit(1).alias("one"))
+    exact = pairs.groupBy("line", "n").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
     sure = spread.filter(F.col("sites") > min_sites * (1 + MARGIN))
-    return sure.select("line").union(exact.filter(F.col("sites") >= min_sites).select("line"))
+    return sure.select("line", "n").union(exact.select("line", "n"))
 
 
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, max_chars: int | None = MAX_CHARS, site: str = "source") -> DataFrame:
+def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, max_chars: int | None = None, site: str = "source") -> DataFrame:
     """The documents without boilerplate lines, and n_lines and n_removed.
 
-    Lines are what "\\n" separates; they are compared without spaces, tabs and carriage returns at their ends. A line of at
-    most ``max_chars`` characters (None: any line) that ``min_sites`` different sites or more have goes from every text, but not from a text
-    that has no other lines: that is a copy, and a matter of whole documents. Blank and longer lines stay. Rows with a null
-    site remain and lose lines, but count for no site. Null texts stay null (0 lines); doc_id must be unique; a null doc_id
-    loses nothing. Other columns are passed on; an own n_lines or n_removed of the input is replaced.
+    Lines are what "\\n" separates; they are compared without spaces, tabs and carriage returns at their ends. A line that
+    ``min_sites`` different sites or more have goes from every text (if ``max_chars`` is given, only a line of so many
+    characters at most), but not from a text that has no other lines: that is a copy, and a matter of whole documents. Blank
+    lines stay. Rows with a null site remain and lose lines, but count for no site. Null texts stay null (0 lines). A null or
+    repeated doc_id does no harm: lines go by what the row holds, and equal rows are treated alike. An empty table gives no
+    rows. Other columns are passed on; an own n_lines or n_removed of the input is replaced.
     """
-    base = docs.drop("n_lines", "n_removed")
-    shared = checkpointed(shared_lines(docs, min_sites, max_chars, site))
-    lines = base.select(F.col("doc_id").alias("__doc"), F.explode(F.array_distinct(_hashes(F.col("text"), max_chars))).alias("line")).dropna()
-    own = lines.join(shared, "line", "left_semi").groupBy("__doc").agg(F.collect_set("line").alias("__gone"))
-    joined = base.join(own, F.col("doc_id") == F.col("__doc"), "left")
+    base = docs.drop("n_lines", "n_removed").withColumns({"__a": F.xxhash64("doc_id", "text"), "__b": F.xxhash64(F.lit(1), "doc_id", "text")})
+    own = F.explode(F.array_distinct(_hashes(F.col("text"), max_chars))).alias("line")
+    lines = checkpointed(base.select(F.col(site).cast("string").alias("site"), "__a", "__b", own).filter("line is not null"))
+    shared = checkpointed(shared_lines(lines.select("line", "site"), min_sites))
+    marks = join_spread(lines.select("line", "__a", "__b"), shared, ["line"]).groupBy("__a", "__b").agg(F.collect_set("line").alias("__gone"))
+    joined = base.join(marks, ["__a", "__b"], "left")
     split = F.split("text", "\n")
     kept = F.transform(
         F.filter(F.arrays_zip(split.alias("s"), _hashes(F.col("text"), max_chars).alias("h")), lambda x: x["h"].isNull() | ~F.array_contains("__gone", x["h"])),
@@ -64,4 +65,4 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, max_chars: int | Non
     text = F.when(F.col("__gone").isNull() | ~left, F.col("text")).otherwise(F.array_join("__kept", "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
     removed = F.when(F.col("__gone").isNull() | ~left, 0).otherwise(F.size(split) - F.size("__kept")).cast("long")
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in base.columns], n_lines.alias("n_lines"), removed.alias("n_removed"))
+    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")], n_lines.alias("n_lines"), removed.alias("n_removed"))

@@ -120,7 +120,7 @@ WITH l AS (
   SELECT doc_id, source, i, raw, trim(raw, ' ' || chr(9) || chr(13)) AS line
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
 ), shared AS (
-  SELECT line FROM l WHERE line <> '' AND length(line) <= 200 GROUP BY line HAVING count(DISTINCT source) >= 10
+  SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10
 ), marked AS (
   SELECT doc_id, i, raw, line, line IN (SELECT line FROM shared) AS gone FROM l
 ), per AS (

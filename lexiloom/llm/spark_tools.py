@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lexiloom.checkpoints import checkpointed
+
+#: Keys with more than one row in so many are heavy; there can't be more heavy keys than this.
+HEAVY = 4096
+
+
+def join_spread(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """The inner join of rows with a table that has one row for each key, and in n the number of rows with it.
+
+    A key with more than 1/HEAVY of all rows is one of HEAVY keys at most, whatever the size of the input: these are broadcast,
+    so that their rows stay where they are. The other keys are exchanged, none of them with more than 1/HEAVY of the rows.
+    ``rows`` and ``table`` are read more than once; give what is cheap to read, as a checkpoint is. Nulls in keys join nothing.
+    """
+    most = rows.count() / HEAVY
+    few = F.broadcast(table.filter(F.col("n") > most))
+    rest = rows.join(F.broadcast(table.filter(F.col("n") > most).select(*on)), on, "left_anti")
+    return rows.join(few, on).unionByName(rest.join(table.filter(F.col("n") <= most), on))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage, in the shared folder that spark.checkpoint.dir names; a folder of our own only where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexiloom-"))
-    return df.checkpoint(eager=True)
+__all__ = ["HEAVY", "checkpointed", "join_spread"]

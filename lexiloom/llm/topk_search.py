@@ -1,12 +1,14 @@
 """Exact top-k search by inner product over integer vectors.
 
 Method: no-random-access aggregation. Candidates are dealt into blocks, and each block has a sorted list for every dimension.
-A query reads the lists from the end that its weight's sign favours, all to one depth, and knows for each candidate a lower and
-an upper bound: the components read so far, and for the rest the list's last value read or its far end. Candidates whose upper
-bound is under the k-th lower bound can't qualify; the depth grows until few are left, whose scores are then resolved. The
-bounds of many queries at one depth are matrix products, as what a list shows at a depth depends on the sign alone.
-
-Spark deals query blocks against candidate blocks; each cell returns k rows a query, and a window picks the k best of these.
+A query reads the lists in turn from the end that its weight's sign favours, deeper where its weight is larger, and keeps for
+each candidate a lower and an upper bound: the sum of what was read, and for the rest the smaller of what the lists' last
+values allow and of the product of the unread parts' norms. A candidate whose upper bound is under the bar can't qualify; the
+bar is the k-th lower bound, or the k-th score of another block if that is higher. Reading stops when few can qualify, and
+their scores are resolved.
+
+Spark deals query blocks against candidate blocks. The cells of the first block run before the others and give each query its
+bar. A cell returns k rows a query, and a window picks the k best of these.
 """
 
 from __future__ import annotations
@@ -16,108 +18,160 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spark_tools import checkpointed
+
 K = 5
 SCALE = 256
 CANDIDATE_BLOCK = 4096
-QUERY_BLOCK = 4096
-_AT_ONCE = 128
-_DEPTHS = (0.25, 0.5, 0.75)
-#: The share of contenders at which their scores are resolved.
+QUERY_BLOCK = 16384
+#: Depths of the rounds: shares of the list of a query's largest weight; other lists are read less deep, in proportion to theirs.
+ROUNDS = (1.0, 1.4, 1.9, 2.6, 4.0)
+#: The share of candidates at which their scores are resolved.
 _FEW = 0.05
+_LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 def _best(query: np.ndarray, candidate: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of each query's k best pairs, ties to the smaller id."""
-    order = np.lexsort((ids[candidate], -score, query))
+    order = np.lexsort((ids[candidate], -score.astype(np.float64), query))
+    if score.dtype != np.float64:  # whole numbers that floating point can't tell apart
+        order = np.array(sorted(range(len(query)), key=lambda i: (query[i], -int(score[i]), ids[candidate[i]])), np.int64)
     q = query[order]
     first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.empty(0, np.int64)
     size = np.diff(np.append(first, len(q)))
     return order[np.arange(len(q)) - np.repeat(first, size) < k]
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of each query in one block: positions of queries and candidates, and scores."""
-    n, dims = vectors.shape
-    reach = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, dims)
-    if reach >= 2.0**53:  # beyond exact floating point: whole numbers of any size, by the plain product
-        score = queries.astype(object) @ vectors.astype(object).T
-        q, c = np.nonzero(query_ids[:, None] != ids[None, :])
-        own = np.array([int(score[a, b]) for a, b in zip(q, c, strict=True)], np.int64)
-        keep = _best(q, c, own, ids, k)
-        return q[keep], c[keep], own[keep]
-    x = vectors.astype(np.float64)
-    order = np.argsort(x, axis=0, kind="stable")
-    lists = np.take_along_axis(x, order, axis=0)
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.broadcast_to(np.arange(n)[:, None], order.shape), axis=0)
-    shown = []
-    for share in _DEPTHS:
-        depth = max(1, int(n * share))
-        top, bottom = rank >= n - depth, rank < depth
-        shown.append((np.where(top, x, lists[n - depth]), np.where(bottom, x, lists[depth - 1]), np.where(top, x, lists[0]), np.where(bottom, x, lists[-1])))
-    out = []
-    for at in range(0, len(queries), _AT_ONCE):
-        q = queries[at : at + _AT_ONCE].astype(np.float64)
-        up, down = np.maximum(q, 0).T, np.minimum(q, 0).T
-        own = ids[:, None] == query_ids[None, at : at + _AT_ONCE]
-        alive = ~own
-        for high_top, high_bottom, low_top, low_bottom in shown:
-            upper = high_top @ up + high_bottom @ down
-            lower = low_top @ up + low_bottom @ down
-            lower[own] = -np.inf
-            bar = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(lower.shape[1], -np.inf)
-            alive &= upper >= bar
-            if alive.mean() <= _FEW:
+class _Lists:
+    """A block's sorted lists: the values by rank, each candidate's rank in each list, and what bounds need."""
+
+    def __init__(self, x: np.ndarray):
+        order = np.argsort(x, axis=0, kind="stable")
+        self.x, self.sorted = x, np.take_along_axis(x, order, axis=0)
+        self.rank = np.empty(x.shape, np.int32)
+        np.put_along_axis(self.rank, order, np.broadcast_to(np.arange(len(x), dtype=np.int32)[:, None], x.shape), axis=0)
+        self.squares = (x * x).sum(axis=1)
+        self.dims = np.arange(x.shape[1])
+
+    def search(self, q: np.ndarray, own: int, bar: float, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Candidates that can qualify, their scores, and the number of list entries read."""
+        n, dims = self.x.shape
+        up, weight = q > 0, np.abs(q)
+        alive = np.arange(n) if own < 0 else np.delete(np.arange(n), own)
+        share = weight / max(weight.max(initial=0), 1.0)
+        read = 0
+        for depth in ROUNDS:
+            depths = np.minimum(n, np.ceil(n * depth * share)).astype(np.int64)
+            read = int(depths.sum())
+            # the last value read, and the far end: what an unread candidate has lies between them
+            last = np.where(up, self.sorted[np.clip(n - depths, 0, n - 1), self.dims], self.sorted[np.clip(depths - 1, 0, n - 1), self.dims])
+            far = np.where(up, self.sorted[0], self.sorted[-1])
+            ranks = self.rank[alive]
+            seen = np.where(up, ranks >= n - depths, ranks < depths)
+            known = np.where(seen, self.x[alive], 0.0)
+            sums, unread = known @ q, (~seen).astype(np.float64)
+            norm = np.sqrt(np.maximum(self.squares[alive] - (known * known).sum(axis=1), 0) * (unread @ (q * q))) * (1 + 1e-9) + 1e-6
+            upper = sums + np.minimum(unread @ (q * last), norm)
+            lower = sums + np.maximum(unread @ (q * far), -norm)
+            if len(alive) >= k:
+                bar = max(bar, np.partition(lower, len(alive) - k)[len(alive) - k] - 1e-3)
+            alive = alive[upper >= bar]
+            if len(alive) <= max(k, _FEW * n):
                 break
-        c, a = np.nonzero(alive)
-        score = np.empty(len(c))
-        for part in range(0, len(c), 1 << 16):
-            few = slice(part, part + (1 << 16))
-            score[few] = np.einsum("ij,ij->i", x[c[few]], q[a[few]])
-        keep = _best(a, c, score, ids, k)
-        out.append((a[keep] + at, c[keep], score[keep].astype(np.int64)))
-    return tuple(np.concatenate(part) for part in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+        return alive, self.x[alive] @ q, read
+
 
+def search_block(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int = K, bars: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Each query's k best candidates of one block that reach its bar: positions of queries and candidates, scores, entries read.
 
-def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    Vectors too large for exact floating point take the plain product in whole numbers; scores beyond a long are its ends.
+    """
+    dims = max(1, vectors.shape[1])
+    bars = np.full(len(queries), -np.inf) if bars is None else bars
+    large = [np.abs(m.astype(np.float64)).max(axis=1, initial=0) * np.sqrt(dims) >= 2.0**26 for m in (queries, vectors)]
+    small = np.flatnonzero(~large[1])
+    lists = _Lists(vectors[small].astype(np.float64)) if len(small) else None
+    place = {row: i for i, row in enumerate(rows[small].tolist())}
+    whole = vectors.astype(object) if large[0].any() or large[1].any() else None
+    found, read = [], 0
+    for i, query in enumerate(queries):
+        parts = []
+        if lists is not None and not large[0][i]:
+            alive, score, n = lists.search(query.astype(np.float64), place.get(int(query_rows[i]), -1), float(bars[i]), k)
+            read += n
+            parts.append((small[alive], score))
+        if whole is not None:
+            slow = np.flatnonzero((large[0][i] | large[1]) & (rows != query_rows[i]))
+            product = whole[slow] @ query.astype(object) if len(slow) else np.empty(0, object)
+            parts.append((slow, np.array([min(max(int(s), _LONG[0]), _LONG[1]) for s in product], np.int64)))
+        at = np.concatenate([p[0] for p in parts])
+        score = np.concatenate([p[1].astype(np.int64) for p in parts]) if whole is not None else parts[0][1]
+        keep = _best(np.zeros(len(at), np.int64), at, score, ids, k)
+        found.append((np.full(len(keep), i), at[keep], score[keep].astype(np.int64)))
+    a, c, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+    return a, c, score, read
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
     lists = table.column("x").combine_chunks()
-    return table.column("vec_id").to_numpy(), lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+_FOUND = "query_row long, query_id long, vec_id long, score long"
 
 
 def _cell(k: int):
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         if not queries.num_rows or not candidates.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        (query_ids, q), (ids, x) = _matrix(queries), _matrix(candidates)
-        a, c, score = search_block(q, query_ids, x, ids, k)
-        return pa.table({"query_id": query_ids[a], "vec_id": ids[c], "score": score})
+            return pa.table({c: pa.array([], pa.int64()) for c in ("query_row", "query_id", "vec_id", "score")})
+        query_rows, query_ids, rows, ids = (t.column(c).to_numpy() for t in (queries, candidates) for c in ("row", "vec_id"))
+        bars = queries.column("bar").to_numpy()
+        a, c, score, _ = search_block(_matrix(queries), query_rows, _matrix(candidates), rows, ids, k, bars)
+        return pa.table({"query_row": query_rows[a], "query_id": query_ids[a], "vec_id": ids[c], "score": score})
 
     return run
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, x): components floor(scale * x) of the vectors that are not null, not empty and finite. A repeated vec_id is one row, with its least vector."""
+    """(row, vec_id, size, x): components floor(scale * x) of the vectors that are not null, not empty and finite.
+
+    Rows are numbered once and written down, so that equal rows stay apart however often a task runs. A component beyond a
+    long is the long's end.
+    """
     parts = F.transform("embedding", lambda v: v.cast("double"))
     good = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall(parts, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = vectors.filter(F.coalesce(good, F.lit(False))).select(F.col("vec_id").cast("long"), F.transform(parts, lambda v: F.floor(v * scale)).alias("x"))
-    return rows.groupBy("vec_id").agg(F.min("x").alias("x"))
+    rows = checkpointed(vectors.filter(F.coalesce(good, F.lit(False))).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), "embedding"))
+    return rows.select("row", "vec_id", F.size("embedding").alias("size"), F.transform(parts, lambda v: F.floor(v * scale)).alias("x"))
 
 
-def topk_search(vectors: DataFrame, every: int = 50, k: int = K, scale: int = SCALE) -> DataFrame:
+def topk_search(vectors: DataFrame, every: int = 50, k: int = K, scale: int = SCALE, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products, ties to the smaller vec_id.
 
-    Queries are the rows whose vec_id is divisible by ``every``; candidates are all rows but the query's own. Vectors that are
-    null, empty, or hold null or non-finite components take no part; vectors of different lengths don't meet. A query with
-    fewer than k candidates gets all of them; an empty table gives no rows; a score beyond a long is an error.
+    Queries are the rows whose vec_id is divisible by ``every``; candidates are all rows but the query's own, so a row that
+    repeats a query's vec_id is a candidate too, and a repeated query is answered once for each row. Vectors that are null,
+    empty, or hold null or non-finite components take no part, as do those without a vec_id; vectors of different lengths
+    don't meet. A query with fewer than k candidates gets all of them; an empty table gives no rows; components and scores
+    beyond a long are the long's ends; extra columns are ignored.
     """
-    base = quantised(vectors, scale).withColumn("size", F.size("x"))
-    n = base.agg(F.count("*").alias("all"), F.count_if(F.col("vec_id") % every == 0).alias("queries")).first()
-    blocks, query_blocks = -(-n["all"] // CANDIDATE_BLOCK) or 1, -(-n["queries"] // QUERY_BLOCK) or 1
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    query_block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks))
-    candidates = base.select("vec_id", "x", "size", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("query_block"))
-    queries = base.filter(F.col("vec_id") % every == 0).select("vec_id", "x", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), query_block.alias("query_block"))
+    base = quantised(vectors, scale)
+    is_query = F.col("vec_id") % every == 0
+    n = base.agg(F.count("*").alias("all"), F.count_if(is_query).alias("queries")).first()
+    blocks, query_blocks = -(-n["all"] // candidate_block) or 1, -(-n["queries"] // QUERY_BLOCK) or 1
+    block, query_block = F.pmod(F.xxhash64("row"), F.lit(blocks)), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(query_blocks))
+    upto = lambda first, n: F.explode(F.sequence(F.lit(first).cast("long"), F.lit(n - 1).cast("long")))
+    candidates = base.select("row", "vec_id", "x", "size", block.alias("block"), upto(0, query_blocks).alias("query_block"))
+    queries = base.filter(is_query).select("row", "vec_id", "x", "size", query_block.alias("query_block"))
     cell = ("size", "query_block", "block")
-    found = queries.groupBy(*cell).cogroup(candidates.groupBy(*cell)).applyInArrow(_cell(k), "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+
+    def search(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+        return queries.groupBy(*cell).cogroup(candidates.groupBy(*cell)).applyInArrow(_cell(k), _FOUND)
+
+    none = F.lit(float("-inf"))
+    found = search(queries.withColumns({"bar": none, "block": F.lit(0).cast("long")}), candidates.filter("block = 0"))
+    if blocks > 1:
+        found = checkpointed(found)
+        bars = found.groupBy("query_row").agg(F.min("score").cast("double").alias("bar"), F.count("*").alias("n")).filter(F.col("n") == k)
+        barred = queries.join(bars, F.col("row") == F.col("query_row"), "left").select(*[F.col(c).alias(c) for c in queries.columns], F.coalesce("bar", none).alias("bar"), upto(1, blocks).alias("block"))
+        found = found.union(search(barred, candidates.filter("block > 0")))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from lexiloom.llm import language_id, quality, queries, topk_search
@@ -47,28 +48,49 @@ def test_quality_edges(spark, docs):
 
 
 def brute_search(vectors, every, k):
-    good = {i: [math.floor(256 * x) for x in v] for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
-    out = set()
-    for q in (i for i in good if i % every == 0):
-        scored = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q and len(v) == len(good[q]))
-        out |= {(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)}
-    return out
+    end = lambda x: max(-(2**63), min(2**63 - 1, x))
+    good = [(i, [end(math.floor(256 * x)) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for a, (q, own) in enumerate(good):
+        if q % every == 0:
+            scored = sorted((-end(sum(x * y for x, y in zip(own, v, strict=True))), i) for b, (i, v) in enumerate(good) if b != a and len(v) == len(own))
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("n", [0, 1, 3, 700])
 def test_topk_search(spark, n):
     rnd = random.Random(n)
     vectors = [(i, [float(f"{rnd.gauss(0, 1):.2f}") for _ in range(8)]) for i in range(n)]
-    vectors += [(n, vectors[0][1]), (n + 1, vectors[0][1])] if n else []  # ties
-    odd = [(10_000, None), (10_050, [float("nan")] * 8), (10_100, [1.0] * 7 + [None]), (10_150, [float("inf")] * 8), (None, [1.0] * 8), (10_200, [1e30] * 8)][: 5 if n else 0]
+    vectors += [(n, vectors[0][1]), (n + 1, vectors[0][1]), (0, [5.0] + [0.0] * 7), (0, vectors[0][1])] if n else []  # ties, and ids that repeat
+    odd = [(10_000, None), (10_050, [float("nan")] * 8), (10_100, [1.0] * 7 + [None]), (10_150, [float("inf")] * 8), (None, [1.0] * 8), (10_200, [2.0**100] * 8), (10_201, [-(2.0**90)] * 8), (10_210, [1.0] * 5)]
     frame = spark.createDataFrame([(*v, 1, 2) for v in vectors + odd], "vec_id long, embedding array<float>, score int, block int")
-    got = {tuple(r) for r in topk_search.topk_search(frame, every=10, k=5).collect()}
-    assert got == brute_search(vectors + odd, 10, 5)
+    for block in (4096, 100):  # one block; several, with bars
+        got = sorted(tuple(r) for r in topk_search.topk_search(frame, every=10, k=5, candidate_block=block).collect())
+        assert got == brute_search(vectors + odd, 10, 5)
+    assert topk_search.topk_search(frame.limit(0)).count() == 0
+
+
+def test_topk_search_stops_early():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    ids = np.arange(len(x))
+    scores = x[:20] @ x.T
+    scores[np.arange(20), np.arange(20)] = -(1 << 40)
+    reads = []
+    for bars in (None, np.sort(scores, axis=1)[:, -5].astype(np.float64)):
+        q, c, score, read = topk_search.search_block(x[:20], ids[:20], x, ids, ids, 5, bars)
+        assert [sorted(score[q == i].tolist()) for i in range(20)] == [np.sort(scores[i])[-5:].tolist() for i in range(20)]
+        assert (scores[q, c] == score).all()
+        reads.append(read)
+    # the bounds decide: part of the lists is enough, and less of them with another block's bar
+    assert reads[0] < 0.8 * 20 * x.size and reads[1] < 0.65 * 20 * x.size and reads[1] < reads[0]
 
 
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
-    from tests.llm.test_text_operators import brute_components, brute_items, brute_print
+    from tests.llm.test_text_operators import brute_items, brute_similar
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -81,7 +103,7 @@ def test_pipeline_stages(spark):
     assert b.columns == columns and b.count() == docs.count()
     kept = {r.doc_id: r.text for r in b.collect()}
     ids = sorted(kept)
-    own = brute_components([brute_print(kept[i]) for i in ids])
+    own = brute_similar([kept[i] for i in ids])
     c = stages["near_dedup"](spark, b, sf)
     assert c.columns == columns and sorted(r.doc_id for r in c.collect()) == sorted({ids[k] for k in own})
     texts = {r.doc_id: r.text for r in c.collect()}

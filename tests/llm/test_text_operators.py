@@ -266,14 +266,32 @@ def test_line_dedup(docs):
     texts = [f"own {i}\n All rights reserved. \n\nmore {i}\n{'long ' * 60}" for i in range(12)] + ["All rights reserved.", None, "", "x\nAll rights reserved.\r", "rare\nline", "line"]
     sources = [f"s{i}" for i in range(12)] + ["s0", "s1", "s2", None, "s1", "s2"]
     got = rows(line_dedup.line_dedup(docs(texts, sources=sources), min_sites=10))
-    assert got[3]["text"] == f"own 3\n\nmore 3\n{'long ' * 60}" and (got[3]["n_lines"], got[3]["n_removed"]) == (5, 1)
+    assert got[3]["text"] == "own 3\n\nmore 3" and (got[3]["n_lines"], got[3]["n_removed"]) == (5, 2)
     assert got[12]["text"] == "All rights reserved." and got[12]["n_removed"] == 0  # nothing else: left alone
     assert got[13]["text"] is None and got[13]["n_lines"] == 0 and got[14]["text"] == ""
     assert got[15]["text"] == "x" and got[16]["text"] == "rare\nline" and got[3]["key"] == 1
+    short = rows(line_dedup.line_dedup(docs(texts, sources=sources), min_sites=10, max_chars=200))
+    assert short[3]["text"] == f"own 3\n\nmore 3\n{'long ' * 60}" and short[3]["n_removed"] == 1
     assert rows(line_dedup.line_dedup(docs(texts, sources=sources), min_sites=13))[3]["n_removed"] == 0
     assert line_dedup.line_dedup(docs([])).count() == 0
 
 
+def test_line_dedup_null_and_repeated_rows(docs):
+    texts = [f"own {i}\nshared line" for i in range(12)] + ["a\nshared line", "a\nshared line", "b\nshared line", "c\nshared line", "c\nshared line"]
+    ids = [*range(12), None, None, 3, 20, 20]
+    got = line_dedup.line_dedup(docs(texts, ids=ids, sources=[f"s{i}" for i in range(17)])).collect()
+    found = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in got)
+    assert found == sorted([(i, f"own {i}") for i in range(12)] + [(-1, "a"), (-1, "a"), (3, "b"), (20, "c"), (20, "c")])
+
+
+def test_line_spread_counts_sites_exactly(docs):
+    """Lines of 1 to 60 sites, each several times: sketches decide far from the threshold, exact counts near it."""
+    texts = [f"own {i}\n" + "\n".join(f"line of {n}" for n in range(1, 61) if i % 60 < n) for i in range(240)]
+    got = line_dedup.line_dedup(docs(texts, sources=[f"s{i % 60}" for i in range(240)]), min_sites=20).collect()
+    left = {line for r in got for line in r.text.split("\n") if not line.startswith("own")}
+    assert left == {f"line of {n}" for n in range(1, 20)}
+
+
 def test_line_stage_has_no_longest_line(spark, docs):
     long = " ".join(f"word{k}" for k in range(80))
     texts = [f"own {i}\n{long}\nmore {i}" for i in range(12)] + [long, f"x\n{long} y"]
