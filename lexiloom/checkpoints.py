@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df read back from a checkpoint; a folder of our own is set only where spark.checkpoint.dir is unset."""
+    """df read back from a checkpoint in the folder that spark.checkpoint.dir names.
+
+    Where that is unset, a folder of our own serves a local master, as in tests; on a cluster it's an error, as executors don't
+    see each other's folders.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexiloom-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexiloom-"))
     return df.checkpoint(eager=True)
