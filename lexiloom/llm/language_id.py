@@ -22,8 +22,8 @@ BYTES = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
-#: The training sample: rows of each language, windows of each row, languages (the most frequent) at most.
-ROWS, WINDOWS, LANGUAGES = 300, 4, 200
+#: The training sample: rows of each language and windows of each row at most; rows in all, shared out evenly if there are many languages.
+ROWS, WINDOWS, ALL_ROWS = 300, 4, 60_000
 _LETTER = regex.compile(r"\p{L}")
 _BATCH = 64
 
@@ -134,19 +134,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("lang").take(pa.array(own)), pa.array(rows, pa.binary())], ["lang", "bytes"])
 
 
-def train(docs: DataFrame, rows: int = ROWS) -> ByteCnn:
-    """A network for the languages of the rows that aren't held out and have text and a language.
+def train(docs: DataFrame, rows: int = ROWS, all_rows: int = ALL_ROWS) -> ByteCnn:
+    """A network for every language of the rows that aren't held out and have text and a language.
 
-    At most ``rows`` rows of each language are used, chosen by a hash of the doc_id: a bounded sample at any size of the input.
+    At most ``rows`` rows of each language are used, and about ``all_rows`` in all, one of each language at least; they are
+    chosen by a hash of the doc_id: a bounded sample at any size of the input.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return ByteCnn([])
-    share = F.element_at(F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * rows / r["n"])))]), F.col("lang"))
+    rows = max(1, min(rows, all_rows // len(languages)))
+    share = F.element_at(F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, (1.5 * rows + 30) / r["n"])))]), F.col("lang"))
     place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / (1 << 20)
-    some = labelled.filter(F.col("lang").isin(languages) & (place < share))
+    some = labelled.filter(place < share)
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id"))).filter(F.col("rank") <= rows)
     table = ranked.select("text", "lang").mapInArrow(_cut, "lang string, bytes binary").toArrow()
     raw = [b.as_py() for b in table["bytes"]]
@@ -159,42 +161,48 @@ def train(docs: DataFrame, rows: int = ROWS) -> ByteCnn:
     return ByteCnn(languages).fit(_windows(data, starts, ends), labels)
 
 
+def _predicted(own: ByteCnn, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The language and the score of each text of one slice."""
+    data, offsets = string_bytes(texts)
+    raw, at = data.tobytes(), offsets.tolist()
+    letter = np.array([_LETTER.search(raw[a:b].decode()) is not None for a, b in zip(at[:-1], at[1:], strict=True)], bool)
+    n = np.where(letter, (np.diff(offsets) + BYTES - 1) // BYTES, 0) if own.languages else np.zeros(len(texts), np.int64)
+    text = np.repeat(np.arange(len(texts)), n)
+    starts = offsets[:-1][text] + BYTES * (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n))
+    sums = np.zeros((len(texts), max(1, len(own.languages))))
+    for a in range(0, len(text), 1024):
+        few = slice(a, a + 1024)
+        ends = np.minimum(starts[few] + BYTES, offsets[1:][text[few]])
+        np.add.at(sums, text[few], own.probabilities(_windows(data, starts[few], ends)) * (ends - starts[few])[:, None])
+    total = sums.sum(axis=1)
+    best = sums.argmax(axis=1)
+    score = np.where(total > 0, sums[np.arange(len(best)), best] / np.maximum(total, 1e-30), 0.0)
+    return [own.languages[b] if t > 0 else UNKNOWN for b, t in zip(best.tolist(), total.tolist(), strict=True)], np.clip(score, 0, 1)
+
+
 def _predict(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A column function of the text; not deterministic for the optimiser, so that no plan runs it twice for a row."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = model.value
-        for batch in batches:
-            for part in slices(batch):
-                data, offsets = string_bytes(part.column("text"))
-                raw, at = data.tobytes(), offsets.tolist()
-                letter = np.array([_LETTER.search(raw[a:b].decode()) is not None for a, b in zip(at[:-1], at[1:], strict=True)], bool)
-                n = np.where(letter, (np.diff(offsets) + BYTES - 1) // BYTES, 0) if own.languages else np.zeros(part.num_rows, np.int64)
-                text = np.repeat(np.arange(part.num_rows), n)
-                starts = offsets[:-1][text] + BYTES * (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n))
-                sums = np.zeros((part.num_rows, max(1, len(own.languages))))
-                for a in range(0, len(text), 1024):
-                    few = slice(a, a + 1024)
-                    ends = np.minimum(starts[few] + BYTES, offsets[1:][text[few]])
-                    found = own.probabilities(_windows(data, starts[few], ends)) * (ends - starts[few])[:, None]
-                    np.add.at(sums, text[few], found)
-                total = sums.sum(axis=1)
-                best = sums.argmax(axis=1)
-                score = np.where(total > 0, sums[np.arange(len(best)), best] / np.maximum(total, 1e-30), 0.0)
-                names = [own.languages[b] if t > 0 else UNKNOWN for b, t in zip(best.tolist(), total.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names), pa.array(np.clip(score, 0, 1)), part.column("row")], ["doc_id", "held_out", "lang_pred", "score", "row"])
-
-    return run
+        for texts in batches:
+            found = [_predicted(own, part.column("text")) for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]))]
+            names = pa.array([n for f in found for n in f[0]], pa.string())
+            yield pa.StructArray.from_arrays([names, pa.array(np.concatenate([f[1] for f in found]) if found else [], pa.float64())], ["lang_pred", "score"])
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()
 
 
 def language_id(docs: DataFrame, model: ByteCnn | None = None, passed: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """The columns ``passed`` of docs (by default none), doc_id, held_out, lang_pred and score (the mean probability of that language) of whole texts.
 
     A text that is null or has no letter is "und" with score 0, as all are where no labelled rows exist. Equal scores go to the
-    language first by name. One row for each input row; a null doc_id isn't held out; extra columns are ignored.
+    language first by name. One row for each input row, equal rows alike; a null doc_id isn't held out; extra columns are
+    ignored. Only the text goes to Python; rows are read in place, without an exchange.
     """
-    spark = docs.sparkSession
     model = model or train(docs)
-    row = F.struct(*[F.col(c) for c in passed]) if passed else F.lit(None).cast("int")
-    texts = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"), row.alias("row"))
-    kind = texts.schema["row"].dataType.simpleString()
-    found = texts.mapInArrow(_predict(spark.sparkContext.broadcast(model)), f"doc_id long, held_out boolean, lang_pred string, score double, row {kind}")
-    return found.select(*[F.col(f"row.{c}").alias(c) for c in passed], *[c for c in ("doc_id", "held_out", "lang_pred", "score") if c not in passed])
+    predict = _predict(docs.sparkSession.sparkContext.broadcast(model))
+    own = {"doc_id": F.col("doc_id").cast("long"), "held_out": held_out(F.col("doc_id")), "lang_pred": F.col("__found.lang_pred"), "score": F.col("__found.score")}
+    found = docs.withColumn("__found", predict(F.coalesce("text", F.lit(""))))
+    return found.select(*[F.col(c) for c in passed], *[v.alias(c) for c, v in own.items() if c not in passed])
