@@ -6,7 +6,9 @@ Documents join on prefix shingles only; the shingle's position gives the one pla
 text bound it, and the whole window is verified there: by a hash of all its words, then word by word.
 
 While the item side is small (its windows are counted first, ``BROADCAST_WINDOWS``), it is broadcast and documents are read in
-place, without an exchange. Beyond that the same join runs as a Spark join on the shingle hash.
+place, without an exchange. Beyond that the same join runs as a Spark join on the shingle hash; maps of fixed size, broadcast
+before it, keep shingles that no item has from the counts, and shingles that are no window's prefix from the exchange. Both
+ways return the same rows.
 """
 
 from __future__ import annotations
@@ -17,14 +19,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
+from .spark_tools import checkpointed
 from .words import Spans, Words, slices
 
 WINDOW = 10
 SHINGLE = 3
 #: About 200 bytes each on the driver and in each Python worker.
 BROADCAST_WINDOWS = 200_000
+#: Bits (as a power of two) of the map of shingles; 4 MB on the driver and in each Python worker, whatever the benchmark's size.
+MAP_BITS = 25
 
 
 def _window_rows(window: int, shingle: int):
@@ -123,76 +128,90 @@ def _result(part: pa.RecordBatch, words: Words, start: np.ndarray, size: np.ndar
             end = min(b, int(words.first[t + 1]))
             spans.setdefault(t, []).append({"start": a - int(words.first[t]), "end": end - int(words.first[t])})
             a = end
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    more = [c for c in ("passed",) if "passed" in part.schema.names]
+    more = [c for c in ("doc_id", "passed") if c in part.schema.names]
     return pa.RecordBatch.from_arrays(
-        [part.column("doc_id"), pa.array(words.counts.astype(np.int64)), pa.array(n_hit), pa.array(lists, pa.list_(pa.string())), pa.array([spans.get(t, []) for t in range(part.num_rows)], kind), *(part.column(c) for c in more)],
-        ["doc_id", "n_words", "n_hit", "items", "spans", *more],
+        [*(part.column(c) for c in more), pa.array(words.counts.astype(np.int64)), pa.array(n_hit), pa.array(lists, pa.list_(pa.string())), pa.array([spans.get(t, []) for t in range(part.num_rows)], _ARROW.field("spans").type)],
+        [*more, "n_words", "n_hit", "items", "spans"],
     )
 
 
-_SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
+_FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
+_ARROW = pa.struct(
+    [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+)
+
+
+def _occurrences(own: _Index, part: pa.RecordBatch) -> pa.RecordBatch:
+    words = Words(part.column("text"), symbols=True)
+    spans = Spans(words.hashes())
+    start, which = own.candidates(words, spans)
+    ok = _verified(words, spans, start, own.size[which], [b[which] for b in own.both], lambda i: own.words[which[i]])
+    start, which = start[ok], which[ok]
+    return _result(part, words, start, own.size[which], [own.items[w] for w in which.tolist()])
 
 
 def _scan(index):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A column function of the text; not deterministic for the optimiser, so that no plan runs it twice for a row."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = index.value
-        for batch in batches:
-            for part in slices(batch):
-                words = Words(part.column("text"), symbols=True)
-                spans = Spans(words.hashes())
-                start, which = own.candidates(words, spans)
-                ok = _verified(words, spans, start, own.size[which], [b[which] for b in own.both], lambda i, w=which: own.words[w[i]])
-                start, which = start[ok], which[ok]
-                yield _result(part, words, start, own.size[which], [own.items[w] for w in which.tolist()])
+        for texts in batches:
+            found = [_occurrences(own, part).to_struct_array() for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]))]
+            yield pa.concat_arrays(found) if found else pa.array([], _ARROW)
 
-    return run
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, _FOUND).asNondeterministic()
 
 
-def _count_rows(widths: list[int], wanted=None):
-    """Counts of shingle hashes in documents, a row for each hash and batch; only the wanted ones if these are given."""
+def _shingle_hashes(part: pa.RecordBatch, widths: list[int], some: np.ndarray) -> Iterator[tuple[Words, int, np.ndarray, np.ndarray]]:
+    """The places and hashes of the shingles of each width that the map ``some`` lets through."""
+    words = Words(part.column("text"), symbols=True)
+    spans = Spans(words.hashes())
+    for width in widths:
+        at = np.arange(len(words.starts) - width + 1)
+        hashes = spans.hash(at, at + width)
+        bit = hashes >> np.uint64(64 - MAP_BITS)
+        keep = ((some[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)) != 0
+        yield words, width, at[keep], hashes[keep]
+
+
+def _count_rows(widths: list[int], wanted):
+    """Counts of shingle hashes in documents, a row for each hash and batch, of the shingles in a map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = None if wanted is None else wanted.value
-        if only is not None:
-            some = np.zeros(1 << 16, bool)
-            some[only >> np.uint64(48)] = True
         for batch in batches:
-            found = [np.empty(0, np.uint64)]
-            for part in slices(batch):
-                words = Words(part.column("text"), symbols=True)
-                spans = Spans(words.hashes())
-                for width in widths:
-                    at = np.arange(len(words.starts) - width + 1)
-                    hashes = spans.hash(at, at + width)
-                    if only is not None:
-                        hashes = hashes[some[hashes >> np.uint64(48)]]
-                        hashes = hashes[only[np.minimum(np.searchsorted(only, hashes), len(only) - 1)] == hashes]
-                    found.append(hashes)
-            hashes, n = np.unique(np.concatenate(found), return_counts=True)
+            found = [hashes for part in slices(batch) for _, _, _, hashes in _shingle_hashes(part, widths, wanted.value)]
+            hashes, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["shingle", "n"])
 
     return run
 
 
-def _place_rows(widths: list[int]):
-    """Places of all shingles of documents: shingle, width, doc, at."""
+def _place_rows(widths: list[int], wanted):
+    """Places of the shingles in a map: shingle, width, doc, at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                words = Words(part.column("text"), symbols=True)
-                spans = Spans(words.hashes())
-                docs, text = part.column("doc").to_numpy(zero_copy_only=False), words.text_of()
-                for width in widths:
-                    at = np.arange(len(words.starts) - width + 1)
-                    own = text[at]
-                    columns = [pa.array(spans.hash(at, at + width).view(np.int64)), pa.array(np.full(len(at), width, np.int32)), pa.array(docs[own]), pa.array(at - words.first[own])]
+                docs = part.column("doc").to_numpy(zero_copy_only=False)
+                for words, width, at, hashes in _shingle_hashes(part, widths, wanted.value):
+                    own = words.text_of()[at]
+                    columns = [pa.array(hashes.view(np.int64)), pa.array(np.full(len(at), width, np.int32)), pa.array(docs[own]), pa.array(at - words.first[own])]
                     yield pa.RecordBatch.from_arrays(columns, ["shingle", "width", "doc", "at"])
 
     return run
 
 
+def _map(shingles: DataFrame):
+    """A broadcast map with a bit for each value of the long column shingle: 2**MAP_BITS bits at any number of rows."""
+    bit = F.shiftrightunsigned("shingle", 64 - MAP_BITS)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))
+    words = shingles.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    some = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    some[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return shingles.sparkSession.sparkContext.broadcast(some)
+
+
 def _verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
@@ -216,38 +235,56 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     a null item_id counts as "null". Every document row is returned, with a null or repeated doc_id too; extra columns are
     ignored, but the ``passed`` ones come as the struct passed.
     """
-    spark = docs.sparkSession
+    index = _small_index(docs, benchmark, window, shingle, broadcast_windows)
+    if index is not None:
+        found = docs.withColumn("__found", _scan(index)(F.coalesce("text", F.lit(""))))
+        more = [F.struct(*passed).alias("passed")] if passed else []
+        return found.select(F.col("doc_id").cast("long"), *(F.col(f"__found.{c}") for c in ("n_words", "n_hit", "items", "spans")), *more)
+    return _by_join(docs, benchmark, window, shingle, passed)
+
+
+def _counts(texts: DataFrame, widths: list[int], shingles: DataFrame) -> DataFrame:
+    """(shingle, n) over all documents, of the given shingles and of few others that share a bit with one."""
+    return texts.mapInArrow(_count_rows(widths, _map(shingles)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+
+
+def _small_index(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, most: int):
+    """A broadcast index of the benchmark's windows; None if there are more than ``most``."""
+    found = windows(benchmark, window, shingle)
+    rows = found.limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        return None
+    lists = rows["shingles"].to_pylist()
+    sizes = sorted({min(s, shingle) for s in rows["size"].to_pylist()})
+    own = docs.sparkSession.createDataFrame(sorted({(x,) for one in lists for x in one}), "shingle long")
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    # of the shingles of at most ``most`` windows
+    counted = _counts(texts, sizes, own).join(F.broadcast(own), "shingle").toArrow()
+    count = dict(zip(counted["shingle"].to_pylist(), counted["n"].to_pylist(), strict=True))
+    rarest = [min(range(len(one)), key=lambda i, o=one: (count.get(o[i], 0), o[i], i)) for one in lists]
+    prefix = np.array([one[i] for one, i in zip(lists, rarest, strict=True)], np.int64).view(np.uint64)
+    both = [rows[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("hash", "other")]
+    index = _Index(rows["size"].to_numpy().astype(np.int64), rows["words"].to_pylist(), both, prefix, np.array(rarest, np.int64), rows["items"].to_pylist(), shingle)
+    return docs.sparkSession.sparkContext.broadcast(index)
+
+
+def _by_join(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, passed: Sequence[str]) -> DataFrame:
     more = [F.struct(*passed).alias("passed")] if passed else []
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *more)
-    schema = StructType([*StructType.fromDDL(_SCHEMA), *([f for f in texts.schema if f.name == "passed"] if passed else [])])
-    found = windows(benchmark, window, shingle)
+    schema = StructType([StructField("doc_id", LongType()), *(f for f in texts.schema if passed and f.name == "passed"), *StructType.fromDDL(_FOUND)])
     widths = list(range(1, min(window, shingle) + 1))
-    rows = found.limit(broadcast_windows + 1).toArrow()
-    if rows.num_rows <= broadcast_windows:
-        lists = rows["shingles"].to_pylist()
-        flat = np.unique(np.array([x for own in lists for x in own], np.int64).view(np.uint64))
-        if not len(flat):
-            flat = np.zeros(1, np.uint64)
-        sizes = sorted({min(s, shingle) for s in rows["size"].to_pylist()})
-        counted = texts.mapInArrow(_count_rows(sizes, spark.sparkContext.broadcast(flat)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toArrow()
-        count = dict(zip(counted["shingle"].to_pylist(), counted["n"].to_pylist(), strict=True))
-        rarest = [min(range(len(own)), key=lambda i, o=own: (count.get(o[i], 0), o[i], i)) for own in lists]
-        prefix = np.array([own[i] for own, i in zip(lists, rarest, strict=True)], np.int64).view(np.uint64)
-        both = [rows[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("hash", "other")]
-        index = _Index(rows["size"].to_numpy().astype(np.int64), rows["words"].to_pylist(), both, prefix, np.array(rarest, np.int64), rows["items"].to_pylist(), shingle)
-        return texts.mapInArrow(_scan(spark.sparkContext.broadcast(index)), schema)
-    counts = texts.mapInArrow(_count_rows(widths), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    each = found.select("size", "words", "hash", "other", "items", F.posexplode("shingles").alias("offset", "shingle"))
+    each = checkpointed(windows(benchmark, window, shingle).select("size", "words", "hash", "other", "items", F.posexplode("shingles").alias("offset", "shingle")))
+    counts = _counts(texts, widths, each.select("shingle"))
     ranked = each.join(counts, "shingle", "left").groupBy("size", "words").agg(
         F.min_by(F.struct("shingle", "offset", "hash", "other", "items"), F.struct(F.coalesce("n", F.lit(0)), "shingle", "offset")).alias("x")
     )
-    table = ranked.select("size", "words", "x.*", F.least("size", F.lit(shingle)).alias("width"))
+    table = checkpointed(ranked.select("size", "words", "x.*", F.least("size", F.lit(shingle)).alias("width")))
     # rows join by what they hold, so any doc_id will do; rows that are equal, or whose hashes are, share candidates, each verified in each
     keyed = texts.withColumn("doc", F.xxhash64("doc_id", "text"))
-    places = keyed.select("doc", "text").mapInArrow(_place_rows(widths), "shingle long, width int, doc long, at long")
+    places = keyed.select("doc", "text").mapInArrow(_place_rows(widths, _map(table.select("shingle"))), "shingle long, width int, doc long, at long")
     candidates = places.join(table, ["shingle", "width"]).withColumn("start", F.col("at") - F.col("offset")).filter("start >= 0")
     by_doc = candidates.groupBy("doc").agg(F.collect_set(F.struct("start", "size", "words", "hash", "other", "items")).alias("found"))
-    return keyed.join(by_doc, "doc", "left").select(*texts.columns, "found").mapInArrow(_verify_rows, schema)
+    return keyed.join(by_doc, "doc", "left").select(*texts.columns, "found").mapInArrow(_verify_rows, schema).select("doc_id", "n_words", "n_hit", "items", "spans", *["passed"] * bool(passed))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -259,10 +296,14 @@ def digest(found: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """The documents without a hit; the columns are those of docs.
 
-    Rows go by doc_id and two hashes of the text, so that a null or repeated doc_id does no harm: equal texts have equal hits.
+    With a broadcast index rows are decided where they are read. Else they go by doc_id and two hashes of the text, so that a
+    null or repeated doc_id does no harm: equal texts have equal hits.
     """
+    index = _small_index(docs, benchmark, WINDOW, SHINGLE, broadcast_windows)
+    if index is not None:
+        return docs.withColumn("__found", _scan(index)(F.coalesce("text", F.lit("")))).filter("__found.n_hit = 0").select(*docs.columns)
     named = docs.withColumns({"__text_a": F.xxhash64("text"), "__text_b": F.xxhash64(F.lit(1), "text")})
-    found = decontaminate(named, benchmark, broadcast_windows=broadcast_windows, passed=["__text_a", "__text_b"])
+    found = _by_join(named, benchmark, WINDOW, SHINGLE, ["__text_a", "__text_b"])
     hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("__doc"), F.col("passed.__text_a").alias("__a"), F.col("passed.__text_b").alias("__b"))
     same = named["doc_id"].cast("long").eqNullSafe(hit["__doc"]) & (named["__text_a"] == hit["__a"]) & (named["__text_b"] == hit["__b"])
     return named.join(hit, same, "left_anti").select(*docs.columns)
