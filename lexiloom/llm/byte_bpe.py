@@ -23,20 +23,23 @@ from pyspark.sql import functions as F
 
 from .words import slices, string_bytes
 
-#: Pieces and pairs that a Python worker keeps at most; the memory is emptied when full.
-MEMO = 300_000
+#: Pieces and pairs that a Python worker keeps at most, and the longest piece (characters) that it keeps; the memory is emptied
+#: when full. Together they take about 60 MB at most.
+MEMO, LONGEST_KEPT = 150_000, 64
 _LONG = 1 << 20
 
 
 class _Memo(dict):
-    def __init__(self, make):
+    def __init__(self, make, most: int | None = None):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
         if len(self) >= MEMO:
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if self.most is None or len(key) <= self.most:
+            self[key] = value
         return value
 
 
@@ -58,7 +61,7 @@ class ByteBpe:
             if rank in self.parts:
                 self.automaton.add_word(name, len(name))
         self.automaton.make_automaton()
-        self.packed = _Memo(self._packed)
+        self.packed = _Memo(self._packed, LONGEST_KEPT)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBpe:
