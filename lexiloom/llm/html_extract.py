@@ -1,9 +1,13 @@
 """The main text of web pages.
 
 Method: two passes of block rules. A page is cut into blocks at block tags. The first pass classes each block by itself: by
-its link density, its length and the share of stop words; blocks of navigation, adverts and the like, by tag, role or class,
-are out, and blocks of the page's article element need no stop words. Short blocks and those with few stop words are left
-undecided. In the second pass these inherit the label of the nearest decided blocks before and after them.
+its link density, its length and the share of stop words. Short blocks and those with few stop words are left undecided. In
+the second pass these inherit the label of the nearest decided blocks before and after them.
+
+What the markup says is a prior. Blocks of navigation, adverts, forms, comments and the like, by tag, role or class, are out.
+Inside a page's article element a block without stop words is undecided rather than bad, only decided blocks of an article
+count as neighbours, and a missing neighbour counts as good. Outside of it, where a page has one, a block must be long and full
+of stop words, or stand between two good ones.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ _BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_RAW = frozenset("script style textarea template noscript iframe title".split())
+_SCOPES = frozenset("p li td div article body section".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|notification|alert|comments?|respond|replies|"
@@ -50,11 +56,10 @@ MOST_LINKS = 0.4
 
 
 class _Block:
-    __slots__ = ("article", "heading", "label", "linked", "outside", "text")
+    __slots__ = ("article", "heading", "linked", "outside", "text")
 
     def __init__(self, text: str, linked: int, outside: bool, article: bool, heading: bool):
         self.text, self.linked, self.outside, self.article, self.heading = text, linked, outside, article, heading
-        self.label = ""
 
 
 def _kind(name: str, attributes: str) -> str:
@@ -77,10 +82,46 @@ def _kind(name: str, attributes: str) -> str:
     return ""
 
 
+class _Tags:
+    """The open elements. Each is looked up by name and closed once, so the time is linear in the number of tags."""
+
+    def __init__(self):
+        self.open: list[tuple[str, str]] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.kinds = {"drop": 0, "out": 0, "in": 0, "": 0}
+
+    def enter(self, name: str, kind: str) -> None:
+        self.places.setdefault(name, []).append(len(self.open))
+        if name in _SCOPES:
+            self.scopes.append(len(self.open))
+        self.open.append((name, kind))
+        self.kinds[kind] += 1
+
+    def leave(self, name: str) -> None:
+        """Closes the last open element of the name, with what is open in it; none open: nothing."""
+        if not self.places.get(name):
+            return
+        while True:
+            own, kind = self.open.pop()
+            self.kinds[kind] -= 1
+            self.places[own].pop()
+            if own in _SCOPES:
+                self.scopes.pop()
+            if own == name:
+                return
+
+    def ends(self, name: str) -> str | None:
+        """The open element that a block tag ends: a paragraph, or the list item before this one."""
+        if not self.scopes:
+            return None
+        last = self.open[self.scopes[-1]][0]
+        return last if last == "p" or last == name == "li" else None
+
+
 def _blocks(html: str) -> list[_Block]:
     blocks: list[_Block] = []
-    open_: list[tuple[str, str]] = []
-    outside = article = links = dropped = 0
+    tags = _Tags()
     heading = False
     parts: list[str] = []
     linked = 0
@@ -90,35 +131,19 @@ def _blocks(html: str) -> list[_Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                blocks.append(_Block(text, min(linked, len(text)), outside > 0, article > 0, heading))
+                blocks.append(_Block(text, min(linked, len(text)), tags.kinds["out"] > 0, tags.kinds["in"] > 0, heading))
             parts.clear()
         linked = 0
 
-    def enter(kind: str, by: int) -> None:
-        nonlocal outside, article, dropped
-        outside += by * (kind == "out")
-        article += by * (kind == "in")
-        dropped += by * (kind == "drop")
-
-    def close(name: str, above: int) -> None:
-        nonlocal links
-        while len(open_) > above:
-            own, kind = open_.pop()
-            enter(kind, -1)
-            links -= own == "a"
-            if own == name:
-                break
-
-    at = 0
-    end = len(html)
+    at, end = 0, len(html)
     while at < end:
         tag = _TOKEN.search(html, at)
         upto = tag.start() if tag else end
+        dropped = tags.kinds["drop"] > 0
         if upto > at and not dropped:
-            text = html[at:upto]
-            parts.append(text)
-            if links:
-                linked += len(text.strip())
+            parts.append(html[at:upto])
+            if tags.places.get("a"):
+                linked += len(parts[-1].strip())
         if not tag:
             break
         at = tag.end()
@@ -127,90 +152,81 @@ def _blocks(html: str) -> list[_Block]:
             continue
         name = name.lower()
         block = name in _BLOCKS
-        if block and not dropped:
-            end_block()
-        if name == "br" and not dropped:
-            parts.append(" ")
+        if not dropped:
+            if block:
+                end_block()
+            elif name == "br":
+                parts.append(" ")
         if slash:
             heading = heading and not (name[0] == "h" and name[1:].isdigit())
-            place = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
-            if place is not None:
-                close(name, place)
+            tags.leave(name)
             continue
         if name in _VOID or attributes.endswith("/") and not block and name != "a":
             continue
-        if name in ("script", "style", "textarea", "template", "noscript", "iframe", "title"):
-            # their contents aren't markup
-            close_at = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(html, at)
-            at = close_at.end() if close_at else end
+        if name in _RAW:  # their contents aren't markup
+            close = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(html, at)
+            at = close.end() if close else end
             continue
         if block:
-            # a block tag ends an open paragraph, with what is open in it
-            place = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] in ("p", "li", "td", "div", "article", "body", "section")), None)
-            if place is not None and (open_[place][0] == "p" or open_[place][0] == name == "li"):
-                close(open_[place][0], place)
+            if (ended := tags.ends(name)) is not None:
+                tags.leave(ended)
             heading = name[0] == "h" and name[1:].isdigit() or heading and name not in ("p", "div", "section", "li")
         if name == "body":  # an open head ends here
-            close("head", next((i for i, x in enumerate(open_) if x[0] == "head"), len(open_)))
-        if name == "a":
-            links += 1
-        kind = _kind(name, attributes)
-        open_.append((name, kind))
-        enter(kind, 1)
+            tags.leave("head")
+        tags.enter(name, _kind(name, attributes))
     end_block()
     return blocks
 
 
-def _first_pass(block: _Block, in_article: bool) -> str:
-    """good, bad, near (few words speak for it) or short."""
+def _first_pass(block: _Block, has_article: bool) -> str:
+    """good, bad, near (few words speak for it) or short, from the block alone."""
     text = block.text
-    if block.outside or in_article and not block.article:
-        return "bad"
     density = block.linked / len(text)
-    if density > MOST_LINKS or text.startswith(("©", "(c) ")):
+    if block.outside or density > MOST_LINKS or text.startswith(("©", "(c) ")):
         return "bad"
-    if in_article:
-        return "good"
     if len(text) < SHORT:
-        return "bad" if density > 0 else "short"
+        return "bad" if density > 0 and not block.article else "short"
     words = _WORD.findall(text.lower())
     stops = sum(w in _STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= MANY_STOPS:
-        return "good" if len(text) > LONG else "near"
-    return "near" if stops >= FEW_STOPS else "bad"
+    if stops >= MANY_STOPS and len(text) > LONG:
+        return "good"
+    if block.article:
+        return "near"
+    return "bad" if stops < FEW_STOPS else "short" if has_article else "near"
 
 
-def main_text(html: str | None) -> str:
-    """The main text of one page: blocks in page order, joined by two line feeds."""
-    blocks = _blocks(html or "")
-    in_article = any(b.article and not b.outside for b in blocks)
-    for block in blocks:
-        block.label = _first_pass(block, in_article)
-    labels = [b.label for b in blocks]
+def _second_pass(blocks: list[_Block], labels: list[str]) -> list[bool]:
+    """Whether each block is kept: undecided ones go by the nearest decided ones before and after them."""
     n = len(labels)
-    before, after, last = [""] * n, [""] * n, "bad"
-    for i in range(n):
-        before[i] = last
-        last = labels[i] if labels[i] in ("good", "bad") else last
-    last = "bad"
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        last = labels[i] if labels[i] in ("good", "bad") else last
+    near = []
+    for order in (range(n), range(n - 1, -1, -1)):
+        side, last = [""] * n, {True: "good", False: "bad"}  # what stands for a missing neighbour inside and outside an article
+        for i in order:
+            side[i] = last[blocks[i].article]
+            if labels[i] in ("good", "bad") and not (blocks[i].article and blocks[i].outside):
+                last[blocks[i].article] = labels[i]
+        near.append(side)
     kept = []
-    for i, block in enumerate(blocks):
-        label = labels[i]
-        if label == "near":
-            label = "good" if "good" in (before[i], after[i]) or before[i] == after[i] == "bad" and not _surrounded(labels, i) else "bad"
+    for i, (block, label, before, after) in enumerate(zip(blocks, labels, *near, strict=True)):
+        if block.article:
+            good = label == "good" or label != "bad" and "good" in (before, after)
+        elif label == "near":
+            # with some stop words among bad ones, it needs another of its kind beside it
+            good = "good" in (before, after) or "near" in (labels[i - 1 : i] + labels[i + 1 : i + 2])
         elif label == "short":
-            label = "good" if before[i] == after[i] == "good" or block.heading and after[i] == "good" else "bad"
-        if label == "good":
-            kept.append(block.text)
-    return "\n\n".join(kept)
+            good = before == after == "good" or block.heading and after == "good"
+        else:
+            good = label == "good"
+        kept.append(good)
+    return kept
 
 
-def _surrounded(labels: list[str], i: int) -> bool:
-    """Whether a block with some stop words stands among decided bad ones, and isn't next to another of its kind."""
-    return not any(labels[j] == "near" for j in (i - 1, i + 1) if 0 <= j < len(labels))
+def main_text(html: str | None) -> str:
+    """The main text of one page: blocks in page order, joined by two line feeds."""
+    blocks = _blocks(html or "")
+    has_article = any(b.article and not b.outside for b in blocks)
+    labels = [_first_pass(b, has_article) for b in blocks]
+    return "\n\n".join(b.text for b, good in zip(blocks, _second_pass(blocks, labels), strict=True) if good)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

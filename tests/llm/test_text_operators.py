@@ -42,6 +42,104 @@ def test_html_text_rules():
     assert html_extract.main_text(page) == "\n\n".join(["Title here", good.strip(), "Short one.", good.strip()])
 
 
+def test_html_rules_decide_inside_an_article():
+    good = "This is the text of the page and it is long enough for the rules to keep it as the main text of all. " * 3
+    links = '<ul><li><a href="a">Read another page of ours</a></li><li><a href="b">And one more of them</a></li></ul>'
+    main = f"<article><h1>Title</h1><p>{good}</p><p>Short.</p><p>xq zv kj.</p><p>{good}</p>{links}<p>Between two lists.</p>{links}</article>"
+    assert html_extract.main_text(PAGE.replace("{main}", main)) == "\n\n".join(["Title", good.strip(), "Short.", "xq zv kj.", good.strip()])
+
+
+def test_html_text_outside_of_teaser_articles_is_kept():
+    good = "This is the text of the page and it is long enough for the rules to keep it as the main text of all. " * 3
+    teasers = '<article><p><a href="a">Another page of ours</a></p></article><article><p><a href="b">One more of them</a></p></article>'
+    page = PAGE.replace("{main}", f"<div><p>{good}</p><p>A short one.</p><p>{good}</p></div>{teasers}<div>Some few words.</div>")
+    assert html_extract.main_text(page) == "\n\n".join([good.strip(), "A short one.", good.strip()])
+
+
+def brute_kept(blocks, labels):
+    """The second pass by its definition: for each block a walk to its nearest decided neighbours."""
+
+    def nearest(i, step):
+        k = i + step
+        while 0 <= k < len(blocks):
+            if blocks[k].article == blocks[i].article and labels[k] in ("good", "bad") and not (blocks[k].article and blocks[k].outside):
+                return labels[k]
+            k += step
+        return "good" if blocks[i].article else "bad"
+
+    out = []
+    for i, block in enumerate(blocks):
+        sides = [nearest(i, -1), nearest(i, 1)]
+        if labels[i] in ("good", "bad"):
+            out.append(labels[i] == "good")
+        elif block.article:
+            out.append(sides != ["bad", "bad"])
+        elif labels[i] == "near":
+            out.append("good" in sides or any(labels[k] == "near" for k in (i - 1, i + 1) if 0 <= k < len(labels)))
+        else:
+            out.append(sides == ["good", "good"] or bool(block.heading) and sides[1] == "good")
+    return out
+
+
+def test_html_passes_over_driver_pages():
+    import pyarrow.dataset as ds
+
+    pages = ds.dataset("/root/testdata/sf0.01/pages.parquet").to_table(columns=["html"])["html"].to_pylist()
+    seen = Counter()
+    for html in pages:
+        for page in (html or "", (html or "").replace("<article", "<div").replace("</article", "</div")):
+            blocks = html_extract._blocks(page)
+            has_article = any(b.article and not b.outside for b in blocks)
+            labels = [html_extract._first_pass(b, has_article) for b in blocks]
+            seen.update(labels)
+            kept = brute_kept(blocks, labels)
+            assert html_extract._second_pass(blocks, labels) == kept
+            assert html_extract.main_text(page) == "\n\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
+    assert min(seen[x] for x in ("good", "bad", "near", "short")) > 100
+
+
+def test_html_article_of_driver_pages():
+    """The whole text of the article element, as a plain parser of the standard library reads it."""
+    import pyarrow.dataset as ds
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.parts = False, []
+
+        def handle_starttag(self, tag, attributes):
+            self.inside = self.inside or tag == "article"
+            if self.inside:
+                self.parts.append(" ")
+
+        def handle_endtag(self, tag):
+            self.inside = self.inside and tag != "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.parts.append(data)
+
+    plain = 0
+    for html in ds.dataset("/root/testdata/sf0.01/pages.parquet").to_table(columns=["html"])["html"].to_pylist():
+        if not html or "class=" in html[html.find("<article") : html.find("</article")]:
+            continue
+        parser = Article()
+        parser.feed(html)
+        assert html_extract.main_text(html).split() == "".join(parser.parts).split()
+        plain += 1
+    assert plain > 100
+
+
+def test_html_time_is_linear_in_tags():
+    import time
+
+    for page in ("<b>x</i>", "<b>", "<p>a", "<li>a", "<a href=x>", "<div class='x>"):
+        began = time.perf_counter()
+        html_extract.main_text(page * (400_000 // len(page)))
+        assert time.perf_counter() - began < 20
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 1), (3, "u", "<article>x", 1), (3, "u", "<article>x", 1), (4, "u", "<" * 5000 + "<p", 1)], "page_id long, url string, html string, text int")
     got = sorted((r.page_id, r.url, r.text, r.n_chars) for r in html_extract.html_extract(pages).select("page_id", "url", "text", "n_chars").na.fill("-").collect())
