@@ -7,12 +7,17 @@ context, the words that decided it. A window is anchored at a symbol whose conte
 only; equal windows so have equal anchors at equal offsets.
 
 Spark counts the anchors of the whole corpus. Only windows at anchors that occur twice are candidates; these are hashed whole
-(96 bits) and counted in the same way, which verifies each of them. Copies of one text are verified as one. Before each
-exchange a task joins its own rows of one key to one row, so a key with a third of all rows arrives as one row for each batch.
+(96 bits) and counted in the same way, which verifies each of them. Copies of one text are verified as one. So no exchange
+names the symbols, and hashes of whole windows, not shared symbols, are what verifies a repeat.
+
+Rows are told apart by doc_id and a hash of the text. A key that occurs twice in a batch is known to repeat: its places don't go
+to the key's task but are dealt out, and the key's task gets an empty mark from that batch. So a key with a third of all places
+brings its task one small row for each batch.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spark_tools import checkpointed, join_spread
 from .words import Spans, Words, mix, slices
 
 WINDOW = 35
 #: Rounds, the longest symbol (words) and the widest context of an anchor (share of the window).
 ROUNDS = ("runs", *["pairs"] * 5)
 _SHIFT = 26
+#: Longer texts (bytes) are parsed in pieces that overlap by a window.
+PIECE = 1 << 22
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 class _Level:
@@ -160,63 +169,112 @@ def anchors(words: Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray,
     return key[first], at[first], np.diff(np.append(first, len(at)))
 
 
-def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
-
+def _pieces(batch: pa.RecordBatch, window: int, most: int) -> Iterator[tuple[Words, np.ndarray, int]]:
+    """Words of slices of the batch, the batch's row for each text of the slice, and the place of its first word in its text.
 
-def _combined(keys: list[np.ndarray], docs: np.ndarray, places: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    """A row for each key, with its number of places and their lists."""
+    Texts of over ``most`` bytes come in pieces: every window lies in one, and in one only.
+    """
+    row = 0
+    for part in slices(batch):
+        texts = part.column("text")
+        if part.num_rows > 1 or texts.nbytes <= most:
+            yield Words(texts), np.arange(row, row + part.num_rows), 0
+        else:
+            raw, at, base = texts[0].as_buffer().to_pybytes(), 0, 0
+            while at < len(raw):
+                space = _SPACE.search(raw, at + most)
+                end = space.start() if space else len(raw)
+                words = Words(pa.array([raw[at:end].decode()]))
+                yield words, np.array([row]), base
+                if end == len(raw):
+                    break
+                # the next piece begins with the words that windows of this one don't start at
+                on = max(0, len(words.starts) - window + 1)
+                at, base = (at + int(words.starts[on]), base + on) if on else (at, base)
+                if not on:  # few, very long words: a larger piece
+                    most *= 2
+        row += part.num_rows
+
+
+def _combined(keys: list[np.ndarray], entries: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """A row for each key with its entries (rows of ``entries``) one after another, dealt by key and salt.
+
+    A key with one entry has salt 0, where entries of other batches meet it. One with more is known to repeat: its entries take
+    a salt of their own, and a row without entries stands for them at salt 0.
+    """
     order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
+    keys, entries = [k[order] for k in keys], entries[order]
     new = np.ones(len(order), bool)
     new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     first = np.flatnonzero(new)
-    offsets = np.append(first, len(order))
-    columns = [pa.array(k[first].view(np.int64 if k.dtype.itemsize == 8 else np.int32)) for k in keys]
-    columns += [pa.array(np.diff(offsets)), _lists(docs[order], offsets), _lists(places[order], offsets)]
-    return pa.RecordBatch.from_arrays(columns, names)
+    size = np.diff(np.append(first, len(order)))
+    again = np.flatnonzero(size > 1)
+    own = (mix(entries[first[again]].view(np.uint64).sum(axis=1)) >> np.uint64(34)).astype(np.int32) + 1
+    salt = np.zeros(len(first) + len(again), np.int32)
+    salt[again] = own
+    which = np.concatenate([first, first[again]])
+    width = entries.shape[1]
+    offsets = np.concatenate([np.append(first, len(order)) * width, np.full(len(again), len(order) * width)])
+    columns = [pa.array(k[which].view(np.int64 if k.dtype.itemsize == 8 else np.int32)) for k in keys]
+    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(entries.reshape(-1)))
+    return pa.RecordBatch.from_arrays([*columns, pa.array(salt), lists], [*names, "salt", "entries"])
+
 
+def _identity(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return batch.column("doc").to_numpy(zero_copy_only=False), batch.column("mark").to_numpy(zero_copy_only=False).astype(np.int64)
 
-def _anchor_rows(window: int):
+
+def _anchor_rows(window: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for part in slices(batch):
-                words = Words(part.column("text"))
+            doc, mark = _identity(batch)
+            keys, entries = [np.empty(0, np.uint64)], [np.empty((0, 3), np.int64)]
+            for words, row, base in _pieces(batch, window, most):
                 key, first, count = anchors(words, window)
-                text = words.text_of()[first] if len(first) else first
-                docs = part.column("doc_id").to_numpy(zero_copy_only=False)[text] if len(first) else first
-                parts.append((key, docs.astype(np.int64), ((first - words.first[text]) << _SHIFT) | count))
-            key, docs, places = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64),) * 3
+                if len(key):
+                    text = words.text_of()[first]
+                    own = row[text]
+                    keys.append(key)
+                    entries.append(np.stack([doc[own], mark[own], ((base + first - words.first[text]) << _SHIFT) | count], axis=1))
+            key = np.concatenate(keys)
             if len(key):
-                yield _combined([key], docs, places, ["key", "n", "docs", "places"])
+                yield _combined([key], np.concatenate(entries), ["key"])
 
     return run
 
 
-def _window_rows(window: int):
+def _window_rows(window: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for part in slices(batch):
-                lists = part.column("places")
-                runs = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.int64)
-                if not len(runs):
-                    continue
-                words = Words(part.column("text"))
+            batch = batch.filter(batch.column("places").is_valid())
+            if not batch.num_rows:
+                continue
+            doc, mark = _identity(batch)
+            lists = batch.column("places")
+            runs = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.int64)
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            runs, owner = (x[0] for x in np.split(np.unique(np.stack([runs, owner]), axis=1), 2))  # equal rows list their places twice
+            count = runs & ((1 << _SHIFT) - 1)
+            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            owner, place = np.repeat(owner, count), np.repeat(runs >> _SHIFT, count) + inner
+            keys, others, entries = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)], [np.empty((0, 2), np.int64)]
+            order = np.lexsort((place, owner))
+            owner, place = owner[order], place[order]
+            for words, row, base in _pieces(batch, window, most):
+                mine = slice(*np.searchsorted(owner, [row[0], row[-1] + 1]))
+                own, at = owner[mine] - row[0], place[mine] - base
+                # windows of this piece; none reaches beyond its text
+                inside = (at >= 0) & (at + window <= words.counts[own])
+                own, at = own[inside], at[inside]
                 spans = Spans(words.hashes())
-                text = np.repeat(np.arange(part.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                count = runs & ((1 << _SHIFT) - 1)
-                inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                text = np.repeat(text, count)
-                place = np.repeat(runs >> _SHIFT, count) + inner
-                start = words.first[text] + place
-                docs = part.column("doc_id").to_numpy(zero_copy_only=False)[text].astype(np.int64)
-                other = (spans.hash(start, start + window, 1) >> np.uint64(32)).astype(np.uint32)
-                parts.append((spans.hash(start, start + window), other, docs, place))
-            key, other, docs, places = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64),) * 4
+                start = words.first[own] + at
+                keys.append(spans.hash(start, start + window))
+                others.append((spans.hash(start, start + window, 1) >> np.uint64(32)).astype(np.uint32))
+                rows = row[own]
+                entries.append(np.stack([doc[rows], (mark[rows] << 32) | (at + base)], axis=1))
+            key = np.concatenate(keys)
             if len(key):
-                yield _combined([key, other], docs, places.astype(np.int32), ["key", "other", "n", "docs", "places"])
+                yield _combined([key, np.concatenate(others)], np.concatenate(entries), ["key", "other"])
 
     return run
 
@@ -225,70 +283,79 @@ def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, whole, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "whole")), batch.column("places"), strict=True):
-                words = (text or "").encode().split()
+            for doc, text, whole, places in zip(*(batch.column(c) for c in ("doc_id", "text", "whole", "places")), strict=True):
+                words = text.as_py().encode().split()
                 hit = np.zeros(len(words) + 1, np.int64)
-                if whole and len(words) >= window:
+                if whole.as_py() and len(words) >= window:
                     hit[0] += 1
                 elif places.is_valid:
                     place = np.asarray(places.values.to_numpy(zero_copy_only=False))
+                    place = place[place + window <= len(words)]
                     np.add.at(hit, place, 1)
                     np.add.at(hit, place + window, -1)
                 gone = np.cumsum(hit[:-1]) > 0
                 kept = [w for w, x in zip(words, gone.tolist(), strict=True) if not x] if gone.any() else words
-                out.append((doc, len(words), len(words) - len(kept), b" ".join(kept)))
+                out.append((doc.as_py(), len(words), len(words) - len(kept), b" ".join(kept)))
             doc, n, removed, kept = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(doc_id, place) of all rows whose key has two places or more. A key has a row for each batch at most."""
-    return (
-        rows.withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
-        .filter("total > 1")
-        .select(F.explode(F.arrays_zip("docs", "places")).alias("x"))
-        .select(F.col("x.docs").alias("doc_id"), F.col("x.places").alias("place"))
-    )
+def _repeated(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """The entries (columns of the array x) whose key has two or more; a row without entries stands for two at least."""
+    n = F.when(F.size("entries") > 0, F.size("entries") / width).otherwise(2)
+    found = rows.withColumn("total", F.sum(n).over(Window.partitionBy(*keys, "salt"))).filter((F.col("total") > 1) & (F.size("entries") > 0))
+    starts = F.sequence(F.lit(1), F.size("entries"), F.lit(width))
+    return found.select(F.explode(F.transform(starts, lambda i: F.slice("entries", i, F.lit(width)))).alias("x"))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and doc and mark, which tell rows apart: the id and a hash of the text; two hashes of it where the id is null."""
+    text, none = F.coalesce("text", F.lit("")), F.col("doc_id").isNull()
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("doc"), F.hash(text, none).alias("mark"), text.alias("text"))
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, places): starts of windows that occur again; and (doc_id) of texts that occur again as a whole.
+def repeated_windows(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
+    """(doc, mark, places): starts of windows that occur again; and (doc, mark, spare) of texts that occur again as a whole.
 
-    Windows of the latter aren't among the former, but for one text of each group.
+    Windows of the latter aren't among the former, but for those of one text of each group, which isn't spare.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    named = texts.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), F.length("text").alias("c"))
-    groups = named.groupBy("a", "b", "c").agg(F.min("doc_id").alias("one"), F.count("*").alias("n")).filter("n > 1")
-    whole = named.join(groups, ["a", "b", "c"]).select("doc_id", (F.col("doc_id") != F.col("one")).alias("spare"))
-    found = _repeated(texts.mapInArrow(_anchor_rows(window), "key long, n long, docs array<long>, places array<long>"), ["key"])
-    listed = found.groupBy("doc_id").agg(F.collect_list("place").alias("places")).join(whole.filter("spare").select("doc_id"), "doc_id", "left_anti")
-    # a left join, as the last one is: an inner join would filter null doc_ids first, and the exchange of the texts be made twice
-    rows = by_doc(texts).join(listed, "doc_id", "left").mapInArrow(_window_rows(window), "key long, other int, n long, docs array<long>, places array<int>")
-    again = _repeated(rows, ["key", "other"])
-    return again.groupBy("doc_id").agg(F.collect_list("place").alias("places")), whole.select("doc_id", F.lit(True).alias("whole"))
+    texts = _texts(docs)
+    named = checkpointed(texts.select("doc", "mark", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), F.length("text").alias("c")))
+    groups = checkpointed(named.groupBy("a", "b", "c").agg(F.min(F.struct("doc", "mark")).alias("one"), F.count("*").alias("n")).filter("n > 1"))
+    copies = join_spread(named, groups, ["a", "b", "c"]).select("doc", "mark", (F.struct("doc", "mark") != F.col("one")).alias("spare"))
+    whole = copies.groupBy("doc", "mark").agg(F.max("spare").alias("spare"))
+    found = _repeated(texts.mapInArrow(_anchor_rows(window, piece), "key long, salt int, entries array<long>"), ["key"], 3)
+    found = found.select(F.col("x")[0].alias("doc"), F.col("x")[1].cast("int").alias("mark"), F.col("x")[2].alias("place"))
+    listed = found.groupBy("doc", "mark").agg(F.collect_list("place").alias("places")).join(whole.filter("spare").select("doc", "mark"), ["doc", "mark"], "left_anti")
+    # a left join, as the last one is, over all columns: so the exchange of the texts is made once for both
+    rows = by_doc(texts).join(listed, ["doc", "mark"], "left").mapInArrow(_window_rows(window, piece), "key long, other int, salt int, entries array<long>")
+    again = _repeated(rows, ["key", "other"], 2)
+    again = again.select(F.col("x")[0].alias("doc"), F.shiftright(F.col("x")[1], 32).cast("int").alias("mark"), F.col("x")[1].bitwiseAND((1 << 32) - 1).cast("int").alias("place"))
+    return again.groupBy("doc", "mark").agg(F.collect_list("place").alias("places")), whole
 
 
 def by_doc(texts: DataFrame) -> DataFrame:
-    """The texts dealt by doc_id; the same exchange serves both joins with them."""
-    return texts.repartition("doc_id")
+    """The texts dealt by row; the same exchange serves both joins with them."""
+    return texts.repartition("doc", "mark")
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
     """Texts without the words of passages that occur again: doc_id, n_words, n_removed, kept (words joined by one space).
 
     Words are ``[^\\x20\\x09-\\x0D]+``. A word goes if a window of ``window`` consecutive words that covers it has its word
     sequence start anywhere else in the input, in the same text or another; windows are judged on the input.
 
     Null and empty texts have no words and keep nothing (kept is ""). Texts of fewer words than a window lose nothing. Equal
-    texts all lose all their windows: no copy stays. Rows are returned one for one; doc_id must be unique and not null.
-    Extra columns are ignored. A text takes about 100 times its bytes in a task while it's parsed.
+    texts all lose all their windows: no copy stays, and that holds for equal rows too. Rows are returned one for one, with a
+    null or repeated doc_id too. An empty table gives no rows; extra columns are ignored. A text of over ``piece`` bytes is
+    parsed in pieces, which take about 100 times their bytes in a task.
     """
-    places, whole = repeated_windows(docs, window)
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    marks = places.join(whole, "doc_id", "full").select("doc_id", F.coalesce("whole", F.lit(False)).alias("whole"), "places")
-    return by_doc(texts).join(marks, "doc_id", "left").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string")
+    places, whole = repeated_windows(docs, window, piece)
+    marks = places.join(whole.withColumn("whole", F.lit(True)).drop("spare"), ["doc", "mark"], "full")
+    rows = by_doc(_texts(docs)).join(marks, ["doc", "mark"], "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    return rows.mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digest(kept: DataFrame) -> DataFrame:

@@ -213,6 +213,28 @@ def test_substring_dedup(docs, sample):
     assert substring_dedup.substring_dedup(docs([None, "", None])).filter("n_words = 0 and n_removed = 0 and kept = ''").count() == 3
 
 
+def test_substring_dedup_null_and_repeated_rows(docs, sample):
+    rnd = random.Random(7)
+    draw = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    one, two, three, four = (draw(60) for _ in range(4))
+    texts = [one, one, two, f"x {two} y", three, f"{three} z", four, draw(50), draw(10), draw(10), None]
+    ids = [1, 1, None, 2, 3, 3, None, None, 4, 4, None]
+    got = substring_dedup.substring_dedup(docs(texts, ids=ids)).collect()
+    expected = [(-1 if i is None else i, *e) for i, e in zip(ids, brute_substrings(texts, 35), strict=True)]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == sorted(expected)
+
+
+def test_substring_dedup_in_pieces_and_hot_passages(docs):
+    rnd = random.Random(9)
+    draw = lambda n: " ".join("".join(rnd.choice("abc") for _ in range(3)) for _ in range(n))
+    passage = draw(50)
+    texts = [draw(900) + " " + passage + " " + draw(700), *(f"{draw(5)} {passage} {draw(5)}" for _ in range(40)), "w" * 5000 + " " + draw(60), draw(2000), passage + " " + passage]
+    expected = brute_substrings(texts, 12)
+    for piece in (1 << 22, 700):  # a piece of 700 bytes has some 170 words
+        got = rows(substring_dedup.substring_dedup(docs(texts), 12, piece))
+        assert [(got[i]["n_words"], got[i]["n_removed"], got[i]["kept"]) for i in range(len(texts))] == expected
+
+
 # decontamination -------------------------------------------------------------------------------------------------------------
 def brute_items(texts, items, window):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
