@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .spark_tools import checkpointed
+from .spark_tools import checkpointed, join_spread
 from .words import slices, string_bytes
 
 SHINGLE = 4
@@ -235,6 +235,7 @@ def links(prints: DataFrame, most: int = MOST_BITS, dense: int = DENSE) -> DataF
     found, crowd = rows.dropna(), rows.filter("b is null").select(F.col("a").alias("print")).distinct()
     if crowd.isEmpty():
         return found
+    # a point has the members within most/2 bits of it only: 2,081 at most, as the members are distinct
     near = crowd.repartition("print").mapInArrow(_ball_rows(most // 2), "point long, print long")
     least = near.withColumn("least", F.min("print").over(Window.partitionBy("point"))).filter("least <> print")
     return found.union(least.select(F.col("print").alias("a"), F.col("least").alias("b")).distinct())
@@ -248,9 +249,10 @@ def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS
     no rows; extra columns are ignored.
     """
     marked = checkpointed(fingerprints(docs, shingle))
-    distinct = marked.groupBy("print").agg(F.min("doc_id").alias("least"))
+    distinct = checkpointed(marked.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     roots = components(links(distinct.select("print"), most, dense))
-    rooted = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(named, "root").select("print", "component_id")
-    return marked.join(by_print, "print").select("doc_id", "print", "component_id")
+    rooted = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "least", "rows", F.coalesce("root", "print").alias("root"))
+    rooted = checkpointed(rooted)
+    named = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    by_print = checkpointed(join_spread(rooted, named, ["root"]).select("print", "component_id", F.col("rows").alias("n")))
+    return join_spread(marked, by_print, ["print"]).select("doc_id", "print", "component_id")
