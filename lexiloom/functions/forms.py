@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ACCENTED, BASE
+from .text import without_diacritics
 
 # Initial consonants and what they become, digraphs first.
 SOFT = (("ll", "l"), ("rh", "r"), ("ph", "ph"), ("th", "th"), ("ch", "ch"), ("ng", "ng"), ("p", "b"), ("t", "d"), ("c", "g"), ("b", "f"), ("d", "dd"), ("g", ""), ("m", "f"))
@@ -70,8 +70,12 @@ def corpus_zipf(per_million: Column) -> Column:
     return F.when(per_million > 0, F.log10(per_million) + 3).otherwise(F.lit(0.0))
 
 
+# The characters that don't count in an answer.
+_IGNORED = "[.,!?¿¡;:\"'“”„«»…—–-]"
+
+
 def _plain(answer: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(answer)), "[.,!?¿¡;:\"'“”„«»…—–-]", ""), "(?U)\\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(answer)), _IGNORED, ""), "(?U)\\s+", " "))
 
 
 def _without_pronoun(answer: Column) -> Column:
@@ -84,7 +88,7 @@ def answer_kind(given: Column, expected: Column) -> Column:
     u, e = _plain(given), _plain(expected)
     bare_u, bare_e = _without_pronoun(u), _without_pronoun(e)
     dropped = (bare_u != u) | (bare_e != e)
-    fold = lambda x: F.translate(x, ACCENTED, BASE)
+    fold = without_diacritics
     return (
         F.when(u == "", "mismatch")
         .when(u == e, "exact")

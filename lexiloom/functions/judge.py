@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 TARGET_FORM_USE = ("correct_main_verb", "correct_but_not_main_verb", "wrong_agreement_or_role", "wrong_construction", "mentioned_or_quoted_only", "absent")
 FLAGS = ("odd_collocation", "subject_verb_disagreement", "tense_context_conflict", "repetition_or_degeneration", "mixed_language_or_meta_output", "wrong_construction", "mutation_error")
 AXES = ("grammaticality", "naturalness", "semantic_coherence")
-ENGLISH = ("the a an is are and of to in it this that with for not but be as").split()
-SPANISH = ("el la los las un una es son y de que en no con por para pero se lo").split()
+ENGLISH = ("the and is are not with of to in a an that this would does for or but as it its on be was were has have verb subject sentence grammar agree").split()
+SPANISH = ("el la los las un una unos unas y o es está están son no de del en que pero aunque porque con sin para por se su sus verbo palabra oración frase sujeto concuerda gramaticalmente").split()
 _KEYS = (*AXES, "target_form_use", "flags", "rationale")
 
 
 def mostly_spanish(text: Column) -> Column:
     """Whether more Spanish than English function words occur."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit("([\\p{L}\\p{N}_]+)"), 1)
+    tokens = F.regexp_extract_all(F.lower(text), F.lit("([a-záéíóúüñ]+)"), 1)
     count = lambda own: F.size(F.filter(tokens, lambda t: t.isin(own)))
     return count(SPANISH) > count(ENGLISH)
 

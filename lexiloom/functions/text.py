@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Punctuation, accents and their base letters.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¿¡"
 EDGE_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’¡¿"
-ACCENTED = "áàâäãéèêëíìîïóòôöõúùûüñçýÿŵŷ"
-BASE = "aaaaaeeeeiiiiooooouuuuncyywy"
+ACCENTED = "âêîôûŵŷäëïöüÿáéíóú"
+BASE = "aeiouwyaeiouyaeiou"
 _SPACES = "(?U)\\s+"
 
 
@@ -34,7 +37,30 @@ def casefold(text: Column) -> Column:
 
 
 def fold_accents(text: Column) -> Column:
-    return F.translate(F.lower(text), ACCENTED, BASE)
+    """Case-folded, with the vowels that Welsh spelling varies as plain ones; other accents stay."""
+    return F.translate(casefold(text), ACCENTED, BASE)
+
+
+_MARKED = [c for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))) if len(unicodedata.normalize("NFD", c)) > 1]
+_PLAIN = [unicodedata.normalize("NFD", c)[0] for c in _MARKED]
+#: Marks and what they make of a plain letter, in canonical order.
+_COMPOSED = [(base + mark, c) for base in map(chr, (*range(0x41, 0x5B), *range(0x61, 0x7B))) for mark in "\u0300\u0301\u0302\u0303\u0308\u0327" if len(c := unicodedata.normalize("NFC", base + mark)) == 1]
+
+
+def without_diacritics(text: Column) -> Column:
+    """Letters without their marks, whether they are written as one character or as two."""
+    return F.regexp_replace(F.translate(text, "".join(_MARKED), "".join(_PLAIN)), "[\u0300-\u036f^`\u00a8\u00af\u00b4\u00b7\u00b8]", "")
+
+
+def composed(text: Column) -> Column:
+    """Letters with one of six marks as one character (NFC of Latin letters); other texts are left as they are."""
+    return F.when(F.rlike(text, F.lit("[\u0300-\u036f]")), reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), _COMPOSED, text)).otherwise(text)
+
+
+def intl_words(text: Column) -> Column:
+    """Tokens of the international mteval rules: punctuation stands alone unless it's inside a number, symbols always; the case stays."""
+    apart = F.regexp_replace(F.regexp_replace(text, "(\\P{N})(\\p{P})", "$1 $2 "), "(\\p{P})(\\P{N})", " $1 $2")
+    return F.filter(F.split(F.trim(F.regexp_replace(apart, "(\\p{S})", " $1 ")), _SPACES), lambda w: w != "")
 
 
 def key(text: Column) -> Column:

@@ -22,7 +22,7 @@ def distinct_n(rows: DataFrame, n: int, *keys: str) -> DataFrame:
 
 def template_rate(rows: DataFrame, *keys: str, k: int = 3) -> DataFrame:
     """The share of texts whose first k tokens start another text of the group too; 0 for fewer than two texts."""
-    prefixes = rows.groupBy(*keys, F.slice(T.words(F.col("text")), 1, k).alias("prefix")).agg(F.count("*").alias("n"))
+    prefixes = rows.select(*keys, F.slice(T.words(F.col("text")), 1, k).alias("prefix")).groupBy(*keys, "prefix").agg(F.count("*").alias("n"))
     shared = F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0))
     return prefixes.groupBy(*keys).agg(F.round(F.when(F.sum("n") < 2, 0.0).otherwise(shared / F.sum("n")), 4).alias("value"))
 
@@ -52,7 +52,7 @@ def sentence_bleu_terms(rows: DataFrame, order: int = 4) -> DataFrame:
     The most that any other text has of an n-gram is the group's highest count, or the second highest for the text that has the
     highest alone; so two ranks for each n-gram are enough, and no text meets another.
     """
-    tokens = rows.select("grp", "id", T.words(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
+    tokens = rows.select("grp", "id", T.intl_words(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
     counts = _gram_counts(tokens, order)
     place = Window.partitionBy("grp", "n", "gram").orderBy(F.desc("c"), "id")
     top = counts.withColumn("r", F.row_number().over(place)).filter("r <= 2").groupBy("grp", "n", "gram").agg(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import metrics, rollups
-from .tables import EVALUATIONS, evaluations, sentences, sql_tokens, table
+from .tables import EVALUATIONS, evaluations, sentences, sql_intl, sql_tokens, table
 
 GROUPED = "SELECT {keys}, metric_name, scope, cell, round(value, 6) AS value, n AS count FROM g"
 
@@ -60,7 +60,9 @@ def f_04(spark, sf_dir):
 
 
 def f_05(spark, sf_dir):
-    return metrics.template_rate(_groups(spark, sf_dir), "arm", "cell")
+    # the three tokens come first: only these are doubled for the pooled groups
+    rows = sentences(spark, sf_dir).select("arm", "cell", F.array_join(F.slice(T.words(F.col("text")), 1, 3), " ").alias("text"))
+    return metrics.template_rate(rows.withColumn("cell", F.explode(F.array("cell", F.lit(None).cast("string")))), "arm", "cell")
 
 
 def f_06(spark, sf_dir):
@@ -120,7 +122,7 @@ SQL = {
     "f_02_distinct_1": _GRAMS.replace("{n}", "1"),
     "f_02_distinct_2": _GRAMS.replace("{n}", "2"),
     "f_03_self_bleu": f"""
-      WITH t AS (SELECT item_id % 8 AS grp, item_id AS id, {sql_tokens()} AS tok FROM benchmark), s AS (SELECT * FROM t WHERE len(tok) > 0),
+      WITH t AS (SELECT item_id % 8 AS grp, item_id AS id, {sql_intl()} AS tok FROM benchmark), s AS (SELECT * FROM t WHERE len(tok) > 0),
       n AS (SELECT unnest([1, 2, 3, 4]) AS n),
       g AS (SELECT grp, id, n, unnest(CASE WHEN len(tok) >= n THEN list_transform(range(1, len(tok) - n + 2), lambda i: array_to_string(tok[i:i + n - 1], ' ')) ELSE CAST([] AS VARCHAR[]) END) AS gram FROM s, n),
       c AS (SELECT grp, id, n, gram, count(*) AS c FROM g GROUP BY ALL),

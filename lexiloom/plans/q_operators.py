@@ -224,7 +224,7 @@ def b_05(spark, sf_dir):
 
 
 @register("b_07_language_heuristic", """
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]+)', 1) AS w FROM documents)
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '([a-záéíóúüñ]+)', 1) AS w FROM documents)
 SELECT doc_id, len(list_filter(w, lambda x: x IN (%s))) > len(list_filter(w, lambda x: x IN (%s))) AS spanish FROM t""" % tuple(", ".join(f"'{x}'" for x in own) for own in (judge.SPANISH, judge.ENGLISH)))
 def b_07(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", judge.mostly_spanish(F.col("text")).alias("spanish"))
@@ -292,7 +292,7 @@ def j_06(spark, sf_dir):
     return evaluators.length_in_band(rows).select("sentence_id", "score")
 
 
-@register("j_25_accent_fold", f"SELECT item_id, translate(lower(text), '{T.ACCENTED}', '{T.BASE}') AS folded FROM benchmark")
+@register("j_25_accent_fold", f"SELECT item_id, translate(replace(lower(text), 'ß', 'ss'), '{T.ACCENTED}', '{T.BASE}') AS folded FROM benchmark")
 def j_25(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.fold_accents(F.col("text")).alias("folded"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def same_sql(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     """A query whose text Spark and DuckDB share."""
     used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
+    # tables are arguments of the text, so that no view of the user's is replaced
+    text = reduce(lambda s, t: re.sub(rf"\b(FROM|JOIN)(\s+){t}\b", rf"\1\2{{{t}}}", s), used, sql)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for name in used:
-            table(spark, sf_dir, name).createOrReplaceTempView(name)
-        return spark.sql(sql)
+        return spark.sql(text, **{name: table(spark, sf_dir, name) for name in used})
 
     return run
 
@@ -35,6 +36,12 @@ def sql_tokens(text: str = "text") -> str:
     return f"list_filter(list_transform(regexp_split_to_array(lower(trim({text})), '\\s+'), lambda w: translate(w, '{punctuation}', '')), lambda w: w <> '')"
 
 
+def sql_intl(text: str = "text") -> str:
+    """The tokens of functions.text.intl_words in DuckDB."""
+    apart = f"regexp_replace(regexp_replace({text}, '(\\PN)(\\pP)', '\\1 \\2 ', 'g'), '(\\pP)(\\PN)', ' \\1 \\2', 'g')"
+    return f"list_filter(regexp_split_to_array(trim(regexp_replace({apart}, '(\\pS)', ' \\1 ', 'g')), '\\s+'), lambda w: w <> '')"
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences: documents as (sentence_id, arm, cell, text)."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sentence_id"), F.col("source").alias("arm"), F.col("lang").alias("cell"), "text")
