@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import without_diacritics
+from .text import fold_accents, without_diacritics
 
 # Initial consonants and what they become, digraphs first.
 SOFT = (("ll", "l"), ("rh", "r"), ("ph", "ph"), ("th", "th"), ("ch", "ch"), ("ng", "ng"), ("p", "b"), ("t", "d"), ("c", "g"), ("b", "f"), ("d", "dd"), ("g", ""), ("m", "f"))
@@ -104,3 +104,59 @@ def foil(gold: Column, candidates: list[tuple[str, Column]]) -> Column:
     rows = F.array(*[F.struct(F.lit(kind).alias("kind"), form.alias("form")) for kind, form in candidates])
     norm = F.transform(gold, lambda g: F.lower(F.trim(g)))
     return F.get(F.filter(rows, lambda c: c["form"].isNotNull() & (c["form"] != "") & ~F.array_contains(norm, F.lower(F.trim(c["form"])))), F.lit(0))
+
+
+# Endings of verbs in -oi, longest first, and what else they may be written as; shortest stems.
+OI_ENDINGS = (
+    ("oaist", ()), ("oais", ()), ("oaf", ()), ("oiwch", ()), ("oiwn", ()), ("oiant", ()), ("oant", ()), ("oist", ("oaist",)), ("ois", ("oais",)), ("owch", ("oiwch",)), ("own", ("oiwn",)),
+    ("ont", ("oant", "oiant")), ("of", ("oaf",)), ("oai", ()), ("on", ("oant", "oiant")), ("oi", ("oai",)),
+)
+_TRUE = ("1", "true", "yes", "y")
+
+
+def mutation_policy(construction: Column, tense: Column, required: Column, explicit: Column) -> Column:
+    """soft_optional, soft_required or none: which mutated forms a cell accepts."""
+    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return (
+        F.when(low(required).isin(*_TRUE), "soft_optional")
+        .when((low(construction) == "periphrastic") & (low(tense) == "past"), "soft_optional")
+        .when(low(explicit).isin("soft", "soft_optional"), "soft_optional")
+        .when(low(explicit).isin("soft_required", "required_soft"), "soft_required")
+        .otherwise("none")
+    )
+
+
+def with_mutations(forms: Column, policy: Column) -> Column:
+    """The forms, and their soft mutations if the policy has them; blanks and repeats (whatever their case) are left out."""
+    base = F.filter(F.transform(forms, lambda f: F.trim(f)), lambda f: f != "")
+    every = F.when(policy.isin("soft_optional", "soft_required"), F.concat(base, F.filter(F.transform(base, lambda f: mutated(f)), lambda f: f != ""))).otherwise(base)
+    return F.aggregate(every, F.array().cast("array<string>"), lambda out, f: F.when(F.exists(out, lambda o: F.lower(o) == F.lower(f)), out).otherwise(F.concat(out, F.array(f))))
+
+
+def oi_variants(form: Column, lemma: Column) -> Column:
+    """A form of a verb in -oi and how else its ending may be written; other forms, and the lemma itself, only as they are."""
+    own, verb = fold_accents(F.trim(form)), fold_accents(F.trim(lemma))
+    rest = _chain(
+        [
+            (own.endswith(end) & (F.length(own) - len(end) >= (3 if end in ("on", "oi") else 2)), F.array(*[F.concat(F.substring(own, F.lit(1), F.length(own) - len(end)), F.lit(e)) for e in other]) if other else F.array().cast("array<string>"))
+            for end, other in OI_ENDINGS
+        ],
+        F.array().cast("array<string>"),
+    )
+    stem = F.substring(verb, F.lit(1), F.greatest(F.length(verb) - 2, F.least(F.length(verb) - 1, F.lit(2))))
+    fits = (verb == "") | (verb.endswith("oi") & own.startswith(stem) & (F.lower(F.trim(form)) != F.lower(F.trim(lemma))))
+    return F.when(F.trim(form) == "", F.array().cast("array<string>")).when(fits, F.concat(F.array(F.trim(form)), F.filter(rest, lambda r: r != own))).otherwise(F.array(F.trim(form)))
+
+
+def summed_zipf(forms, frequencies, key: str = "verb"):
+    """(key, zipf) of rows (key, forms array): the Zipf value of the forms' summed frequency, else of the bare word, else 0."""
+    each = forms.select(key, F.explode(F.array_distinct("forms")).alias("word")).join(frequencies, "word").groupBy(key).agg(F.sum("frequency").alias("total"))
+    bare = frequencies.select(F.col("word").alias(key), F.col("frequency").alias("bare"))
+    rows = forms.select(key).join(each, key, "left").join(bare, key, "left")
+    total = F.coalesce(F.when(F.col("total") > 0, F.col("total")), "bare", F.lit(0.0))
+    return rows.select(key, F.when(total > 0, F.log10(total * 1e9)).otherwise(0.0).alias("zipf"))
+
+
+def is_verb_candidate(word: Column) -> Column:
+    """A word of letters only, four or more, that ends in ar, er or ir."""
+    return F.rlike(word, F.lit("^\\p{L}{2,}(ar|er|ir)$"))

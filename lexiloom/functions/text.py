@@ -118,3 +118,50 @@ def cloze(text: Column, word: Column) -> Column:
 
 def capitalised(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
+
+
+def prefix_fraction(tokens: Column, variants: Column) -> Column:
+    """How much of a variant (an array of arrays) the end of the token sequence has matched: 1.0 once one was completed.
+
+    Each variant is followed through the tokens: the next token goes on, the first one begins anew, any other one ends it.
+    """
+
+    def one(variant: Column) -> Column:
+        def step(at: Column, token: Column) -> Column:
+            on = (at < F.size(variant)) & (F.get(variant, at) == token)
+            return F.when(at >= F.size(variant), at).when(on, at + 1).when(F.get(variant, F.lit(0)) == token, 1).otherwise(0)
+
+        return F.when(F.size(variant) > 0, F.aggregate(tokens, F.lit(0), step) / F.size(variant)).otherwise(0.0)
+
+    return F.coalesce(F.array_max(F.transform(variants, one)), F.lit(0.0))
+
+
+def tracked(tokens: Column, gold: Column, banned: Column) -> Column:
+    """satisfied (a gold variant was completed), violated (a banned one was; it stays so) and progress of a token stream."""
+    return F.struct((prefix_fraction(tokens, gold) == 1).alias("satisfied"), (prefix_fraction(tokens, banned) == 1).alias("violated"), prefix_fraction(tokens, gold).alias("progress"))
+
+
+def clitic_match(tokens: Column, expected: Column, proclitics: str) -> Column:
+    """strict or clitic_stripped, of the first token that is the form as it is or without leading proclitics; null if none."""
+    want = key(expected)
+    bare = lambda t: F.regexp_replace(t, f"^[{proclitics}]+", "")
+    kinds = F.transform(tokens, lambda t: F.when(key(t) == want, "strict").when((bare(t) != "") & (key(bare(t)) == want), "clitic_stripped"))
+    return F.get(F.filter(kinds, lambda k: k.isNotNull()), F.lit(0))
+
+
+def article_agrees(tokens: Column, noun: Column, articles: Column) -> Column:
+    """Whether one of the articles stands one or two tokens before the noun; null without a noun or articles."""
+    low, want, own = F.transform(tokens, casefold), casefold(noun), F.transform(articles, casefold)
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i: F.get(low, i - 1) == want)
+    before = lambda i: F.slice(low, F.greatest(i - 2, F.lit(1)), F.least(i - 1, F.lit(2)))
+    return F.when((F.coalesce(want, F.lit("")) != "") & (F.size(own) > 0), F.exists(at, lambda i: (i > 1) & F.arrays_overlap(before(i), own)))
+
+
+def json_text(raw: Column, path: str) -> Column:
+    """The value at a JSON path as text; null where the path or the JSON isn't there."""
+    return F.get_json_object(raw, path)
+
+
+def json_int(raw: Column, path: str) -> Column:
+    """The value at a JSON path as a whole number; null where it isn't one."""
+    return F.get_json_object(raw, path).try_cast("int")

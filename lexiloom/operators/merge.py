@@ -88,3 +88,23 @@ def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 def cascade(children: DataFrame, fk: str, deleted: DataFrame, id_: str = "id") -> DataFrame:
     """Children whose parent wasn't deleted."""
     return children.join(deleted.select(F.col(id_).alias(fk)), fk, "left_anti")
+
+
+def merge_runs(source: dict[str, DataFrame], target: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The target's experiments, sentences, evaluations and metrics after a merge of the source's, and its counts.
+
+    Tables name their rows by natural keys: experiments by name; sentences by (experiment, cell, sample_index); evaluations by
+    that and the evaluator; metrics by (experiment, metric_name, scope, cell), nulls equal to nulls. Rows of the target are
+    never refreshed, but an experiment takes the source's status and completed_at. Experiments without a benchmark or a method
+    are skipped with all their rows. Merging again adds nothing. (merged, skipped, sentences, evaluations and metrics added)
+    """
+    known = source["experiments"].filter("benchmark is not null and method is not null")
+    out = {"experiments": upsert(known, target["experiments"], ["name"], ["status", "completed_at"])}
+    keys = {"sentences": ["experiment", "cell", "sample_index"], "evaluations": ["experiment", "cell", "sample_index", "evaluator"], "metrics": ["experiment", "metric_name", "scope", "cell"]}
+    names = known.select(F.col("name").alias("experiment"))
+    counts = known.agg(F.count("*").alias("merged")).join(source["experiments"].agg(F.count_if(F.col("benchmark").isNull() | F.col("method").isNull()).alias("skipped")))
+    for table, own in keys.items():
+        fresh = new_rows(source[table].join(names, "experiment", "left_semi"), target[table], own)
+        out[table] = target[table].unionByName(fresh.select(*target[table].columns))
+        counts = counts.join(fresh.agg(F.count("*").alias(f"{table}_added")))
+    return out, counts

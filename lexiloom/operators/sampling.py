@@ -94,3 +94,55 @@ def train_val(rows: DataFrame, share: float, seed: int, key: str, *strata: str)
     place = Window.partitionBy(*strata).orderBy(hash_order(seed, key), key)
     n_val = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy(*strata)) * share))
     return rows.withColumn("split", F.when(F.row_number().over(place) <= n_val, "val").otherwise("train"))
+
+
+def match_quotas(rows: DataFrame, reference: DataFrame, seed: int, key: str, cell: list[str], tier: str) -> DataFrame:
+    """As many rows of each cell as the reference has, and within a cell in proportion to its tiers (largest remainder).
+
+    A cell with fewer rows than asked for gives all of them.
+    """
+    wanted = reference.groupBy(*cell).agg(F.count("*").alias("want"))
+    sizes = rows.groupBy(*cell, tier).agg(F.count("*").alias("size")).join(wanted, cell)
+    own = Window.partitionBy(*cell)
+    n = F.least(F.col("want"), F.sum("size").over(own))
+    exact = sizes.withColumn("n", n).withColumn("exact", F.col("n") * F.col("size") / F.sum("size").over(own)).withColumn("base", F.floor("exact"))
+    place = F.row_number().over(own.orderBy(F.desc(F.round(F.col("exact") - F.col("base"), 9)), tier))
+    quotas = exact.withColumn("left", F.col("n") - F.sum("base").over(own)).withColumn("quota", F.col("base") + (place <= F.col("left")).cast("long"))
+    ranked = rows.join(quotas.select(*cell, tier, "quota"), [*cell, tier]).withColumn("rank", F.row_number().over(Window.partitionBy(*cell, tier).orderBy(hash_order(seed, key), key)))
+    return ranked.filter(F.col("rank") <= F.col("quota"))
+
+
+def diverse(rows: DataFrame, k: int, group: str, score: str, key: str, *cell: str) -> DataFrame:
+    """k rows of each cell in turns over its groups, each by score; the group with the best score comes first in each turn."""
+    own = Window.partitionBy(*cell, group)
+    ranked = rows.withColumns({"turn": F.row_number().over(own.orderBy(F.desc(score), key)), "best": F.max(score).over(own)})
+    place = Window.partitionBy(*cell).orderBy("turn", F.desc("best"), group)
+    return ranked.filter(F.col("turn") <= k).withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).drop("best")
+
+
+def head_then_rounds(rows: DataFrame, head: int, n: int, score: str, group: str, key: str, *cell: str) -> DataFrame:
+    """n rows of each cell: the ``head`` best by score, then one of each group in turns from the rest."""
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy(*cell).orderBy(F.desc(score), key)))
+    in_head = F.col("place") <= head
+    turn = F.row_number().over(Window.partitionBy(*cell, group, in_head).orderBy(F.desc(score), key))
+    ranked = first.withColumn("turn", F.when(in_head, 0).otherwise(turn))
+    order = Window.partitionBy(*cell).orderBy("turn", F.when(in_head, F.col("place")).otherwise(0), group, key)
+    return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+
+
+def distractors(questions: DataFrame, pool: DataFrame, seed: int, n: int = 3) -> DataFrame:
+    """(id, distractor, rank): n other items of the pool for each question, of its own tag if that has n, else of any.
+
+    Rows are (id, word, tag). Items are ranked by hash within their tag and over all; the first n + 1 of each tag and of the
+    pool are enough, as a question leaves out its own word only, which is one item: the pool has a word once.
+    """
+    place = lambda *cell: F.row_number().over(Window.partitionBy(*cell).orderBy(hash_order(seed, "id"), "id"))
+    few = pool.withColumns({"own": place("tag"), "size": F.count("*").over(Window.partitionBy("tag"))}).filter(F.col("own") <= n + 1).select("tag", F.col("id").alias("distractor"), F.col("word").alias("other"), "own", "size")
+    # at most n + 1 rows: a limit by hash order, merged from the tasks' own
+    everyone = pool.orderBy(hash_order(seed, "id"), "id").limit(n + 1).select(F.col("id").alias("distractor"), F.col("word").alias("other"), hash_order(seed, "id").alias("h"))
+    near = questions.join(few, "tag").filter("distractor <> id and lower(other) <> lower(word)").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("own"))).filter(F.col("rank") <= n)
+    full = near.groupBy("id").agg(F.count("*").alias("have")).filter(F.col("have") >= n).select("id")
+    far = questions.join(full, "id", "left_anti").join(F.broadcast(everyone)).filter("distractor <> id and lower(other) <> lower(word)")
+    far = far.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("h", "distractor"))).filter(F.col("rank") <= n)
+    columns = ["id", "distractor", "rank"]
+    return near.join(full, "id").select(*columns).union(far.select(*columns))
