@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import forms
 from ..functions import text as T
-from ..operators import bans, lexemes, merge, paradigm, sampling, validation
+from ..operators import bans, lexemes, merge, paradigm, ranks, sampling, validation
 from .tables import sql_tokens, table
 
 QUERIES, SQL = {}, {}
@@ -442,3 +442,23 @@ def h_26(spark, sf_dir):
 @register("h_28_pending_jobs", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 20")
 def h_28(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").orderBy("o_orderdate", "o_orderkey").limit(20).select("o_orderkey", "o_orderdate")
+
+
+# ranks -------------------------------------------------------------------------------------------------------------------------
+@register("l_01_average_rank", "SELECT p_partkey, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2e0 AS avg_rank FROM part")
+def l_01(spark, sf_dir):
+    return ranks.with_average_rank(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size").select("p_partkey", "avg_rank")
+
+
+@register("e_17_spearman", "SELECT round(corr(rx, ry), 6) AS rho FROM (SELECT rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2e0 AS rx, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2e0 AS ry FROM (SELECT c.c_custkey, c.c_acctbal, count(*) AS n FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey, c.c_acctbal) x) y")
+def e_17(spark, sf_dir):
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return ranks.spearman(table(spark, sf_dir, "customer").join(counts, "c_custkey"), "c_acctbal", "n")
+
+
+@register("e_18_two_samples", """
+WITH r AS (SELECT l.quality AS g, d.n_chars AS v FROM documents d JOIN labels l ON d.doc_id = l.doc_id), k AS (SELECT g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS rk FROM r)
+SELECT count(CASE WHEN g = 1 THEN 1 END) AS n1, count(CASE WHEN g = 0 THEN 1 END) AS n0, CAST(sum(CASE WHEN g = 1 THEN rk END) - count(CASE WHEN g = 1 THEN 1 END) * (count(CASE WHEN g = 1 THEN 1 END) + 1) / 2.0 AS DOUBLE) AS u, round(corr(g, v), 6) AS point_biserial FROM k""")
+def e_18(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return ranks.two_samples(rows, "n_chars", F.col("quality") == 1)

@@ -9,12 +9,12 @@ _LAB = "(SELECT d.doc_id, d.source AS arm, d.lang AS cell, d.n_chars, l.quality,
 
 SQL = {
     # predicates and projections
-    "b_01_required_fields": "SELECT doc_id, CASE WHEN text IS NULL THEN 'text' WHEN lang IS NULL THEN 'lang' ELSE 'source' END AS missing FROM documents WHERE text IS NULL OR lang IS NULL OR source IS NULL",
+    "b_01_required_fields": "SELECT o_orderkey, CASE WHEN nullif(o_orderstatus, 'P') IS NULL THEN 'status' ELSE 'priority' END AS missing FROM orders WHERE nullif(o_orderstatus, 'P') IS NULL OR nullif(o_orderpriority, '5-LOW') IS NULL",
     "b_02_dimension_violations": "SELECT e.event_id, e.event_type AS value FROM events e WHERE e.event_type NOT IN ('click', 'view', 'purchase') AND e.event_type IS NOT NULL",
-    "b_08_gold_holes": "SELECT p.p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey)",
+    "b_08_gold_holes": "SELECT p.p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 45)",
     "b_09_minimum_guard": "SELECT count(*) AS n, count(*) >= 10 AS enough FROM benchmark",
     "b_10_ownership": "SELECT DISTINCT l.l_suppkey, l.l_partkey FROM lineitem l LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey AND s.s_acctbal > 0 WHERE s.s_suppkey IS NULL",
-    "b_11_disjointness": "SELECT item_id AS id FROM benchmark WHERE item_id % 2 = 0 INTERSECT SELECT conv_id FROM conversations WHERE turn = 0",
+    "b_11_disjointness": "SELECT item_id AS id FROM benchmark INTERSECT SELECT conv_id FROM conversations WHERE turn = 0",
     "c_01_filter_by": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'",
     "c_02_in_list": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')",
     "c_03_like": "SELECT p_partkey, p_type FROM part WHERE p_type LIKE 'S%' OR p_type LIKE '%R' OR p_name LIKE '%1'",
@@ -35,11 +35,11 @@ SQL = {
     "d_06_pairing": f"SELECT a.score AS lt, b.score AS judge, count(*) AS n FROM {_EAV} a JOIN {_EAV} b ON a.doc_id = b.doc_id WHERE a.name = 'quality' AND b.name = 'toxic' GROUP BY a.score, b.score",
     "d_07_left_pivot": f"SELECT d.doc_id, max(CASE WHEN e.name = 'quality' THEN e.score END) AS quality, max(CASE WHEN e.name = 'toxic' THEN e.score END) AS toxic FROM documents d LEFT JOIN {_EAV} e ON d.doc_id = e.doc_id GROUP BY d.doc_id",
     "d_08_metrics_join": "SELECT r.r_name, n.n_name, count(*) AS n FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey WHERE c.c_mktsegment IN ('BUILDING', 'FURNITURE') GROUP BY r.r_name, n.n_name",
-    "d_09_merge_inner": "SELECT a.p_size, a.n AS n_left, b.n AS n_right FROM (SELECT p_size, count(*) AS n FROM part WHERE p_retailprice < 1500 GROUP BY p_size) a JOIN (SELECT p_size, count(*) AS n FROM part WHERE p_retailprice >= 1500 GROUP BY p_size) b ON a.p_size = b.p_size",
+    "d_09_merge_inner": "SELECT a.p_brand, a.n AS n_left, b.n AS n_right FROM (SELECT p_brand, count(*) AS n FROM part WHERE p_size < 25 GROUP BY p_brand) a JOIN (SELECT p_brand, count(*) AS n FROM part WHERE p_size >= 25 GROUP BY p_brand) b ON a.p_brand = b.p_brand",
     "d_12_outcome_join": f"SELECT x.arm, count(*) AS n, count(CASE WHEN x.quality = 1 AND c.role = 'user' THEN 1 END) AS both_ok FROM {_LAB} x JOIN conversations c ON x.doc_id = c.conv_id GROUP BY x.arm",
     "d_13_binding_gap": f"SELECT cell, count(*) AS n, round(avg(toxic), 6) AS rate FROM {_LAB} x WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY cell",
     "d_15_nullable_joins": "SELECT l.l_orderkey, l.l_linenumber, p.p_brand, s.s_name FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey AND s.s_acctbal > 5000",
-    "d_16_parents_semi": "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 100 = 7)",
+    "d_16_parents_semi": "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 7)",
     "d_18_completeness": "SELECT DISTINCT e.event_type FROM events e LEFT JOIN (SELECT 'click' AS arm UNION ALL SELECT 'view') q ON e.event_type = q.arm WHERE q.arm IS NULL",
     "d_20_default_lookup": "SELECT o.o_orderkey, coalesce(c.c_mktsegment, 'UNK') AS tier FROM orders o LEFT JOIN (SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 0) c ON o.o_custkey = c.c_custkey",
     "d_21_grid": "SELECT r.r_name, n.n_name, p.o_orderpriority FROM region r CROSS JOIN (SELECT n_name FROM nation WHERE n_nationkey < 6) n CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) p UNION ALL SELECT r_name, 'participle', NULL FROM region",
@@ -52,7 +52,6 @@ SQL = {
     "e_12_reason_ranking": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN l_discount = 0 THEN 'no_discount' WHEN l_tax > 0.06 THEN 'high_tax' WHEN l_quantity < 10 THEN 'small' ELSE 'other' END AS reason FROM lineitem) r GROUP BY reason",
     "e_15_contingency": f"SELECT quality, toxic, n, round(n / sum(n) OVER (PARTITION BY quality), 6) AS share FROM (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY quality, toxic) c",
     "e_16_pearson": "SELECT l_returnflag, CASE WHEN count(*) >= 3 AND stddev_pop(l_quantity) > 0 AND stddev_pop(l_extendedprice) > 0 THEN round(corr(l_quantity, l_extendedprice), 6) END AS r FROM lineitem GROUP BY l_returnflag",
-    "e_17_spearman": "SELECT round(corr(rx, ry), 6) AS rho FROM (SELECT rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2e0 AS rx, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2e0 AS ry FROM (SELECT c.c_custkey, c.c_acctbal, count(*) AS n FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey, c.c_acctbal) x) y",
     "e_18_effect_sizes": "SELECT round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) AS welch_t, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) AS cohen_d FROM (SELECT avg(CASE WHEN quality = 1 THEN n_chars END) AS m1, avg(CASE WHEN quality = 0 THEN n_chars END) AS m0, var_samp(CASE WHEN quality = 1 THEN n_chars END) AS v1, var_samp(CASE WHEN quality = 0 THEN n_chars END) AS v0, count(CASE WHEN quality = 1 THEN 1 END) AS n1, count(CASE WHEN quality = 0 THEN 1 END) AS n0 FROM " + _LAB + " x) y",
     "e_19_per_arm": f"SELECT arm, count(*) AS n, round(avg(quality), 6) AS pass_rate, round(avg(CASE WHEN toxic = 1 THEN quality END), 6) AS given_toxic, round(avg(CASE WHEN toxic = 0 THEN quality END), 6) AS given_clean FROM {_LAB} x GROUP BY arm",
     "e_22_multi_slice": f"SELECT arm, cell, count(*) AS n, round(avg(quality), 6) AS rate FROM {_LAB} x GROUP BY GROUPING SETS ((), (arm), (cell), (arm, cell))",
@@ -61,7 +60,7 @@ SQL = {
     "e_26_dissociation": "SELECT count(CASE WHEN k > 25 AND n <= 2 THEN 1 END) AS known_but_failing, count(CASE WHEN k > 25 AND n >= 5 THEN 1 END) AS both_ok, round(avg(n), 6) AS mean FROM (SELECT o_orderkey, max(l_quantity) AS k, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey) x",
     "e_27_rate_ignoring_nulls": "SELECT d.lang, round(avg(l.quality), 6) AS rate, count(l.quality) AS valid, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang",
     "e_29_agreement_errors": f"SELECT arm, round(avg(abs(quality - toxic)), 6) AS mae, round(avg(CASE WHEN abs(quality - toxic) <= 1 THEN 1e0 ELSE 0e0 END), 6) AS within_one, round(avg(CASE WHEN quality = toxic THEN 1e0 ELSE 0e0 END), 6) AS exact FROM {_LAB} x GROUP BY arm",
-    "e_31_next_position": "SELECT o_custkey, count(*) AS n, max(o_orderkey) + 1 AS next_position FROM orders GROUP BY o_custkey",
+    "e_31_next_position": "SELECT c.c_custkey, count(o.o_orderkey) AS n, coalesce(nullif(max(o.o_orderkey), 0), -1) + 1 AS next_position FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey",
     "e_32_count_guard": "SELECT n_regionkey, count(*) > 1 AS deletable FROM nation GROUP BY n_regionkey",
     "e_35_resume_counts": "SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey",
     "e_38_tier_summary": "SELECT tier, count(*) AS n, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM (SELECT p_retailprice, CASE WHEN p_retailprice < 1200 THEN 'low' WHEN p_retailprice >= 1600 THEN 'high' ELSE 'mid' END AS tier FROM part) t GROUP BY tier",
@@ -73,9 +72,8 @@ SQL = {
     "h_02_latest_by": "SELECT o_custkey, max(o_orderkey) AS latest FROM orders GROUP BY o_custkey",
     "i_01_union": "SELECT 'customer' AS arm, c_nationkey AS nation, count(*) AS n FROM customer GROUP BY c_nationkey UNION ALL SELECT 'supplier', s_nationkey, count(*) FROM supplier GROUP BY s_nationkey",
     "i_02_intersect": "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier",
-    "i_03_except": "SELECT n_nationkey AS nation FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0",
+    "i_03_except": "SELECT n_nationkey AS nation FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000",
     "i_07_distinct_rows": "SELECT DISTINCT l_shipdate, l_returnflag, l_linestatus FROM lineitem",
-    "l_01_average_rank": "SELECT p_partkey, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2e0 AS avg_rank FROM part",
     "l_07_kth_copy": "SELECT a.p_size, a.k, a.p_partkey AS left_id, b.p_partkey AS right_id FROM (SELECT p_size, p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS k FROM part WHERE p_partkey % 2 = 0) a JOIN (SELECT p_size, p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS k FROM part WHERE p_partkey % 2 = 1) b ON a.p_size = b.p_size AND a.k = b.k",
     "l_08_share_of_total": "SELECT o_orderpriority, n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority) c",
     "k_05_ladder": "SELECT event_type, round(avg(value), 6) AS ms FROM events GROUP BY event_type ORDER BY ms, event_type",

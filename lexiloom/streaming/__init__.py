@@ -1 +1 @@
-"""Structured Streaming jobs."""
+"""Operators over streams: mastery states, upserts of micro-batches."""
