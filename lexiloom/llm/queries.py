@@ -8,7 +8,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from lexiloom.shipping import ensure_on_workers
 
 from . import byte_bpe, decontaminate, html_extract, language_id, line_dedup, quality, simhash_dedup, substring_dedup, token_counts, topk_search
@@ -153,7 +152,6 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": op8_line_dedup,
         "op9_token_counts": op9_token_counts,
         "op10_quality": op10_quality,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -118,6 +118,22 @@ def test_pipeline_stages(spark):
 
 
 def test_registered():
-    names = queries.queries()
+    import __spark_entry__
+
+    names, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
-    assert set(queries.oracle_sql()) <= set(names)
+    assert set(queries.oracle_sql()) <= set(sql) <= set(names) and None not in sql.values()
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_matches_its_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for table in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = queries.queries()[name](spark, sf).select(*columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
