@@ -28,15 +28,15 @@ def _hashes(text: Column, most: int | None) -> Column:
 
 
 def shared_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(line, n): the hashes that ``min_sites`` different sites or more have, and their number of rows, of rows (line, site)."""
-    sketch = lines.groupBy("line").agg(F.hll_sketch_agg("site", LOG_K).alias("sketch"), F.count("*").alias("n"))
+    """(line): the hashes that ``min_sites`` different sites or more have, of rows (line, site)."""
+    sketch = lines.groupBy("line").agg(F.hll_sketch_agg("site", LOG_K).alias("sketch"))
     spread = sketch.withColumn("sites", F.hll_sketch_estimate("sketch")).filter(F.col("sites") >= min_sites * (1 - MARGIN))
-    spread = checkpointed(spread.select("line", "n", "sites"))
-    near = spread.filter(F.col("sites") <= min_sites * (1 + MARGIN)).select("line", "n")
-    pairs = join_spread(lines.dropna(), near, ["line"]).groupBy("line", "n", "site").agg(F.lit(1).alias("one"))
-    exact = pairs.groupBy("line", "n").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
+    spread = checkpointed(spread.select("line", "sites"))
+    near = spread.filter(F.col("sites") <= min_sites * (1 + MARGIN)).select("line")
+    pairs = join_spread(lines.dropna(), near, ["line"]).groupBy("line", "site").agg(F.lit(1).alias("one"))
+    exact = pairs.groupBy("line").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
     sure = spread.filter(F.col("sites") > min_sites * (1 + MARGIN))
-    return sure.select("line", "n").union(exact.select("line", "n"))
+    return sure.select("line").union(exact.select("line"))
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, max_chars: int | None = None, site: str = "source") -> DataFrame:

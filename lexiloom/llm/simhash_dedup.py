@@ -249,10 +249,10 @@ def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS
     no rows; extra columns are ignored.
     """
     marked = checkpointed(fingerprints(docs, shingle))
-    distinct = checkpointed(marked.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
+    distinct = checkpointed(marked.groupBy("print").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct.select("print"), most, dense))
-    rooted = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "least", "rows", F.coalesce("root", "print").alias("root"))
+    rooted = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     rooted = checkpointed(rooted)
-    named = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
-    by_print = checkpointed(join_spread(rooted, named, ["root"]).select("print", "component_id", F.col("rows").alias("n")))
+    named = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    by_print = checkpointed(join_spread(rooted, named, ["root"]).select("print", "component_id"))
     return join_spread(marked, by_print, ["print"]).select("doc_id", "print", "component_id")

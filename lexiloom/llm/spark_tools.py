@@ -11,17 +11,18 @@ from lexiloom.checkpoints import checkpointed
 HEAVY = 4096
 
 
-def join_spread(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
-    """The inner join of rows with a table that has one row for each key, and in n the number of rows with it.
+def join_spread(rows: DataFrame, table: DataFrame, on: list[str], most: int = HEAVY) -> DataFrame:
+    """The inner join of rows with a table that has one row for each key.
 
-    A key with more than 1/HEAVY of all rows is one of HEAVY keys at most, whatever the size of the input: these are broadcast,
-    so that their rows stay where they are. The other keys are exchanged, none of them with more than 1/HEAVY of the rows.
-    ``rows`` and ``table`` are read more than once; give what is cheap to read, as a checkpoint is. Nulls in keys join nothing.
+    A key with more than 1/most of all rows is one of ``most`` keys at most, whatever the size of the input: the table's rows
+    of these are broadcast, so that theirs stay where they are. The other keys are exchanged, none of them with more than
+    1/most of the rows. ``rows`` and ``table`` are read more than once; give what is cheap to read, as a checkpoint is. Nulls
+    in keys join nothing.
     """
-    most = rows.count() / HEAVY
-    few = F.broadcast(table.filter(F.col("n") > most))
-    rest = rows.join(F.broadcast(table.filter(F.col("n") > most).select(*on)), on, "left_anti")
-    return rows.join(few, on).unionByName(rest.join(table.filter(F.col("n") <= most), on))
+    counts = rows.groupBy(*on).agg(F.count("*").alias("__n"))
+    heavy = F.broadcast(checkpointed(counts.filter(F.col("__n") > rows.count() / most).select(*on)))
+    few = F.broadcast(table.join(heavy, on, "left_semi"))
+    return rows.join(few, on).unionByName(rows.join(heavy, on, "left_anti").join(table.join(heavy, on, "left_anti"), on))
 
 
 __all__ = ["HEAVY", "checkpointed", "join_spread"]

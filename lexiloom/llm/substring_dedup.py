@@ -323,7 +323,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, piece: int = PIECE)
     """
     texts = _texts(docs)
     named = checkpointed(texts.select("doc", "mark", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), F.length("text").alias("c")))
-    groups = checkpointed(named.groupBy("a", "b", "c").agg(F.min(F.struct("doc", "mark")).alias("one"), F.count("*").alias("n")).filter("n > 1"))
+    groups = checkpointed(named.groupBy("a", "b", "c").agg(F.min(F.struct("doc", "mark")).alias("one"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     copies = join_spread(named, groups, ["a", "b", "c"]).select("doc", "mark", (F.struct("doc", "mark") != F.col("one")).alias("spare"))
     whole = copies.groupBy("doc", "mark").agg(F.max("spare").alias("spare"))
     found = _repeated(texts.mapInArrow(_anchor_rows(window, piece), "key long, salt int, entries array<long>"), ["key"], 3)
