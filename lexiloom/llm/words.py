@@ -6,6 +6,7 @@ All functions work on the UTF-8 bytes of many texts at once. A hash is a polynom
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,6 +81,16 @@ def string_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives the system back what a batch took; a Python worker lives as long as its executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of the batch of about ``most`` bytes of text; a longer text is a part of its own."""
     column_at = batch.schema.get_field_index(column)
@@ -91,6 +102,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         end = max(start + 1, min(end, batch.num_rows))
         yield batch.slice(start, end - start)
         start = end
+    release()
 
 
 class Words:
