@@ -45,8 +45,8 @@ def tier(zipf: Column, low: float, high: float) -> Column:
 
 
 def quality_score(word: Column, zipf: Column) -> Column:
-    """zipf, a bonus for the -ar ending, and 0.01 for each letter beyond five up to 0.1."""
-    return zipf + F.when(word.endswith("ar"), 0.05).otherwise(0.0) + F.least(F.lit(0.1), 0.01 * F.greatest(F.lit(0), F.length(word) - 5))
+    """zipf, a bonus for the -ar and -er endings, and 0.01 for each letter beyond five up to 0.1."""
+    return zipf + F.when(word.endswith("ar"), 0.05).when(word.endswith("er"), 0.02).otherwise(0.0) + F.least(F.lit(0.1), 0.01 * F.greatest(F.lit(0), F.length(word) - 5))
 
 
 def english_regular(lemma: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # Punctuation, accents and their base letters.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¿¡"
 EDGE_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’¡¿"
+ANSWER_MARKS = ".,!?¿¡;:\"'“”„«»…—–-"
 ACCENTED = "âêîôûŵŷäëïöüÿáéíóú"
 BASE = "aeiouwyaeiouyaeiou"
 _SPACES = "(?U)\\s+"
@@ -116,6 +117,17 @@ def cloze(text: Column, word: Column) -> Column:
     return F.when(first.isNull(), text).otherwise(F.concat(F.substring(text, F.lit(1), at - 1), F.lit("____"), F.substring(text, at + F.length(first), F.length(text))))
 
 
+#: As many words as a recogniser takes at once.
+MOST_KEYTERMS = 100
+
+
+def keyterms(sentence: Column, most: int = MOST_KEYTERMS) -> Column:
+    """The sentence's words without marks at their ends, each once whatever its case, as first written; ``most`` at most."""
+    own = F.filter(F.transform(F.split(sentence, _SPACES), lambda w: F.btrim(w, F.lit(ANSWER_MARKS))), lambda w: w != "")
+    low = F.transform(own, F.lower)
+    return F.slice(F.filter(own, lambda w, i: F.array_position(low, F.lower(w)) == i + 1), 1, most)
+
+
 def capitalised(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
 

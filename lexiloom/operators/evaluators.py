@@ -13,6 +13,8 @@ from ..functions import text as T
 
 # Token counts of the length labels.
 BANDS = {"short": (2, 5), "short_expanded": (4, 8), "medium": (5, 9), "long": (10, 16)}
+# A checker's categories that count as grammar.
+GRAMMAR_CATEGORIES = ("AGREEMENT_VERBS", "AGREEMENT_NOUNS", "GRAMMAR", "MISSPELLING", "CONFUSIONS")
 
 
 def _norm(tokens: Column) -> Column:
@@ -69,9 +71,14 @@ def clause_count(rows: DataFrame) -> DataFrame:
     return rows.select("sentence_id", F.lit("clause_count").alias("evaluator"), (F.least(n, F.lit(4)) / 4).alias("score"), F.to_json(F.struct(n.alias("clause_count"))).alias("details"))
 
 
-def grammar(rows: DataFrame, categories: tuple[str, ...]) -> DataFrame:
+def of_categories(matches: Column, categories: tuple[str, ...] = GRAMMAR_CATEGORIES) -> Column:
+    """The matches of these categories."""
+    return F.filter(matches, lambda m: m["category"].isin(*categories))
+
+
+def grammar(rows: DataFrame, categories: tuple[str, ...] = GRAMMAR_CATEGORIES) -> DataFrame:
     """From a checker's matches, array<struct<category, message>>: 1 without a match of the categories."""
-    kept = F.filter("matches", lambda m: m["category"].isin(*categories))
+    kept = of_categories(F.col("matches"), categories)
     details = F.struct(F.size(kept).alias("match_count"), F.size("matches").alias("total_match_count"), F.size(T.words(F.col("text"))).alias("token_count"))
     return rows.select("sentence_id", F.lit("grammar").alias("evaluator"), (F.size(kept) == 0).cast("double").alias("score"), F.to_json(details).alias("details"))
 
@@ -79,7 +86,7 @@ def grammar(rows: DataFrame, categories: tuple[str, ...]) -> DataFrame:
 def perplexity(rows: DataFrame) -> DataFrame:
     """From a model's mean_nll: exp(-nll) within 0 and 1, and the perplexity; 0 with an error without one."""
     details = F.struct(F.round(F.exp("mean_nll"), 6).alias("perplexity"), F.when(F.col("mean_nll").isNull(), "no_scoreable_tokens").alias("error"))
-    score = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.exp(-F.col("mean_nll")))), F.lit(0.0))
+    score = F.when(F.col("mean_nll").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.exp(-F.col("mean_nll"))))  # least() skips nulls
     return rows.select("sentence_id", F.lit("fluency_perplexity").alias("evaluator"), score.alias("score"), F.to_json(details).alias("details"))
 
 
@@ -91,9 +98,16 @@ def naturalness(rows: DataFrame) -> DataFrame:
 
 
 def grammar_stub(rows: DataFrame) -> DataFrame:
-    """The mean of three tests: the keyword's first three letters occur, a translation, a sentence."""
-    tests = [F.contains(F.lower("text"), F.lower(F.substring("keyword", 1, 3))), F.trim("translation") != "", F.trim("text") != ""]
-    return rows.select("sentence_id", F.lit("grammar_stub").alias("evaluator"), (sum((F.coalesce(t, F.lit(False)).cast("double") for t in tests), F.lit(0.0)) / 3).alias("score"), F.lit(None).cast("string").alias("details"))
+    """The mean of three tests: the keyword's first three letters occur (without a keyword they do), a translation, a sentence."""
+    given = lambda c: F.coalesce(F.col(c), F.lit(""))
+    tests = {
+        "has_keyword_stem": F.contains(F.lower(given("text")), F.lower(F.substring(given("keyword"), 1, 3))),
+        "has_translation": F.rlike(given("translation"), F.lit("(?U)\\S")),
+        "is_nonempty": F.rlike(given("text"), F.lit("(?U)\\S")),
+    }
+    score = F.round(sum((t.cast("double") for t in tests.values()), F.lit(0.0)) / 3, 4)
+    details = F.to_json(F.struct(*[t.alias(name) for name, t in tests.items()]))
+    return rows.select("sentence_id", F.lit("grammar_stub").alias("evaluator"), score.alias("score"), details.alias("details"))
 
 
 def verb_morphology(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,3 +148,26 @@ def distractors(questions: DataFrame, pool: DataFrame, seed: int, n: int = 3) ->
     far = far.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("h", "distractor"))).filter(F.col("rank") <= n)
     columns = ["id", "distractor", "rank"]
     return near.join(full, "id").select(*columns).union(far.select(*columns))
+
+
+def rank_within(rows: DataFrame, cell: str, order: list[Column], name: str = "rank") -> DataFrame:
+    """The place of each row in its cell, from the ranks of the whole table, so that a large cell isn't one task's."""
+    ranked = global_rank(rows, [F.asc(cell), *order]).drop("n")
+    first = ranked.groupBy(F.col(cell).alias("__cell")).agg(F.min("rank").alias("__first"))
+    joined = ranked.join(first, F.col(cell).eqNullSafe(F.col("__cell")))
+    return joined.withColumn("__place", (F.col("rank") - F.col("__first") + 1).cast("long")).drop("rank", "__cell", "__first").withColumnRenamed("__place", name)
+
+
+def sample_where(rows: DataFrame, k: int, seed: int, key: str, predicates: dict[str, Column]) -> DataFrame:
+    """k rows in hash order of those that fit, for each predicate; a row may be picked for several."""
+    one = lambda name, fits: rows.filter(fits).orderBy(hash_order(seed, key), key).limit(k).withColumn("predicate", F.lit(name))
+    return reduce(DataFrame.unionByName, [one(name, fits) for name, fits in predicates.items()])
+
+
+def fixed_pair(rows: DataFrame, k: int, kind: str, pair: tuple[str, str], group: str, order: str) -> DataFrame:
+    """k rows: the first of each of the two kinds by ``order``, then the groups' first rows, their second ones, and so on."""
+    first = rows.filter(F.col(kind).isin(*pair)).groupBy(F.col(kind).alias("__kind")).agg(F.min(order).alias("__first"))
+    turned = rows.withColumn("__turn", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    marked = turned.join(first, (F.col(kind) == F.col("__kind")) & (F.col(order) == F.col("__first")), "left")
+    place = F.when(F.col("__kind") == pair[0], 0).when(F.col("__kind") == pair[1], 1).otherwise(2)
+    return marked.orderBy(place, "__turn", group).limit(k).drop("__turn", "__kind", "__first")

@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.functions import forms, judge
+from lexiloom.functions import forms, judge, prompts
 from lexiloom.functions import text as T
-from lexiloom.operators import metrics, paradigm
+from lexiloom.operators import evaluators, metrics, paradigm
 
 HABLAR = ["hablo", "hablas", "habla", "hablamos", "habláis", "hablan"]
 
@@ -82,3 +82,20 @@ def test_accents_folded_are_the_welsh_ones(spark):
 @pytest.mark.parametrize(("text", "spanish"), [("the verb does not agree with the subject", False), ("el verbo no concuerda con el sujeto", True), ("ningún problema aunque raro", True), ("verb y sujeto", True), ("xyz", False)])
 def test_function_words(spark, text, spanish):
     assert _one(spark, judge.mostly_spanish(F.col("t")), t=text) is spanish
+
+
+def test_stub_without_a_keyword_and_perplexity_without_tokens(spark):
+    rows = spark.createDataFrame([(1, "Yo hablo", None, " "), (2, "", "hablar", "I speak"), (3, "Yo como", "hablar", "I eat")], "sentence_id int, text string, keyword string, translation string")
+    assert [r.score for r in evaluators.grammar_stub(rows).orderBy("sentence_id").collect()] == [0.6667, 0.3333, 0.6667]
+    scored = evaluators.perplexity(spark.createDataFrame([(1, None), (2, 0.0), (3, -1.0)], "sentence_id int, mean_nll double")).orderBy("sentence_id")
+    assert [r.score for r in scored.collect()] == [0.0, 1.0, 1.0]
+
+
+def test_keyterms_and_demonstrations(spark):
+    row = spark.range(1).select(
+        T.keyterms(F.lit("¿Hola, HOLA mundo! — mundo, Ana")).alias("terms"),
+        F.round(forms.quality_score(F.lit("correr"), F.lit(4.0)), 6).alias("quality"),
+        prompts.demonstration_block(F.array(F.struct(F.lit("hablar").alias("verb"), F.lit("speak").alias("translation"), F.lit("present").alias("label"), F.lit("Yo hablo.").alias("sentence")))).alias("block"),
+    ).first()
+    assert row.terms == ["Hola", "mundo", "Ana"] and row.quality == 4.03
+    assert row.block == prompts.HEAD + "\n\nExample 1 — hablar (to speak), present:\nYo hablo.\n\n---"
