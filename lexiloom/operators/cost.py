@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WATTS = 165.0
@@ -40,3 +40,21 @@ def marginal(steps: DataFrame, arms: DataFrame) -> DataFrame:
 def energy(runs: DataFrame, watts: float = WATTS) -> DataFrame:
     """GPU seconds and watt hours."""
     return runs.withColumn("gpu_s", F.round(F.col("ms") / 1000, 6)).withColumn("wh", F.round(F.col("ms") / 1000 * watts / 3600, 9))
+
+
+# Marks of a model's size in its name, and rows a batch by workload and size.
+SIZE_MARKS = (("0.6b", "qwen06b"), ("1.7b", "qwen17b"), ("4b", "qwen4b"))
+BATCH_ROWS = {
+    "short": {"qwen06b": 32, "qwen17b": 32, "qwen4b": 16, "default": 32},
+    "medium": {"qwen06b": 16, "qwen17b": 16, "qwen4b": 8, "default": 16},
+    "json": {"qwen06b": 16, "qwen17b": 16, "qwen4b": 8, "default": 16},
+    "heavy": {"qwen06b": 8, "qwen17b": 8, "qwen4b": 4, "default": 8},
+    "beam": {"qwen06b": 8, "qwen17b": 4, "qwen4b": 2, "default": 4},
+}
+
+
+def batch_rows(model: Column, workload: Column, override: Column) -> Column:
+    """Rows a batch: the override, else by the workload and the size in the model's name; null for an unknown workload."""
+    size = F.coalesce(*[F.when(F.contains(F.lower(model), F.lit(mark)), key) for mark, key in SIZE_MARKS], F.lit("default"))
+    table = F.create_map(*[F.lit(x) for kind, own in BATCH_ROWS.items() for key, n in own.items() for x in (f"{kind} {key}", n)])
+    return F.coalesce(override.cast("int"), F.try_element_at(table, F.concat_ws(" ", workload, size)))

@@ -109,3 +109,10 @@ def resolved_spans(texts: DataFrame, vocab: DataFrame, id_: str = "text_id") ->
         id_, "token", "start", "end", "normalized", F.when(F.size("candidates") == 1, F.col("candidates")[0]).alias("vocab_id"),
         F.coalesce("candidates", F.array().cast("array<bigint>")).alias("candidates"), F.when(F.size("candidates") == 1, 1.0).when(n > 1, 0.5).otherwise(0.0).alias("confidence"),
     )
+
+
+def enqueue(lexemes: DataFrame, jobs: DataFrame) -> DataFrame:
+    """New enrichment jobs (lexeme_id, status, requested_fields): of lexemes that need one and have none pending."""
+    waiting = jobs.filter("status = 'pending'").select(F.col("lexeme_id").alias("id"))
+    open_ = lexemes.filter(needs_enrichment(F.col("enrichment_status"))).join(waiting, "id", "left_anti")
+    return open_.select(F.col("id").alias("lexeme_id"), F.lit("pending").alias("status"), missing_fields(open_).alias("requested_fields"))

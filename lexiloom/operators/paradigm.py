@@ -122,3 +122,17 @@ def score(rows: DataFrame) -> DataFrame:
 def participle_correct(expected: Column, raw: Column) -> Column:
     """Whether the reply's first word is the gold form."""
     return normal_form(first_token(raw)) == normal_form(expected)
+
+
+def package(tokens: Column, aux: Column, particle: Column, forms: Column, packages: Column) -> Column:
+    """aux_ok, particle_ok, form_ok and package_ok of a reply in several words: one of the packages (arrays of tokens) as it
+    stands, or all the parts that are asked for. An empty ``aux`` and an empty particle ask for nothing; no tokens fail in all."""
+    said = F.size(tokens) > 0
+    whole = F.array_join(tokens, " ")
+    one_of = lambda wanted: F.exists(wanted, lambda w: F.array_contains(tokens, w) | (w == whole))
+    own = F.coalesce(particle, F.lit(""))
+    parts = {"aux_ok": (F.size(aux) == 0) | one_of(aux), "particle_ok": (own == "") | F.array_contains(tokens, own), "form_ok": one_of(forms)}
+    held = {name: F.coalesce(said & ok, F.lit(False)) for name, ok in parts.items()}
+    exact = said & F.exists(packages, lambda p: p == tokens)
+    every = held["aux_ok"] & held["particle_ok"] & held["form_ok"]
+    return F.struct(*[ok.alias(name) for name, ok in held.items()], (F.coalesce(exact, F.lit(False)) | every).alias("package_ok"))

@@ -76,13 +76,18 @@ def by_quota(rows: DataFrame, quotas: DataFrame, seed: int, key: str, *strata: s
     return rows.join(F.broadcast(quotas.select(*strata, "quota")), list(strata)).withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= F.col("quota"))
 
 
-def capped_quotas(capacity: dict, n: int) -> dict:
-    """n dealt in turns over strata (a few dozen, on the driver) without passing any capacity."""
-    out = dict.fromkeys(capacity, 0)
-    while n and (open_ := [k for k in sorted(capacity) if out[k] < capacity[k]]):
-        for k in open_[:n]:
+def capped_quotas(sizes: dict, capacity: dict, n: int) -> dict:
+    """n dealt over strata (a few dozen, on the driver): the whole part of each one's share within its capacity, then one by one
+    in turns, the largest remainder first. A ValueError where the capacities, or the strata, hold fewer than n."""
+    room = {k: min(size, capacity.get(k, 0)) for k, size in sizes.items()}
+    if sum(room.values()) < n:
+        raise ValueError(f"capacity for {sum(room.values())} of {n}")
+    share = {k: n * size / sum(sizes.values()) for k, size in sizes.items()}
+    out = {k: min(room[k], int(share[k])) for k in sizes}
+    turns = sorted(sizes, key=lambda k: (out[k] - share[k], k))
+    while left := n - sum(out.values()):
+        for k in [k for k in turns if out[k] < room[k]][:left]:
             out[k] += 1
-        n -= len(open_[:n])
     return out
 
 

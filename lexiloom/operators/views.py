@@ -159,3 +159,29 @@ def apply_view(items: DataFrame, view: View, now: Column) -> DataFrame:
     place = Window.partitionBy("group_key").orderBy(*ordering(view.sorts))
     own = columns(view, items.columns)
     return kept.select("id", "group_key", label(F.col("group_key"), view.group_by).alias("group_label"), F.row_number().over(place).alias("position"), *own)
+
+
+# The columns of each layout, and the views that a new workspace starts with (name, icon, layout).
+TABLE_PROPERTIES = ("word", "lemma", "translation", "pos", "cefr", "tags", "createdAt", "box", "nextDue")
+GALLERY_PROPERTIES = ("word", "translation", "tags", "learned")
+BOARD_PROPERTIES = ("word", "translation")
+SEEDED = (("All words", "📋", "table"), ("Cards", "🖼️", "gallery"), ("Review queue", "📅", "table"))
+
+
+def default_view(layout: str) -> View:
+    """The view of a layout that has none yet: newest first, a board by learned."""
+    shown_ = {"gallery": GALLERY_PROPERTIES, "board": BOARD_PROPERTIES}.get(layout, TABLE_PROPERTIES)
+    return View(sorts=(("createdAt", "desc"),), group_by="learned" if layout == "board" else None, visible=shown_, order=shown_)
+
+
+def review_queue() -> View:
+    """What isn't learned or is due, what falls due first at the top."""
+    own = ("word", "translation", "box", "nextDue", "learned")
+    return View(query=Query(learned="not_learned", due="due_now", status_match="any"), sorts=(("nextDue", "asc"),), visible=own, order=own)
+
+
+def seeded(workspaces: DataFrame, views: DataFrame) -> DataFrame:
+    """The starting views, by position, of workspaces without any view."""
+    rows = F.array(*[F.struct(F.lit(at).alias("position"), F.lit(n).alias("name"), F.lit(i).alias("icon"), F.lit(k).alias("layout")) for at, (n, i, k) in enumerate(SEEDED)])
+    bare = workspaces.select("workspace_id").join(views.select("workspace_id"), "workspace_id", "left_anti")
+    return bare.select("workspace_id", F.inline(rows))

@@ -1,4 +1,4 @@
-"""Evaluators, word scores, orders and prompts (C, H, J), each with SQL of its own."""
+"""Evaluators, word scores, orders, prompts, views and queues (C, G, H, J, M, N), each with SQL of its own."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import forms, prompts
 from ..functions import text as T
-from ..operators import evaluators, sampling
-from .tables import sql_tokens, table
+from ..operators import cost, evaluators, lexemes, paradigm, sampling, views
+from .tables import VOCAB, sql_tokens, table, vocab_items
 
 QUERIES, SQL = {}, {}
 
@@ -161,3 +161,72 @@ def j_43(spark, sf_dir):
     picked = sampling.per_cell(table(spark, sf_dir, "part"), 3, 4, "p_partkey", "p_brand")  # three a brand, so its list is short
     own = F.struct("rank", _word().alias("verb"), sense.alias("translation"), F.col("p_brand").alias("label"), F.col("p_name").alias("sentence"))
     return picked.groupBy("p_brand").agg(F.array_sort(F.collect_list(own)).alias("own")).select("p_brand", prompts.demonstration_block(F.col("own")).alias("block"))
+
+
+# views, queues, quotas and packages ----------------------------------------------------------------------------------------------
+@register("m_03_default_board", f"""
+WITH {VOCAB}
+SELECT id, CAST(learned AS VARCHAR) AS group_key, CASE WHEN learned THEN 'Learned' ELSE 'Not learned' END AS group_label, CAST(row_number() OVER (PARTITION BY learned ORDER BY created_at DESC, id) AS INT) AS position, word, translation FROM vocab""")
+def m_03(spark, sf_dir):
+    return views.apply_view(vocab_items(spark, sf_dir), views.default_view("board"), F.lit(0))
+
+
+@register("g_19_seed_views", """
+SELECT c_custkey AS workspace_id, CAST(i AS INT) AS position, ['All words', 'Cards', 'Review queue'][i + 1] AS name, ['📋', '🖼️', '📅'][i + 1] AS icon, ['table', 'gallery', 'table'][i + 1] AS layout
+FROM (SELECT c_custkey, unnest(range(3)) AS i FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) x""")
+def g_19(spark, sf_dir):
+    own = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("workspace_id"))
+    return views.seeded(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("workspace_id")), own)
+
+
+@register("n_04_enqueue", """
+WITH l AS (SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN '' ELSE p_name END AS lemma, CASE WHEN p_partkey % 7 <> 0 THEN 'noun' END AS pos, p_size % 4 = 0 AS untagged, CASE p_size % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'enriched' ELSE 'complete' END AS s FROM part)
+SELECT id AS lexeme_id, 'pending' AS status, array_to_string(list_filter([CASE WHEN lemma = '' THEN 'lemma' END, CASE WHEN pos IS NULL THEN 'pos' END, CASE WHEN untagged THEN 'tags' END, 'gloss_primary'], lambda f: f IS NOT NULL), ',') AS requested_fields
+FROM l WHERE s <> 'enriched' AND id NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)""")
+def n_04(spark, sf_dir):
+    size = F.col("p_size")
+    entries = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.when(size % 5 == 0, "").otherwise(F.col("p_name")).alias("lemma"), F.when(F.col("p_partkey") % 7 != 0, "noun").alias("pos"),
+        F.when(size % 4 != 0, F.array("p_type")).otherwise(F.array().cast("array<string>")).alias("tags"), F.lit("").alias("gloss_primary"),
+        F.when(size % 3 == 0, "pending").when(size % 3 == 1, "enriched").otherwise("complete").alias("enrichment_status"),
+    )
+    status = F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45), "pending").otherwise("done")
+    jobs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("lexeme_id"), status.alias("status"))
+    return lexemes.enqueue(entries, jobs).withColumn("requested_fields", F.array_join("requested_fields", ","))
+
+
+@register("h_17_capped_quotas", """
+WITH s AS (SELECT p_brand, count(*) AS size, least(count(*), count(*) FILTER (p_size < 20)) AS room FROM part GROUP BY p_brand),
+x AS (SELECT *, 40 * size / CAST(sum(size) OVER () AS DOUBLE) AS share FROM s), q AS (SELECT *, least(room, CAST(floor(share) AS BIGINT)) AS base FROM x),
+t AS (SELECT *, 40 - sum(base) OVER () AS remaining, row_number() OVER (ORDER BY base - share, p_brand) AS turn FROM q),
+e AS (SELECT p_brand, row_number() OVER (ORDER BY cycle, turn) AS k, remaining FROM (SELECT p_brand, turn, remaining, unnest(range(room - base)) AS cycle FROM t) c)
+SELECT t.p_brand, t.base + count(e.k) AS quota FROM t LEFT JOIN e ON t.p_brand = e.p_brand AND e.k <= e.remaining GROUP BY t.p_brand, t.base""")
+def h_17(spark, sf_dir):
+    # the strata are the 25 brands: their table is small
+    counts = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("size"), F.count_if(F.col("p_size") < 20).alias("room")).collect()
+    quotas = sampling.capped_quotas({r.p_brand: r["size"] for r in counts}, {r.p_brand: r.room for r in counts}, 40)
+    return spark.createDataFrame(list(quotas.items()), "p_brand string, quota long")
+
+
+@register("j_49_package", f"""
+WITH r AS (SELECT p_partkey, p_size, {sql_tokens('p_name')} AS ws FROM part),
+f AS (SELECT p_partkey, p_size % 3 = 0 OR p_size % 3 = 1 AS aux_ok, p_size % 4 <> 1 AS particle_ok, p_size % 5 <> 0 AS form_ok, p_size % 7 = 0 AS exact FROM r)
+SELECT p_partkey, aux_ok, particle_ok, form_ok, exact OR (aux_ok AND particle_ok AND form_ok) AS package_ok FROM f""")
+def j_49(spark, sf_dir):
+    size, tokens = F.col("p_size"), T.words(F.col("p_name"))
+    none = F.array().cast("array<string>")
+    aux = F.when(size % 3 == 0, none).when(size % 3 == 1, F.array(F.lit("zz"), F.get(tokens, F.lit(0)))).otherwise(F.array(F.lit("zz")))
+    particle = F.when(size % 4 == 1, "zz").when(size % 4 != 0, F.get(tokens, F.lit(1)))
+    wanted = F.array(F.when(size % 5 == 0, "zz").otherwise(F.get(tokens, F.lit(0))))
+    packages = F.array(F.when(size % 7 == 0, tokens).otherwise(F.array(F.lit("zz"))))
+    return table(spark, sf_dir, "part").select("p_partkey", paradigm.package(tokens, aux, particle, wanted, packages).alias("x")).select("p_partkey", "x.*")
+
+
+@register("j_46_batch_rows", """
+SELECT p_partkey, CAST(CASE WHEN p_size % 6 = 0 THEN p_size ELSE
+  CASE p_partkey % 3 WHEN 0 THEN CASE WHEN p_size % 4 = 2 THEN 16 ELSE 32 END WHEN 1 THEN CASE WHEN p_size % 4 = 2 THEN 4 ELSE 8 END ELSE [8, 4, 2, 4][p_size % 4 + 1] END END AS INT) AS batch_rows FROM part""")
+def j_46(spark, sf_dir):
+    pick = lambda of, n: F.get(F.array(*[F.lit(x) for x in of]), n.cast("int"))
+    size, key = F.col("p_size"), F.col("p_partkey")
+    model, workload = pick(("M-0.6B", "m-1.7b-base", "m-4B", "other"), size % 4), pick(("short", "heavy", "beam"), key % 3)
+    return table(spark, sf_dir, "part").select("p_partkey", cost.batch_rows(model, workload, F.when(size % 6 == 0, size)).alias("batch_rows"))
