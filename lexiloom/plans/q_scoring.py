@@ -96,9 +96,9 @@ def c_22(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(forms.quality_score(verb, F.col("p_size") / 10), 6).alias("score"))
 
 
-@register("j_22_corpus_zipf", "SELECT p_partkey, round(CASE WHEN p_retailprice > 1200 THEN log10(CAST(p_retailprice AS DOUBLE) - 1200) + 3 ELSE 0e0 END, 6) AS zipf FROM part")
+@register("j_22_corpus_zipf", "SELECT p_partkey, round(CASE WHEN p_retailprice > 910 THEN log10(CAST(p_retailprice AS DOUBLE) - 910) + 3 ELSE 0e0 END, 6) AS zipf FROM part")
 def j_22(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(forms.corpus_zipf(F.col("p_retailprice").cast("double") - 1200), 6).alias("zipf"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(forms.corpus_zipf(F.col("p_retailprice").cast("double") - 910), 6).alias("zipf"))
 
 
 @register("j_52_adjacent_phrase", f"""
@@ -119,10 +119,10 @@ def j_48(spark, sf_dir):
 
 
 # orders and picks --------------------------------------------------------------------------------------------------------------
-_ZIPF_TIER = "CASE WHEN p_retailprice < 1100 THEN 'low' WHEN p_retailprice >= 1400 THEN 'high' ELSE 'mid' END"
+_ZIPF_TIER = "CASE WHEN p_size < 15 THEN 'low' WHEN p_size >= 35 THEN 'high' ELSE 'mid' END"
 
 
-@register("h_05_tier_order", f"SELECT p_partkey, tier, row_number() OVER (PARTITION BY tier ORDER BY p_retailprice DESC, p_partkey) AS place FROM (SELECT p_partkey, p_retailprice, {_ZIPF_TIER} AS tier FROM part) x")
+@register("h_05_tier_order", f"SELECT p_partkey, tier, row_number() OVER (PARTITION BY tier ORDER BY p_retailprice DESC, p_partkey) AS place FROM (SELECT *, {_ZIPF_TIER} AS tier FROM part) x")
 def h_05(spark, sf_dir):
     rows = table(spark, sf_dir, "part").withColumn("tier", F.expr(_ZIPF_TIER))
     return sampling.rank_within(rows, "tier", [F.desc("p_retailprice"), F.asc("p_partkey")], "place").select("p_partkey", "tier", "place")
@@ -130,9 +130,9 @@ def h_05(spark, sf_dir):
 
 @register("h_18_sample_where", """
 WITH h AS (SELECT *, md5('3:' || p_partkey) AS h FROM part)
-SELECT * FROM (SELECT 'small' AS predicate, p_partkey FROM h WHERE p_size < 10 ORDER BY h, p_partkey LIMIT 15) a UNION ALL SELECT * FROM (SELECT 'dear', p_partkey FROM h WHERE p_retailprice > 1300 ORDER BY h, p_partkey LIMIT 15) b""")
+SELECT * FROM (SELECT 'small' AS predicate, p_partkey FROM h WHERE p_size < 10 ORDER BY h, p_partkey LIMIT 15) a UNION ALL SELECT * FROM (SELECT 'large', p_partkey FROM h WHERE p_size > 40 ORDER BY h, p_partkey LIMIT 15) b""")
 def h_18(spark, sf_dir):
-    return sampling.sample_where(table(spark, sf_dir, "part"), 15, 3, "p_partkey", {"small": F.col("p_size") < 10, "dear": F.col("p_retailprice") > 1300}).select("predicate", "p_partkey")
+    return sampling.sample_where(table(spark, sf_dir, "part"), 15, 3, "p_partkey", {"small": F.col("p_size") < 10, "large": F.col("p_size") > 40}).select("predicate", "p_partkey")
 
 
 @register("h_23_fixed_pair", f"""
@@ -173,9 +173,9 @@ def m_03(spark, sf_dir):
 
 @register("g_19_seed_views", """
 SELECT c_custkey AS workspace_id, CAST(i AS INT) AS position, ['All words', 'Cards', 'Review queue'][i + 1] AS name, ['📋', '🖼️', '📅'][i + 1] AS icon, ['table', 'gallery', 'table'][i + 1] AS layout
-FROM (SELECT c_custkey, unnest(range(3)) AS i FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) x""")
+FROM (SELECT c_custkey, unnest(range(3)) AS i FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)) x""")
 def g_19(spark, sf_dir):
-    own = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("workspace_id"))
+    own = table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("workspace_id"))
     return views.seeded(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("workspace_id")), own)
 
 
