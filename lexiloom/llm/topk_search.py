@@ -1,14 +1,15 @@
 """Exact top-k search by inner product over integer vectors.
 
-Method: no-random-access aggregation. Candidates are dealt into blocks, and each block has a sorted list for every dimension.
-A query reads the lists in turn from the end that its weight's sign favours, deeper where its weight is larger, and keeps for
-each candidate a lower and an upper bound: the sum of what was read, and for the rest the smaller of what the lists' last
-values allow and of the product of the unread parts' norms. A candidate whose upper bound is under the bar can't qualify; the
-bar is the k-th lower bound, or the k-th score of another block if that is higher. Reading stops when few can qualify, and
-their scores are resolved.
+Method: no-random-access aggregation. Candidates are dealt into blocks and tiles, and each tile has a sorted list for every
+dimension. A query reads the lists from the end that its weight's sign favours. Its upper bound for a candidate takes what was
+read, and for the rest the list's last value read; its lower bound takes the smaller loss of the lists' far ends and of the
+product of the unread parts' norms. A candidate whose upper bound is under the bar can't qualify; the bar is the k-th lower
+bound, or the k-th score of another tile or block if that is higher. A query stops reading when few can qualify, and their
+scores are resolved. The upper bounds of many queries at one depth are one matrix product: positive weights meet
+max(value, last value), negative ones min(value, last value).
 
 Spark deals query blocks against candidate blocks. The cells of the first block run before the others and give each query its
-bar. A cell returns k rows a query, and a window picks the k best of these.
+bar; within a cell, a tile's scores raise the bar of the next. A cell returns k rows a query, and a window picks the k best.
 """
 
 from __future__ import annotations
@@ -22,20 +23,23 @@ from .spark_tools import checkpointed
 
 K = 5
 SCALE = 256
-CANDIDATE_BLOCK = 4096
+CANDIDATE_BLOCK = 16384
 QUERY_BLOCK = 16384
-#: Depths of the rounds: shares of the list of a query's largest weight; other lists are read less deep, in proportion to theirs.
-ROUNDS = (1.0, 1.4, 1.9, 2.6, 4.0)
+#: Candidates whose lists are sorted and read together, and queries that read them together.
+TILE, QUERY_TILE = 4096, 256
+#: Depths of the rounds as shares of a list: bounds are looked at after each sixteenth. At the last, all is read and the upper
+#: bound is the score.
+ROUNDS = (0.5, 0.5625, 0.625, 0.6875, 0.75, 0.8125, 1.0)
 #: The share of candidates at which their scores are resolved.
 _FEW = 0.05
+#: Pairs whose scores are resolved at a time.
+_PAIRS = 1 << 15
 _LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 def _best(query: np.ndarray, candidate: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of each query's k best pairs, ties to the smaller id."""
-    order = np.lexsort((ids[candidate], -score.astype(np.float64), query))
-    if score.dtype != np.float64:  # whole numbers that floating point can't tell apart
-        order = np.array(sorted(range(len(query)), key=lambda i: (query[i], -int(score[i]), ids[candidate[i]])), np.int64)
+    """Positions of each query's k best pairs, in order of queries, ties to the smaller id."""
+    order = np.lexsort((ids[candidate], ~score, query))
     q = query[order]
     first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.empty(0, np.int64)
     size = np.diff(np.append(first, len(q)))
@@ -43,42 +47,55 @@ def _best(query: np.ndarray, candidate: np.ndarray, score: np.ndarray, ids: np.n
 
 
 class _Lists:
-    """A block's sorted lists: the values by rank, each candidate's rank in each list, and what bounds need."""
+    """A tile's sorted lists, and what bounds need at each depth."""
 
     def __init__(self, x: np.ndarray):
-        order = np.argsort(x, axis=0, kind="stable")
-        self.x, self.sorted = x, np.take_along_axis(x, order, axis=0)
-        self.rank = np.empty(x.shape, np.int32)
-        np.put_along_axis(self.rank, order, np.broadcast_to(np.arange(len(x), dtype=np.int32)[:, None], x.shape), axis=0)
-        self.squares = (x * x).sum(axis=1)
-        self.dims = np.arange(x.shape[1])
-
-    def search(self, q: np.ndarray, own: int, bar: float, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Candidates that can qualify, their scores, and the number of list entries read."""
+        self.x, self.sorted, self.depths = x, np.sort(x, axis=0), {}
+
+    def at(self, depth: float) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """Entries read of each list, the last values from the upper and the lower end, and the candidates' values as bounds see them."""
+        if depth not in self.depths:
+            n = len(self.x)
+            read = int(np.ceil(n * depth))
+            up, down = self.sorted[n - read], self.sorted[read - 1]
+            self.depths[depth] = read, up, down, np.hstack([np.maximum(self.x, up), np.minimum(self.x, down)])
+        return self.depths[depth]
+
+    def lower(self, q: np.ndarray, candidates: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+        """Lower bounds of some candidates of each query: (queries, candidates)."""
+        x, q = self.x[candidates], q[:, None, :]
+        seen = np.where(q > 0, x >= up, x <= down)
+        known, rest = np.where(seen, x * q, 0.0).sum(axis=2), ~seen
+        norms = np.sqrt(np.where(rest, x * x, 0.0).sum(axis=2) * np.where(rest, q * q, 0.0).sum(axis=2))
+        far = np.where(rest, q * np.where(q > 0, self.sorted[0], self.sorted[-1]), 0.0).sum(axis=2)
+        return known + np.maximum(far, -norms * (1 + 1e-9) - 1e-3 * (norms > 0))
+
+    def search(self, q: np.ndarray, own: np.ndarray, bars: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Pairs of queries and candidates that can qualify, and the number of list entries read; raises missing bars in place."""
         n, dims = self.x.shape
-        up, weight = q > 0, np.abs(q)
-        alive = np.arange(n) if own < 0 else np.delete(np.arange(n), own)
-        share = weight / max(weight.max(initial=0), 1.0)
-        read = 0
+        both = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
+        open_, barless, found, entries = np.arange(len(q)), np.isneginf(bars), [], 0
         for depth in ROUNDS:
-            depths = np.minimum(n, np.ceil(n * depth * share)).astype(np.int64)
-            read = int(depths.sum())
-            # the last value read, and the far end: what an unread candidate has lies between them
-            last = np.where(up, self.sorted[np.clip(n - depths, 0, n - 1), self.dims], self.sorted[np.clip(depths - 1, 0, n - 1), self.dims])
-            far = np.where(up, self.sorted[0], self.sorted[-1])
-            ranks = self.rank[alive]
-            seen = np.where(up, ranks >= n - depths, ranks < depths)
-            known = np.where(seen, self.x[alive], 0.0)
-            sums, unread = known @ q, (~seen).astype(np.float64)
-            norm = np.sqrt(np.maximum(self.squares[alive] - (known * known).sum(axis=1), 0) * (unread @ (q * q))) * (1 + 1e-9) + 1e-6
-            upper = sums + np.minimum(unread @ (q * last), norm)
-            lower = sums + np.maximum(unread @ (q * far), -norm)
-            if len(alive) >= k:
-                bar = max(bar, np.partition(lower, len(alive) - k)[len(alive) - k] - 1e-3)
-            alive = alive[upper >= bar]
-            if len(alive) <= max(k, _FEW * n):
+            read, up, down, values = self.at(depth)
+            upper = both[open_] @ values.T
+            mine = np.flatnonzero(own[open_] >= 0)
+            upper[mine, own[open_[mine]]] = -np.inf
+            fresh = np.flatnonzero(barless[open_])
+            if len(fresh) and n > k:  # one of n may be the query's own row
+                likely = np.argpartition(upper[fresh], n - k, axis=1)[:, n - k :]
+                at = open_[fresh]
+                bars[at] = np.maximum(bars[at], self.lower(q[at], likely, up, down).min(axis=1))
+            can = upper >= bars[open_, None]
+            can[mine, own[open_[mine]]] = False
+            stops = (can.sum(axis=1) <= max(k, _FEW * n)) | (depth == ROUNDS[-1])
+            a, c = np.nonzero(can[stops])
+            found.append((open_[stops][a], c))
+            entries += int(stops.sum()) * dims * read
+            open_ = open_[~stops]
+            if not len(open_):
                 break
-        return alive, self.x[alive] @ q, read
+        a, c = (np.concatenate(x) for x in zip(*found, strict=True))
+        return a, c, entries
 
 
 def search_block(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int = K, bars: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -87,29 +104,40 @@ def search_block(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarra
     Vectors too large for exact floating point take the plain product in whole numbers; scores beyond a long are its ends.
     """
     dims = max(1, vectors.shape[1])
-    bars = np.full(len(queries), -np.inf) if bars is None else bars
+    bars = np.full(len(queries), -np.inf) if bars is None else bars.astype(np.float64)  # a copy
     large = [np.abs(m.astype(np.float64)).max(axis=1, initial=0) * np.sqrt(dims) >= 2.0**26 for m in (queries, vectors)]
-    small = np.flatnonzero(~large[1])
-    lists = _Lists(vectors[small].astype(np.float64)) if len(small) else None
-    place = {row: i for i, row in enumerate(rows[small].tolist())}
-    whole = vectors.astype(object) if large[0].any() or large[1].any() else None
-    found, read = [], 0
-    for i, query in enumerate(queries):
-        parts = []
-        if lists is not None and not large[0][i]:
-            alive, score, n = lists.search(query.astype(np.float64), place.get(int(query_rows[i]), -1), float(bars[i]), k)
-            read += n
-            parts.append((small[alive], score))
-        if whole is not None:
+    best = [np.empty(0, np.int64)] * 3
+    read = 0
+
+    def merge(a: np.ndarray, c: np.ndarray, score: np.ndarray) -> None:
+        merged = [np.concatenate(x) for x in zip(best, (a, c, score), strict=True)]
+        keep = _best(*merged, ids, k)
+        best[:] = [x[keep] for x in merged]
+        last = np.flatnonzero(np.append(best[0][1:] != best[0][:-1], True)) if len(best[0]) else np.empty(0, np.int64)
+        full = last[np.diff(np.append(-1, last)) == k]
+        bars[best[0][full]] = np.maximum(bars[best[0][full]], best[2][full])
+
+    if large[0].any() or large[1].any():
+        whole = vectors.astype(object)
+        for i, query in enumerate(queries):
             slow = np.flatnonzero((large[0][i] | large[1]) & (rows != query_rows[i]))
             product = whole[slow] @ query.astype(object) if len(slow) else np.empty(0, object)
-            parts.append((slow, np.array([min(max(int(s), _LONG[0]), _LONG[1]) for s in product], np.int64)))
-        at = np.concatenate([p[0] for p in parts])
-        score = np.concatenate([p[1].astype(np.int64) for p in parts]) if whole is not None else parts[0][1]
-        keep = _best(np.zeros(len(at), np.int64), at, score, ids, k)
-        found.append((np.full(len(keep), i), at[keep], score[keep].astype(np.int64)))
-    a, c, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
-    return a, c, score, read
+            merge(np.full(len(slow), i), slow, np.array([min(max(int(s), _LONG[0]), _LONG[1]) for s in product], np.int64))
+    small, asking = np.flatnonzero(~large[1]), np.flatnonzero(~large[0])
+    for start in range(0, len(small), TILE):
+        tile = small[start : start + TILE]
+        lists, place = _Lists(vectors[tile].astype(np.float64)), {row: i for i, row in enumerate(rows[tile].tolist())}
+        for first in range(0, len(asking), QUERY_TILE):
+            part = asking[first : first + QUERY_TILE]
+            q, bar = queries[part].astype(np.float64), bars[part]
+            a, c, entries = lists.search(q, np.array([place.get(row, -1) for row in query_rows[part].tolist()], np.int64), bar, k)
+            read += entries
+            for at in range(0, len(a), _PAIRS):
+                i, j = a[at : at + _PAIRS], c[at : at + _PAIRS]
+                score = np.einsum("ij,ij->i", q[i], lists.x[j])
+                good = score >= bar[i]
+                merge(part[i[good]], tile[j[good]], score[good].astype(np.int64))
+    return best[0], best[1], best[2], read
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
