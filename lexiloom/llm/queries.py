@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.shipping import ensure_on_workers
 
-from . import byte_bpe, decontaminate, html_extract, language_id, line_dedup, quality, simhash_dedup, substring_dedup, token_counts, topk_search
+from . import byte_bpe, decontaminate, filter_audit, html_extract, language_id, line_dedup, quality, simhash_dedup, substring_dedup, token_counts, topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -140,6 +140,44 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals FROM t
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws),
+    100 * capitals > 2 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id
+), h AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails
+), letters AS (
+  SELECT unnest([1, 2, 3, 4, 5]) AS x
+), orders AS (
+  SELECT [a.x, b.x, c.x, d.x, 15 - a.x - b.x - c.x - d.x] AS o FROM letters a, letters b, letters c, letters d
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x])) = 4
+), steps AS (
+  SELECT o, s, o[s] AS own, o[1:s - 1] AS before FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS s)
+), each AS (
+  SELECT h.*, o, s, own, fails[own] AS now, len(list_filter(before, lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda x: x)) AS many FROM h, steps
+), counts AS (
+  SELECT part, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, s AS step, own,
+    CAST(coalesce(sum(n) FILTER (NOT now AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (now AND NOT gone), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (now AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (now AND many = 1), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (now AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (now AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM each GROUP BY part, o, s, own
+)
+SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM counts
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_html_extract": op1_html_extract,
@@ -152,8 +190,9 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": op8_line_dedup,
         "op9_token_counts": op9_token_counts,
         "op10_quality": op10_quality,
+        "op12_filter_audit": op12_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op7_topk_search": OP7_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op7_topk_search": OP7_SQL, "op8_line_dedup": OP8_SQL, "op12_filter_audit": OP12_SQL}
