@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.shipping import ensure_on_workers
 
-from . import byte_bpe, decontaminate, filter_audit, html_extract, language_id, line_dedup, quality, simhash_dedup, substring_dedup, token_counts, topk_search
+from . import byte_bpe, decontaminate, filter_audit, html_extract, language_id, line_dedup, phrase_mining, quality, simhash_dedup, substring_dedup, token_counts, topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -178,6 +178,44 @@ SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGIN
 """
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.phrase_mining(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+), w AS (
+  SELECT lang, ws FROM (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces) WHERE len(ws) > 0
+), totals AS (
+  SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang
+), starts AS (
+  SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w
+), grams AS (
+  SELECT lang, ws[i:i + k - 1] AS p FROM starts, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(ws)
+), f AS (
+  SELECT lang, p, count(*) AS a FROM grams GROUP BY lang, p HAVING count(*) >= 100
+), cuts AS (
+  SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1
+), scored AS (
+  SELECT c.lang, c.p, c.a, c.k, x.a AS l, y.a AS r, t.n, CAST((CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:c.k] JOIN f y ON y.lang = c.lang AND y.p = c.p[c.k + 1:] JOIN totals t ON t.lang = c.lang
+), least AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, q[i:i + k - 1] AS p, max(a) AS b
+  FROM (SELECT lang, p AS q, a, k, unnest(range(1, len(p) - k + 2)) AS i FROM f, (SELECT unnest([2, 3, 4]) AS k) WHERE k < len(p)) GROUP BY ALL
+), kept AS (
+  SELECT least.* FROM least LEFT JOIN inside i ON i.lang = least.lang AND i.p = least.p WHERE i.b IS NULL OR 100 * i.b < 100 * least.a
+)
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank, array_to_string(p, ' ') AS phrase, a, l, r, n, score FROM kept
+) WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_html_extract": op1_html_extract,
@@ -191,8 +229,9 @@ def queries() -> dict[str, Query]:
         "op9_token_counts": op9_token_counts,
         "op10_quality": op10_quality,
         "op12_filter_audit": op12_filter_audit,
+        "op13_phrase_mining": op13_phrase_mining,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op7_topk_search": OP7_SQL, "op8_line_dedup": OP8_SQL, "op12_filter_audit": OP12_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op7_topk_search": OP7_SQL, "op8_line_dedup": OP8_SQL, "op12_filter_audit": OP12_SQL, "op13_phrase_mining": OP13_SQL}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.checkpoints import checkpointed
@@ -11,6 +13,23 @@ from lexiloom.checkpoints import checkpointed
 HEAVY = 4096
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that spark.checkpoint.dir names; Hadoop deletes it when the application ends."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        checkpointed(spark.range(0))  # sets the folder, or says that there's none
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df read back from compressed Parquet files in the shared folder: smaller than a checkpoint, and columns can be left out."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def join_spread(rows: DataFrame, table: DataFrame, on: list[str], most: int = HEAVY) -> DataFrame:
     """The inner join of rows with a table that has one row for each key.
 
@@ -25,4 +44,4 @@ def join_spread(rows: DataFrame, table: DataFrame, on: list[str], most: int = HE
     return rows.join(few, on).unionByName(rows.join(heavy, on, "left_anti").join(table.join(heavy, on, "left_anti"), on))
 
 
-__all__ = ["HEAVY", "checkpointed", "join_spread"]
+__all__ = ["HEAVY", "checkpointed", "join_spread", "shared_folder", "written"]
