@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.shipping import ensure_on_workers
 
-from . import byte_bpe, decontaminate, filter_audit, html_extract, language_id, line_dedup, phrase_mining, quality, simhash_dedup, substring_dedup, token_counts, topk_search
+from . import byte_bpe, decontaminate, filter_audit, html_extract, language_id, line_dedup, phrase_mining, quality, simhash_dedup, substring_dedup, token_counts, token_files, topk_search
+from .spark_tools import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -140,6 +141,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "tokens")
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.digests(spark, path)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -228,6 +235,7 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": op8_line_dedup,
         "op9_token_counts": op9_token_counts,
         "op10_quality": op10_quality,
+        "op11_token_files": op11_token_files,
         "op12_filter_audit": op12_filter_audit,
         "op13_phrase_mining": op13_phrase_mining,
     }
