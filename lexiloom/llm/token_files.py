@@ -44,53 +44,51 @@ _PIECE = "struct<doc_id: long, doc: long, size: long, at: long, n: long>"
 # tokens ----------------------------------------------------------------------------------------------------------------------
 #: White space of the byte-level pattern; no token spans from another character to one of these.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_UNITS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_MARKS = r"!-/:-@\[-`{-~"
+#: White space and what follows it up to white space, or up to a mark after an ASCII letter or digit.
+_UNITS = re.compile(f"[{_SPACE}]*[{_MARKS}]*[^{_SPACE}{_MARKS}]*(?:(?<![A-Za-z0-9])[{_MARKS}]+[^{_SPACE}{_MARKS}]*)*")
+_WIDE_UNITS = re.compile(f"[{_SPACE}]*[^{_SPACE}]*")
 _CUT = re.compile(f"(?<=[^{_SPACE}])[{_SPACE}]")
-_JOINED = re.compile(f"[{_SPACE}]+[^{_SPACE}]+")
-_PART, _KNOWN, _LEARN = 1 << 20, 1 << 19, 1 << 18
+_PART, _KNOWN = 1 << 20, 3 << 18
 
 
 class TokenEncoder:
     """Ids as the tokenizers library gives them, for a byte-level model with the usual pattern.
 
-    A text falls apart where white space follows another character: the pattern has no match across such a place, and none looks
-    back, so each unit (white space and what follows it) has the same ids alone as in its text. Units are encoded once and known
-    from then on; the memory for that is bounded. New ones are encoded together, one after the other as in a text.
+    A text falls apart where white space follows another character, and where a mark follows an ASCII letter or digit: the
+    pattern has no match across such places, and none looks back, so each unit has the same ids alone as in its text. Units are
+    encoded once and known from then on; the memory for that is bounded. Strings of added tokens hold marks: texts that have one
+    fall apart at white space only.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, units: set[str]) -> None:
-        if len(self.known) + len(units) > _KNOWN:
-            self.known.clear()
-        joined = [u for u in units if _JOINED.fullmatch(u)]
-        for at in range(0, len(joined), _LEARN):
-            some = joined[at : at + _LEARN]
-            found = self.library.encode("".join(some), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            ends = np.cumsum([len(u) for u in some])
-            last = np.searchsorted([e for _, e in found.offsets], ends, "right")
-            first = np.concatenate([[0], last[:-1]])
-            raw = ids.tobytes()
-            self.known.update((u, raw[4 * a : 4 * b]) for u, a, b in zip(some, first.tolist(), last.tolist(), strict=True))
-        alone = list(units.difference(self.known))
-        for unit, found in zip(alone, self.library.encode_batch(alone, add_special_tokens=False), strict=True):
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        if any(_CUT.search(a) for a in self.added):
+            raise ValueError("an added token has white space inside")
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _learn(self, units: list[str]) -> None:
+        for unit, found in zip(units, self.library.encode_batch_fast(units, add_special_tokens=False), strict=True):
             self.known[unit] = np.array(found.ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of the text as little-endian 32-bit integers; a long text goes part by part."""
         out, at = [], 0
+        pattern = _WIDE_UNITS if any(a in text for a in self.added) else _UNITS
         while at < len(text):
             cut = _CUT.search(text, at + _PART) if len(text) - at > _PART else None
             end = cut.start() if cut else len(text)
-            units = _UNITS.findall(text, at, end)
-            new = set(units).difference(self.known)
-            if new:
-                self._learn(set(units) if len(self.known) + len(new) > _KNOWN else new)
-            out += map(self.known.__getitem__, units)
+            units = pattern.findall(text, at, end)
+            parts = list(map(self.known.get, units))
+            if None in parts:
+                new = {u for u, p in zip(units, parts, strict=True) if p is None}
+                if len(self.known) + len(new) > _KNOWN:
+                    self.known, new = {"": b""}, set(units) - {""}
+                self._learn(list(new))
+                parts = map(self.known.__getitem__, units)
+            out += parts
             at = end
         return b"".join(out)
 
