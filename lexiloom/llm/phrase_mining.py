@@ -7,11 +7,15 @@ free places stop it at the borders of pieces. Counts of shards add up.
 
 Spark does this in three rounds: counts of words; counts of pairs of frequent words; then each shard goes depth first from its
 frequent pairs to phrases of five words, by steps that are frequent pairs themselves. A phrase is as frequent as its rarest pair at
-most, so nothing is lost. Scores, containment and ranks are joins and aggregates over the frequent phrases.
+most, so nothing is lost. In each round a shard deals what it has counted into as many buckets as there are shards, by a hash, as
+packed columns: a bucket holds about as much as a shard, sums up, and tells each shard which of its words or pairs are frequent.
+Scores, containment and ranks are joins and aggregates over the frequent phrases.
 """
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .spark_tools import join_spread, written
-from .words import release, slices, string_bytes
+from .words import mix, release, slices, string_bytes
 
 MIN_COUNT, LONGEST, MOST, SHARE = 100, 5, 2000, 100
 #: Places of a shard; it ends with the text that reaches this.
 SHARD = 1 << 22
 _BITS = 16
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
+_HELD = 1 << 20
 _SALTS = 64
 
 #: A-Z in lower case, tabs as spaces, the separators of pieces as line feeds.
@@ -72,15 +77,31 @@ class _Stream:
         order = np.argsort(word, kind="stable")
         word, at = word[order], at[order]
         blocks, bits, sizes, counts = _packed(word, at, len(self.numbers) - 2)
-        words = pa.array([w.decode() for w in list(self.numbers)[2:]], pa.string())
+        words = b"\n".join(list(self.numbers)[2:])
         return pa.RecordBatch.from_arrays(
-            [pa.array([shard]), pa.array([lang], pa.string()), _lists(words, [0, len(words)]), _lists(pa.array(counts), [0, len(counts)]), *(pa.array([_planes(x)], pa.binary()) for x in (sizes, blocks, bits))],
-            ["shard", "lang", "words", "counts", "sizes", "blocks", "bits"],
+            [pa.array([shard]), pa.array([lang], pa.string()), pa.array([len(at)], pa.int64()), *(pa.array([x], pa.binary()) for x in (_zip(words), _pack(counts), *map(_planes, (sizes, blocks, bits))))],
+            ["shard", "lang", "n", "words", "counts", "sizes", "blocks", "bits"],
         )
 
 
-def _lists(values: pa.Array, ends: list[int]) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+def _zip(raw: bytes) -> bytes:
+    return struct.pack("<I", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unzip(raw: bytes) -> bytes:
+    return pa.decompress(raw[4:], struct.unpack_from("<I", raw)[0], codec="zstd", asbytes=True)
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers as planes of bytes, compressed; the first one by its differences, so sorted rows take little."""
+    first, *rest = (c.astype(np.int64) for c in columns)
+    return _zip(b"".join(x.view(np.uint8).reshape(-1, 8).T.tobytes() for x in (np.diff(first, prepend=0), *rest)))
+
+
+def _unpack(raw: bytes, many: int) -> list[np.ndarray]:
+    planes = np.frombuffer(_unzip(raw), np.uint8).reshape(many, 8, -1)
+    columns = [np.ascontiguousarray(x.T).view(np.int64).ravel() for x in planes]
+    return [np.cumsum(columns[0]), *columns[1:]]
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -204,17 +225,86 @@ def _among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == x
 
 
+def _parts(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that has rows, and these, in their order."""
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for k in np.flatnonzero(np.diff(ends)).tolist():
+        yield k, order[ends[k] : ends[k + 1]]
+
+
+def _bucket(columns: list[np.ndarray], buckets: int) -> np.ndarray:
+    key = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        key = mix(key ^ c.astype(np.uint64), 5)
+    return (key % np.uint64(buckets)).astype(np.int64)
+
+
+def _sums(columns: list[np.ndarray], n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows with the same columns whose n add up to ``least``: all rows, the first row of each, its sum."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    starts = np.flatnonzero(new)
+    sums = np.add.reduceat(n[order], starts)
+    often = sums >= least
+    return order[np.repeat(often, np.diff(np.append(starts, len(order))))], order[starts[often]], sums[often]
+
+
+def _deal_words(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, lang, words, counts in zip(*(batch.column(c).to_pylist() for c in ("shard", "lang", "words", "counts")), strict=True):
+                words, counts = _unzip(words).split(b"\n"), _unpack(counts, 1)[0]
+                if not len(counts):
+                    continue
+                seed = zlib.crc32(lang.encode())
+                for k, rows in _parts(np.array([zlib.crc32(w, seed) % buckets for w in words], np.int64), buckets):
+                    own = _zip(b"\n".join([words[i] for i in rows.tolist()]))
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x]) for x in (k, shard, lang)), *(pa.array([x], pa.binary()) for x in (own, _pack(rows, counts[rows])))], ["bucket", "shard", "lang", "words", "places"])
+
+    return run
+
+
+_WORDS = "shard long, known binary, lang string, id long, word string, f long"
+
+
+def _often_words(buckets: int, least: int):
+    """Frequent words, numbered, and which of them each shard has."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        counts: dict[tuple[str, bytes], int] = {}
+        rows = []
+        for shard, lang, words, places in zip(*(table.column(c).to_pylist() for c in ("shard", "lang", "words", "places")), strict=True):
+            words, (place, n) = _unzip(words).split(b"\n"), _unpack(places, 2)
+            rows.append((shard, lang, words, place))
+            for w, k in zip(words, n.tolist(), strict=True):
+                counts[lang, w] = counts.get((lang, w), 0) + k
+        often = sorted(w for w, n in counts.items() if n >= least)
+        number = {w: key[0].as_py() + buckets * i for i, w in enumerate(often)}
+        out = [{"lang": lang, "id": number[lang, w], "word": w.decode(), "f": counts[lang, w]} for lang, w in often]
+        for shard, lang, words, place in rows:
+            own = [(number[lang, w], p) for w, p in zip(words, place.tolist(), strict=True) if (lang, w) in number]
+            if own:
+                out.append({"shard": shard, "known": _pack(*np.array(sorted(own), np.int64).T)})
+        return pa.Table.from_pylist(out, pa.schema([("shard", pa.int64()), ("known", pa.binary()), ("lang", pa.string()), ("id", pa.int64()), ("word", pa.string()), ("f", pa.int64())]))
+
+    return run
+
+
 def _frequent_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bitmaps of the words that are known as frequent."""
+    """The bitmaps of the words that are known as frequent, in the order of their ids."""
     for batch in batches:
         for i in range(batch.num_rows):
             sizes, blocks, bits = (_unplaned(batch.column(c)[i].as_py(), k) for c, k in (("sizes", np.uint32), ("blocks", np.uint32), ("bits", np.uint16)))
-            known = batch.column("known")[i].values
-            place, ids = (known.field(c).to_numpy() for c in ("place", "id"))
-            order = np.argsort(place)
-            place, ids = place[order], ids[order]
-            keep = np.repeat(np.isin(np.arange(len(sizes)), place), sizes)
-            out = [_planes(x) for x in (ids, sizes[place], blocks[keep], bits[keep])]
+            ids, place = (np.concatenate(x) for x in zip(*(_unpack(x, 2) for x in batch.column("known")[i].as_py()), strict=True))
+            order = np.argsort(ids)
+            ids, place = ids[order], place[order]
+            own, starts = sizes[place].astype(np.int64), np.cumsum(sizes.astype(np.int64)) - sizes
+            rows = np.repeat(starts[place] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            out = [_planes(x) for x in (ids, sizes[place], blocks[rows], bits[rows])]
             yield pa.RecordBatch.from_arrays([batch.column("shard").slice(i, 1), *(pa.array([x], pa.binary()) for x in out)], ["shard", "ids", "sizes", "blocks", "bits"])
         release()
 
@@ -223,50 +313,103 @@ def _shard(batch: pa.RecordBatch, i: int) -> Shard:
     return Shard(*(_unplaned(batch.column(c)[i].as_py(), k) for c, k in (("ids", np.int64), ("sizes", np.uint32), ("blocks", np.uint32), ("bits", np.uint16))))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                columns = _shard(batch, i).pairs()
+                for k, rows in _parts(_bucket(columns[:2], buckets), buckets):
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), batch.column("shard").slice(i, 1), pa.array([_pack(*(c[rows] for c in columns))], pa.binary())], ["bucket", "shard", "pairs"])
+            release()
+
+    return run
+
+
+def _often_pairs(least: int):
+    """Frequent pairs with their counts, in a row without a shard, and those of each shard."""
+
+    def run(table: pa.Table) -> pa.Table:
+        each = [_unpack(x, 3) for x in table.column("pairs").to_pylist()]
+        a, b, n = (np.concatenate(x) for x in zip(*each, strict=True))
+        of = np.repeat(np.arange(len(each)), [len(x[0]) for x in each])
+        rows, first, sums = _sums([a, b], n, least)
+        shards, packed = [None], [_pack(a[first], b[first], sums)]
+        for k, own in _parts(of[rows], len(each)):
+            own = rows[own]
+            shards.append(table.column("shard")[k].as_py())
+            packed.append(_pack(a[own], b[own]))
+        return pa.table([pa.array(shards, pa.int64()), pa.array(packed, pa.binary())], ["shard", "pairs"])
+
+    return run
+
+
+def _spelt(ids: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+    ends = np.arange(len(n) + 1, dtype=np.int32) * len(ids)
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(np.stack(ids, 1).ravel())), pa.array(n)], ["phrase", "f"])
+
+
+def _two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            a, b, n = _shard(batch, i).pairs()
-            for at in range(0, len(n), 1 << 17):
-                part = slice(at, at + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n[part]), batch.column("shard")[i].as_py())), *(pa.array(x[part]) for x in (a, b, n))], ["shard", "a", "b", "n"])
-        release()
+        for raw in batch.column("pairs"):
+            a, b, n = _unpack(raw.as_py(), 3)
+            yield _spelt([a, b], n)
 
 
-def _phrases(longest: int):
+def _phrases(buckets: int, longest: int):
+    def rows(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        for length, found in held.items():
+            ids, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            columns = list(ids.T)
+            for k, own in _parts(_bucket(columns, buckets), buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([length], pa.int32()), pa.array([_pack(*(c[own] for c in columns), n[own])], pa.binary())], ["bucket", "length", "phrases"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                shard, mine = _shard(batch, i), batch.column("mine")[i].values
-                order = np.argsort(shard.ids)
-                a, b = (order[np.searchsorted(shard.ids, mine.field(c).to_numpy(), sorter=order)] for c in ("a", "b"))
-                for ids, n in shard.phrases(np.sort(a * len(order) + b), longest):
-                    ends = np.arange(len(n) + 1, dtype=np.int32) * ids.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.ravel())), pa.array(n)], ["phrase", "n"])
+                shard, held, size = _shard(batch, i), {}, 0
+                a, b = (np.searchsorted(shard.ids, np.concatenate(x)) for x in zip(*(_unpack(x, 2) for x in batch.column("mine")[i].as_py()), strict=True))
+                for ids, n in shard.phrases(np.sort(a * len(shard.ids) + b), longest):
+                    held.setdefault(ids.shape[1], []).append((ids, n))
+                    size += len(n)
+                    if size > _HELD:
+                        yield from rows(held)
+                        held, size = {}, 0
+                yield from rows(held)
             release()
 
     return run
 
 
+def _often_phrases(least: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        *columns, n = (np.concatenate(x) for x in zip(*(_unpack(x, key[1].as_py() + 1) for x in table.column("phrases").to_pylist()), strict=True))
+        _, first, sums = _sums(columns, n, least)
+        return pa.Table.from_batches([_spelt([c[first] for c in columns], sums)])
+
+    return run
+
+
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, shard: int = SHARD, lang: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables: (lang, n), the word occurrences; (lang, id, word, f), the frequent words; (phrase, f), the frequent phrases of two words or more as arrays of ids."""
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    all_shards = written(texts.mapInArrow(_shards(shard), "shard long, lang string, words array<string>, counts array<long>, sizes binary, blocks binary, bits binary"), "shards")
-    each = all_shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts"))).select("shard", "lang", F.col("pos").alias("place"), "col.words", "col.counts")
-    totals = all_shards.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
-    often = each.groupBy("lang", "words").agg(F.sum("counts").alias("f")).filter(F.col("f") >= min_count)
-    words = written(often.select("lang", F.monotonically_increasing_id().alias("id"), F.col("words").alias("word"), "f"), "words")
-
-    known = each.join(words.select("lang", F.col("word").alias("words"), "id"), ["lang", "words"]).groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("known"))
-    base = all_shards.select("shard", "sizes", "blocks", "bits").join(known, "shard")
+    shards = written(texts.mapInArrow(_shards(shard), "shard long, lang string, n long, words binary, counts binary, sizes binary, blocks binary, bits binary"), "shards")
+    totals = shards.groupBy("lang").agg(F.sum("n").alias("n"))
+    buckets = max(8, shards.count())
+
+    dealt = shards.select("shard", "lang", "words", "counts").mapInArrow(_deal_words(buckets), "bucket long, shard long, lang string, words binary, places binary")
+    found = written(dealt.groupBy("bucket").applyInArrow(_often_words(buckets, min_count), _WORDS), "words")
+    words = found.filter("shard is null").select("lang", "id", "word", "f")
+    known = found.filter("shard is not null").groupBy("shard").agg(F.collect_list("known").alias("known"))
+    base = shards.select("shard", "sizes", "blocks", "bits").join(known, "shard")
     base = written(base.mapInArrow(_frequent_only, "shard long, ids binary, sizes binary, blocks binary, bits binary"), "bitmaps")
 
-    pairs = written(base.mapInArrow(_pairs, "shard long, a long, b long, n long"), "pairs")
-    two = written(pairs.groupBy("a", "b").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count), "frequent-pairs")
-    mine = pairs.select("shard", "a", "b").join(two.select("a", "b"), ["a", "b"]).groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias("mine"))
-    more = base.join(mine, "shard").mapInArrow(_phrases(longest), "phrase array<long>, n long")
-    more = more.groupBy("phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
-    return totals, words, written(two.select(F.array("a", "b").alias("phrase"), "f").union(more), "phrases")
+    dealt = base.mapInArrow(_pairs(buckets), "bucket long, shard long, pairs binary")
+    pairs = written(dealt.groupBy("bucket").applyInArrow(_often_pairs(min_count), "shard long, pairs binary"), "pairs")
+    two = pairs.filter("shard is null").select("pairs").mapInArrow(_two, "phrase array<long>, f long")
+    mine = pairs.filter("shard is not null").groupBy("shard").agg(F.collect_list("pairs").alias("mine"))
+    more = base.join(mine, "shard").mapInArrow(_phrases(buckets, longest), "bucket long, length int, phrases binary")
+    more = more.groupBy("bucket", "length").applyInArrow(_often_phrases(min_count), "phrase array<long>, f long")
+    return totals, words, written(two.union(more), "phrases")
 
 
 def phrase_mining(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, most: int = MOST, share: int = SHARE, shard: int = SHARD, lang: str = "lang") -> DataFrame:
