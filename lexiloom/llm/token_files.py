@@ -20,7 +20,9 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +51,23 @@ _MARKS = r"!-/:-@\[-`{-~"
 _UNITS = re.compile(f"[{_SPACE}]*[{_MARKS}]*[^{_SPACE}{_MARKS}]*(?:(?<![A-Za-z0-9])[{_MARKS}]+[^{_SPACE}{_MARKS}]*)*")
 _WIDE_UNITS = re.compile(f"[{_SPACE}]*[^{_SPACE}]*")
 _CUT = re.compile(f"(?<=[^{_SPACE}])[{_SPACE}]")
-_PART, _KNOWN = 1 << 20, 3 << 18
+_PART, _HELD, _KNOWN = 1 << 20, 1 << 18, 3 << 17
+
+
+class _Known(dict):
+    """A cell for the ids of each unit. A unit that is asked for first takes its cell from the older ones, or is noted as new."""
+
+    def __init__(self, older: dict[str, list[bytes]]):
+        super().__init__()
+        self.older, self.new = older, []
+
+    def __missing__(self, unit: str) -> list[bytes]:
+        cell = self.older.get(unit)
+        if cell is None:
+            cell = []
+            self.new.append(unit)
+        self[unit] = cell
+        return cell
 
 
 class TokenEncoder:
@@ -67,30 +85,59 @@ class TokenEncoder:
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         if any(_CUT.search(a) for a in self.added):
             raise ValueError("an added token has white space inside")
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, units: list[str]) -> None:
-        for unit, found in zip(units, self.library.encode_batch_fast(units, add_special_tokens=False), strict=True):
-            self.known[unit] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids of the text as little-endian 32-bit integers; a long text goes part by part."""
-        out, at = [], 0
-        pattern = _WIDE_UNITS if any(a in text for a in self.added) else _UNITS
+        self.known = _Known({})
+
+    def _learn(self) -> None:
+        """Fills the cells of what is new; beyond the bound what is known becomes the older half."""
+        known, new = self.known, self.known.new
+        for unit, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[unit].append(array("I", found.ids).tobytes())
+        known.new = []
+        if len(known) > _KNOWN:
+            known.older = {}
+            self.known = _Known(known)
+
+    def _parts(self, text: str) -> Iterator[list[str]]:
+        """The units of a text, a long one part by part."""
+        pattern, at = _WIDE_UNITS if any(a in text for a in self.added) else _UNITS, 0
         while at < len(text):
             cut = _CUT.search(text, at + _PART) if len(text) - at > _PART else None
             end = cut.start() if cut else len(text)
-            units = pattern.findall(text, at, end)
-            parts = list(map(self.known.get, units))
-            if None in parts:
-                new = {u for u, p in zip(units, parts, strict=True) if p is None}
-                if len(self.known) + len(new) > _KNOWN:
-                    self.known, new = {"": b""}, set(units) - {""}
-                self._learn(list(new))
-                parts = map(self.known.__getitem__, units)
-            out += parts
+            yield pattern.findall(text, at, end)
             at = end
-        return b"".join(out)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit integers. What is new in the texts is encoded at once, that of a long text part by part."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[list[bytes]]]] = []
+        size = 0
+
+        def join() -> None:
+            self._learn()
+            for i, cells in held:
+                out[i].append(b"".join(map(itemgetter(0), cells)))
+            held.clear()
+
+        for i, text in enumerate(texts):
+            for units in self._parts(text):
+                held.append((i, [*map(self.known.__getitem__, units)]))
+                size += len(units)
+                if size > _HELD:
+                    join()
+                    size = 0
+        join()
+        return [b"".join(x) for x in out]
+
+    def encode_all(self, texts: Iterator[str], most: int = _PART) -> Iterator[bytes]:
+        """The ids of many texts, about ``most`` characters of them at once."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size >= most:
+                yield from self.encode(some)
+                some, size = [], 0
+        yield from self.encode(some)
 
 
 _encoders: dict[str, TokenEncoder] = {}
@@ -289,8 +336,9 @@ def _cut(path: str, end: int, block: int):
         number, held, open_, doc = 0, [], block, 0
         pieces: list[tuple] = []
         for batch in batches:
-            for doc_id, size, zipped in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "size", "zipped")), strict=True):
-                ids = np.frombuffer(library.encode(codec.decompress(zipped, size, asbytes=True).decode()) + struct.pack("<I", end), "<u4")
+            texts = (codec.decompress(zipped, size, asbytes=True).decode() for size, zipped in zip(*(batch.column(c).to_pylist() for c in ("size", "zipped")), strict=True))
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), library.encode_all(texts), strict=True):
+                ids = np.frombuffer(raw + struct.pack("<I", end), "<u4")
                 at = 0
                 while at < len(ids):
                     some = ids[at : at + open_]
@@ -361,11 +409,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END, blo
     ids, each = table.ids.astype(np.int64), table.each.astype(np.int64)
     spark.createDataFrame(list(zip(ids.tolist(), each.tolist(), strict=True)), "id long, frequency long").coalesce(1).write.parquet(f"{path}/table")
 
-    # one row for each partition
+    # one row of two numbers for each partition
     parts = blocks.groupBy("part").agg(F.sum("n").alias("own"))
     parts = parts.withColumn("before", F.sum("own").over(Window.orderBy("part")) - F.col("own")).drop("own")
     moved = F.transform("pieces", lambda p: p.withField("doc", p["doc"] + F.col("before")))
-    placed = blocks.join(parts, "part").select((F.col("first") + F.col("before")).alias("start"), "n", "ids", moved.alias("pieces"))
+    placed = blocks.join(F.broadcast(parts), "part").select((F.col("first") + F.col("before")).alias("start"), "n", "ids", moved.alias("pieces"))
     coded = placed.mapInArrow(_coded(ids.tobytes(), each.tobytes()), f"start long, n long, block binary, pieces array<{_PIECE}>")
     coded.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
