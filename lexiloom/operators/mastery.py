@@ -39,8 +39,9 @@ def fold(events: DataFrame, key: str = "vocab_id") -> DataFrame:
     """One state for each key from events (ts, event_id, outcome); skipped and unknown outcomes change nothing.
 
     The clamps make the fold order-dependent, so a key's events meet in one task; skipped ones, which are no-ops, are dropped
-    before the exchange (a key with only these has the zero state).
+    before the exchange (a key with only these has the zero state). Events without a time have no place in the order and are left out.
     """
+    events = events.filter("ts is not null")
     counted = F.col("outcome").isin("correct", "incorrect", "hinted")
     rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.when(counted, F.struct("ts", "event_id", "outcome")))).alias("e"))
     return rows.select(key, F.aggregate("e", _zero(), step).alias("s")).select(key, "s.*")

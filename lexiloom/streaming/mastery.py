@@ -1,22 +1,24 @@
-"""The spaced-repetition state kept over a stream of review events.
+"""The spaced-repetition state kept over a stream of review events, in the order of the events' times.
 
-A key's state is eight numbers, whatever its history; each micro-batch brings its events in the order of (ts, event_id). Events
-that come after a later batch's are folded when they come, as a live service does.
+Events come late and out of order. Each waits in its key's state until the watermark has passed its time, so that every event that
+the stream's delay allows for is folded in its place; a timer wakes a key that gets no further events.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.mastery import DAYS, LEARNED_BOX
 
-_STATE = "strength double, box int, streak int, successes int, failures int, last timestamp, due timestamp, learned boolean"
+_OUT = "strength double, box int, streak int, successes int, failures int, last timestamp, due timestamp, learned boolean"
+_STATE = f"{_OUT}, waiting array<struct<ts: timestamp, event_id: long, outcome: string>>"
 _ZERO = (0.0, 0, 0, 0, 0, None, None, False)
+_EPOCH = datetime(1970, 1, 1)
 
 
 def step(state: tuple, outcome: str, ts) -> tuple:
@@ -33,22 +35,39 @@ def step(state: tuple, outcome: str, ts) -> tuple:
     return round(strength, 6), box, streak, good, bad, ts, ts + timedelta(days=DAYS[box]), learned or box >= LEARNED_BOX
 
 
-def fold_stream(events: DataFrame, key: str = "vocab_id") -> DataFrame:
-    """The states of the keys that a micro-batch touched, from a stream of (key, ts, event_id, outcome); output mode update.
+def _ms(ts: datetime) -> int:
+    return (ts - _EPOCH) // timedelta(milliseconds=1)
 
-    Every row of a batch is a key's state after all its events so far; null keys share one state. Skipped events make a key
-    known but change nothing.
+
+def fold_stream(events: DataFrame, key: str = "vocab_id", delay: str = "0 seconds") -> DataFrame:
+    """The states of keys as the watermark passes their events, from a stream of (key, ts, event_id, outcome); output mode update.
+
+    An event that is late by ``delay`` or less is folded in its place by (ts, event_id), in whatever batch it comes; later ones
+    are dropped and counted by Spark (numRowsDroppedByWatermark). Events that the watermark hasn't passed wait: the last ``delay``
+    of a stream shows once newer events move it on. A row is a key's state after all its events up to the watermark. Null keys
+    share one state. Skipped events make a key known but change nothing; events without a time are left out, as in the batch fold.
+    A key's state is eight numbers and the events that wait.
     """
-    schema = f"{key} {dict(events.dtypes)[key]}, {_STATE}"
-
-    def run(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else _ZERO
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for outcome, ts in zip(rows["outcome"], rows["ts"], strict=True):
-            now = step(now, outcome, ts.to_pydatetime())
-        state.update(tuple(now))
-        names = [key, *(part.split()[0] for part in _STATE.split(", "))]
-        yield pd.DataFrame([[*keys, *now]], columns=names)
-
-    slim = events.select(key, "ts", "event_id", "outcome").filter(F.col("ts").isNotNull())
-    return slim.groupBy(key).applyInPandasWithState(run, schema, _STATE, "update", "NoTimeout")
+    schema = f"{key} {dict(events.dtypes)[key]}, {_OUT}"
+    names = [part.split()[0] for part in _OUT.split(", ")]
+
+    def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *now, waiting = state.get if state.exists else (*_ZERO, [])
+        # a row's times are in the session's zone, which is UTC
+        events_ = [(w[0], w[1], w[2]) for w in waiting]
+        for rows in batches:
+            events_ += zip((t.to_pydatetime() for t in rows["ts"]), rows["event_id"].tolist(), rows["outcome"].tolist(), strict=True)
+        mark = state.getCurrentWatermarkMs()
+        events_.sort(key=lambda e: (e[0], e[1]))
+        ready = [e for e in events_ if _ms(e[0]) <= mark]
+        for ts, _, outcome in ready:
+            now = step(tuple(now), outcome, ts)
+        rest = events_[len(ready) :]
+        state.update((*now, rest))
+        if rest:
+            state.setTimeoutTimestamp(max(_ms(rest[0][0]), mark + 1))
+        if ready:
+            yield pd.DataFrame([[*keys, *now]], columns=[key, *names])
+
+    slim = events.select(key, "ts", "event_id", "outcome").filter("ts is not null").withWatermark("ts", delay)
+    return slim.groupBy(key).applyInPandasWithState(run, schema, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
