@@ -400,14 +400,15 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
     found = written(dealt.groupBy("bucket").applyInArrow(_often_words(buckets, min_count), _WORDS), "words")
     words = found.filter("shard is null").select("lang", "id", "word", "f")
     known = found.filter("shard is not null").groupBy("shard").agg(F.collect_list("known").alias("known"))
-    base = shards.select("shard", "sizes", "blocks", "bits").join(known, "shard")
+    # lists of words and pairs grow with the corpus: these joins are never broadcast
+    base = shards.select("shard", "sizes", "blocks", "bits").join(known.hint("merge"), "shard")
     base = written(base.mapInArrow(_frequent_only, "shard long, ids binary, sizes binary, blocks binary, bits binary"), "bitmaps")
 
     dealt = base.mapInArrow(_pairs(buckets), "bucket long, shard long, pairs binary")
     pairs = written(dealt.groupBy("bucket").applyInArrow(_often_pairs(min_count), "shard long, pairs binary"), "pairs")
     two = pairs.filter("shard is null").select("pairs").mapInArrow(_two, "phrase array<long>, f long")
     mine = pairs.filter("shard is not null").groupBy("shard").agg(F.collect_list("pairs").alias("mine"))
-    more = base.join(mine, "shard").mapInArrow(_phrases(buckets, longest), "bucket long, length int, phrases binary")
+    more = base.join(mine.hint("merge"), "shard").mapInArrow(_phrases(buckets, longest), "bucket long, length int, phrases binary")
     more = more.groupBy("bucket", "length").applyInArrow(_often_phrases(min_count), "phrase array<long>, f long")
     return totals, words, written(two.union(more), "phrases")
 
