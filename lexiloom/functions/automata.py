@@ -74,7 +74,7 @@ def clauses(state: Column) -> Column:
 
 def beam_key(state: Column, banned: Column) -> Column:
     """What hypotheses of one group of a diverse beam share: gold completed, and which bans are begun; sorted names."""
-    bans = F.transform(partial(state["banned"], banned), lambda i: F.concat(F.lit("neg_partial:"), i.cast("string")))
+    bans = F.transform(partial(state["banned"], F.coalesce(banned, F.array().cast(_NONE))), lambda i: F.concat(F.lit("neg_partial:"), i.cast("string")))
     return F.array_sort(F.concat(F.when(state["satisfied"], F.array(F.lit("gold"))).otherwise(F.array().cast("array<string>")), bans))
 
 

@@ -13,7 +13,7 @@ TEXTS = "tok array<string>, gold array<array<string>>, banned array<array<string
 def _trace(spark, tokens, gold, banned):
     df = spark.createDataFrame([(tokens, gold, banned)], TEXTS)
     return df.select(F.posexplode(automata.trace(F.col("tok"), F.col("gold"), F.col("banned"))).alias("at", "s"), "gold", "banned").select(
-        "at", "s.*", automata.progress(F.col("s"), F.col("gold")).alias("progress"), automata.clauses(F.col("s")).alias("clauses"), automata.beam_key(F.col("s"), F.col("banned")).alias("key"), automata.score(F.lit(-1.0), F.col("s"), F.col("gold"), 0.1).alias("score")
+        "at", F.col("s.gold").alias("golds"), F.col("s.banned").alias("bans"), "s.satisfied", "s.violated", automata.progress(F.col("s"), F.col("gold")).alias("progress"), automata.clauses(F.col("s")).alias("clauses"), automata.beam_key(F.col("s"), F.col("banned")).alias("key"), automata.score(F.lit(-1.0), F.col("s"), F.col("gold"), 0.1).alias("score")
     ).orderBy("at").collect()
 
 
@@ -36,11 +36,11 @@ def test_score_rewards_a_prefix(spark):
 def test_restart_rule(spark):
     """A token that doesn't go on begins anew only if it's the first one; a match inside of a failed one is lost."""
     rows = _trace(spark, ["a", "a", "b", "x", "a", "b"], [["a", "b"], ["a", "a", "b", "a"]], None)
-    assert [list(r.gold) for r in rows] == [[1, 1], [1, 2], [2, 3], [2, 3], [2, 3], [2, 3]]  # nothing is followed once gold is completed
+    assert [list(r.golds) for r in rows] == [[1, 1], [1, 2], [2, 3], [2, 3], [2, 3], [2, 3]]  # nothing is followed once gold is completed
     rows = _trace(spark, ["a", "b", "a", "b", "c"], [["a", "b", "c"]], [])
-    assert [list(r.gold) for r in rows] == [[1], [2], [1], [2], [3]]
+    assert [list(r.golds) for r in rows] == [[1], [2], [1], [2], [3]]
     rows = _trace(spark, ["b", "b", "b", "c"], [["b", "b", "c"]], [])
-    assert [list(r.gold) for r in rows] == [[1], [2], [1], [0]]
+    assert [list(r.golds) for r in rows] == [[1], [2], [1], [0]]
 
 
 def test_trace_equals_a_step_by_step_walk(spark):
@@ -57,7 +57,7 @@ def test_trace_equals_a_step_by_step_walk(spark):
                 g = advanced(g, gold, t)
                 sat = g[0] == 4 or g[2] == 3
             expected.append((g, b, sat, vio))
-        assert [(list(r.gold), list(r.banned), r.satisfied, r.violated) for r in _trace(spark, tokens, gold, banned)] == expected
+        assert [(list(r.golds), list(r.bans), r.satisfied, r.violated) for r in _trace(spark, tokens, gold, banned)] == expected
 
 
 def test_null_and_empty_streams(spark):
