@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import automata
 from ..functions import text as T
+from ..operators import jobs
 from .tables import sql_tokens, table
 
 QUERIES, SQL = {}, {}
@@ -71,3 +72,77 @@ def n_07_groups(spark, sf_dir):
     score = automata.score(-0.5 * F.size("tok"), state, F.col("gold"), 0.1)
     keyed = rows.select(F.array_join(automata.beam_key(state, F.col("banned")), " ").alias("key"), state["violated"].alias("violated"), score.alias("score"))
     return keyed.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("violated")).alias("alive"), F.round(F.sum("score"), 6).alias("score"))
+
+
+# jobs ------------------------------------------------------------------------------------------------------------------------
+def _queue(spark, sf_dir):
+    """(jobs, lexemes, vocab, results): orders as jobs, parts as lexemes, customers as vocabulary."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    part = table(spark, sf_dir, "part").withColumn("first", F.lower(F.split("p_name", " ")[0]))
+    lex = part.select(
+        key.alias("id"), F.lit("es").alias("language"), F.col("first").alias("lemma"), F.when(key % 7 != 0, "noun").otherwise("verb").alias("pos"), F.array("p_type").alias("tags"),
+        F.when(size % 4 == 0, F.lower("p_brand")).otherwise("").alias("gloss_primary"), F.when(size % 3 == 0, "pending").when(size % 3 == 1, "enriched").otherwise("complete").alias("enrichment_status"),
+    )
+    results = part.filter(size % 5 != 0).select(
+        key.alias("lexeme_id"), F.concat(F.lit(" "), F.upper("first")).alias("lemma"), F.when(size % 2 == 0, "noun").otherwise("").alias("pos"), F.array(F.lit("Noun"), F.lit("noun "), F.lit("")).alias("tags"),
+        F.when(size % 7 != 0, F.col("p_brand")).otherwise("").alias("gloss_primary"), F.lit(0.9).alias("confidence"), F.when(size == 11, "timeout").alias("error"),
+    )
+    lexeme = F.when(F.col("o_orderkey") % 11 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), lexeme.alias("lexeme_id"), F.lit(None).cast("long").alias("vocab_id"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("done").alias("status"))
+    vocab = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("workspace_id"), F.col("c_custkey").alias("lexeme_id"))
+    return jobs, lex, vocab, results
+
+
+_PROCESSED = """
+lex AS (
+  SELECT p_partkey AS id, lower(string_split(p_name, ' ')[1]) AS lemma, CASE WHEN p_partkey % 7 <> 0 THEN 'noun' ELSE 'verb' END AS pos,
+    CASE WHEN p_size % 4 = 0 THEN lower(p_brand) ELSE '' END AS gloss, CASE p_size % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'enriched' ELSE 'complete' END AS st, p_size, p_brand FROM part
+), jobs AS (
+  SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN -o_custkey ELSE o_custkey END AS lexeme_id, CASE WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'done' END AS status FROM orders
+), lead AS (
+  SELECT lexeme_id, min(id) AS job_id FROM jobs WHERE status = 'pending' GROUP BY lexeme_id
+), cached AS (
+  SELECT lemma, pos, gloss, min(id) AS target FROM lex WHERE st = 'enriched' GROUP BY ALL
+), kinds AS (
+  SELECT lead.*, lex.*, c.target AS cached, CASE WHEN lex.id IS NULL THEN 'failed' WHEN st = 'enriched' THEN 'none' WHEN st = 'pending' AND c.target IS NOT NULL THEN 'cache'
+    WHEN p_size % 5 = 0 OR p_size = 11 THEN 'waiting' ELSE 'apply' END AS kind
+  FROM lead LEFT JOIN lex ON lex.id = lead.lexeme_id LEFT JOIN cached c ON c.lemma = lex.lemma AND c.pos = lex.pos AND c.gloss = lex.gloss
+), applied AS (
+  SELECT lexeme_id, job_id, lemma, CASE WHEN p_size % 2 = 0 THEN 'noun' ELSE pos END AS pos, CASE WHEN p_size % 7 <> 0 THEN lower(p_brand) ELSE gloss END AS gloss FROM kinds WHERE kind = 'apply'
+), still AS (
+  SELECT lemma, pos, gloss, min(id) AS target FROM lex WHERE id NOT IN (SELECT lexeme_id FROM kinds WHERE kind IN ('apply', 'cache')) GROUP BY ALL
+), ranked AS (
+  SELECT a.*, s.target AS other, first_value(lexeme_id) OVER (PARTITION BY a.lemma, a.pos, a.gloss ORDER BY job_id) AS leader
+  FROM applied a LEFT JOIN still s ON s.lemma = a.lemma AND s.pos = a.pos AND s.gloss = a.gloss
+), found AS (
+  SELECT k.lexeme_id, k.job_id, CASE WHEN kind <> 'apply' THEN kind WHEN coalesce(other, leader) <> k.lexeme_id THEN 'dedupe' ELSE 'enriched' END AS outcome,
+    CASE WHEN kind = 'cache' THEN cached WHEN kind = 'apply' AND coalesce(other, leader) <> k.lexeme_id THEN coalesce(other, leader) END AS target
+  FROM kinds k LEFT JOIN ranked r ON r.lexeme_id = k.lexeme_id
+)"""
+
+
+@register("n_04_process", f"""
+WITH {_PROCESSED}
+SELECT j.id, CASE WHEN status = 'pending' AND outcome = 'failed' THEN 'failed' WHEN status = 'pending' AND outcome <> 'waiting' THEN 'done' ELSE status END AS status,
+  CASE WHEN status = 'pending' AND j.id = job_id THEN CASE outcome WHEN 'cache' THEN 'cache' WHEN 'dedupe' THEN 'dedupe' WHEN 'enriched' THEN 'model' END END AS source,
+  CASE WHEN status = 'pending' AND j.id = job_id THEN CASE WHEN outcome IN ('cache', 'dedupe') THEN target WHEN outcome = 'enriched' THEN j.lexeme_id END END AS result_id,
+  CASE WHEN status = 'pending' AND j.id = job_id THEN CASE outcome WHEN 'cache' THEN 1.0 WHEN 'dedupe' THEN 0.9 WHEN 'enriched' THEN 0.9 END END::DOUBLE AS confidence
+FROM jobs j LEFT JOIN found f ON f.lexeme_id = j.lexeme_id""")
+def n_04_process(spark, sf_dir):
+    """The jobs after one pass over the queue."""
+    queue, lex, _, results = _queue(spark, sf_dir)
+    return jobs.finished_jobs(queue, jobs.outcomes(queue, lex, results)).select("id", "status", "source", "result_id", "confidence")
+
+
+@register("n_04_repointed", f"""
+WITH {_PROCESSED}, v AS (
+  SELECT c_custkey AS id, c_nationkey AS workspace_id, c_custkey AS lexeme_id, target FROM customer LEFT JOIN found ON found.lexeme_id = c_custkey
+), moved AS (
+  SELECT *, row_number() OVER (PARTITION BY workspace_id, target ORDER BY id) AS r FROM v
+  WHERE target IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v x WHERE x.target IS NULL AND x.workspace_id = v.workspace_id AND x.lexeme_id = v.target)
+)
+SELECT id, workspace_id, lexeme_id FROM v WHERE target IS NULL UNION ALL SELECT id, workspace_id, target FROM moved WHERE r = 1""")
+def n_04_repointed(spark, sf_dir):
+    """The vocabulary after one pass over the queue."""
+    queue, lex, vocab, results = _queue(spark, sf_dir)
+    return jobs.repointed_vocab(vocab, jobs.outcomes(queue, lex, results)).select("id", "workspace_id", "lexeme_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import automata
 from lexiloom.operators import mastery
-from lexiloom.streaming import tracker, upsert
+from lexiloom.streaming import enrichment, tracker, upsert
 from lexiloom.streaming.mastery import fold_stream
 
 SCHEMA = "vocab_id long, ts timestamp, event_id long, outcome string"
@@ -142,3 +142,83 @@ def test_tokens_in_batches_equal_the_trace(spark, tmp_path):
     states = batch.select("text_id", "gold", F.posexplode(automata.trace(F.col("tok"), F.col("gold"), F.col("banned"))).alias("at", "s"))
     expected = sorted(tuple(r) for r in states.select("text_id", F.col("at").cast("long"), "s.satisfied", "s.violated", automata.progress(F.col("s"), F.col("gold"))).collect())
     assert got == expected
+
+
+# enrichment jobs --------------------------------------------------------------------------------------------------------------
+LEXEMES = "id long, language string, lemma string, pos string, gloss_primary string, tags array<string>, enrichment_status string"
+RESULTS = "lexeme_id long, lemma string, pos string, tags array<string>, gloss_primary string, confidence double, error string"
+
+
+def _queue(spark, path):
+    lexemes = [
+        (1, "es", "nadar", "other", "", [], "pending"), (2, "es", "casa", "noun", "house", ["noun"], "enriched"), (3, "es", "casa", "noun", "house", [], "pending"),
+        (4, "es", "corre", "verb", "", [], "pending"), (5, "es", "correr", "verb", "to run", ["verb"], "complete"), (6, "es", "perro", "noun", "", [], "pending"),
+        (7, "es", "perros", "noun", "", [], "pending"), (8, None, "x", None, None, None, "pending"),
+    ]
+    vocab = [(10, 1, 1), (11, 1, 3), (12, 1, 2), (13, 2, 3), (14, 1, 4), (15, 1, 6), (16, 1, 7), (17, None, None)]
+    enrichment.load(path, spark.createDataFrame(lexemes, LEXEMES), spark.createDataFrame(vocab, "id long, workspace_id long, lexeme_id long"))
+
+
+def _model(spark, asked, down=()):
+    """What a model would say, and a note of what it was asked."""
+    said = {1: ("Nadar ", "verb", ["Verb", "verb "], "To  swim"), 4: ("correr", "verb", ["verb"], "to run"), 6: ("perro", "noun", ["noun"], "dog"), 7: ("perro", "noun", ["noun"], "dog"), 8: ("x", "noun", ["noun"], "x")}
+
+    def enrich(lexemes):
+        ids = sorted(r.id for r in lexemes.select("id").collect())
+        if ids:
+            asked.append(ids)
+        rows = [(i, *said[i], 0.9, "timeout" if i in down else None) for i in ids]
+        return spark.createDataFrame(rows, RESULTS)
+
+    return enrich
+
+
+def _tables(spark, path):
+    out = {t: upsert.latest(f"{path}/{t}", spark) for t in enrichment.TABLES}
+    return {t: sorted([tuple(r) for r in df.select(*[c for c in df.columns if c != "version"]).collect()], key=str) for t, df in out.items()}
+
+
+def test_enrichment_stream_and_its_replay(spark, tmp_path, monkeypatch):
+    path, asked = str(tmp_path / "q"), []
+    _queue(spark, path)
+    frame = lambda *rows: spark.createDataFrame(rows, "id long, lexeme_id long, vocab_id long, status string")
+    first = frame(*[(100 + i, i, None, "pending") for i in (1, 2, 3, 4, 6, 7, 9)], (99, 7, None, "pending"), (120, 1, None, "pending"), (100 + 1, 1, None, "pending"))
+    write = enrichment.process_into(path, _model(spark, asked, down=[6]))
+    write(first, 0)
+    assert asked == [[1, 4, 6, 7]]  # the enriched one, the one with a cached sense and the missing one aren't asked for
+    after = _tables(spark, path)
+    jobs = {r[0]: r[3:] for r in after["jobs"]}
+    assert jobs == {
+        101: ("done", "model", 1, 0.9), 102: ("done", None, None, None), 103: ("done", "cache", 2, 1.0), 104: ("done", "dedupe", 5, 0.9), 106: ("pending", None, None, None),
+        99: ("done", "model", 7, 0.9), 107: ("done", None, None, None), 109: ("failed", None, None, None), 120: ("done", None, None, None),
+    }
+    lexemes = {r[0]: r for r in after["lexemes"]}
+    assert lexemes[1] == (1, "es", "nadar", "verb", "to swim", ["verb"], "enriched") and lexemes[7][2:5] == ("perro", "noun", "dog") and 3 not in lexemes and 4 not in lexemes
+    assert sorted(after["vocab"], key=str) == sorted([(10, 1, 1), (12, 1, 2), (13, 2, 2), (14, 1, 5), (15, 1, 6), (16, 1, 7), (17, None, None)], key=str)
+    write(first, 0)
+    assert _tables(spark, path) == after
+
+    # the second batch fails between two tables; the run after it ends as if nothing had been
+    whole = str(tmp_path / "w")
+    _queue(spark, whole)
+    other = enrichment.process_into(whole, _model(spark, []))
+    enrichment.process_into(whole, _model(spark, [], down=[6]))(first, 0)
+    second = frame((108, 8, None, "pending"), (101, 1, None, "pending"))
+    other(second, 1)
+    real, calls = upsert.upsert, []
+
+    def failing(where, *args, **kwargs):
+        calls.append(where)
+        if len(calls) == 2:
+            raise OSError("lost")
+        return real(where, *args, **kwargs)
+
+    write = enrichment.process_into(path, _model(spark, asked))
+    with monkeypatch.context() as m:
+        m.setattr(upsert, "upsert", failing)
+        with pytest.raises(OSError):
+            write(second, 1)
+    write(second, 1)
+    assert _tables(spark, path) == _tables(spark, whole)
+    jobs = {r[0]: r[3:] for r in _tables(spark, path)["jobs"]}
+    assert jobs[106] == ("done", "dedupe", 7, 0.9) and jobs[108][0] == "done" and jobs[101] == ("done", "model", 1, 0.9)
