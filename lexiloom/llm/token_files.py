@@ -20,9 +20,7 @@ import os
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +31,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from .spark_tools import written
-from .words import release, slices, string_bytes
+from .words import mix, release, string_bytes
 
 BLOCK, LANES, CHECKPOINT = 1 << 18, 1 << 8, 1 << 16
 END = 0
@@ -44,100 +42,128 @@ _WORD = np.uint64(32)
 _PIECE = "struct<doc_id: long, doc: long, size: long, at: long, n: long>"
 
 # tokens ----------------------------------------------------------------------------------------------------------------------
-#: White space of the byte-level pattern; no token spans from another character to one of these.
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_MARKS = r"!-/:-@\[-`{-~"
-#: White space and what follows it up to white space, or up to a mark after an ASCII letter or digit.
-_UNITS = re.compile(f"[{_SPACE}]*[{_MARKS}]*[^{_SPACE}{_MARKS}]*(?:(?<![A-Za-z0-9])[{_MARKS}]+[^{_SPACE}{_MARKS}]*)*")
-_WIDE_UNITS = re.compile(f"[{_SPACE}]*[^{_SPACE}]*")
-_CUT = re.compile(f"(?<=[^{_SPACE}])[{_SPACE}]")
-_PART, _HELD, _KNOWN = 1 << 20, 1 << 18, 3 << 17
-
-
-class _Known(dict):
-    """A cell for the ids of each unit. A unit that is asked for first takes its cell from the older ones, or is noted as new."""
-
-    def __init__(self, older: dict[str, list[bytes]]):
-        super().__init__()
-        self.older, self.new = older, []
-
-    def __missing__(self, unit: str) -> list[bytes]:
-        cell = self.older.get(unit)
-        if cell is None:
-            cell = []
-            self.new.append(unit)
-        self[unit] = cell
-        return cell
+#: Bytes of ASCII white space, of marks, and of letters and digits; white space beyond ASCII, as the byte-level pattern has it.
+_PLAIN_SPACE, _MARK, _LETTER = (np.zeros(256, bool) for _ in range(3))
+_PLAIN_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
+_LETTER[[c for c in range(0x21, 0x7F) if chr(c).isalnum()]] = True
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_SHORT, _KNOWN = 16, 1 << 20
 
 
 class TokenEncoder:
     """Ids as the tokenizers library gives them, for a byte-level model with the usual pattern.
 
-    A text falls apart where white space follows another character, and where a mark follows an ASCII letter or digit: the
+    A text falls apart where ASCII white space follows another character, and where a mark follows an ASCII letter or digit: the
     pattern has no match across such places, and none looks back, so each unit has the same ids alone as in its text. Units are
-    encoded once and known from then on; the memory for that is bounded. Strings of added tokens hold marks: texts that have one
-    fall apart at white space only.
+    told apart by their bytes, at once for a batch of texts; each is encoded by the library once and known from then on, up to a
+    bound. Strings of added tokens hold marks: batches that have one fall apart at white space only.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        if any(_CUT.search(a) for a in self.added):
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        if any(_PLAIN_SPACE[list(a)].any() for a in self.added):
             raise ValueError("an added token has white space inside")
-        self.known = _Known({})
-
-    def _learn(self) -> None:
-        """Fills the cells of what is new; beyond the bound what is known becomes the older half."""
-        known, new = self.known, self.known.new
-        for unit, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[unit].append(array("I", found.ids).tobytes())
-        known.new = []
-        if len(known) > _KNOWN:
-            known.older = {}
-            self.known = _Known(known)
-
-    def _parts(self, text: str) -> Iterator[list[str]]:
-        """The units of a text, a long one part by part."""
-        pattern, at = _WIDE_UNITS if any(a in text for a in self.added) else _UNITS, 0
-        while at < len(text):
-            cut = _CUT.search(text, at + _PART) if len(text) - at > _PART else None
-            end = cut.start() if cut else len(text)
-            yield pattern.findall(text, at, end)
-            at = end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as 32-bit integers. What is new in the texts is encoded at once, that of a long text part by part."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        held: list[tuple[int, list[list[bytes]]]] = []
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.ends = np.empty(1 << 16, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, units: list[bytes]) -> None:
+        found = [x.ids for x in self.library.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
+        ends = self.ends[-1] + np.cumsum([len(x) for x in found])
+        if ends[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), int(ends[-1]) - len(self.ids)), np.uint32)])
+        self.ids[self.ends[-1] : ends[-1]] = np.fromiter((i for x in found for i in x), np.uint32, int(ends[-1] - self.ends[-1]))
+        at = len(self.ends) - 1
+        self.known.update((u, at + i) for i, u in enumerate(units))
+        self.ends = np.concatenate([self.ends, ends])
+
+    def _numbers(self, units: list[bytes]) -> np.ndarray:
+        """The places of units in what is known; new ones are learned."""
+        if len(self.known) > _KNOWN:
+            self._forget()
+        new = [u for u in dict.fromkeys(units) if u not in self.known]
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+
+    def encode(self, raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that lie one after the other in ``raw`` and end at ``ends``, and the ends of theirs."""
+        data = np.frombuffer(raw + bytes(_SHORT), np.uint8)
+        own = data[:-_SHORT]
+        space = _PLAIN_SPACE[own]
+        blank = space.copy()
+        if any(lead in raw for lead in (b"\xc2", b"\xe1", b"\xe2", b"\xe3")):
+            for m in _WIDE_SPACE.finditer(raw):
+                blank[m.start() : m.end()] = True
+        cut = np.zeros(len(own), bool)
+        cut[1:] = space[1:] & ~blank[:-1]
+        if not any(a in raw for a in self.added):
+            cut[1:] |= _MARK[own[1:]] & _LETTER[own[:-1]]
+        firsts = np.concatenate([[0], ends[:-1]])
+        cut[firsts[firsts < ends]] = True
+        at = np.flatnonzero(cut)
+        sizes = np.diff(np.append(at, len(own)))
+        number = np.empty(len(at), np.int64)
+
+        # units of up to 16 bytes are two whole numbers; equal ones meet by a hash and are compared in full
+        short = np.flatnonzero(sizes <= _SHORT)
+        eight = np.ndarray((len(own) + _SHORT - 7,), "<u8", data, 0, (1,))
+        low = eight[at[short]] & _MASKS[np.minimum(sizes[short], 8)]
+        high = eight[np.minimum(at[short] + 8, len(eight) - 1)] & _MASKS[np.maximum(sizes[short] - 8, 0)]
+        hashes = mix(low ^ mix(high, 3), 4)
+        _, one, of = np.unique(hashes, return_index=True, return_inverse=True)
+        same = (low == low[one][of]) & (high == high[one][of]) & (sizes[short] == sizes[short][one][of])
+        slices_ = lambda rows: [raw[a : a + n] for a, n in zip(at[rows].tolist(), sizes[rows].tolist(), strict=True)]
+        rest = np.concatenate([np.flatnonzero(sizes > _SHORT), short[~same]])
+        numbers = self._numbers(slices_(np.concatenate([short[one], rest])))
+        number[short], number[rest] = numbers[: len(one)][of], numbers[len(one) :]
+
+        starts, many = self.ends[number], self.ends[number + 1] - self.ends[number]
+        done = np.cumsum(many)
+        ids = self.ids[np.repeat(starts - (done - many), many) + np.arange(done[-1] if len(done) else 0)]
+        return ids, np.append(0, done)[np.searchsorted(at, ends)]
+
+    def encode_all(self, texts: Iterator[bytes], most: int = 1 << 20) -> Iterator[np.ndarray]:
+        """The ids of UTF-8 texts, about ``most`` bytes of them at once; a longer text goes by parts that end at white space."""
+        held: list[bytes] = []
         size = 0
 
-        def join() -> None:
-            self._learn()
-            for i, cells in held:
-                out[i].append(b"".join(map(itemgetter(0), cells)))
+        def flush() -> Iterator[np.ndarray]:
+            ids, ends = self.encode(b"".join(held), np.cumsum([len(t) for t in held], dtype=np.int64))
+            yield from np.split(ids, ends[:-1]) if held else []
             held.clear()
 
-        for i, text in enumerate(texts):
-            for units in self._parts(text):
-                held.append((i, [*map(self.known.__getitem__, units)]))
-                size += len(units)
-                if size > _HELD:
-                    join()
-                    size = 0
-        join()
-        return [b"".join(x) for x in out]
-
-    def encode_all(self, texts: Iterator[str], most: int = _PART) -> Iterator[bytes]:
-        """The ids of many texts, about ``most`` characters of them at once."""
-        some, size = [], 0
         for text in texts:
-            some.append(text)
+            if len(text) > 2 * most:
+                yield from flush()
+                size = 0
+                yield np.concatenate([ids for part in _parts(text, most) for ids in self.encode_all(iter([part]), len(part))])
+                continue
+            held.append(text)
             size += len(text)
             if size >= most:
-                yield from self.encode(some)
-                some, size = [], 0
-        yield from self.encode(some)
+                yield from flush()
+                size = 0
+        yield from flush()
+
+
+_CUT = re.compile(rb"(?<=[!-~])[\t-\r ]")
+
+
+def _parts(text: bytes, most: int) -> Iterator[bytes]:
+    """A text in parts of ``most`` bytes and what follows up to white space after a printable ASCII character."""
+    at = 0
+    while at < len(text):
+        cut = _CUT.search(text, at + most) if len(text) - at > most else None
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
 
 
 _encoders: dict[str, TokenEncoder] = {}
@@ -301,13 +327,13 @@ def crc_joined(left: int, right: int, size: int) -> int:
 
 
 # files -----------------------------------------------------------------------------------------------------------------------
-def _planes(ids: np.ndarray) -> bytes:
-    """Ids as planes of bytes, so that those that are zero cost nothing."""
-    return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _packed(ids: np.ndarray) -> bytes:
+    """Ids in two bytes each if these do, else in four."""
+    return ids.astype("<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4").tobytes()
 
 
-def _unplaned(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.uint32)
 
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +353,7 @@ def _cut(path: str, end: int, block: int):
         names = ("doc_id", "doc", "size", "at", "n")
         made = pa.StructArray.from_arrays([pa.array([p[i] for p in pieces], pa.int64()) for i in range(len(names))], names)
         return pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([number * block]), pa.array([len(ids)], pa.int64()), pa.array([_planes(ids)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), made)],
+            [pa.array([part], pa.int32()), pa.array([number * block]), pa.array([len(ids)], pa.int64()), pa.array([_packed(ids)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), made)],
             ["part", "first", "n", "ids", "pieces"],
         )
 
@@ -336,9 +362,9 @@ def _cut(path: str, end: int, block: int):
         number, held, open_, doc = 0, [], block, 0
         pieces: list[tuple] = []
         for batch in batches:
-            texts = (codec.decompress(zipped, size, asbytes=True).decode() for size, zipped in zip(*(batch.column(c).to_pylist() for c in ("size", "zipped")), strict=True))
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), library.encode_all(texts), strict=True):
-                ids = np.frombuffer(raw + struct.pack("<I", end), "<u4")
+            texts = (codec.decompress(zipped, size, asbytes=True) for size, zipped in zip(*(batch.column(c).to_pylist() for c in ("size", "zipped")), strict=True))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), library.encode_all(texts), strict=True):
+                ids = np.append(ids, np.uint32(end))
                 at = 0
                 while at < len(ids):
                     some = ids[at : at + open_]
@@ -359,8 +385,8 @@ def _cut(path: str, end: int, block: int):
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for raw in batch.column("ids"):
-            own = np.bincount(_unplaned(raw.as_py()))
+        for raw, n in zip(batch.column("ids"), batch.column("n").to_pylist(), strict=True):
+            own = np.bincount(_unpacked(raw.as_py(), n))
             if len(own) > len(total):
                 own, total = total, own
             total[: len(own)] += own
@@ -376,7 +402,7 @@ def _coded(ids: bytes, frequencies: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(ids, frequencies)
         for batch in batches:
-            each = [_unplaned(x.as_py()) for x in batch.column("ids")]
+            each = [_unpacked(x.as_py(), n) for x, n in zip(batch.column("ids"), batch.column("n").to_pylist(), strict=True)]
             raw: list[bytes] = [b""] * len(each)
             for n in {len(x) for x in each}:
                 same = [i for i, x in enumerate(each) if len(x) == n]
@@ -404,7 +430,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END, blo
     dealt = texts.mapInArrow(_zipped, "doc_id long, mark struct<hash: long, row: long>, size long, zipped binary").repartitionByRange("doc_id", "mark.hash", "mark.row").sortWithinPartitions("doc_id", "mark.hash", "mark.row")
     blocks = written(dealt.select("doc_id", "size", "zipped").mapInArrow(_cut(tokenizer, end, block), f"part int, first long, n long, ids binary, pieces array<{_PIECE}>"), "ids")
 
-    counts = blocks.select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
+    counts = blocks.select("ids", "n").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
     table = Table.counted([r["id"] for r in counts], [r["n"] for r in counts]) if counts else Table(np.empty(0, np.int64), np.empty(0, np.int64))
     ids, each = table.ids.astype(np.int64), table.each.astype(np.int64)
     spark.createDataFrame(list(zip(ids.tolist(), each.tolist(), strict=True)), "id long, frequency long").coalesce(1).write.parquet(f"{path}/table")
