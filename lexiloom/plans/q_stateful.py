@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..checkpoints import shared_folder
 from ..functions import automata
 from ..functions import text as T
-from ..operators import jobs
-from .tables import sql_tokens, table
+from ..operators import jobs, rescoring
+from .tables import EVALUATIONS, evaluations, sentences, sql_tokens, table
 
 QUERIES, SQL = {}, {}
 
@@ -146,3 +147,67 @@ def n_04_repointed(spark, sf_dir):
     """The vocabulary after one pass over the queue."""
     queue, lex, vocab, results = _queue(spark, sf_dir)
     return jobs.repointed_vocab(vocab, jobs.outcomes(queue, lex, results)).select("id", "workspace_id", "lexeme_id")
+
+
+# runs that go on -------------------------------------------------------------------------------------------------------------
+def _evaluations(spark, sf_dir):
+    """Evaluations with errors: the length scores of 0 are failures of their scorer."""
+    rows = evaluations(spark, sf_dir)
+    return rows.withColumn("error", F.when((F.col("evaluator") == "length_in_band") & (F.col("score") == 0), "timeout"))
+
+
+def _length_score(docs):
+    n = F.size(T.words(F.col("text")))
+    return docs.select("sentence_id", "arm", "cell", F.lit("length_in_band").alias("evaluator"), n.between(50, 700).cast("double").alias("score"), F.when(n > 3000, "too long").alias("error"))
+
+
+def _resumed(spark, sf_dir):
+    """(evaluations before, rows of a run that was stopped after five pieces and went on)."""
+    old, path = _evaluations(spark, sf_dir), shared_folder(spark, "rescore")
+    rescoring.stage(path, sentences(spark, sf_dir), old, "length_in_band")
+    rescoring.score_pieces(spark, path, _length_score, most=5)
+    assert not rescoring.score_pieces(spark, path, _length_score)
+    return old, rescoring.scored(spark, path)
+
+
+_RESCORED = f"""
+{EVALUATIONS.strip()}, e AS (SELECT *, CASE WHEN evaluator = 'length_in_band' AND score = 0 THEN 'timeout' END AS error FROM ev),
+fresh AS (
+  SELECT doc_id AS sentence_id, source AS arm, lang AS cell, 'length_in_band' AS evaluator, CAST(len(tok) BETWEEN 50 AND 700 AS INT)::DOUBLE AS score, CASE WHEN len(tok) > 3000 THEN 'too long' END AS error
+  FROM (SELECT *, {sql_tokens()} AS tok FROM documents) WHERE doc_id IN (SELECT sentence_id FROM e WHERE error IS NOT NULL)
+), now AS (SELECT * FROM e WHERE error IS NULL UNION ALL SELECT * FROM fresh)"""
+
+
+@register("n_06_rescored", f"WITH {_RESCORED} SELECT sentence_id, arm, cell, evaluator, score, error FROM now")
+def n_06_rescored(spark, sf_dir):
+    """Evaluations after a rescoring run that stopped and went on: rows with an error are scored again."""
+    old, fresh = _resumed(spark, sf_dir)
+    return rescoring.replaced(old, fresh, "length_in_band")
+
+
+@register("n_06_rollups", f"WITH {_RESCORED} SELECT arm, cell, evaluator, round(avg(score) FILTER (error IS NULL), 9) AS mean, count(*) FILTER (error IS NULL) AS n, count(error) AS errors FROM now GROUP BY ALL")
+def n_06_rollups(spark, sf_dir):
+    """Roll-ups after the run, refreshed where it has changed something."""
+    old, fresh = _resumed(spark, sf_dir)
+    group = ["arm", "cell"]
+    return rescoring.refreshed(rescoring.rolled(old, group), rescoring.replaced(old, fresh, "length_in_band"), fresh, "length_in_band", group)
+
+
+@register("j_09_cached_results", """
+WITH d AS (SELECT 'document' AS kind, doc_id AS id, lang, text FROM documents UNION ALL SELECT 'item', item_id, 'en', text FROM benchmark),
+first AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents)
+SELECT kind, id, CASE WHEN d.text LIKE '%#%' THEN NULL ELSE length(coalesce(d.text, '')) END::DOUBLE AS result, CASE WHEN d.text LIKE '%#%' THEN 'refused' END AS error,
+  f.text IS NOT NULL AND d.text NOT LIKE '%#%' AS cached
+FROM d LEFT JOIN first f ON f.lang = coalesce(d.lang, '') AND f.text = coalesce(d.text, '')""")
+def j_09_cached(spark, sf_dir):
+    """A second run over documents and benchmark items: what the first one had over documents isn't scored again, errors are."""
+    path = shared_folder(spark, "results")
+
+    def score(rows):
+        bad = F.col("text").contains("#")
+        return rows.select("digest", F.when(~bad, F.length(F.coalesce("text", F.lit("")))).alias("result"), F.when(bad, "refused").alias("error"))
+
+    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "lang", "text")
+    items = table(spark, sf_dir, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), F.lit("en").alias("lang"), "text")
+    rescoring.cached_results(docs, path, score)
+    return rescoring.cached_results(docs.unionByName(items), path, score).select("kind", "id", "result", "error", "cached")

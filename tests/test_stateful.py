@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import automata
+from lexiloom.operators import rescoring
 from lexiloom.streaming.tracker import advanced
 
 TEXTS = "tok array<string>, gold array<array<string>>, banned array<array<string>>"
@@ -64,3 +66,77 @@ def test_null_and_empty_streams(spark):
     assert _trace(spark, None, [["a"]], [["b"]]) == [] == _trace(spark, [], None, None)
     (row,) = _trace(spark, ["a"], None, None)
     assert (row.satisfied, row.violated, row.progress, row.key) == (False, False, 0.0, [])
+
+
+# runs that go on --------------------------------------------------------------------------------------------------------------
+EVALUATIONS = "sentence_id long, cell string, evaluator string, score double, error string"
+
+
+def _rows(df, *names):
+    return sorted([tuple(r[n] for n in names or df.columns) for r in df.collect()], key=str)
+
+
+def test_a_killed_run_goes_on_and_equals_one_in_one_go(spark, tmp_path):
+    sentences = spark.createDataFrame([(k, f"c{k % 4}", "x" * k) for k in range(60)] + [(None, "c0", "null key")], "sentence_id long, cell string, text string")
+    old = spark.createDataFrame([(k, f"c{k % 4}", "grammar", 0.0 if k % 3 else 1.0, "disk quota" if k % 3 == 1 else None) for k in range(50)] + [(1, "c1", "form", 1.0, None)], EVALUATIONS)
+    asked = []
+
+    def score(rows):
+        ids = [r.sentence_id for r in rows.collect()]
+        if len(asked) == 3 and ids:
+            asked.append("killed")
+            raise RuntimeError("killed")
+        asked.append(ids)
+        return rows.select("sentence_id", "cell", F.lit("grammar").alias("evaluator"), F.length("text").cast("double").alias("score"), F.lit(None).cast("string").alias("error"))
+
+    one, other = str(tmp_path / "one"), str(tmp_path / "other")
+    rescoring.stage(one, sentences, old, "grammar")
+    with pytest.raises(RuntimeError):
+        rescoring.score_pieces(spark, one, score)
+    before = [x for x in asked if x != "killed"]
+    rescoring.stage(one, sentences.limit(0), old, "grammar")  # a run that was staged stays as it is
+    assert rescoring.score_pieces(spark, one, score) == []
+    assert rescoring.score_pieces(spark, one, score) == []
+    scored = sorted((i for ids in asked if ids != "killed" for i in ids), key=str)
+    assert scored == sorted([None, *(k for k in range(60) if k >= 50 or k % 3 == 1)], key=str) and before  # each of them once
+    rescoring.stage(other, sentences, old, "grammar")
+    rescoring.score_pieces(spark, other, lambda rows: score(rows))
+    results = [rescoring.replaced(old, rescoring.scored(spark, p), "grammar") for p in (one, other)]
+    assert _rows(results[0]) == _rows(results[1])
+    kept = {(r.sentence_id, r.evaluator): r for r in results[0].collect()}
+    assert kept[1, "form"].score == 1.0 and kept[1, "grammar"].score == 1.0 and kept[4, "grammar"].error is None and kept[2, "grammar"].score == 0.0
+
+
+def test_all_are_scored_again_without_resume(spark, tmp_path):
+    sentences = spark.createDataFrame([(1, "c", "a")], "sentence_id long, cell string, text string")
+    old = spark.createDataFrame([(1, "c", "grammar", 0.5, None)], EVALUATIONS)
+    for name, resume, n in (("a", True, 0), ("b", False, 1)):
+        rescoring.stage(str(tmp_path / name), sentences, old, "grammar", resume)
+        rescoring.score_pieces(spark, str(tmp_path / name), lambda r: r.select("sentence_id", "cell"))
+        assert (rescoring.scored(spark, str(tmp_path / name)) is not None) == bool(n)
+
+
+def test_roll_ups_are_refreshed_where_something_changed(spark):
+    old = spark.createDataFrame([(1, "a", "g", 0.0, "quota"), (2, "a", "g", 1.0, None), (3, "b", "g", 1.0, None), (1, "a", "form", 1.0, None)], EVALUATIONS)
+    fresh = spark.createDataFrame([(1, "a", "g", 0.5, None)], EVALUATIONS)
+    stale = rescoring.rolled(old, ["cell"]).withColumn("mean", F.when(F.col("cell") == "b", 7.0).otherwise(F.col("mean")))  # b isn't computed again
+    assert _rows(rescoring.refreshed(stale, rescoring.replaced(old, fresh, "g"), fresh, "g", ["cell"])) == [("a", "form", 1.0, 1, 0), ("a", "g", 0.75, 2, 0), ("b", "g", 7.0, 1, 0)]
+
+
+def test_results_are_kept_by_content_and_errors_are_not(spark, tmp_path):
+    path, asked, down = str(tmp_path / "cache"), [], {"bad"}
+
+    def score(rows):
+        got = rows.select("digest", "lang", "text").collect()
+        asked.append(sorted((r.lang or "", r.text or "") for r in got))
+        return spark.createDataFrame([(r.digest, float(len(r.text or "")), "503" if r.text in down else None) for r in got], "digest string, result double, error string")
+
+    texts = spark.createDataFrame([(1, "en", "one", "x"), (2, "en", "one", "x"), (3, "cy", "one", "x"), (4, "en", "bad", "x"), (5, None, None, "x"), (6, "", "", "x")], "id long, lang string, text string, n string")
+    first = _rows(rescoring.cached_results(texts, path, score), "id", "n", "result", "error", "cached")
+    assert asked == [[("", ""), ("cy", "one"), ("en", "bad"), ("en", "one")]]
+    assert [r[3:] for r in first] == [(None, False)] * 3 + [("503", False)] + [(None, False)] * 2
+    down.clear()
+    second = _rows(rescoring.cached_results(texts, path, score), "id", "result", "error", "cached")
+    assert asked[1:] == [[("en", "bad")]] and [r[1:] for r in second] == [(3.0, None, True)] * 3 + [(3.0, None, False)] + [(0.0, None, True)] * 2
+    assert all(r[3] for r in _rows(rescoring.cached_results(texts, path, score), "id", "result", "error", "cached")) and asked[2:] == [[]]
+    assert rescoring.cached_results(texts.limit(0), path, score).count() == 0
