@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .spark_tools import join_spread, written
+from .spark_tools import discard, join_spread, shared_folder, written
 from .words import mix, release, slices, string_bytes
 
 MIN_COUNT, LONGEST, MOST, SHARE = 100, 5, 2000, 100
@@ -392,8 +392,10 @@ def _often_phrases(least: int):
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, shard: int = SHARD, lang: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables: (lang, n), the word occurrences; (lang, id, word, f), the frequent words; (phrase, f), the frequent phrases of two words or more as arrays of ids."""
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    shards = written(texts.mapInArrow(_shards(shard), "shard long, lang string, n long, words binary, counts binary, sizes binary, blocks binary, bits binary"), "shards")
-    totals = shards.groupBy("lang").agg(F.sum("n").alias("n"))
+    spark = docs.sparkSession
+    folders = {name: shared_folder(spark, name) for name in ("shards", "bitmaps", "pairs")}
+    shards = written(texts.mapInArrow(_shards(shard), "shard long, lang string, n long, words binary, counts binary, sizes binary, blocks binary, bits binary"), "shards", folders["shards"])
+    totals = written(shards.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     buckets = max(8, shards.count())
 
     dealt = shards.select("shard", "lang", "words", "counts").mapInArrow(_deal_words(buckets), "bucket long, shard long, lang string, words binary, places binary")
@@ -402,15 +404,19 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
     known = found.filter("shard is not null").groupBy("shard").agg(F.collect_list("known").alias("known"))
     # lists of words and pairs grow with the corpus: these joins are never broadcast
     base = shards.select("shard", "sizes", "blocks", "bits").join(known.hint("merge"), "shard")
-    base = written(base.mapInArrow(_frequent_only, "shard long, ids binary, sizes binary, blocks binary, bits binary"), "bitmaps")
+    base = written(base.mapInArrow(_frequent_only, "shard long, ids binary, sizes binary, blocks binary, bits binary"), "bitmaps", folders["bitmaps"])
+    discard(spark, folders["shards"])
 
     dealt = base.mapInArrow(_pairs(buckets), "bucket long, shard long, pairs binary")
-    pairs = written(dealt.groupBy("bucket").applyInArrow(_often_pairs(min_count), "shard long, pairs binary"), "pairs")
+    pairs = written(dealt.groupBy("bucket").applyInArrow(_often_pairs(min_count), "shard long, pairs binary"), "pairs", folders["pairs"])
     two = pairs.filter("shard is null").select("pairs").mapInArrow(_two, "phrase array<long>, f long")
     mine = pairs.filter("shard is not null").groupBy("shard").agg(F.collect_list("pairs").alias("mine"))
     more = base.join(mine.hint("merge"), "shard").mapInArrow(_phrases(buckets, longest), "bucket long, length int, phrases binary")
     more = more.groupBy("bucket", "length").applyInArrow(_often_phrases(min_count), "phrase array<long>, f long")
-    return totals, words, written(two.union(more), "phrases")
+    phrases = written(two.union(more), "phrases")
+    for name in ("bitmaps", "pairs"):
+        discard(spark, folders[name])
+    return totals, words, phrases
 
 
 def phrase_mining(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, most: int = MOST, share: int = SHARE, shard: int = SHARD, lang: str = "lang") -> DataFrame:

@@ -2,46 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lexiloom.checkpoints import checkpointed
 
-#: Keys with more than one row in so many are heavy; there can't be more heavy keys than this.
-HEAVY = 4096
+from lexiloom.checkpoints import checkpointed, shared_folder
+from lexiloom.joins import HEAVY, join_spread
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that spark.checkpoint.dir names; Hadoop deletes it when the application ends."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        checkpointed(spark.range(0))  # sets the folder, or says that there's none
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}")
-    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return path.toString()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df read back from compressed Parquet files in the shared folder: smaller than a checkpoint, and columns can be left out."""
-    path = shared_folder(df.sparkSession, name)
+    path = path or shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_spread(rows: DataFrame, table: DataFrame, on: list[str], most: int = HEAVY) -> DataFrame:
-    """The inner join of rows with a table that has one row for each key.
-
-    A key with more than 1/most of all rows is one of ``most`` keys at most, whatever the size of the input: the table's rows
-    of these are broadcast, so that theirs stay where they are. The other keys are exchanged, none of them with more than
-    1/most of the rows. ``rows`` and ``table`` are read more than once; give what is cheap to read, as a checkpoint is. Nulls
-    in keys join nothing.
-    """
-    counts = rows.groupBy(*on).agg(F.count("*").alias("__n"))
-    heavy = F.broadcast(checkpointed(counts.filter(F.col("__n") > rows.count() / most).select(*on)))
-    few = F.broadcast(table.join(heavy, on, "left_semi"))
-    return rows.join(few, on).unionByName(rows.join(heavy, on, "left_anti").join(table.join(heavy, on, "left_anti"), on))
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more; until then it's there for tasks that must run again."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-__all__ = ["HEAVY", "checkpointed", "join_spread", "shared_folder", "written"]
+__all__ = ["HEAVY", "checkpointed", "discard", "join_spread", "shared_folder", "written"]
