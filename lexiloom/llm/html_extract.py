@@ -4,7 +4,11 @@ Method: two passes of block rules. A page is cut into blocks at block tags. The
 its link density, its length and the share of stop words. Short blocks and those with few stop words are left undecided. In
 the second pass these inherit the label of the nearest decided blocks before and after them.
 
-What the markup says is a prior. Blocks of navigation, adverts, forms, comments and the like, by tag, role or class, are out.
+What the markup says is a prior. Blocks of navigation, adverts, comments and the like, by tag, role or class, are out. A class or
+id name, or a form around them, says that only as long as the page has an article, or other dense text, elsewhere: of elements
+that are out by name those that hold an article are let in again, else the one with the most dense text. Names that say how a page
+is laid out (has-sidebar, comments-open) say nothing of what an element is. Where a page has hardly any stop word of the four
+languages, its language is another one, and length and links alone decide. If no block is left, all that aren't out or links are kept.
 Inside a page's article element a block without stop words is undecided rather than bad, only decided blocks of an article
 count as neighbours, and a missing neighbour counts as good. Outside of it, where a page has one, a block must be long and full
 of stop words, or stand between two good ones.
@@ -24,7 +28,7 @@ from .words import slices
 
 # HTML element names, words of class and id names, and frequent words of four languages.
 _DROPPED = frozenset("script style noscript template textarea svg math iframe object canvas select button datalist audio video head".split())
-_OUTSIDE = frozenset("nav header footer aside form menu dialog".split())
+_OUTSIDE = frozenset("nav header footer aside menu dialog".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -34,11 +38,13 @@ _RAW = frozenset("script style textarea template noscript iframe title".split())
 _SCOPES = frozenset("p li td div article body section".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|notification|alert|comments?|respond|replies|"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|notification|alert|"
     r"sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|"
     r"popup|modal|overlay|widget|toolbar|pagination|pager|disclaimer|copyright)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|respond|replies)(?:$|[\s_-])", re.IGNORECASE)
+_LAYOUT = re.compile(r"(?:^|\s)(?:(?:has|no|with|without|is|show|hide)[_-]\S*|\S*[_-](?:open|closed|enabled|disabled|fixed|on|off|active|collapsed))(?=$|\s)", re.IGNORECASE)
 _STOP_WORDS = frozenset(
     "the of and to in a is that it for was on are as with be at by this have from or not but his her they we you which an were "
     "le la les de des du et un une en est que qui dans pour pas sur par au avec se ce il elle ne plus sont ou "
@@ -46,40 +52,52 @@ _STOP_WORDS = frozenset(
     "el los las del y que en un una es por con no para su al lo como más pero sus o este ha".split()
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"\w+")
 
 #: Characters of a short and of a long block; shares of stop words; the share of link characters of a list of links.
 SHORT, LONG = 70, 200
 FEW_STOPS, MANY_STOPS = 0.15, 0.25
 MOST_LINKS = 0.4
+#: Words that a page needs to tell its language, and the share of stop words below which it's none of the four.
+TELLING, NO_STOPS = 30, 0.01
 
 
 class _Block:
-    __slots__ = ("article", "heading", "linked", "outside", "text")
+    __slots__ = ("article", "barred", "by_name", "counts", "heading", "linked", "outside", "text")
 
-    def __init__(self, text: str, linked: int, outside: bool, article: bool, heading: bool):
-        self.text, self.linked, self.outside, self.article, self.heading = text, linked, outside, article, heading
+    def __init__(self, text: str, linked: int, barred: bool, article: bool, heading: bool, by_name: int = -1):
+        """barred: out by tag, role or what comments are called; by_name: the innermost element that is out by its name only, -1 if none."""
+        self.text, self.linked, self.barred, self.article, self.heading, self.by_name = text, linked, barred, article, heading, by_name
+        self.outside = barred
+        self.counts: tuple[int, int] | None = None
 
+    def words(self) -> tuple[int, int]:
+        """The number of words, and of stop words."""
+        if self.counts is None:
+            words = _WORD.findall(self.text.lower())
+            self.counts = len(words), sum(w in _STOP_WORDS for w in words)
+        return self.counts
 
-def _kind(name: str, attributes: str) -> str:
-    """What an element makes of its contents: "drop", "out", "in" (the article) or "" (nothing)."""
+
+def _kind(name: str, attributes: str) -> tuple[str, bool]:
+    """What an element makes of its contents: "drop", "out", "in" (the article) or "" (nothing); and whether its name says that they are out."""
     if name in _DROPPED:
-        return "drop"
-    found = {}
+        return "drop", False
+    found: dict[str, str] = {}
     if attributes:
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
-            found[key.lower()] = a or b or c
+            found.setdefault(key.lower(), a or b or c)
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
-            return "drop"
+            return "drop", False
     if name in ("body", "html"):
-        return ""
+        return "", False
     role = found.get("role", "").lower()
-    if name in _OUTSIDE or role in _ROLES or any(_NAMES.search(found.get(k, "")) for k in ("class", "id")):
-        return "out"
-    if name in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody":
-        return "in"
-    return ""
+    names = [_LAYOUT.sub(" ", unescape(found.get(k, ""))) for k in ("class", "id")]
+    if name in _OUTSIDE or role in _ROLES or any(map(_COMMENTS.search, names)):
+        return "out", False
+    within = name in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
+    return "in" if within else "", name == "form" or any(map(_NAMES.search, names))
 
 
 class _Tags:
@@ -90,20 +108,41 @@ class _Tags:
         self.places: dict[str, list[int]] = {}
         self.scopes: list[int] = []
         self.kinds = {"drop": 0, "out": 0, "in": 0, "": 0}
-
-    def enter(self, name: str, kind: str) -> None:
+        #: Of each element that is out by name, the one around it and whether it holds an article; those that are open.
+        self.around: list[int] = []
+        self.holds: list[bool] = []
+        self.named: list[int] = []
+        self.named_at: list[int] = []
+
+    def enter(self, name: str, kind: str, by_name: bool) -> None:
+        if by_name:
+            self.around.append(self.inner())
+            self.holds.append(False)
+            self.named.append(len(self.around) - 1)
+            self.named_at.append(len(self.open))
+        if kind == "in":
+            one = self.inner()
+            while one >= 0 and not self.holds[one]:
+                self.holds[one] = True
+                one = self.around[one]
         self.places.setdefault(name, []).append(len(self.open))
         if name in _SCOPES:
             self.scopes.append(len(self.open))
         self.open.append((name, kind))
         self.kinds[kind] += 1
 
+    def inner(self) -> int:
+        return self.named[-1] if self.named else -1
+
     def leave(self, name: str) -> None:
         """Closes the last open element of the name, with what is open in it; none open: nothing."""
         if not self.places.get(name):
             return
         while True:
             own, kind = self.open.pop()
+            if self.named_at and self.named_at[-1] == len(self.open):
+                self.named_at.pop()
+                self.named.pop()
             self.kinds[kind] -= 1
             self.places[own].pop()
             if own in _SCOPES:
@@ -119,7 +158,7 @@ class _Tags:
         return last if last == "p" or last == name == "li" else None
 
 
-def _blocks(html: str) -> list[_Block]:
+def _parsed(html: str) -> tuple[list[_Block], _Tags]:
     blocks: list[_Block] = []
     tags = _Tags()
     heading = False
@@ -131,7 +170,7 @@ def _blocks(html: str) -> list[_Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                blocks.append(_Block(text, min(linked, len(text)), tags.kinds["out"] > 0, tags.kinds["in"] > 0, heading))
+                blocks.append(_Block(text, min(linked, len(text)), tags.kinds["out"] > 0, tags.kinds["in"] > 0, heading, tags.inner()))
             parts.clear()
         linked = 0
 
@@ -173,21 +212,74 @@ def _blocks(html: str) -> list[_Block]:
             heading = name[0] == "h" and name[1:].isdigit() or heading and name not in ("p", "div", "section", "li")
         if name == "body":  # an open head ends here
             tags.leave("head")
-        tags.enter(name, _kind(name, attributes))
+        tags.enter(name, *_kind(name, attributes))
     end_block()
+    return blocks, tags
+
+
+def _foreign(blocks: list[_Block]) -> bool:
+    """Whether the page's language is none of the four."""
+    counts = [b.words() for b in blocks if not b.barred]
+    words = sum(n for n, _ in counts)
+    return words >= TELLING and sum(n for _, n in counts) < NO_STOPS * words
+
+
+def _let_in(blocks: list[_Block], tags: _Tags, foreign: bool) -> None:
+    """Sets which blocks are out, and lets elements that are out by name only in again until the page has an article or dense text."""
+    around, holds = tags.around, tags.holds
+    if all(b.by_name < 0 for b in blocks):
+        return
+    lifted = [False] * len(around)
+    alone, whole = [], [0] * len(around)  # whole: the dense text in an element
+    for b in blocks:
+        b.outside = b.barred
+        alone.append(_first_pass(b, False, foreign) in ("good", "near"))
+        if alone[-1] and b.by_name >= 0:
+            whole[b.by_name] += len(b.text)
+    for k in range(len(around) - 1, -1, -1):
+        if around[k] >= 0:
+            whole[around[k]] += whole[k]
+    while True:
+        top = [-1] * len(around)  # the outermost element that still bars
+        for k, (outer, free) in enumerate(zip(around, lifted, strict=True)):
+            top[k] = top[outer] if outer >= 0 and top[outer] >= 0 else -1 if free else k
+        dense: dict[int, int] = {}
+        article = other = False
+        for b, good in zip(blocks, alone, strict=True):
+            bar = top[b.by_name] if b.by_name >= 0 else -1
+            b.outside = b.barred or bar >= 0
+            if good and bar >= 0:
+                dense[bar] = dense.get(bar, 0) + len(b.text)
+            elif good and not b.barred:
+                article, other = article or b.article, True
+        held = [k for k in dense if holds[k]]
+        if article or not dense or other and not held:
+            return
+        new = set(held or [max(dense, key=dense.get)])
+        for k in range(min(new), len(around)):  # with an element those inside of it that hold all of its dense text
+            if k in new or around[k] in new and whole[k] == whole[around[k]]:
+                new.add(k)
+                lifted[k] = True
+
+
+def _blocks(html: str) -> list[_Block]:
+    blocks, tags = _parsed(html)
+    _let_in(blocks, tags, _foreign(blocks))
     return blocks
 
 
-def _first_pass(block: _Block, has_article: bool) -> str:
-    """good, bad, near (few words speak for it) or short, from the block alone."""
+def _first_pass(block: _Block, has_article: bool, foreign: bool = False) -> str:
+    """good, bad, near (few words speak for it) or short, from the block alone; foreign: stop words say nothing."""
     text = block.text
     density = block.linked / len(text)
     if block.outside or density > MOST_LINKS or text.startswith(("©", "(c) ")):
         return "bad"
     if len(text) < SHORT:
         return "bad" if density > 0 and not block.article else "short"
-    words = _WORD.findall(text.lower())
-    stops = sum(w in _STOP_WORDS for w in words) / max(1, len(words))
+    if foreign:
+        return "good" if len(text) > LONG else "near"
+    words, stops = block.words()
+    stops /= max(1, words)
     if stops >= MANY_STOPS and len(text) > LONG:
         return "good"
     if block.article:
@@ -224,9 +316,12 @@ def _second_pass(blocks: list[_Block], labels: list[str]) -> list[bool]:
 def main_text(html: str | None) -> str:
     """The main text of one page: blocks in page order, joined by two line feeds."""
     blocks = _blocks(html or "")
-    has_article = any(b.article and not b.outside for b in blocks)
-    labels = [_first_pass(b, has_article) for b in blocks]
-    return "\n\n".join(b.text for b, good in zip(blocks, _second_pass(blocks, labels), strict=True) if good)
+    has_article, foreign = any(b.article and not b.outside for b in blocks), _foreign(blocks)
+    labels = [_first_pass(b, has_article, foreign) for b in blocks]
+    kept = [b for b, good in zip(blocks, _second_pass(blocks, labels), strict=True) if good]
+    if not kept:  # all that there is
+        kept = [b for b in blocks if not b.outside and b.linked <= MOST_LINKS * len(b.text) and not b.text.startswith(("©", "(c) "))]
+    return "\n\n".join(b.text for b in kept)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

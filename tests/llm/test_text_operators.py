@@ -56,6 +56,35 @@ def test_html_text_outside_of_teaser_articles_is_kept():
     assert html_extract.main_text(page) == "\n\n".join([good.strip(), "A short one.", good.strip()])
 
 
+def test_html_names_do_not_lose_the_article():
+    good = "This is the text of the page and it is long enough for the rules to keep it as the main text of all. " * 4
+    article = f"<article{{}}><h1>Title</h1><p>{good}</p></article>"
+    rest = '<nav><a href="x">Home page</a></nav><div class="sidebar"><p>' + "Some of the other texts that we have for you in this list of ours. " * 5 + '</p></div><div class="comments"><article class="comment-5"><p>' + "I like the text and the way in which it is written, but not the end of it. " * 5 + "</p></article></div>"
+    whole = "Title\n\n" + good.strip()
+    for attributes in (' style="overflow:hidden"', ' title="the hidden truth"', ' data-id="comment-5"', ' class="post comments-open"', " data-class='sidebar' data-hidden=1", ' class="post promo"', ' id="main-widget"'):
+        assert html_extract.main_text(f"<body>{article.format(attributes)}{rest}</body>") == whole, attributes
+    for wrapper in ('<div class="layout has-sidebar">', '<div class="no-sidebar">', '<div class="page-header-fixed">', '<form id="aspnetForm">', '<div class="with-menu is-sticky header">', '<div class="widget"><form><div id="overlay">'):
+        assert html_extract.main_text(f"<body>{wrapper}{article.format('')}{rest}</body>") == whole, wrapper
+        plain = f"<body>{wrapper}<div><h1>Title</h1><p>{good}</p></div>{rest}</body>"
+        assert html_extract.main_text(plain) == whole, wrapper
+    # dense text elsewhere: what is called out by name stays out
+    assert html_extract.main_text(f'<body><div><h1>Title</h1><p>{good}</p></div><div class="promo"><p>{good}</p></div></body>') == whole
+
+
+def test_html_keeps_the_only_text_of_a_page():
+    short, russian = "One plain paragraph of some ninety characters, which has the page to itself and no other.", "Этот текст написан на языке, для которого здесь нет списка частых слов. " * 7
+    assert html_extract.main_text(f"<body><nav><a href=a>x</a></nav><p>{short}</p></body>") == short
+    assert html_extract.main_text("<body><p>Short one.</p></body>") == "Short one."
+    assert html_extract.main_text(f"<body><nav><a href=a>Дом</a></nav><div><p>{russian}</p><p>Конец.</p><p>{russian}</p></div><footer>©</footer></body>") == f"{russian.strip()}\n\nКонец.\n\n{russian.strip()}"
+    assert html_extract.main_text('<body><nav><a href="a">Home</a></nav><div class="cookie-notice">We use cookies.</div><footer>Us</footer></body>') == ""
+    assert html_extract.main_text(None) == html_extract.main_text("<div class=") == ""
+
+
+def test_html_names_nested_deeply_take_linear_time():
+    n, text = 20_000, "This is the text of the page and it is long enough for the rules to keep it as the main text of all. " * 4
+    assert html_extract.main_text('<div class="x widget">' * n + f"<p>{text}</p>" + "</div>" * n) == text.strip()
+
+
 def brute_kept(blocks, labels):
     """The second pass by its definition: for each block a walk to its nearest decided neighbours."""
 
@@ -94,6 +123,8 @@ def test_html_passes_over_driver_pages():
             seen.update(labels)
             kept = brute_kept(blocks, labels)
             assert html_extract._second_pass(blocks, labels) == kept
+            if not any(kept):  # the only text of a page
+                kept = [not b.outside and b.linked <= 0.4 * len(b.text) and b.text[0] != "©" for b in blocks]
             assert html_extract.main_text(page) == "\n\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
     assert min(seen[x] for x in ("good", "bad", "near", "short")) > 100
 
