@@ -23,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -87,10 +88,11 @@ class TokenEncoder:
         """The places of units in what is known; new ones are learned."""
         if len(self.known) > _KNOWN:
             self._forget()
-        new = [u for u in dict.fromkeys(units) if u not in self.known]
-        if new:
-            self._learn(new)
-        return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        found = [*map(self.known.get, units)]
+        if None in found:
+            self._learn([*dict.fromkeys(u for u, n in zip(units, found, strict=True) if n is None)])
+            found = map(self.known.__getitem__, units)
+        return np.fromiter(found, np.int64, len(units))
 
     def encode(self, raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts that lie one after the other in ``raw`` and end at ``ends``, and the ends of theirs."""
@@ -117,7 +119,9 @@ class TokenEncoder:
         low = eight[at[short]] & _MASKS[np.minimum(sizes[short], 8)]
         high = eight[np.minimum(at[short] + 8, len(eight) - 1)] & _MASKS[np.maximum(sizes[short] - 8, 0)]
         hashes = mix(low ^ mix(high, 3), 4)
-        _, one, of = np.unique(hashes, return_index=True, return_inverse=True)
+        of, each = pd.factorize(hashes)
+        one = np.empty(len(each), np.int64)
+        one[of[::-1]] = np.arange(len(of) - 1, -1, -1)
         same = (low == low[one][of]) & (high == high[one][of]) & (sizes[short] == sizes[short][one][of])
         slices_ = lambda rows: [raw[a : a + n] for a, n in zip(at[rows].tolist(), sizes[rows].tolist(), strict=True)]
         rest = np.concatenate([np.flatnonzero(sizes > _SHORT), short[~same]])
@@ -129,7 +133,7 @@ class TokenEncoder:
         ids = self.ids[np.repeat(starts - (done - many), many) + np.arange(done[-1] if len(done) else 0)]
         return ids, np.append(0, done)[np.searchsorted(at, ends)]
 
-    def encode_all(self, texts: Iterator[bytes], most: int = 1 << 20) -> Iterator[np.ndarray]:
+    def encode_all(self, texts: Iterator[bytes], most: int = 1 << 21) -> Iterator[np.ndarray]:
         """The ids of UTF-8 texts, about ``most`` bytes of them at once; a longer text goes by parts that end at white space."""
         held: list[bytes] = []
         size = 0
