@@ -259,8 +259,8 @@ class _Block:
         self.words = np.frombuffer(raw, "<u4", words, at + 8 * LANES * self.noted)
 
 
-def _decoded(states: np.ndarray, streams: list[np.ndarray], n: int, table: Table) -> np.ndarray:
-    """n ids of each of several streams from their states on."""
+def _decoded(states: np.ndarray, streams: list[np.ndarray], n: int, table: Table) -> tuple[np.ndarray, np.ndarray]:
+    """n ids of each of several streams from their states on, and the states after them."""
     many = len(states)
     state, stream = states.astype(np.uint64), np.concatenate([*streams, np.zeros(1, np.uint32)])
     place = (np.cumsum([len(s) for s in streams]) - [len(s) for s in streams])[:, None]
@@ -278,7 +278,7 @@ def _decoded(states: np.ndarray, streams: list[np.ndarray], n: int, table: Table
         word = stream[np.minimum(place + taken - 1, len(stream) - 1)]
         state[:, :k] = np.where(low, x << _WORD | word, x)
         place = place + taken[:, -1:]
-    return out
+    return out, state
 
 
 def decode_blocks(raws: list[bytes], table: Table) -> list[np.ndarray]:
@@ -287,9 +287,9 @@ def decode_blocks(raws: list[bytes], table: Table) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(blocks)
     for n in {b.n for b in blocks}:
         same = [i for i, b in enumerate(blocks) if b.n == n]
-        for i, ids in zip(same, _decoded(np.stack([blocks[i].state for i in same]), [blocks[i].words for i in same], n, table), strict=True):
-            if zlib.crc32(ids.astype("<u4").tobytes()) != blocks[i].crc:
-                raise ValueError("a block's checksum differs")
+        for i, ids, state in zip(same, *_decoded(np.stack([blocks[i].state for i in same]), [blocks[i].words for i in same], n, table), strict=True):
+            if zlib.crc32(ids.astype("<u4").tobytes()) != blocks[i].crc or (state != _LOW).any():
+                raise ValueError("a block's checksum differs, or its words don't end where they should")
             out[i] = ids
     return out
 
@@ -302,7 +302,7 @@ def decode_between(raw: bytes, start: int, end: int, table: Table) -> np.ndarray
         return np.empty(0, np.uint32)
     at = min(start // CHECKPOINT, block.noted)
     state, words = (block.states[at - 1], block.words[block.places[at - 1] :]) if at else (block.state, block.words)
-    return _decoded(state[None], [words], end - at * CHECKPOINT, table)[0, start - at * CHECKPOINT :]
+    return _decoded(state[None], [words], end - at * CHECKPOINT, table)[0][0, start - at * CHECKPOINT :]
 
 
 _POLYNOMIAL = 0xEDB88320
