@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .spark_tools import checkpointed
+from .spark_tools import checkpointed, fresh
 from .words import Spans, Words, slices
 
 WINDOW = 10
@@ -237,9 +237,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """
     index = _small_index(docs, benchmark, window, shingle, broadcast_windows)
     if index is not None:
-        found = docs.withColumn("__found", _scan(index)(F.coalesce("text", F.lit(""))))
+        name = f"{fresh(docs)}found"
+        found = docs.withColumn(name, _scan(index)(F.coalesce("text", F.lit(""))))
         more = [F.struct(*passed).alias("passed")] if passed else []
-        return found.select(F.col("doc_id").cast("long"), *(F.col(f"__found.{c}") for c in ("n_words", "n_hit", "items", "spans")), *more)
+        return found.select(F.col("doc_id").cast("long"), *(F.col(f"{name}.{c}") for c in ("n_words", "n_hit", "items", "spans")), *more)
     return _by_join(docs, benchmark, window, shingle, passed)
 
 
@@ -299,11 +300,12 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = B
     With a broadcast index rows are decided where they are read. Else they go by doc_id and two hashes of the text, so that a
     null or repeated doc_id does no harm: equal texts have equal hits.
     """
-    index = _small_index(docs, benchmark, WINDOW, SHINGLE, broadcast_windows)
+    index, p = _small_index(docs, benchmark, WINDOW, SHINGLE, broadcast_windows), fresh(docs)
     if index is not None:
-        return docs.withColumn("__found", _scan(index)(F.coalesce("text", F.lit("")))).filter("__found.n_hit = 0").select(*docs.columns)
-    named = docs.withColumns({"__text_a": F.xxhash64("text"), "__text_b": F.xxhash64(F.lit(1), "text")})
-    found = _by_join(named, benchmark, WINDOW, SHINGLE, ["__text_a", "__text_b"])
-    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("__doc"), F.col("passed.__text_a").alias("__a"), F.col("passed.__text_b").alias("__b"))
-    same = named["doc_id"].cast("long").eqNullSafe(hit["__doc"]) & (named["__text_a"] == hit["__a"]) & (named["__text_b"] == hit["__b"])
+        return docs.withColumn(f"{p}found", _scan(index)(F.coalesce("text", F.lit("")))).filter(f"{p}found.n_hit = 0").select(*docs.columns)
+    a, b = f"{p}text_a", f"{p}text_b"
+    named = docs.withColumns({a: F.xxhash64("text"), b: F.xxhash64(F.lit(1), "text")})
+    found = _by_join(named, benchmark, WINDOW, SHINGLE, [a, b])
+    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias(f"{p}doc"), F.col(f"passed.{a}").alias(f"{p}a"), F.col(f"passed.{b}").alias(f"{p}b"))
+    same = named["doc_id"].cast("long").eqNullSafe(hit[f"{p}doc"]) & (named[a] == hit[f"{p}a"]) & (named[b] == hit[f"{p}b"])
     return named.join(hit, same, "left_anti").select(*docs.columns)

@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spark_tools import fresh
 from .words import slices, string_bytes
 
 UNKNOWN = "und"
@@ -201,8 +202,19 @@ def language_id(docs: DataFrame, model: ByteCnn | None = None, passed: tuple[str
     language first by name. One row for each input row, equal rows alike; a null doc_id isn't held out; extra columns are
     ignored. Only the text goes to Python; rows are read in place, without an exchange.
     """
-    model = model or train(docs)
-    predict = _predict(docs.sparkSession.sparkContext.broadcast(model))
-    own = {"doc_id": F.col("doc_id").cast("long"), "held_out": held_out(F.col("doc_id")), "lang_pred": F.col("__found.lang_pred"), "score": F.col("__found.score")}
-    found = docs.withColumn("__found", predict(F.coalesce("text", F.lit(""))))
+    found, name = _found(docs, model)
+    own = {"doc_id": F.col("doc_id").cast("long"), "held_out": held_out(F.col("doc_id")), "lang_pred": F.col(f"{name}.lang_pred"), "score": F.col(f"{name}.score")}
     return found.select(*[F.col(c) for c in passed], *[v.alias(c) for c, v in own.items() if c not in passed])
+
+
+def _found(docs: DataFrame, model: ByteCnn | None) -> tuple[DataFrame, str]:
+    """docs with the struct (lang_pred, score), and its name, which docs doesn't have."""
+    predict = _predict(docs.sparkSession.sparkContext.broadcast(model or train(docs)))
+    name = f"{fresh(docs)}found"
+    return docs.withColumn(name, predict(F.coalesce("text", F.lit("")))), name
+
+
+def keep_known(docs: DataFrame, least: float, model: ByteCnn | None = None) -> DataFrame:
+    """The documents whose language is known with a score of ``least`` or more; all columns, whatever their names, are those of docs."""
+    found, name = _found(docs, model)
+    return found.filter((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= least)).select(*docs.columns)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spark_tools import checkpointed, join_spread
+from .spark_tools import checkpointed, fresh, join_spread
 
 MIN_SITES = 10
 LOG_K = 12
@@ -49,20 +49,36 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, max_chars: int | Non
     repeated doc_id does no harm: lines go by what the row holds, and equal rows are treated alike. An empty table gives no
     rows. Other columns are passed on; an own n_lines or n_removed of the input is replaced.
     """
-    base = docs.drop("n_lines", "n_removed").withColumns({"__a": F.xxhash64("doc_id", "text"), "__b": F.xxhash64(F.lit(1), "doc_id", "text")})
+    found, p = _found(docs, min_sites, max_chars, site)
+    own = {c: F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")} | {"text": F.col(f"{p}text"), "n_lines": F.col(f"{p}n_lines"), "n_removed": F.col(f"{p}n_removed")}
+    return found.select(*[v.alias(c) for c, v in own.items()])
+
+
+def without_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_chars: int | None = None, site: str = "source", chars: str = "n_chars") -> DataFrame:
+    """The documents without boilerplate lines, as ``line_dedup``; of the columns only the text and, where lines went, its length ``chars`` change."""
+    found, p = _found(docs, min_sites, max_chars, site)
+    size = F.when(F.col(f"{p}n_removed") > 0, F.length(f"{p}text").cast("long")).otherwise(F.col(chars))
+    return found.select(*[(F.col(f"{p}text") if c == "text" else size if c == chars else F.col(c)).alias(c) for c in docs.columns])
+
+
+def _found(docs: DataFrame, min_sites: int, max_chars: int | None, site: str) -> tuple[DataFrame, str]:
+    """docs with the new text, n_lines and n_removed, and what these names begin with; docs has no such names."""
+    p = fresh(docs)
+    a, b, gone, kept_ = (f"{p}{name}" for name in ("a", "b", "gone", "kept"))
+    base = docs.withColumns({a: F.xxhash64("doc_id", "text"), b: F.xxhash64(F.lit(1), "doc_id", "text")})
     own = F.explode(F.array_distinct(_hashes(F.col("text"), max_chars))).alias("line")
-    lines = checkpointed(base.select(F.col(site).cast("string").alias("site"), "__a", "__b", own).filter("line is not null"))
+    lines = checkpointed(base.select(F.col(site).cast("string").alias("site"), a, b, own).filter("line is not null"))
     shared = checkpointed(shared_lines(lines.select("line", "site"), min_sites))
-    marks = join_spread(lines.select("line", "__a", "__b"), shared, ["line"]).groupBy("__a", "__b").agg(F.collect_set("line").alias("__gone"))
-    joined = base.join(marks, ["__a", "__b"], "left")
+    marks = join_spread(lines.select("line", a, b), shared, ["line"]).groupBy(a, b).agg(F.collect_set("line").alias(gone))
+    joined = base.join(marks, [a, b], "left")
     split = F.split("text", "\n")
     kept = F.transform(
-        F.filter(F.arrays_zip(split.alias("s"), _hashes(F.col("text"), max_chars).alias("h")), lambda x: x["h"].isNull() | ~F.array_contains("__gone", x["h"])),
+        F.filter(F.arrays_zip(split.alias("s"), _hashes(F.col("text"), max_chars).alias("h")), lambda x: x["h"].isNull() | ~F.array_contains(gone, x["h"])),
         lambda x: x["s"],
     )
-    joined = joined.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept))
-    left = F.exists("__kept", lambda x: F.trim(x, F.lit(" \t\r")) != "")
-    text = F.when(F.col("__gone").isNull() | ~left, F.col("text")).otherwise(F.array_join("__kept", "\n"))
+    joined = joined.withColumn(kept_, F.when(F.col(gone).isNotNull(), kept))
+    left = F.exists(kept_, lambda x: F.trim(x, F.lit(" \t\r")) != "")
+    text = F.when(F.col(gone).isNull() | ~left, F.col("text")).otherwise(F.array_join(kept_, "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
-    removed = F.when(F.col("__gone").isNull() | ~left, 0).otherwise(F.size(split) - F.size("__kept")).cast("long")
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")], n_lines.alias("n_lines"), removed.alias("n_removed"))
+    removed = F.when(F.col(gone).isNull() | ~left, 0).otherwise(F.size(split) - F.size(kept_)).cast("long")
+    return joined.select(*docs.columns, text.alias(f"{p}text"), n_lines.alias(f"{p}n_lines"), removed.alias(f"{p}n_removed")), p

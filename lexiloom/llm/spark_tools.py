@@ -22,4 +22,9 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-__all__ = ["HEAVY", "checkpointed", "discard", "join_spread", "shared_folder", "written"]
+def fresh(df: DataFrame) -> str:
+    """The beginning of names that no column of df has: one underscore more than any of them begins with, two at least."""
+    return "_" * max([2, *(len(c) - len(c.lstrip("_")) + 1 for c in df.columns)])
+
+
+__all__ = ["HEAVY", "checkpointed", "discard", "fresh", "join_spread", "shared_folder", "written"]

@@ -449,3 +449,21 @@ def test_line_stage_has_no_longest_line(spark, docs):
     got = rows(corpus_pipeline.line_stage(spark, docs(texts, sources=[f"s{i}" for i in range(14)]), ""))
     assert got[3]["text"] == "own 3\nmore 3" and got[3]["n_chars"] == 12
     assert got[12]["text"] == long and got[13]["text"] == texts[13]  # nothing else: left alone; and a rare line
+
+
+# names that clash ------------------------------------------------------------------------------------------------------------
+CLASHES = ("score", "lang_pred", "held_out", "n_lines", "n_removed", "__found", "___found", "__gone", "__kept", "__a", "__b", "__text_a", "__text_b", "__doc", "__doc_id", "__n", "line", "site", "a", "b", "name", "root", "items", "passed", "found", "n_hit", "line_")
+
+
+def test_stages_decide_as_without_clashing_names(spark, tmp_path, sample):
+    """Columns with every name that an operator makes come through untouched, and change no decision."""
+    from pyspark.sql import functions as F
+
+    plain = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(spark.createDataFrame([(None, "the same text of nobody", "en", None, 3), (9, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    clash = plain.withColumns({c: F.concat(F.lit(c), F.coalesce("doc_id", F.lit(-1)).cast("string")) for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        one, other = (stage(spark, docs, "/root/testdata/sf0.001") for docs in (plain, clash))
+        assert other.columns == clash.columns
+        rows = other.collect()
+        assert sorted(map(tuple, one.collect()), key=str) == sorted((tuple(r)[:5] for r in rows), key=str), name
+        assert all(r[c] == f"{c}{-1 if r.doc_id is None else r.doc_id}" for r in rows for c in CLASHES), name
