@@ -185,3 +185,98 @@ def seeded(workspaces: DataFrame, views: DataFrame) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(at).alias("position"), F.lit(n).alias("name"), F.lit(i).alias("icon"), F.lit(k).alias("layout")) for at, (n, i, k) in enumerate(SEEDED)])
     bare = workspaces.select("workspace_id").join(views.select("workspace_id"), "workspace_id", "left_anti")
     return bare.select("workspace_id", F.inline(rows))
+
+
+# stored views ----------------------------------------------------------------------------------------------------------------
+def rearranged(views: DataFrame, added: DataFrame, moved: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(views, refused): the views of all workspaces after a set of changes, with positions 0, 1, 2 ... in each, and the deletes that were refused.
+
+    views: (id, workspace_id, position, ...). added: the same columns, a null position for the end. moved: (id, position).
+    deleted: (id, seq), each in the order of seq. A workspace keeps one view: if all that it would have are deleted, the last
+    delete is refused. Of the others, views that are added or moved to a place stand before the view that has that place among
+    the rest; a position below 0 is the first one, and ties go by id. Deletes of added views count; unknown ids change nothing.
+    One pass: a join by id for the changes, a rank within each workspace for the rest.
+    """
+    changes = moved.groupBy("id").agg(F.min("position").alias("__to")).join(deleted.groupBy("id").agg(F.min("seq").alias("__seq")), "id", "full")
+    old = views.select(*views.columns, F.lit(False).alias("__added"))
+    rows = old.unionByName(added.select(*views.columns, F.lit(True).alias("__added"))).join(changes, "id", "left")
+    own = Window.partitionBy("workspace_id")
+    last = F.row_number().over(own.orderBy(F.desc_nulls_last("__seq"), F.desc("id")))
+    rows = rows.withColumns({"__left": F.count(F.when(F.col("__seq").isNull(), 1)).over(own), "__last": last})
+    kept = F.col("__seq").isNull() | ((F.col("__left") == 0) & (F.col("__last") == 1))
+    rows = rows.withColumn("__kept", kept)
+    refused = rows.filter(F.col("__kept") & F.col("__seq").isNotNull()).select("id", "workspace_id")
+    wanted = F.coalesce("__to", F.when(F.col("__added"), F.col("position")))
+    rest = F.row_number().over(Window.partitionBy("workspace_id", "__fixed").orderBy("__added", "position", "id")) - 1
+    rows = rows.filter("__kept").withColumn("__wanted", wanted).withColumn("__fixed", F.col("__wanted").isNotNull())
+    rows = rows.withColumn("__at", F.when(F.col("__fixed"), F.col("__wanted")).otherwise(rest))
+    place = F.row_number().over(own.orderBy("__at", F.desc("__fixed"), "id")) - 1
+    return rows.withColumn("position", place.cast(dict(views.dtypes)["position"])).select(*views.columns), refused
+
+
+_CONFIG = "map<string, variant>"
+
+
+def _json(text: str) -> Column:
+    return F.parse_json(F.lit(text))
+
+
+def _names(config: Column, key: str) -> Column:
+    return F.coalesce(F.try_variant_get(config[key], "$", "array<string>"), F.array().cast("array<string>"))
+
+
+def _with(config: Column, **values: Column) -> Column:
+    """The configuration with these entries, the others as they are."""
+    return F.map_concat(F.map_filter(config, lambda k, _: ~k.isin(*values)), F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]))
+
+
+def _before_box(names: Column, name: str) -> Column:
+    """The list with the name before ``box``, or at the end; as it is if it has the name."""
+    at = F.coalesce(F.nullif(F.array_position(names, F.lit("box")), F.lit(0)), F.size(names) + 1).cast("int")
+    return F.when(F.array_contains(names, name), names).otherwise(F.array_insert(names, at, F.lit(name)))
+
+
+def _variant(names: Column) -> Column:
+    return F.parse_json(F.to_json(names))
+
+
+def migrated(views: DataFrame, config: str = "config") -> DataFrame:
+    """views (name, layout, a JSON configuration, ...) brought up to date, with ``migrations``: what was done, in its order.
+
+    cards: the default view Gallery of layout gallery is called Cards. review_queue: a review queue that asks for both not
+    learned and due takes either. all_words: one that is sorted by word, or not sorted and without the date, shows the date
+    before the box and is sorted by it, newest first. dedupe: lists of properties hold no name twice. Each looks at the shape
+    that the ones before it left and does nothing to one that is up to date, so a second pass changes no row. Entries that a
+    migration doesn't know stay. A null configuration, or one that isn't a JSON object, is empty.
+    """
+    rows = views.withColumn("__c", F.coalesce(F.from_json(config, _CONFIG), F.create_map().cast(_CONFIG)))
+    c = F.col("__c")
+    query = lambda key: F.try_variant_get(c["query"], f"$.{key}", "string")
+    steps: list[tuple[str, Column, dict[str, Column]]] = []
+    steps.append(("cards", (F.col("name") == "Gallery") & (F.col("layout") == "gallery"), {"name": F.lit("Cards")}))
+
+    legacy = (F.col("name") == "Review queue") & (query("learned") == "not_learned") & (query("due") == "due_now") & (F.coalesce(query("statusMatch"), F.lit("all")) == "all")
+    own_query = F.coalesce(F.from_json(F.to_json(c["query"]), _CONFIG), F.create_map().cast(_CONFIG))
+    steps.append(("review_queue", legacy, {"__c": _with(c, query=F.parse_json(F.to_json(_with(own_query, statusMatch=_json('"any"')))))}))
+
+    visible, order = _names(c, "visibleProperties"), _names(c, "propertyOrder")
+    sorts = F.coalesce(F.from_json(F.to_json(c["sorts"]), "array<map<string, string>>"), F.array().cast("array<map<string, string>>"))
+    first = F.get(sorts, F.lit(0))
+    by_word = (F.size(sorts) == 1) & (F.size(first) == 2) & (first["field"] == "word") & (first["direction"] == "asc")
+    bare = (F.size(sorts) == 0) & ~F.array_contains(visible, "createdAt")
+    shown_ = F.when(F.size(visible) > 0, visible).otherwise(F.array(*[F.lit(p) for p in TABLE_PROPERTIES]))
+    ordered = F.when(F.size(order) > 0, order).otherwise(shown_)
+    dated = [_variant(F.array_distinct(_before_box(x, "createdAt"))) for x in (shown_, ordered)]
+    newest = _json('[{"field": "createdAt", "direction": "desc"}]')
+    steps.append(("all_words", (F.col("name") == "All words") & (by_word | bare), {"__c": _with(c, visibleProperties=dated[0], propertyOrder=dated[1], sorts=newest)}))
+
+    twice = (F.size(F.array_distinct(visible)) < F.size(visible)) | (F.size(F.array_distinct(order)) < F.size(order))
+    steps.append(("dedupe", twice, {"__c": _with(c, visibleProperties=_variant(F.array_distinct(visible)), propertyOrder=_variant(F.array_distinct(order)))}))
+
+    rows = rows.withColumn("migrations", F.array().cast("array<string>"))
+    for name, applies, new in steps:
+        rows = rows.withColumn("__do", F.coalesce(applies, F.lit(False)))
+        done = F.when(F.col("__do"), F.array_append("migrations", F.lit(name))).otherwise(F.col("migrations"))
+        rows = rows.withColumns({k: F.when(F.col("__do"), v).otherwise(F.col(k)) for k, v in new.items()} | {"migrations": done})
+    text = F.when(F.exists("migrations", lambda m: m != "cards"), F.to_json("__c")).otherwise(F.col(config))
+    return rows.withColumn(config, text).select(*views.columns, "migrations")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import shared_folder
 from ..functions import automata
 from ..functions import text as T
-from ..operators import jobs, rescoring
+from ..operators import jobs, rescoring, views
 from .tables import EVALUATIONS, evaluations, sentences, sql_tokens, table
 
 QUERIES, SQL = {}, {}
@@ -211,3 +211,70 @@ def j_09_cached(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), F.lit("en").alias("lang"), "text")
     rescoring.cached_results(docs, path, score)
     return rescoring.cached_results(docs.unionByName(items), path, score).select("kind", "id", "result", "error", "cached")
+
+
+# stored views ----------------------------------------------------------------------------------------------------------------
+def _stored(spark, sf_dir):
+    """(views, added, moved, deleted): orders as the views of their customers, and a new one for each customer."""
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    views_ = orders.select(key.alias("id"), F.col("o_custkey").alias("workspace_id"), (key % 7).cast("int").alias("position"))
+    added = table(spark, sf_dir, "customer").filter("c_nationkey < 12").select((-F.col("c_custkey")).alias("id"), F.col("c_custkey").alias("workspace_id"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey") % 4).cast("int").alias("position"))
+    moved = orders.filter("o_totalprice < 100000").select(key.alias("id"), (key % 4).cast("int").alias("position"))
+    return views_, added, moved, orders.filter("o_orderstatus <> 'P'").select(key.alias("id"), (key % 100).alias("seq"))
+
+
+_STORED = """
+v AS (
+  SELECT o_orderkey AS id, o_custkey AS ws, o_orderkey % 7 AS pos, CASE WHEN o_totalprice < 100000 THEN o_orderkey % 4 END AS moved, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 100 END AS seq, false AS added FROM orders
+  UNION ALL SELECT -c_custkey, c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 4 END, NULL, NULL, true FROM customer WHERE c_nationkey < 12
+), k AS (
+  SELECT *, coalesce(moved, CASE WHEN added THEN pos END) AS wanted, count(*) FILTER (seq IS NULL) OVER (PARTITION BY ws) AS remain, row_number() OVER (PARTITION BY ws ORDER BY seq DESC NULLS LAST, id DESC) AS r FROM v
+), kept AS (SELECT * FROM k WHERE seq IS NULL OR remain = 0 AND r = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY ws, wanted IS NULL ORDER BY added, pos, id) - 1 AS rest FROM kept)"""
+
+
+@register("m_04_positions", f"""
+WITH {_STORED} SELECT id, ws AS workspace_id, CAST(row_number() OVER (PARTITION BY ws ORDER BY coalesce(wanted, rest), wanted IS NULL, id) - 1 AS INTEGER) AS position FROM ranked""")
+def m_04_positions(spark, sf_dir):
+    """Positions without gaps after inserts, moves and deletes."""
+    return views.rearranged(*_stored(spark, sf_dir))[0]
+
+
+@register("m_04_refused", f"WITH {_STORED} SELECT id, ws AS workspace_id FROM kept WHERE seq IS NOT NULL")
+def m_04_refused(spark, sf_dir):
+    """Deletes of a workspace's last view."""
+    return views.rearranged(*_stored(spark, sf_dir))[1]
+
+
+def _configured(spark, sf_dir):
+    """Customers as views of eight shapes."""
+    k = F.col("c_custkey") % 8
+    name = F.when(k < 3, "All words").when(k < 5, "Review queue").when(k == 5, "Gallery").otherwise("Mine")
+    layout = F.when(F.col("c_custkey") % 3 == 0, "gallery").otherwise("table")
+    shapes = (
+        '{"query":{"search":"@"},"sorts":[{"field":"word","direction":"asc"}],"visibleProperties":["word","box","word"],"propertyOrder":["box"]}', '{"sorts":[],"visibleProperties":["word","tags"],"own":"@"}',
+        '{"sorts":[{"field":"createdAt","direction":"desc"}],"visibleProperties":["word","createdAt"],"propertyOrder":["word"]}', '{"query":{"learned":"not_learned","due":"due_now","search":"@"},"visibleProperties":["word"]}',
+        '{"query":{"learned":"not_learned","due":"due_now","statusMatch":"any"},"visibleProperties":["word","box","word"]}', '{"own":"@"}', '{"visibleProperties":["a","b","a","@","@"],"propertyOrder":["b"]}', None,
+    )
+    config = F.element_at(F.array(*[F.lit(s) for s in shapes]), (k + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", name.alias("name"), layout.alias("layout"), F.replace(config, F.lit("@"), F.col("c_mktsegment")).alias("config"))
+
+
+@register("g_18_migrated", f"""
+WITH v AS (SELECT c_custkey, c_mktsegment, c_custkey % 8 AS k, c_custkey % 3 = 0 AS cards FROM customer)
+SELECT c_custkey, CASE WHEN k < 3 THEN 'All words' WHEN k < 5 THEN 'Review queue' WHEN k = 5 THEN CASE WHEN cards THEN 'Cards' ELSE 'Gallery' END ELSE 'Mine' END AS name,
+  CASE k WHEN 0 THEN 'word,createdAt,box' WHEN 1 THEN 'word,tags,createdAt' WHEN 2 THEN 'word,createdAt' WHEN 3 THEN 'word' WHEN 4 THEN 'word,box' WHEN 6 THEN 'a,b,' || c_mktsegment END AS visible,
+  CASE k WHEN 0 THEN 'createdAt,box' WHEN 1 THEN 'word,tags,createdAt' WHEN 2 THEN 'word' WHEN 4 THEN '' WHEN 6 THEN 'b' END AS ordered,
+  CASE WHEN k IN (0, 1, 2) THEN 'createdAt' END AS sorted, CASE WHEN k IN (3, 4) THEN 'any' END AS status_match, CASE WHEN k IN (0, 3) THEN c_mktsegment END AS search, CASE WHEN k IN (1, 5) THEN c_mktsegment END AS own,
+  CASE k WHEN 0 THEN 'all_words' WHEN 1 THEN 'all_words' WHEN 3 THEN 'review_queue' WHEN 4 THEN 'dedupe' WHEN 5 THEN CASE WHEN cards THEN 'cards' ELSE '' END WHEN 6 THEN 'dedupe' ELSE '' END AS migrations
+FROM v""")
+def g_18_migrated(spark, sf_dir):
+    """Views brought up to date, some of their entries."""
+    rows = views.migrated(_configured(spark, sf_dir))
+    names = lambda key: F.array_join(F.from_json(F.get_json_object("config", f"$.{key}"), "array<string>"), ",")
+    get = lambda path: F.get_json_object("config", path)
+    return rows.select(
+        "c_custkey", "name", names("visibleProperties").alias("visible"), names("propertyOrder").alias("ordered"), get("$.sorts[0].field").alias("sorted"), get("$.query.statusMatch").alias("status_match"),
+        get("$.query.search").alias("search"), get("$.own").alias("own"), F.array_join("migrations", ",").alias("migrations"),
+    )

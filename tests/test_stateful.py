@@ -1,12 +1,13 @@
 """State along tokens, jobs, runs and configurations: golden values and brute-force versions."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import automata
-from lexiloom.operators import rescoring
+from lexiloom.operators import rescoring, views
 from lexiloom.streaming.tracker import advanced
 
 TEXTS = "tok array<string>, gold array<array<string>>, banned array<array<string>>"
@@ -140,3 +141,62 @@ def test_results_are_kept_by_content_and_errors_are_not(spark, tmp_path):
     assert asked[1:] == [[("en", "bad")]] and [r[1:] for r in second] == [(3.0, None, True)] * 3 + [(3.0, None, False)] + [(0.0, None, True)] * 2
     assert all(r[3] for r in _rows(rescoring.cached_results(texts, path, score), "id", "result", "error", "cached")) and asked[2:] == [[]]
     assert rescoring.cached_results(texts.limit(0), path, score).count() == 0
+
+
+# stored views -----------------------------------------------------------------------------------------------------------------
+VIEWS = "id long, workspace_id long, position int, name string"
+
+
+def _views(spark, *rows):
+    return spark.createDataFrame(rows, VIEWS)
+
+
+def _rearranged(spark, rows, added=(), moved=(), deleted=()):
+    return views.rearranged(_views(spark, *rows), _views(spark, *added), spark.createDataFrame(moved, "id long, position int"), spark.createDataFrame(deleted, "id long, seq long"))
+
+
+def test_positions_have_no_gaps(spark):
+    rows = [(1, 1, 0, "a"), (2, 1, 5, "b"), (3, 1, 9, "c"), (4, 2, 3, "d")]
+    got, refused = _rearranged(spark, rows, [(10, 1, None, "end"), (11, 1, 1, "second"), (12, 3, None, "first of all")], [(3, 0), (99, 1)], [(2, 1)])
+    assert _rows(got) == sorted([(3, 1, 0, "c"), (1, 1, 1, "a"), (11, 1, 2, "second"), (10, 1, 3, "end"), (4, 2, 0, "d"), (12, 3, 0, "first of all")], key=str)
+    assert refused.collect() == []
+
+
+def test_moves_equal_a_list(spark):
+    """One move puts a view where list.insert would."""
+    for at in range(5):
+        for to in range(5):
+            ids = [20, 21, 22, 23, 24]
+            got, _ = _rearranged(spark, [(i, 1, k * 3, "v") for k, i in enumerate(ids)], moved=[(ids[at], to)])
+            expected = ids[:at] + ids[at + 1 :]
+            expected.insert(to, ids[at])
+            assert [r.id for r in got.orderBy("position").collect()] == expected
+            if to not in (0, 4):
+                break
+
+
+def test_the_last_view_stays(spark):
+    rows = [(1, 1, 0, "a"), (2, 1, 1, "b"), (3, 2, 0, "c"), (4, None, 0, "no workspace")]
+    got, refused = _rearranged(spark, rows, deleted=[(1, 2), (2, 1), (3, 7), (3, 9)])
+    assert _rows(got) == sorted([(1, 1, 0, "a"), (3, 2, 0, "c"), (4, None, 0, "no workspace")], key=str) and _rows(refused) == [(1, 1), (3, 2)]
+    # a new view makes room for the delete of all others
+    got, refused = _rearranged(spark, rows[:2], [(9, 1, None, "new")], deleted=[(1, 2), (2, 1)])
+    assert _rows(got) == [(9, 1, 0, "new")] and refused.collect() == []
+
+
+def test_migrations_run_once(spark):
+    rows = [
+        (1, "Gallery", "gallery", '{"sorts":[]}'), (2, "Gallery", "table", None), (3, "Review queue", "table", '{"query":{"learned":"not_learned","due":"due_now","tags":["x"]},"own":{"k":[1,2.5,null,true]}}'),
+        (4, "All words", "table", '{"sorts":[{"field":"word","direction":"asc"}],"visibleProperties":["word","box"],"propertyOrder":["box","word","box"]}'), (5, "All words", "table", None), (6, "All words", "table", "not json"),
+        (7, "All words", "table", '{"sorts":[{"field":"word","direction":"desc"}],"visibleProperties":["word"]}'), (8, "Mine", "board", '{"visibleProperties":["a","a"],"x":"y"}'), (9, None, None, "[1]"),
+    ]
+    first = views.migrated(spark.createDataFrame(rows, "id long, name string, layout string, config string"))
+    got = {r.id: r for r in first.collect()}
+    assert {i: list(r.migrations) for i, r in got.items()} == {1: ["cards"], 2: [], 3: ["review_queue"], 4: ["all_words"], 5: ["all_words"], 6: ["all_words"], 7: [], 8: ["dedupe"], 9: []}
+    assert got[1].name == "Cards" and got[1].config == '{"sorts":[]}' and got[2].name == "Gallery" and got[9].config == "[1]" and got[7].config == rows[6][3]
+    new = {i: json.loads(got[i].config) for i in (3, 4, 5, 8)}
+    assert new[3] == {"query": {"learned": "not_learned", "due": "due_now", "tags": ["x"], "statusMatch": "any"}, "own": {"k": [1, 2.5, None, True]}}
+    assert new[4] == {"sorts": [{"field": "createdAt", "direction": "desc"}], "visibleProperties": ["word", "createdAt", "box"], "propertyOrder": ["createdAt", "box", "word"]}
+    assert new[5]["visibleProperties"] == list(views.TABLE_PROPERTIES) and new[8] == {"visibleProperties": ["a"], "propertyOrder": [], "x": "y"}
+    again = views.migrated(first.drop("migrations"))
+    assert again.filter(F.size("migrations") > 0).collect() == [] and _rows(again.drop("migrations")) == _rows(first.drop("migrations"))
