@@ -340,16 +340,6 @@ def _unpacked(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.uint32)
 
 
-def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed, for the exchange."""
-    codec = pa.Codec("zstd")
-    for batch in batches:
-        data, offsets = string_bytes(batch.column("text"))
-        raw, at = data.tobytes(), offsets.tolist()
-        zipped = pa.array([codec.compress(raw[a:b], asbytes=True) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(np.diff(offsets)), zipped], ["doc_id", "mark", "size", "zipped"])
-
-
 def _cut(path: str, end: int, block: int):
     """Rows of ``block`` ids of a partition's documents, in their order."""
 
@@ -362,11 +352,12 @@ def _cut(path: str, end: int, block: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, codec, part = encoder(path), pa.Codec("zstd"), TaskContext.get().partitionId()
+        library, part = encoder(path), TaskContext.get().partitionId()
         number, held, open_, doc = 0, [], block, 0
         pieces: list[tuple] = []
         for batch in batches:
-            texts = (codec.decompress(zipped, size, asbytes=True) for size, zipped in zip(*(batch.column(c).to_pylist() for c in ("size", "zipped")), strict=True))
+            data, offsets = string_bytes(batch.column("text"))
+            texts = (data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True))
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), library.encode_all(texts), strict=True):
                 ids = np.append(ids, np.uint32(end))
                 at = 0
@@ -424,15 +415,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END, blo
     Null texts are empty: the end id only. Null doc_ids come first; rows of one doc_id are in the order of a hash of their texts, and
     equal ones follow one another. An empty table gives a folder without blocks. Other columns are ignored.
 
-    Texts are dealt by ranges of (doc_id, hash, row), so no key is too large for a task, and cross that exchange compressed. The
-    table of frequencies has at most a row for each id of the vocabulary; it is the only thing that meets on the driver, next to a
-    number for each partition.
+    Texts are dealt by ranges of (doc_id, hash, row), so no key is too large for a task. The table of frequencies has at most a
+    row for each id of the vocabulary; only it meets on the driver. Two numbers of each partition are broadcast.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.select("doc_id", F.struct(F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row")).alias("mark"), "text")
-    dealt = texts.mapInArrow(_zipped, "doc_id long, mark struct<hash: long, row: long>, size long, zipped binary").repartitionByRange("doc_id", "mark.hash", "mark.row").sortWithinPartitions("doc_id", "mark.hash", "mark.row")
-    blocks = written(dealt.select("doc_id", "size", "zipped").mapInArrow(_cut(tokenizer, end, block), f"part int, first long, n long, ids binary, pieces array<{_PIECE}>"), "ids")
+    mark = [F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row")]
+    order = ["doc_id", "hash", "row"]
+    dealt = texts.select("doc_id", "text", *mark).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    blocks = written(dealt.mapInArrow(_cut(tokenizer, end, block), f"part int, first long, n long, ids binary, pieces array<{_PIECE}>"), "ids")
 
     counts = blocks.select("ids", "n").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
     table = Table.counted([r["id"] for r in counts], [r["n"] for r in counts]) if counts else Table(np.empty(0, np.int64), np.empty(0, np.int64))
