@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..checkpoints import shared_folder
-from ..functions import automata
+from ..functions import automata, forms
 from ..functions import text as T
-from ..operators import jobs, rescoring, views
+from ..operators import jobs, rescoring, views, welsh
+from .q_operators import _mutation_sql
 from .tables import EVALUATIONS, evaluations, sentences, sql_tokens, table
 
 QUERIES, SQL = {}, {}
@@ -278,3 +279,57 @@ def g_18_migrated(spark, sf_dir):
         "c_custkey", "name", names("visibleProperties").alias("visible"), names("propertyOrder").alias("ordered"), get("$.sorts[0].field").alias("sorted"), get("$.query.statusMatch").alias("status_match"),
         get("$.query.search").alias("search"), get("$.own").alias("own"), F.array_join("migrations", ",").alias("migrations"),
     )
+
+
+# Welsh cases -----------------------------------------------------------------------------------------------------------------
+_TENSES = ("pres", "past", "imperf", "fut")
+
+
+def _lexicon(spark, sf_dir):
+    """(verbs, lexicon): parts as verbs; some lack a form, some have a spoken or short one besides, all forms twice."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.concat(F.lower(F.split("p_name", " ")[0]), F.col("p_partkey").cast("string")).alias("lemma"))
+    verbs = part.select("lemma", F.when(F.col("p_size") % 3 == 0, F.concat("lemma", F.lit("io"))).otherwise("").alias("verbnoun"))
+    aux = spark.createDataFrame([("bod",), ("gwneud",)], "lemma string").select(F.lit(1).alias("p_partkey"), F.lit(1).alias("p_size"), "lemma")
+    cell = F.array(*[F.struct(F.lit(t).alias("tense"), F.lit(p).alias("person"), F.lit(k).alias("k")) for t in _TENSES for k, p in enumerate(forms.SLOTS)], F.struct(F.lit("infin").alias("tense"), F.lit(None).cast("string").alias("person"), F.lit(9).alias("k")))
+    rows = part.unionByName(aux).select("*", F.inline(cell)).filter(~((F.col("p_size") % 10 == 3) & (F.col("tense") == "past") & (F.col("k") == 2)) & ~((F.col("p_size") == 7) & (F.col("tense") == "infin")))
+    plain = F.concat("lemma", "tense", F.coalesce("person", F.lit("")))
+    surface = F.array(
+        F.struct(F.lit(1).alias("place"), plain.alias("surface"), F.lit("literary").alias("notes")), F.struct(F.lit(2).alias("place"), F.concat(plain, F.lit("x")).alias("surface"), F.when(F.col("p_size") % 4 == 0, "short").alias("notes")),
+        F.struct(F.lit(3).alias("place"), F.concat(plain, F.lit("y")).alias("surface"), F.when(F.col("p_size") % 5 == 0, "spoken").when(F.col("p_size") % 2 == 0, "short").alias("notes")), F.struct(F.lit(4).alias("place"), plain.alias("surface"), F.lit(None).cast("string").alias("notes")),
+    )
+    return verbs, rows.select("lemma", "tense", "person", F.inline(surface))
+
+
+def _sql_surfaces(plain: str, size: str) -> str:
+    """The alternatives of the lexicon's four rows, as its rules have them."""
+    ordered = f"[{plain}, {plain} || 'x', {plain} || 'y']"
+    best = f"CASE WHEN {size} % 5 = 0 THEN 3 WHEN {size} % 4 = 0 THEN 2 WHEN {size} % 2 = 0 THEN 3 ELSE 2 END"
+    return f"list_concat([({ordered})[{best}]], list_filter({ordered}, lambda w: w <> ({ordered})[{best}]))"
+
+
+_CASES = f"""
+p AS (SELECT lower(string_split(p_name, ' ')[1]) || CAST(p_partkey AS VARCHAR) AS lemma, p_size FROM part),
+v AS (SELECT *, CASE WHEN p_size % 3 = 0 THEN list_concat([lemma || 'io'], {_sql_surfaces("(lemma || 'infin')", 'p_size')}) ELSE {_sql_surfaces("(lemma || 'infin')", 'p_size')} END AS nouns FROM p WHERE p_size <> 7),
+g AS (SELECT unnest([{', '.join(str({'construction': c, 'tense': t, 'aux': a, 'look': x, 'particle': q}) for c, t, a, x, q in welsh.GRID)}]) AS c),
+n AS (SELECT unnest([{', '.join(str({'person': a, 'pp': b, 'pn': c}) for a, b, c in welsh.PERSONS)}]) AS n),
+r AS (SELECT v.*, c.construction, c.tense, c.aux, c.look, c.particle, n.person, n.pp, n.pn, c.construction || '_' || c.tense || '_' || n.person AS cell_id, c.aux = '' AND c.look = 'past' AND n.person = '3s' AND p_size % 10 = 3 AS gap FROM v, g, n),
+s AS (SELECT *, CASE WHEN aux = '' THEN {_sql_surfaces("(lemma || look || person)", 'p_size')} ELSE {_sql_surfaces("(aux || look || person)", '1')} END AS surfaces, list_transform(nouns, lambda w: {_mutation_sql('w', forms.SOFT)}) AS soft FROM r WHERE NOT gap),
+t AS (SELECT *, aux <> '' AND tense = 'past' AS is_past, CASE WHEN aux = '' THEN surfaces WHEN tense = 'past' THEN list_concat(soft, list_filter(nouns, lambda w: NOT list_contains(soft, w))) ELSE nouns END AS words FROM s)"""
+
+
+@register("d_22_cases", f"""
+WITH {_CASES}
+SELECT lemma, nouns[1] AS verbnoun, cell_id, construction, tense, person, pp AS probed_person, pn AS probed_number, particle, is_past AS requires_soft_mutation, aux AS aux_lemma,
+  CASE WHEN aux = '' THEN '' ELSE surfaces[1] END AS aux_gold, CASE WHEN aux = '' THEN '' ELSE array_to_string(surfaces[2:], '|') END AS aux_gold_alts, words[1] AS gold, array_to_string(words[2:], '|') AS gold_alts,
+  array_to_string(CASE WHEN aux = '' THEN words ELSE list_concat(surfaces, words) END, '|') AS match_forms FROM t""")
+def d_22_cases(spark, sf_dir):
+    """The 42 cells of every verb with the alternatives in their order."""
+    return welsh.cases(*_lexicon(spark, sf_dir))[0]
+
+
+@register("d_22_gaps", f"""
+WITH {_CASES}
+SELECT lemma, NULL AS cell_id, 'infin' AS missing FROM p WHERE p_size = 7 UNION ALL SELECT lemma, cell_id, lemma || '/' || look || '/' || person FROM r WHERE gap""")
+def d_22_gaps(spark, sf_dir):
+    """What the lexicon lacks."""
+    return welsh.cases(*_lexicon(spark, sf_dir))[1]

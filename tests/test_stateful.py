@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import automata
-from lexiloom.operators import rescoring, views
+from lexiloom.operators import rescoring, views, welsh
 from lexiloom.streaming.tracker import advanced
 
 TEXTS = "tok array<string>, gold array<array<string>>, banned array<array<string>>"
@@ -200,3 +200,25 @@ def test_migrations_run_once(spark):
     assert new[5]["visibleProperties"] == list(views.TABLE_PROPERTIES) and new[8] == {"visibleProperties": ["a"], "propertyOrder": [], "x": "y"}
     again = views.migrated(first.drop("migrations"))
     assert again.filter(F.size("migrations") > 0).collect() == [] and _rows(again.drop("migrations")) == _rows(first.drop("migrations"))
+
+
+# Welsh cases ------------------------------------------------------------------------------------------------------------------
+LEXICON = "lemma string, tense string, person string, surface string, notes string, place int"
+
+
+def test_welsh_cells_and_their_alternatives(spark):
+    every = [(lemma, t, p, f"{lemma}-{t}{p}", None, 1) for lemma in ("canu", "bod", "gwneud") for t in ("pres", "past", "imperf", "fut") for p in ("1s", "2s", "3s", "1p", "2p", "3p")]
+    more = [("canu", "pres", "1s", "z", "spoken", 9), ("canu", "pres", "1s", "", "spoken", 0), ("canu", "pres", "1s", "y", "short", 2), ("canu", "pres", "1s", "z", None, 3), ("bod", "pres", "1s", "dw", "short", 5)]
+    nouns = [("canu", "infin", None, "canu", None, 1), ("canu", "infin", None, "caniad", "literary", 2), ("gweld", "infin", None, "gweld", None, 1)]
+    verbs = spark.createDataFrame([("canu", "cânu"), ("gweld", None), ("mynd", "mynd")], "lemma string, verbnoun string")
+    got, gaps = welsh.cases(verbs, spark.createDataFrame([*every, *more, *nouns], LEXICON))
+    rows = {(r.lemma, r.cell_id): r for r in got.collect()}
+    assert len([k for k in rows if k[0] == "canu"]) == 42 and len(rows) == 42 + 24
+    one = rows["canu", "synthetic_present_1s"]
+    assert (one.gold, one.gold_alts, one.match_forms, one.aux_lemma, one.aux_gold) == ("z", "canu-pres1s|y", "z|canu-pres1s|y", "", "")
+    one = rows["canu", "periphrastic_present_1s"]
+    assert (one.verbnoun, one.gold, one.gold_alts, one.aux_gold, one.aux_gold_alts, one.match_forms, one.particle) == ("cânu", "cânu", "canu|caniad", "dw", "bod-pres1s", "dw|bod-pres1s|cânu|canu|caniad", "yn")
+    one = rows["canu", "periphrastic_past_3p"]
+    assert (one.gold, one.gold_alts, one.requires_soft_mutation, one.probed_person, one.probed_number) == ("gânu", "ganu|ganiad|cânu|canu|caniad", True, "3rd", "plural")
+    lacking = _rows(gaps, "lemma", "missing")
+    assert len(lacking) == 18 + 1 and ("mynd", "infin") in lacking and ("gweld", "gweld/pres/1s") in lacking
