@@ -76,19 +76,28 @@ def by_quota(rows: DataFrame, quotas: DataFrame, seed: int, key: str, *strata: s
     return rows.join(F.broadcast(quotas.select(*strata, "quota")), list(strata)).withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= F.col("quota"))
 
 
-def capped_quotas(sizes: dict, capacity: dict, n: int) -> dict:
-    """n dealt over strata (a few dozen, on the driver): the whole part of each one's share within its capacity, then one by one
-    in turns, the largest remainder first. A ValueError where the capacities, or the strata, hold fewer than n."""
-    room = {k: min(size, capacity.get(k, 0)) for k, size in sizes.items()}
-    if sum(room.values()) < n:
-        raise ValueError(f"capacity for {sum(room.values())} of {n}")
-    share = {k: n * size / sum(sizes.values()) for k, size in sizes.items()}
-    out = {k: min(room[k], int(share[k])) for k in sizes}
-    turns = sorted(sizes, key=lambda k: (out[k] - share[k], k))
-    while left := n - sum(out.values()):
-        for k in [k for k in turns if out[k] < room[k]][:left]:
-            out[k] += 1
-    return out
+def capped_quotas(strata: DataFrame, n: int, key: str) -> DataFrame:
+    """(key, quota): n dealt over strata (key, size, room), a row for each stratum.
+
+    First the whole part of each one's share by size, within its room (and size); what is left goes round one by one, the
+    largest remainder first, past those that are full. Whole rounds are counted, not walked: strata sorted by their spare room tell
+    how many rounds the rest lasts. An error where the rooms, or the strata, hold fewer than n. The strata are few: their table
+    is small, so ranks and sums over all of them are one task.
+    """
+    every, place = Window.partitionBy(), Window.orderBy("spare", key)
+    rows = strata.withColumn("room", F.least("size", F.coalesce("room", F.lit(0))))
+    rows = rows.withColumn("share", F.lit(n) * F.col("size") / F.sum("size").over(every)).withColumn("base", F.least("room", F.floor("share")))
+    rows = rows.withColumns({"spare": F.col("room") - F.col("base"), "rest": F.lit(n) - F.sum("base").over(every), "m": F.count("*").over(every)})
+    rows = rows.withColumn("i", F.row_number().over(place)).withColumn("taken", F.sum("spare").over(place.rowsBetween(Window.unboundedPreceding, 0)) + (F.col("m") - F.col("i")) * F.col("spare"))
+    last = F.max(F.when(F.col("taken") <= F.col("rest"), F.struct("i", "spare", "taken"))).over(every)
+    rows = rows.withColumn("full", F.coalesce(last, F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("spare"), F.lit(0).cast("long").alias("taken"))))
+    more = F.floor((F.col("rest") - F.col("full.taken")) / F.greatest(F.col("m") - F.col("full.i"), F.lit(1)))
+    rows = rows.withColumn("rounds", F.col("full.spare") + F.when(F.col("m") > F.col("full.i"), more).otherwise(0))
+    rows = rows.withColumn("given", F.least("spare", "rounds")).withColumn("odd", F.col("rest") - F.sum("given").over(every))
+    turn = F.row_number().over(Window.orderBy(F.col("spare") <= F.col("rounds"), F.col("base") - F.col("share"), key))
+    quota = F.col("base") + F.col("given") + ((F.col("spare") > F.col("rounds")) & (turn <= F.col("odd"))).cast("long")
+    enough = F.when(F.sum("room").over(every) >= n, quota).otherwise(F.raise_error(F.format_string(f"capacity for %s of {n}", F.sum("room").over(every))))
+    return rows.select(key, enough.cast("long").alias("quota"))
 
 
 def oversample(rows: DataFrame, tagged: Column, factor: int) -> DataFrame:

@@ -202,10 +202,8 @@ t AS (SELECT *, 40 - sum(base) OVER () AS remaining, row_number() OVER (ORDER BY
 e AS (SELECT p_brand, row_number() OVER (ORDER BY cycle, turn) AS k, remaining FROM (SELECT p_brand, turn, remaining, unnest(range(room - base)) AS cycle FROM t) c)
 SELECT t.p_brand, t.base + count(e.k) AS quota FROM t LEFT JOIN e ON t.p_brand = e.p_brand AND e.k <= e.remaining GROUP BY t.p_brand, t.base""")
 def h_17(spark, sf_dir):
-    # the strata are the 25 brands: their table is small
-    counts = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("size"), F.count_if(F.col("p_size") < 20).alias("room")).collect()
-    quotas = sampling.capped_quotas({r.p_brand: r["size"] for r in counts}, {r.p_brand: r.room for r in counts}, 40)
-    return spark.createDataFrame(list(quotas.items()), "p_brand string, quota long")
+    counts = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("size"), F.count_if(F.col("p_size") < 20).alias("room"))
+    return sampling.capped_quotas(counts, 40, "p_brand")
 
 
 @register("j_49_package", f"""

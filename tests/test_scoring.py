@@ -99,3 +99,35 @@ def test_keyterms_and_demonstrations(spark):
     ).first()
     assert row.terms == ["Hola", "mundo", "Ana"] and row.quality == 4.03
     assert row.block == prompts.HEAD + "\n\nExample 1 — hablar (to speak), present:\nYo hablo.\n\n---"
+
+
+def _dealt(sizes, rooms, n):
+    """Quotas one by one: the whole part of each share within its room, then in turns."""
+    room = {k: min(s, rooms[k]) for k, s in sizes.items()}
+    share = {k: n * s / sum(sizes.values()) for k, s in sizes.items()}
+    out = {k: min(room[k], int(share[k])) for k in sizes}
+    turns = sorted(sizes, key=lambda k: (out[k] - share[k], k))
+    while sum(out.values()) < n:
+        for k in turns:
+            if sum(out.values()) < n and out[k] < room[k]:
+                out[k] += 1
+    return out
+
+
+def test_capped_quotas_equal_turns(spark):
+    import random
+
+    import pytest
+
+    from lexiloom.operators import sampling
+
+    rnd = random.Random(8)
+    for case in range(12):
+        sizes = {f"k{i}": rnd.randint(1, 60) for i in range(rnd.randint(1, 9))}
+        rooms = {k: rnd.randint(0, 40) for k in sizes}
+        most = sum(min(s, rooms[k]) for k, s in sizes.items())
+        strata = spark.createDataFrame([(k, s, rooms[k]) for k, s in sizes.items()], "k string, size long, room long").coalesce(1)
+        n = most if case % 4 == 0 else rnd.randint(0, most)
+        assert {r.k: r.quota for r in sampling.capped_quotas(strata, n, "k").collect()} == _dealt(sizes, rooms, n)
+    with pytest.raises(Exception, match="capacity for"):
+        sampling.capped_quotas(strata, most + 1, "k").collect()
