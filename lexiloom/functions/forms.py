@@ -160,3 +160,38 @@ def summed_zipf(forms, frequencies, key: str = "verb"):
 def is_verb_candidate(word: Column) -> Column:
     """A word of letters only, four or more, that ends in ar, er or ir."""
     return F.rlike(word, F.lit("^\\p{L}{2,}(ar|er|ir)$"))
+
+
+# The cells of a Spanish paradigm in their order, and participles that are other words.
+PARADIGM = tuple("/".join((t, p, n)) for t in SPANISH_ENDINGS for n in ("singular", "plural") for p in ("1st", "2nd", "3rd"))
+NO_PARTICIPLES = "incluso junto salvo solido sólido valido válido omiso aflicto".split()
+_SPANISH_LETTERS = "^[A-Za-zÁÉÍÓÚÜáéíóúüñÑ]+$"
+
+
+def paradigm_reason(verb: Column, participle: Column, cells: Column, blocked: tuple[str, ...] = ()) -> Column:
+    """Why a verb's paradigm can't be used, the first reason there is, or ``ok``.
+
+    cells: map<string, string> of the names of ``PARADIGM`` to forms. Reasons: noun_adj_like (blocked, or in -ajear);
+    bad_preterite_1sg (none, or in -ía); bad_participle (none, or signs other than letters); bad_participle_surface:<it> (no ending
+    of a participle, or another word); then for the first cell that fails, in the paradigm's order, missing:<cell>,
+    junk_form:<cell>:<form> or verbecc_garbage:<form> (-ach- in a verb in -cer without it); present_1sg_eq_infinitive;
+    bad_stem_change_preterite. Null cells are missing, a null verb has no reason but those of its forms.
+    """
+    verb_ = F.coalesce(verb, F.lit(""))
+    low = F.lower(participle)
+    yo, preterite = cells["present/1st/singular"], cells["preterite/1st/singular"]
+    each = [
+        F.when(F.coalesce(form, F.lit("")) == "", f"missing:{name}").when(~form.rlike(_SPANISH_LETTERS), F.concat(F.lit(f"junk_form:{name}:"), form))
+        .when(form.contains("ach") & verb_.endswith("cer") & ~verb_.contains("ach"), F.concat(F.lit("verbecc_garbage:"), form))
+        for name in PARADIGM for form in [cells[name]]
+    ]
+    return F.coalesce(
+        F.when(verb_.isin(*blocked) | verb_.endswith("ajear") if blocked else verb_.endswith("ajear"), "noun_adj_like"),
+        F.when(preterite.isNull() | preterite.endswith("ía"), "bad_preterite_1sg"),
+        F.when(~F.coalesce(participle.rlike(_SPANISH_LETTERS), F.lit(False)), "bad_participle"),
+        F.when(~low.rlike("(ado|ido|to|so|cho)$") | low.isin(NO_PARTICIPLES), F.concat(F.lit("bad_participle_surface:"), participle)),
+        *each,
+        F.when(yo == verb_, "present_1sg_eq_infinitive"),
+        F.when((verb_ == "podrir") | (preterite.endswith("odrí") & yo.startswith("pud")), "bad_stem_change_preterite"),
+        F.lit("ok"),
+    )

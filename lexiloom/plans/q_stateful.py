@@ -333,3 +333,51 @@ SELECT lemma, NULL AS cell_id, 'infin' AS missing FROM p WHERE p_size = 7 UNION
 def d_22_gaps(spark, sf_dir):
     """What the lexicon lacks."""
     return welsh.cases(*_lexicon(spark, sf_dir))[1]
+
+
+# paradigms -------------------------------------------------------------------------------------------------------------------
+def _paradigms(spark, sf_dir):
+    """(p_partkey, verb, participle, cells): regular paradigms of the parts' first words, some of them spoilt."""
+    k, word = F.col("p_size") % 11, F.lower(F.split("p_name", " ")[0])
+    ending = F.when(k == 7, "ajear").when(k == 8, "cer").otherwise(F.element_at(F.array(*[F.lit(e) for e in ("ar", "er", "ir")]), (F.col("p_partkey") % 3 + 1).cast("int")))
+    rows = table(spark, sf_dir, "part").withColumn("verb", F.concat(word, ending))
+    spoilt = {
+        "future/2nd/plural": lambda f: F.when(k != 1, f), "imperfect/1st/plural": lambda f: F.when(k == 2, F.concat(f, F.lit("1"))).otherwise(f), "preterite/1st/singular": lambda f: F.when(k == 5, F.concat(word, F.lit("ía"))).otherwise(f),
+        "present/1st/singular": lambda f: F.when(k == 6, F.col("verb")).otherwise(f), "conditional/3rd/singular": lambda f: F.when(k == 8, F.concat(f, F.lit("acho"))).otherwise(f),
+    }
+    slots = {"1st/singular": "1s", "2nd/singular": "2s", "3rd/singular": "3s", "1st/plural": "1p", "2nd/plural": "2p", "3rd/plural": "3p"}
+    cells = []
+    for name in forms.PARADIGM:
+        tense, _, slot = name.partition("/")
+        form = forms.spanish_regular(F.col("verb"), F.lit(tense), F.lit(slots[slot]))
+        cells += [F.lit(name), spoilt.get(name, lambda f: f)(form)]
+    participle = F.when(k == 3, "incluso").when(k == 4, "").when(k == 9, F.concat(word, F.lit("xyz"))).otherwise(F.concat(word, F.lit("ado")))
+    return rows.select("p_partkey", "verb", participle.alias("participle"), F.create_map(*cells).alias("cells"))
+
+
+_SQL_CELLS = "[" + ", ".join(f"{{'name': '{name}', 'ends': {[forms.SPANISH_ENDINGS[name.split('/')[0]][c].split()[k % 6] for c in ('ar', 'er', 'ir')]}}}" for k, name in enumerate(forms.PARADIGM)) + "]"
+
+
+@register("c_21_paradigm_reasons", f"""
+WITH p AS (
+  SELECT p_partkey, p_size % 11 AS k, lower(string_split(p_name, ' ')[1]) AS w, CASE p_size % 11 WHEN 7 THEN 'ajear' WHEN 8 THEN 'cer' ELSE ['ar', 'er', 'ir'][p_partkey % 3 + 1] END AS e FROM part
+), v AS (
+  SELECT *, w || e AS verb, (w || e)[:-3] AS stem, CASE right(e, 2) WHEN 'ar' THEN 1 WHEN 'er' THEN 2 ELSE 3 END AS c, CASE k WHEN 3 THEN 'incluso' WHEN 4 THEN '' WHEN 9 THEN w || 'xyz' ELSE w || 'ado' END AS part FROM p
+), f AS (
+  SELECT *, unnest({_SQL_CELLS}) AS cell, unnest(range(30)) AS i FROM v
+), g AS (
+  SELECT *, cell.name AS name, CASE WHEN k = 1 AND cell.name = 'future/2nd/plural' THEN NULL WHEN k = 2 AND cell.name = 'imperfect/1st/plural' THEN stem || cell.ends[c] || '1' WHEN k = 5 AND cell.name = 'preterite/1st/singular' THEN w || 'ía'
+    WHEN k = 6 AND cell.name = 'present/1st/singular' THEN verb WHEN k = 8 AND cell.name = 'conditional/3rd/singular' THEN stem || cell.ends[c] || 'acho' ELSE stem || cell.ends[c] END AS form FROM f
+), h AS (
+  SELECT *, CASE WHEN coalesce(form, '') = '' THEN 'missing:' || name WHEN NOT regexp_full_match(form, '[A-Za-zÁÉÍÓÚÜáéíóúüñÑ]+') THEN 'junk_form:' || name || ':' || form
+    WHEN contains(form, 'ach') AND verb LIKE '%cer' AND verb NOT LIKE '%ach%' THEN 'verbecc_garbage:' || form END AS bad FROM g
+), r AS (
+  SELECT p_partkey, verb, part, min(i) FILTER (bad IS NOT NULL) AS first_bad, arg_min(bad, i) FILTER (bad IS NOT NULL) AS bad, max(form) FILTER (name = 'present/1st/singular') AS yo, max(form) FILTER (name = 'preterite/1st/singular') AS pret FROM h GROUP BY ALL
+)
+SELECT CASE WHEN verb LIKE '%ajear' THEN 'noun_adj_like' WHEN pret IS NULL OR pret LIKE '%ía' THEN 'bad_preterite_1sg' WHEN NOT regexp_full_match(part, '[A-Za-zÁÉÍÓÚÜáéíóúüñÑ]+') THEN 'bad_participle'
+  WHEN NOT regexp_matches(part, '(ado|ido|to|so|cho)$') OR part = 'incluso' THEN 'bad_participle_surface:' || part WHEN bad IS NOT NULL THEN bad WHEN yo = verb THEN 'present_1sg_eq_infinitive' ELSE 'ok' END AS reason, count(*) AS n
+FROM r GROUP BY 1""")
+def c_21_reasons(spark, sf_dir):
+    """Paradigms by the first reason against them."""
+    rows = _paradigms(spark, sf_dir).select(forms.paradigm_reason(F.col("verb"), F.col("participle"), F.col("cells")).alias("reason"))
+    return rows.groupBy("reason").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.functions import automata
+from lexiloom.functions import automata, forms
 from lexiloom.operators import rescoring, views, welsh
 from lexiloom.streaming.tracker import advanced
 
@@ -222,3 +222,19 @@ def test_welsh_cells_and_their_alternatives(spark):
     assert (one.gold, one.gold_alts, one.requires_soft_mutation, one.probed_person, one.probed_number) == ("gânu", "ganu|ganiad|cânu|canu|caniad", True, "3rd", "plural")
     lacking = _rows(gaps, "lemma", "missing")
     assert len(lacking) == 18 + 1 and ("mynd", "infin") in lacking and ("gweld", "gweld/pres/1s") in lacking
+
+
+# paradigms --------------------------------------------------------------------------------------------------------------------
+def test_first_reason_against_a_paradigm(spark):
+    regular = {name: f"habl{k}".translate(str.maketrans("0123456789", "abcdefghij")) for k, name in enumerate(forms.PARADIGM)}
+    cases = [
+        ("hablar", "hablado", {}, "ok"), ("claro", "hablado", {}, "noun_adj_like"), ("chantajear", None, {}, "noun_adj_like"), ("comer", "comido", {"preterite/1st/singular": "comía"}, "bad_preterite_1sg"),
+        ("comer", "comido", {"preterite/1st/singular": None}, "bad_preterite_1sg"), ("comer", None, {}, "bad_participle"), ("comer", "comi do", {}, "bad_participle"), ("comer", "Junto", {}, "bad_participle_surface:Junto"), ("comer", "comer", {}, "bad_participle_surface:comer"),
+        ("comer", "roto", {"present/3rd/plural": "", "preterite/2nd/singular": "a1"}, "missing:present/3rd/plural"), ("comer", "hecho", {"preterite/2nd/singular": "a1"}, "junk_form:preterite/2nd/singular:a1"),
+        ("nacer", "nacido", {"future/1st/plural": "nacachamos"}, "verbecc_garbage:nacachamos"), ("cachcer", "nacido", {"future/1st/plural": "nacachamos"}, "ok"), ("hablo", "hablado", {"present/1st/singular": "hablo"}, "present_1sg_eq_infinitive"),
+        ("podrir", "podrido", {}, "bad_stem_change_preterite"), ("x", "xado", {"preterite/1st/singular": "podrí", "present/1st/singular": "pudro"}, "bad_stem_change_preterite"), (None, "hablado", {}, "ok"),
+    ]
+    df = spark.createDataFrame([(v, p, {**regular, **c}, r) for v, p, c, r in cases], "verb string, participle string, cells map<string, string>, want string")
+    got = df.select(forms.paradigm_reason(F.col("verb"), F.col("participle"), F.col("cells"), ("claro",)).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    assert df.select(forms.paradigm_reason(F.col("verb"), F.col("participle"), F.lit(None).cast("map<string, string>"))).first()[0] == "bad_preterite_1sg"
