@@ -220,7 +220,7 @@ def _stored(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     views_ = orders.select(key.alias("id"), F.col("o_custkey").alias("workspace_id"), (key % 7).cast("int").alias("position"))
-    added = table(spark, sf_dir, "customer").filter("c_nationkey < 12").select((-F.col("c_custkey")).alias("id"), F.col("c_custkey").alias("workspace_id"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey") % 4).cast("int").alias("position"))
+    added = table(spark, sf_dir, "customer").filter("c_nationkey < 12").select((-1 - F.col("c_custkey")).alias("id"), F.col("c_custkey").alias("workspace_id"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey") % 4).cast("int").alias("position"))
     moved = orders.filter("o_totalprice < 100000").select(key.alias("id"), (key % 4).cast("int").alias("position"))
     return views_, added, moved, orders.filter("o_orderstatus <> 'P'").select(key.alias("id"), (key % 100).alias("seq"))
 
@@ -228,7 +228,7 @@ def _stored(spark, sf_dir):
 _STORED = """
 v AS (
   SELECT o_orderkey AS id, o_custkey AS ws, o_orderkey % 7 AS pos, CASE WHEN o_totalprice < 100000 THEN o_orderkey % 4 END AS moved, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 100 END AS seq, false AS added FROM orders
-  UNION ALL SELECT -c_custkey, c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 4 END, NULL, NULL, true FROM customer WHERE c_nationkey < 12
+  UNION ALL SELECT -1 - c_custkey, c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 4 END, NULL, NULL, true FROM customer WHERE c_nationkey < 12
 ), k AS (
   SELECT *, coalesce(moved, CASE WHEN added THEN pos END) AS wanted, count(*) FILTER (seq IS NULL) OVER (PARTITION BY ws) AS remain, row_number() OVER (PARTITION BY ws ORDER BY seq DESC NULLS LAST, id DESC) AS r FROM v
 ), kept AS (SELECT * FROM k WHERE seq IS NULL OR remain = 0 AND r = 1),
