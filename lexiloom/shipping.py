@@ -10,13 +10,13 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
-_BATCH, _SPARKS_OWN, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 8 << 20
+_BATCH, _SPARKS_OWN, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
 
 
 def ensure_on_workers(spark: SparkSession) -> SparkSession:
     """Ships the package's sources with Spark's own file distribution, once for each application.
 
-    Arrow batches are bounded to 8 MB where the session leaves Spark's own bound: an executor holds several for each task, in
+    Arrow batches are bounded to 4 MB where the session leaves Spark's own bound: an executor holds several for each task, in
     the JVM and in Python, and whole texts are wide.
     """
     context = spark.sparkContext
