@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.bind import let
 
 # Labels of the persons in the order in which they are tried, with their slots; pronouns; edge punctuation.
 LABELS = (
@@ -22,6 +23,8 @@ EDGES = ".,;:!?\"'«»“”‘’¡¿()[]{}"
 SLOTS = 6
 _EDGE = "[" + "".join("\\" + c for c in EDGES) + "]+"
 _WORD, _BULLET = "(?U)[\\w]+", "(?U)^[-*•\\d.)\\s]+"
+#: The first label in their order that the line starts with, before the line's end or a sign that may follow.
+_LABEL = f"^({'|'.join(label for label, _ in LABELS)})($|[:.,/ )])"
 
 
 def normal_form(form: Column) -> Column:
@@ -41,19 +44,14 @@ def first_token(reply: Column) -> Column:
     """The first word of a reply's first line, after a label such as "Answer:"; the line itself if it has no word."""
     line = F.trim(F.substring_index(F.trim(_thought(reply), F.lit(" \t\r\n")), "\n", 1), F.lit(" \t\r"))
     line = F.trim(F.regexp_replace(line, "(?i)^(answer|response|respuesta)\\s*:\\s*", ""), F.lit("\"'` "))
-    word = F.regexp_extract(line, "(?U)([\\w'\\-]+)", 1)
-    return F.when(word != "", word).otherwise(line)
+    return let(line, lambda line: let(F.regexp_extract(line, "(?U)([\\w'\\-]+)", 1), lambda word: F.when(word != "", word).otherwise(line)))
 
 
-def _labelled(cleaned: Column) -> tuple[Column, Column]:
-    """The slot of the first label that the line starts with (null: none), and the rest of the line."""
-    low = T.casefold(cleaned)
-    slot, rest = F.lit(None).cast("int"), cleaned
-    for label, own in reversed(LABELS):
-        fits = F.rlike(low, F.lit(f"^{label}($|[:.,/ )])"))
-        slot = F.when(fits, own).otherwise(slot)
-        rest = F.when(fits, F.substring(cleaned, F.lit(len(label) + 1), F.length(cleaned))).otherwise(rest)
-    return slot, F.regexp_replace(rest, "^[:.,/ )]+", "")
+def _labelled(cleaned: Column, label: Column) -> tuple[Column, Column]:
+    """The slot of the line's label (empty: null), and the rest of the line."""
+    slots = F.create_map(*[F.lit(x) for pair in LABELS for x in pair])
+    rest = F.when(label != "", F.substring(cleaned, F.length(label) + 1, F.length(cleaned))).otherwise(cleaned)
+    return F.try_element_at(slots, label), F.regexp_replace(rest, "^[:.,/ )]+", "")
 
 
 def _verb(rest: Column) -> Column:
@@ -71,15 +69,16 @@ def parsed(rows: DataFrame) -> DataFrame:
     lines = rows.withColumn("_cleaned", F.transform(F.filter(trimmed, lambda x: x != ""), lambda x: F.trim(F.regexp_replace(x, _BULLET, ""))))
 
     def line(cleaned: Column) -> Column:
-        slot, rest = _labelled(cleaned)
-        token = F.when(rest != "", first_token(rest)).otherwise(_verb(rest))
-        return F.struct(slot.alias("slot"), F.nullif(token, F.lit("")).alias("token"), F.when(cleaned != "", _verb(rest)).alias("verb"))
+        def named(label: Column) -> Column:
+            slot, rest = _labelled(cleaned, label)
+            return let(rest, lambda rest: let(_verb(rest), lambda verb: F.struct(slot.alias("slot"), F.nullif(F.when(rest != "", first_token(rest)), F.lit("")).alias("token"), F.when(cleaned != "", verb).alias("verb"))))
+
+        return let(F.regexp_extract(T.casefold(cleaned), _LABEL, 1), named)
 
     out = lines.withColumn("_lines", F.transform("_cleaned", line)).drop("_cleaned")
     last = lambda i: F.try_element_at(F.filter("_lines", lambda x: (x["slot"] == i) & x["token"].isNotNull()), F.lit(-1))["token"]
     own = [last(i) for i in range(SLOTS)]
-    verbs = F.transform(F.slice("_lines", 1, SLOTS), lambda x: x["verb"])
-    out = out.withColumns({"_own": F.array(*own), "_free": F.filter("_lines", lambda x: x["slot"].isNull()), "line_forms": F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.get(verbs, i))})
+    out = out.withColumns({"_own": F.array(*own), "_free": F.filter("_lines", lambda x: x["slot"].isNull()), "line_forms": F.array(*[F.get("_lines", F.lit(i))["verb"] for i in range(SLOTS)])})
     filled = []
     for i in range(SLOTS):
         before = reduce(lambda a, b: a + b, (F.get("_own", F.lit(k)).isNull().cast("int") for k in range(i)), F.lit(0))
@@ -95,7 +94,8 @@ def assigned(expected: Column, given: Column) -> Column:
     """
     gold, have = F.transform(expected, normal_form), F.filter(F.transform(given, normal_form), lambda x: x.isNotNull())
     count = lambda array, form: F.size(F.filter(array, lambda x: x == form))
-    return F.aggregate(F.array_distinct(gold), F.lit(0), lambda n, form: n + F.least(count(gold, form), count(have, form)))
+    shared = lambda both: F.aggregate(F.array_distinct(both["gold"]), F.lit(0), lambda n, form: n + F.least(count(both["gold"], form), count(both["have"], form)))
+    return let(F.struct(gold.alias("gold"), have.alias("have")), shared)
 
 
 def score(rows: DataFrame) -> DataFrame:

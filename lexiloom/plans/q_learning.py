@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import forms
 from ..functions import text as T
 from ..operators import bans, lexemes, merge, paradigm, ranks, sampling, validation
-from .tables import sql_tokens, table
+from .tables import dealt, sql_tokens, table
 
 QUERIES, SQL = {}, {}
 
@@ -29,7 +29,7 @@ _NAMES = ("yo", "tú", "él", "nosotros", "vosotros", "ellos")
 
 def _paradigms(spark, sf_dir):
     """Replies of four kinds to six gold forms: labelled and right, by place and right, labels turned round, two forms only."""
-    part = table(spark, sf_dir, "part").withColumn("v", F.lower(F.split("p_name", " ")[0]))
+    part = dealt(spark, sf_dir, "part").withColumn("v", F.lower(F.split("p_name", " ")[0]))
     gold = [F.concat("v", F.lit(e)) for e in _ENDS]
     labelled = lambda order: F.concat_ws("\n", *[F.concat(F.lit(f"- {_NAMES[i]}: "), gold[k]) for i, k in enumerate(order)])
     kind = F.col("p_partkey") % 4

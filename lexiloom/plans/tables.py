@@ -18,6 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task of ``dealt``.
+_EACH = 1 << 15
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table for work that costs much for each row, in even parts for all cores, of 32,768 rows at most.
+
+    Narrow rows are few bytes: a table of a million may be one file, and so one task.
+    """
+    rows = table(spark, sf_dir, name)
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // _EACH)))
+
+
 def same_sql(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     """A query whose text Spark and DuckDB share."""
     used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
