@@ -23,8 +23,7 @@ def _class(chars: str) -> str:
 
 def words(text: Column) -> Column:
     """Lower-cased tokens without any punctuation; tokens of punctuation alone are dropped."""
-    parts = F.split(F.lower(F.trim(text)), _SPACES)
-    return F.filter(F.transform(parts, lambda w: F.translate(w, PUNCTUATION, "")), lambda w: w != "")
+    return F.array_remove(F.split(F.regexp_replace(F.lower(F.trim(text)), _class(PUNCTUATION), ""), _SPACES), "")
 
 
 def edge_words(text: Column) -> Column:

@@ -13,11 +13,22 @@ def uniqueness(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.round(F.count_distinct(F.lower(F.trim("text"))) / F.count("*"), 4).alias("value"))
 
 
-def distinct_n(rows: DataFrame, n: int, *keys: str) -> DataFrame:
-    """Different n-grams over n-grams of a group's texts; 0 without any. Counts per n-gram come first, so a group is never one task's."""
-    grams = rows.select(*keys, F.explode_outer(T.ngrams(T.words(F.col("text")), n)).alias("gram"))
+def distinct_n(rows: DataFrame, n: int, *keys: str, pooled: str | None = None) -> DataFrame:
+    """Different n-grams over n-grams of a group's texts; 0 without any. Counts per n-gram come first, so a group is never one task's.
+
+    ``pooled``: a key for whose null all its values count once more together, as if each row came a second time with null.
+    """
+    tokens = rows.select(*keys, T.words(F.col("text")).alias("tokens"))  # a column, so that n-grams don't split texts again
+    grams = tokens.select(*keys, F.explode_outer(T.ngrams(F.col("tokens"), n)).alias("gram"))
     counts = grams.groupBy(*keys, "gram").agg(F.count("gram").alias("n"))
-    return counts.groupBy(*keys).agg(F.round(F.coalesce(F.count("gram") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)), 4).alias("value"))
+    sums = counts.groupBy(*keys).agg(F.count("gram").alias("d"), F.sum("n").alias("n"))
+    if pooled:
+        # the counts are exchanged once more, without the pooled key; rows whose own value is null count in both
+        others = [k for k in keys if k != pooled]
+        every = counts.groupBy(*others, "gram").agg(F.sum("n").alias("n")).groupBy(*others).agg(F.count("gram").alias("d"), F.sum("n").alias("n"))
+        every = every.withColumn(pooled, F.lit(None).cast(rows.schema[pooled].dataType)).select(*keys, "d", "n")
+        sums = sums.withColumn("d", F.when(F.col(pooled).isNotNull(), F.col("d"))).union(every).groupBy(*keys).agg(F.max("d").alias("d"), F.sum("n").alias("n"))
+    return sums.select(*keys, F.round(F.coalesce(F.col("d") / F.nullif("n", F.lit(0)), F.lit(0.0)), 4).alias("value"))
 
 
 def template_rate(rows: DataFrame, *keys: str, k: int = 3) -> DataFrame:

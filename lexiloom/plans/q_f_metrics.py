@@ -46,7 +46,7 @@ def f_01(spark, sf_dir):
 
 
 def f_02(n):
-    return lambda spark, sf_dir: metrics.distinct_n(_groups(spark, sf_dir), n, "arm", "cell")
+    return lambda spark, sf_dir: metrics.distinct_n(sentences(spark, sf_dir), n, "arm", "cell", pooled="cell")
 
 
 def f_03(spark, sf_dir):
