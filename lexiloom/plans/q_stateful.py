@@ -9,7 +9,7 @@ from ..functions import automata, forms
 from ..functions import text as T
 from ..operators import jobs, rescoring, views, welsh
 from .q_operators import _mutation_sql
-from .tables import EVALUATIONS, evaluations, sentences, sql_tokens, table
+from .tables import EVALUATIONS, dealt, evaluations, sentences, sql_tokens, table
 
 QUERIES, SQL = {}, {}
 
@@ -287,7 +287,7 @@ _TENSES = ("pres", "past", "imperf", "fut")
 
 def _lexicon(spark, sf_dir):
     """(verbs, lexicon): parts as verbs; some lack a form, some have a spoken or short one besides, all forms twice."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.concat(F.lower(F.split("p_name", " ")[0]), F.col("p_partkey").cast("string")).alias("lemma"))
+    part = dealt(spark, sf_dir, "part").select("p_partkey", "p_size", F.concat(F.lower(F.split("p_name", " ")[0]), F.col("p_partkey").cast("string")).alias("lemma"))
     verbs = part.select("lemma", F.when(F.col("p_size") % 3 == 0, F.concat("lemma", F.lit("io"))).otherwise("").alias("verbnoun"))
     aux = spark.createDataFrame([("bod",), ("gwneud",)], "lemma string").select(F.lit(1).alias("p_partkey"), F.lit(1).alias("p_size"), "lemma")
     cell = F.array(*[F.struct(F.lit(t).alias("tense"), F.lit(p).alias("person"), F.lit(k).alias("k")) for t in _TENSES for k, p in enumerate(forms.SLOTS)], F.struct(F.lit("infin").alias("tense"), F.lit(None).cast("string").alias("person"), F.lit(9).alias("k")))
