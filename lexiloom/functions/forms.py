@@ -59,9 +59,11 @@ def english_regular(lemma: Column) -> Column:
     return F.array(lemma, s, past, ing)
 
 
-def spanish_regular(verb: Column, tense: Column, slot: Column) -> Column:
-    """The regular form, or null for other endings, tenses and slots."""
+def spanish_regular(verb: Column, tense: Column | str, slot: Column | str) -> Column:
+    """The regular form, or null for other endings, tenses and slots. Of a tense and slot given as strings only three endings are looked at."""
     stem, kind = F.substring(verb, F.lit(1), F.length(verb) - 2), F.substring(verb, -2, 2)
+    if isinstance(tense, str) and isinstance(slot, str):
+        return F.concat(stem, _chain([(kind == c, F.lit(ends.split()[SLOTS.index(slot)])) for c, ends in SPANISH_ENDINGS[tense].items()], F.lit(None).cast("string")))
     table = F.create_map(*[F.lit(x) for t, own in SPANISH_ENDINGS.items() for c, ends in own.items() for s, e in zip(SLOTS, ends.split(), strict=True) for x in (f"{t} {c} {s}", e)])
     return F.concat(stem, F.try_element_at(table, F.concat_ws(" ", tense, kind, slot)))
 
@@ -180,17 +182,21 @@ def paradigm_reason(verb: Column, participle: Column, cells: Column, blocked: tu
     verb_ = F.coalesce(verb, F.lit(""))
     low = F.lower(participle)
     yo, preterite = cells["present/1st/singular"], cells["preterite/1st/singular"]
-    each = [
-        F.when(F.coalesce(form, F.lit("")) == "", f"missing:{name}").when(~form.rlike(_SPANISH_LETTERS), F.concat(F.lit(f"junk_form:{name}:"), form))
-        .when(form.contains("ach") & verb_.endswith("cer") & ~verb_.contains("ach"), F.concat(F.lit("verbecc_garbage:"), form))
-        for name in PARADIGM for form in [cells[name]]
-    ]
+
+    def bad(cell: Column) -> Column:
+        name, form = cell["name"], cell["form"]
+        junk = F.when(F.coalesce(form, F.lit("")) == "", F.concat(F.lit("missing:"), name)).when(~form.rlike(_SPANISH_LETTERS), F.concat(F.lit("junk_form:"), name, F.lit(":"), form))
+        return junk.when(form.contains("ach") & verb_.endswith("cer") & ~verb_.contains("ach"), F.concat(F.lit("verbecc_garbage:"), form))
+
+    # each cell is looked up once, and its form is a value from then on
+    forms = F.array(*[F.struct(F.lit(name).alias("name"), cells[name].alias("form")) for name in PARADIGM])
+    each = F.get(F.filter(F.transform(forms, bad), lambda x: x.isNotNull()), F.lit(0))
     return F.coalesce(
         F.when(verb_.isin(*blocked) | verb_.endswith("ajear") if blocked else verb_.endswith("ajear"), "noun_adj_like"),
         F.when(preterite.isNull() | preterite.endswith("ía"), "bad_preterite_1sg"),
         F.when(~F.coalesce(participle.rlike(_SPANISH_LETTERS), F.lit(False)), "bad_participle"),
         F.when(~low.rlike("(ado|ido|to|so|cho)$") | low.isin(NO_PARTICIPLES), F.concat(F.lit("bad_participle_surface:"), participle)),
-        *each,
+        each,
         F.when(yo == verb_, "present_1sg_eq_infinitive"),
         F.when((verb_ == "podrir") | (preterite.endswith("odrí") & yo.startswith("pud")), "bad_stem_change_preterite"),
         F.lit("ok"),

@@ -340,7 +340,7 @@ def _paradigms(spark, sf_dir):
     """(p_partkey, verb, participle, cells): regular paradigms of the parts' first words, some of them spoilt."""
     k, word = F.col("p_size") % 11, F.lower(F.split("p_name", " ")[0])
     ending = F.when(k == 7, "ajear").when(k == 8, "cer").otherwise(F.element_at(F.array(*[F.lit(e) for e in ("ar", "er", "ir")]), (F.col("p_partkey") % 3 + 1).cast("int")))
-    rows = table(spark, sf_dir, "part").withColumn("verb", F.concat(word, ending))
+    rows = dealt(spark, sf_dir, "part").withColumn("verb", F.concat(word, ending))
     spoilt = {
         "future/2nd/plural": lambda f: F.when(k != 1, f), "imperfect/1st/plural": lambda f: F.when(k == 2, F.concat(f, F.lit("1"))).otherwise(f), "preterite/1st/singular": lambda f: F.when(k == 5, F.concat(word, F.lit("ía"))).otherwise(f),
         "present/1st/singular": lambda f: F.when(k == 6, F.col("verb")).otherwise(f), "conditional/3rd/singular": lambda f: F.when(k == 8, F.concat(f, F.lit("acho"))).otherwise(f),
@@ -349,7 +349,7 @@ def _paradigms(spark, sf_dir):
     cells = []
     for name in forms.PARADIGM:
         tense, _, slot = name.partition("/")
-        form = forms.spanish_regular(F.col("verb"), F.lit(tense), F.lit(slots[slot]))
+        form = forms.spanish_regular(F.col("verb"), tense, slots[slot])
         cells += [F.lit(name), spoilt.get(name, lambda f: f)(form)]
     participle = F.when(k == 3, "incluso").when(k == 4, "").when(k == 9, F.concat(word, F.lit("xyz"))).otherwise(F.concat(word, F.lit("ado")))
     return rows.select("p_partkey", "verb", participle.alias("participle"), F.create_map(*cells).alias("cells"))
