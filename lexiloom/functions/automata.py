@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
+
 TRACKER = "struct<gold: array<int>, banned: array<int>, satisfied: boolean, violated: boolean>"
 #: Tokens that are traced before their states join the trace, so that long streams take time in proportion.
 _RUN = 64
@@ -55,11 +57,22 @@ def tracked(state: Column, token: Column, gold: Column, banned: Column) -> Colum
 
     Banned sequences come first: once one is completed nothing changes any more. Gold ones are followed until one is completed.
     """
-    bans = F.when(state["violated"], state["banned"]).otherwise(fed(state["banned"], banned, token))
-    violated = state["violated"] | (F.size(completed(bans, banned)) > 0)
-    golds = F.when(violated | state["satisfied"], state["gold"]).otherwise(fed(state["gold"], gold, token))
-    satisfied = state["satisfied"] | (~violated & (F.size(completed(golds, gold)) > 0))
-    return F.struct(golds.alias("gold"), bans.alias("banned"), satisfied.alias("satisfied"), violated.alias("violated"))
+    # the progress of both automata is a value before anything asks for it, so that a token is fed once
+    def banned_fed(bans: Column) -> Column:
+        violated = state["violated"] | _done(bans, banned)
+
+        def gold_fed(golds: Column) -> Column:
+            satisfied = state["satisfied"] | (~violated & _done(golds, gold))
+            return F.struct(golds.alias("gold"), bans.alias("banned"), satisfied.alias("satisfied"), violated.alias("violated"))
+
+        return let(F.when(violated | state["satisfied"], state["gold"]).otherwise(fed(state["gold"], gold, token)), gold_fed)
+
+    return let(F.when(state["violated"], state["banned"]).otherwise(fed(state["banned"], banned, token)), banned_fed)
+
+
+def _done(progress: Column, sequences: Column) -> Column:
+    """Whether ``completed`` has a place."""
+    return F.exists(F.zip_with(progress, sequences, lambda at, s: F.coalesce((F.size(s) > 0) & (at >= F.size(s)), F.lit(False))), lambda x: x)
 
 
 def progress(state: Column, gold: Column) -> Column:
@@ -96,12 +109,11 @@ def trace(tokens: Column, gold: Column, banned: Column) -> Column:
     whole = f"struct<now: {TRACKER}, seen: array<array<{TRACKER}>>>"
 
     def step(s: Column, token: Column) -> Column:
-        now = tracked(s["now"], token, gold, banned).cast(TRACKER)
-        return F.struct(now.alias("now"), F.concat(s["seen"], F.array(now)).alias("seen")).cast(kind)
+        return let(tracked(s["now"], token, gold, banned).cast(TRACKER), lambda now: F.struct(now.alias("now"), F.concat(s["seen"], F.array(now)).alias("seen")).cast(kind))
 
     def run(s: Column, at: Column) -> Column:
         own = F.aggregate(F.slice(tokens, at, F.lit(_RUN)), F.struct(s["now"].alias("now"), F.array().cast(f"array<{TRACKER}>").alias("seen")).cast(kind), step)
-        return F.struct(own["now"].alias("now"), F.concat(s["seen"], F.array(own["seen"])).alias("seen")).cast(whole)
+        return let(own, lambda own: F.struct(own["now"].alias("now"), F.concat(s["seen"], F.array(own["seen"])).alias("seen")).cast(whole))
 
     runs = F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.size(tokens), F.lit(_RUN))).otherwise(F.array().cast("array<int>"))
     begin = F.struct(start(gold, banned).alias("now"), F.array().cast(f"array<array<{TRACKER}>>").alias("seen")).cast(whole)

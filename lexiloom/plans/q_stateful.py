@@ -34,7 +34,7 @@ def _sql_fed(at: str, sequence: tuple[str, ...], stopped: str) -> str:
 
 def _streams(spark, sf_dir):
     variants = lambda sequences: F.array(*[F.array(*[F.lit(w) for w in s]).cast("array<string>") for s in sequences])
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.words(F.col("text")).alias("tok"))
+    rows = dealt(spark, sf_dir, "conversations").select("conv_id", "turn", T.words(F.col("text")).alias("tok"))
     return rows.withColumns({"gold": variants(_GOLD), "banned": variants(_BANNED)})
 
 
