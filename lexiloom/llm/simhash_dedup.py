@@ -14,6 +14,7 @@ each takes all points within 2 bits of it as keys; fingerprints that share such
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations, repeat
 
 import numpy as np
@@ -67,6 +68,14 @@ class _Golay:
 _golay: list[_Golay] = []
 
 
+@cache
+def codewords() -> np.ndarray:
+    """The code as columns of 23 signs: -1 for a bit that is 1; complements lie 2,048 columns apart."""
+    words = (np.arange(4096) << 11) ^ _syndromes(np.arange(4096) << 11)
+    words = words[words < 1 << 22]
+    return (1 - 2 * ((np.append(words, words ^ ((1 << 23) - 1)) >> np.arange(23)[:, None]) & 1)).astype(np.float32)
+
+
 def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of uint64 fingerprints, and the fingerprint's position for each key; no key twice for one fingerprint."""
     if not _golay:

@@ -1,16 +1,20 @@
 """Near-duplicate texts by the Jaccard similarity of their word shingles.
 
-Method: MinHash bands find candidates, exact sets decide. A text is the set of its ``SHINGLE``-word shingles; equal sets are one
-from the start. Each set has ``BANDS`` keys of ``ROWS`` least hashes; a pair at the threshold of 0.8 shares no key with a
-probability of (1 - 0.8**ROWS)**BANDS = 1.3e-7, and less above it. Small groups of one key give pairs. In a larger group every
+Method: SimHash and the perfect binary Golay code (23, 12) find candidates, exact sets decide. A text is the set of its
+``SHINGLE``-word shingles; equal sets are one from the start. Each set has a wide SimHash: WORDS words of 23 sums of signs. A
+word's key is the codeword nearest to its sums, so that a bit counts by how sure it is: two sets at the threshold of 0.8 share
+one in 0.26 at least (measured; 0.12 by signs alone). They share no key with a probability of (1 - 0.26)**WORDS = 5e-8, and
+differ in over APART of the first BITS signs with 3e-8 at most; both are less above 0.8. Sets of one key are compared by these
+signs first. Those that differ in few, directly or over others, are a part. Small parts give pairs. In a larger part every
 member first meets one of them, and is labelled by the least set that it is similar to. Members of one label need not be
-compared any more: only those outside of the group's largest label meet the others, in cells of two blocks, so that no task
-returns or receives all pairs. A group of near copies is so about linear in its members. All pairs are verified on whole sets.
+compared any more: only those outside of the part's largest label meet the others, in cells of two blocks, so that no task
+returns or receives all pairs. A part of near copies is so about linear in its members. All pairs are verified on whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +23,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
+from .simhash_dedup import codewords
 from .spark_tools import checkpointed, fresh, join_spread
 from .words import Spans, Words, mix, slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 40
-ROWS = 5
-#: Larger groups of one key meet in cells of blocks of so many sets, and of so many shingles (8 MB) if a set alone hasn't more.
+#: Golay words of a SimHash; signs that candidates are compared by, and how many may differ.
+WORDS = 56
+BITS = 256
+APART = 84
+#: Larger parts of one key meet in cells of blocks of so many sets, and of so many shingles (8 MB) if a set alone hasn't more.
 FEW = 32
 BLOCK = 2048
 BLOCK_SHINGLES = 1 << 20
-_SEEDS = mix(np.arange(2 * BANDS * ROWS, dtype=np.uint64), 77)
+#: Up to so many sets of one key are compared along the sorted rows, more of them from set to set.
+_LAGS = 256
+_LENGTH = 23
+_HASHES = -(-WORDS * _LENGTH // 64)
+_SIGNS = (2.0 * ((np.arange(256)[:, None] >> np.arange(8)) & 1) - 1).astype(np.float32)
+_PRINT = [f"print{i}" for i in range(BITS // 64)]
 #: Bits of the map that spares most sets the way to the candidates.
 _MAP = 23
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,16 +70,38 @@ def _sets(hashes: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np
     return own, names.view(np.int64)
 
 
-def _band_keys(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """BANDS keys for each text that has shingles."""
-    starts = offsets[:-1][offsets[:-1] < offsets[1:]]
-    out = np.empty((len(starts), BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(starts), band, np.uint64)
-        for k in range(band * ROWS, (band + 1) * ROWS):
-            key = mix(key ^ np.minimum.reduceat((hashes ^ _SEEDS[2 * k]) * (_SEEDS[2 * k + 1] | np.uint64(1)), starts))
-        out[:, band] = key
-    return out.view(np.int64)
+def _sums(own: list[np.ndarray]) -> np.ndarray:
+    """For each set and each of 64 * _HASHES bits of its shingles' hashes: how many more of them are 1 than 0."""
+    hashes = np.concatenate(own)
+    base = np.repeat(np.arange(len(own)), [len(s) for s in own]) << 8
+    out = np.empty((len(own), 64 * _HASHES), np.float32)
+    for k in range(8 * _HASHES):
+        if k % 8 == 0:
+            bits = mix(hashes, 77 + k).view(np.uint8).reshape(-1, 8)
+        counts = np.bincount(base + bits[:, k % 8], minlength=len(own) << 8).reshape(-1, 256)
+        out[:, 8 * k : 8 * k + 8] = counts.astype(np.float32) @ _SIGNS
+    return out
+
+
+def nearest(words: np.ndarray) -> np.ndarray:
+    """The index of the Golay codeword nearest to each row of 23 sums: that of the largest inner product with its signs."""
+    half = codewords()[:, :2048]  # the code holds each word's complement too
+    out = np.empty(len(words), np.int32)
+    for at in range(0, len(words), 512):
+        products = words[at : at + 512] @ half
+        best = np.abs(products).argmax(axis=1)
+        out[at : at + 512] = 2 * best + (products[np.arange(len(best)), best] < 0)
+    return out
+
+
+def _keys_and_prints(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """WORDS keys and the BITS first signs (as uint64) of each set; the empty set's are of no use."""
+    keys, prints = np.empty((len(own), WORDS), np.int32), np.empty((len(own), BITS // 64), np.uint64)
+    for at in range(0, len(own), 512):
+        sums = _sums(own[at : at + 512])
+        keys[at : at + 512] = nearest(sums[:, : WORDS * _LENGTH].reshape(-1, _LENGTH)).reshape(-1, WORDS)
+        prints[at : at + 512] = np.packbits(sums[:, :BITS] > 0, axis=1).view(np.uint64)
+    return keys | (np.arange(WORDS, dtype=np.int32) << 12), prints
 
 
 def _key_rows(shingle: int):
@@ -76,10 +110,10 @@ def _key_rows(shingle: int):
             for part in slices(batch):
                 hashes, offsets = _shingles(part.column("text"), shingle)
                 own, names = _sets(hashes, offsets)
-                some = offsets[:-1] < offsets[1:]
-                keys = _band_keys(hashes, offsets).reshape(-1) if len(hashes) else np.empty(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "a", "b")), pa.array(names), pa.array([len(s) for s in own], pa.int64()), lists], ["doc_id", "a", "b", "name", "n", "keys"])
+                keys, prints = _keys_and_prints(own)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * WORDS), pa.array(keys.reshape(-1)))
+                signs = [pa.array(p) for p in prints.view(np.int64).T]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "a", "b")), pa.array(names), pa.array([len(s) for s in own], pa.int64()), lists, *signs], ["doc_id", "a", "b", "name", "n", "keys", *_PRINT])
 
     return run
 
@@ -105,24 +139,72 @@ def _and_end(batches):
     yield None
 
 
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1) <= APART
+
+
+def _near_pairs(key: np.ndarray, n: np.ndarray, prints: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one key, of sizes that allow the similarity and few differing signs; sorted by key and n."""
+    found, at = [(np.empty(0, np.int64),) * 2], np.arange(len(key))
+    for lag in count(1):
+        at = at[at < len(key) - lag]
+        at = at[(key[at] == key[at + lag]) & (n[at] + 1e-9 >= similarity * n[at + lag])]
+        if not len(at):
+            return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        ok = at[_near(prints[at], prints[at + lag])]
+        found.append((ok, ok + lag))
+
+
+def _parts(n: np.ndarray, prints: np.ndarray, similarity: float) -> np.ndarray:
+    """The first member of each one's part, of sets of one key sorted by n. Those reached once are compared with the others only."""
+    label, left = np.arange(len(n)), np.arange(len(n))
+    while len(left):
+        root, front, left = left[0], left[:1], left[1:]
+        while len(front) and len(left):
+            now, front = front[:64], front[64:]
+            low, high = np.searchsorted(n[left], (similarity * n[now].min() - 1, n[now].max() / similarity + 1))
+            other = left[low:high]
+            small, large = np.minimum(n[now][:, None], n[other]), np.maximum(n[now][:, None], n[other])
+            new = (_near(prints[now][:, None], prints[other]) & (small + 1e-9 >= similarity * large)).any(axis=0)
+            label[other[new]] = root
+            front = np.concatenate([front, other[new]])
+            left = np.concatenate([left[:low], other[~new], left[high:]])
+    return label
+
+
 def _group_rows(similarity: float, few: int):
-    """Of rows sorted by key and name: candidate pairs (a, b), and (a, key) for each member of a group of more than ``few``.
+    """Of rows sorted by key and n: candidate pairs (a, b), and (a, part) for each member of a part of more than ``few``.
 
-    A small group gives all its pairs, a larger one those with its first member.
+    A small part gives all its pairs, a larger one those with its middle member.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, name, n), first, size in _groups(batches, ["key", "name", "n"]):
-            found = [(np.empty(0, np.int64),) * 2]
-            for at, k in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-                i, j = np.triu_indices(k, 1) if k <= few else (np.zeros(k - 1, np.int64), np.arange(1, k))
-                m = n[at : at + k]
-                ok = np.minimum(m[i], m[j]) >= similarity * np.maximum(m[i], m[j])
-                found.append((name[at + j[ok]], name[at + i[ok]]))
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            large = np.repeat(size > few, size)
+        for (key, name, n, *signs), first, size in _groups(batches, ["key", "name", "n", *_PRINT]):
+            prints = np.stack(signs, axis=1).view(np.uint64)
+            wide = np.repeat(size > _LAGS, size)
+            some = np.flatnonzero(~wide)
+            i, j = (some[x] for x in _near_pairs(key[some], n[some], prints[some], similarity))
+            label = np.arange(len(key))
+            if len(i):
+                nodes, roots = forest(i, j)
+                label[nodes] = roots
+            for at, k in zip(first[size > _LAGS].tolist(), size[size > _LAGS].tolist(), strict=True):
+                label[at : at + k] = at + _parts(n[at : at + k], prints[at : at + k], similarity)
+            members = np.bincount(label, minlength=len(key))[label]
+            narrow = members[i] <= few
+            rest = np.flatnonzero(wide & (members > 1) & (members <= few))
+            rest = rest[np.argsort(label[rest], kind="stable")]
+            x, y = (rest[x] for x in _near_pairs(label[rest], n[rest], prints[rest], similarity))
+            crowd = np.flatnonzero(members > few)
+            crowd = crowd[np.argsort(label[crowd], kind="stable")]
+            # the middle of each row's part
+            start = np.searchsorted(label[crowd], label[crowd])
+            head = crowd[start + members[crowd] // 2]
+            ok = (head != crowd) & (np.minimum(n[head], n[crowd]) + 1e-9 >= similarity * np.maximum(n[head], n[crowd]))
+            a, b = np.concatenate([j[narrow], y, crowd[ok]]), np.concatenate([i[narrow], x, head[ok]])
+            part = mix(name[label[crowd]].view(np.uint64)) ^ mix(key[crowd].astype(np.uint64), 5)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([a, name[large]])), pa.array(np.concatenate([b, np.zeros(large.sum(), np.int64)]), mask=np.arange(len(a) + large.sum()) >= len(a)), pa.array(np.concatenate([np.zeros(len(a), np.int64), key[large]]))],
+                [pa.array(np.concatenate([name[a], name[crowd]])), pa.array(np.concatenate([name[b], np.zeros(len(crowd), np.int64)]), mask=np.arange(len(a) + len(crowd)) >= len(a)), pa.array(np.concatenate([np.zeros(len(a), np.int64), part.view(np.int64)]))],
                 ["a", "b", "key"],
             )
 
@@ -247,12 +329,12 @@ def _shingle_sets(texts: DataFrame, names: DataFrame, shingle: int) -> DataFrame
 
 def components_of_similar(texts: DataFrame, marked: DataFrame, shingle: int, similarity: float, few: int, block: int) -> DataFrame:
     """(node, root) of names of sets: the components that all pairs of enough similarity make."""
-    once = marked.filter("n > 0").groupBy("name").agg(F.max("n").alias("n"), F.first("keys").alias("keys"))
-    keyed = once.select(F.explode("keys").alias("key"), "name", "n").repartition("key").sortWithinPartitions("key", "name")
+    once = marked.filter("n > 0").groupBy("name").agg(F.max("n").alias("n"), F.first("keys").alias("keys"), *[F.first(c).alias(c) for c in _PRINT])
+    keyed = once.select(F.explode("keys").alias("key"), "name", "n", *_PRINT).repartition("key").sortWithinPartitions("key", "n", "name")
     found = checkpointed(keyed.mapInArrow(_group_rows(similarity, few), "a long, b long, key long").distinct())
     pairs, crowd = found.filter("b is not null").select("a", "b"), found.filter("b is null").select(F.col("a").alias("name"), "key")
     sets = _shingle_sets(texts, pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct().union(crowd.select("name")).distinct(), shingle)
-    # a group's first member may be in very many pairs: the sets of these, 256 at most, are broadcast
+    # a part's middle member may be in very many pairs: the sets of these, 256 at most, are broadcast
     right = join_spread(pairs, sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")), ["b"], 256)
     near = checkpointed(right.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a").mapInArrow(_pair_rows(similarity), "a long, b long"))
     if not crowd.isEmpty():
@@ -277,7 +359,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     own = ["doc_id", "a", "b"]
     hashes = F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")
     texts = docs.select(F.col("doc_id").cast("long"), *hashes, _low().alias("text"))
-    marked = checkpointed(texts.mapInArrow(_key_rows(shingle), "doc_id long, a long, b long, name long, n long, keys array<long>"))
+    marked = checkpointed(texts.mapInArrow(_key_rows(shingle), f"doc_id long, a long, b long, name long, n long, keys array<int>, {' long, '.join(_PRINT)} long"))
     roots = components_of_similar(texts.select("text"), marked, shingle, similarity, few, block)
     rows = checkpointed(marked.groupBy("name", *own).agg(F.count("*").alias("times")))
     named = checkpointed(_rooted(rows.select("name").distinct(), roots))
