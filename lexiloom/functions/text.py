@@ -54,7 +54,8 @@ def without_diacritics(text: Column) -> Column:
 
 def composed(text: Column) -> Column:
     """Letters with one of six marks as one character (NFC of Latin letters); other texts are left as they are."""
-    return F.when(F.rlike(text, F.lit("[\u0300-\u036f]")), reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), _COMPOSED, text)).otherwise(text)
+    marked = (F.octet_length(text) > F.length(text)) & F.rlike(text, F.lit("[\u0300-\u036f]"))  # plain ASCII has none
+    return F.when(marked, reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), _COMPOSED, text)).otherwise(text)
 
 
 def intl_words(text: Column) -> Column:

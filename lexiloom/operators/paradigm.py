@@ -21,7 +21,6 @@ LABELS = (
 PRONOUNS = ("yo", "tú", "tu", "él", "ella", "nosotros", "nosotras", "vosotros", "vosotras", "ellos", "ellas")
 EDGES = ".,;:!?\"'«»“”‘’¡¿()[]{}"
 SLOTS = 6
-_EDGE = "[" + "".join("\\" + c for c in EDGES) + "]+"
 _WORD, _BULLET = "(?U)[\\w]+", "(?U)^[-*•\\d.)\\s]+"
 #: The first label in their order that the line starts with, before the line's end or a sign that may follow.
 _LABEL = f"^({'|'.join(label for label, _ in LABELS)})($|[:.,/ )])"
@@ -29,11 +28,16 @@ _LABEL = f"^({'|'.join(label for label, _ in LABELS)})($|[:.,/ )])"
 
 def normal_form(form: Column) -> Column:
     """For comparison: marks composed, without punctuation at the ends, case-folded."""
-    return T.casefold(F.regexp_replace(T.composed(form), f"^{_EDGE}|{_EDGE}$", ""))
+    return T.casefold(F.trim(T.composed(form), F.lit(EDGES)))
+
+
+def _normal_word(word: Column) -> Column:
+    """normal_form of a match of ``_WORD``, which has no punctuation at its ends."""
+    return T.casefold(T.composed(word))
 
 
 def _thought(raw: Column) -> Column:
-    return F.regexp_replace(raw, "(?s)<think>.*?(</think>|$)", "")
+    return F.when(F.contains(raw, F.lit("<think>")), F.regexp_replace(raw, "(?s)<think>.*?(</think>|$)", "")).otherwise(raw)
 
 
 def tokens(raw: Column) -> Column:
@@ -51,7 +55,7 @@ def _labelled(cleaned: Column, label: Column) -> tuple[Column, Column]:
     """The slot of the line's label (empty: null), and the rest of the line."""
     slots = F.create_map(*[F.lit(x) for pair in LABELS for x in pair])
     rest = F.when(label != "", F.substring(cleaned, F.length(label) + 1, F.length(cleaned))).otherwise(cleaned)
-    return F.try_element_at(slots, label), F.regexp_replace(rest, "^[:.,/ )]+", "")
+    return F.try_element_at(slots, label), F.ltrim(rest, F.lit(":.,/ )"))
 
 
 def _verb(rest: Column) -> Column:
@@ -71,20 +75,26 @@ def parsed(rows: DataFrame) -> DataFrame:
     def line(cleaned: Column) -> Column:
         def named(label: Column) -> Column:
             slot, rest = _labelled(cleaned, label)
-            return let(rest, lambda rest: let(_verb(rest), lambda verb: F.struct(slot.alias("slot"), F.nullif(F.when(rest != "", first_token(rest)), F.lit("")).alias("token"), F.when(cleaned != "", verb).alias("verb"))))
+            # the first word of a line counts only where a label gives it a slot
+            return let(rest, lambda rest: F.struct(slot.alias("slot"), F.when((label != "") & (rest != ""), first_token(rest)).alias("token"), _verb(rest).alias("verb")))
 
         return let(F.regexp_extract(T.casefold(cleaned), _LABEL, 1), named)
 
     out = lines.withColumn("_lines", F.transform("_cleaned", line)).drop("_cleaned")
-    last = lambda i: F.try_element_at(F.filter("_lines", lambda x: (x["slot"] == i) & x["token"].isNotNull()), F.lit(-1))["token"]
-    own = [last(i) for i in range(SLOTS)]
-    out = out.withColumns({"_own": F.array(*own), "_free": F.filter("_lines", lambda x: x["slot"].isNull()), "line_forms": F.array(*[F.get("_lines", F.lit(i))["verb"] for i in range(SLOTS)])})
+    out = out.withColumns(
+        {
+            "_named": F.reverse(F.filter("_lines", lambda x: x["token"] != "")),
+            "_free": F.filter("_lines", lambda x: x["slot"].isNull()),
+            "line_forms": F.array(*[F.get("_lines", F.lit(i))["verb"] for i in range(SLOTS)]),
+        }
+    )
+    named = F.col("_named")
+    out = out.withColumn("_own", F.array(*[F.get(named["token"], (F.array_position(named["slot"], i) - 1).cast("int")) for i in range(SLOTS)]))
     filled = []
     for i in range(SLOTS):
         before = reduce(lambda a, b: a + b, (F.get("_own", F.lit(k)).isNull().cast("int") for k in range(i)), F.lit(0))
         filled.append(F.coalesce(F.get("_own", F.lit(i)), F.get("_free", before)["verb"]))
-    none = F.forall("_own", lambda x: x.isNull())
-    return out.withColumn("slots", F.when(none, F.col("line_forms")).otherwise(F.array(*filled))).drop("_lines", "_own", "_free")
+    return out.withColumn("slots", F.when(F.size("_named") == 0, F.col("line_forms")).otherwise(F.array(*filled))).drop("_lines", "_named", "_own", "_free")
 
 
 def assigned(expected: Column, given: Column) -> Column:
@@ -92,10 +102,14 @@ def assigned(expected: Column, given: Column) -> Column:
 
     Walking the gold forms and using up one equal line for each gives the same number.
     """
-    gold, have = F.transform(expected, normal_form), F.filter(F.transform(given, normal_form), lambda x: x.isNotNull())
+    both = F.struct(F.transform(expected, normal_form).alias("gold"), F.transform(given, normal_form).alias("have"))
+    return let(both, lambda both: _shared(both["gold"], both["have"]))
+
+
+def _shared(gold: Column, have: Column) -> Column:
+    """The size of the intersection of two arrays with repeats; both are named for every element, so give columns. Nulls are in none."""
     count = lambda array, form: F.size(F.filter(array, lambda x: x == form))
-    shared = lambda both: F.aggregate(F.array_distinct(both["gold"]), F.lit(0), lambda n, form: n + F.least(count(both["gold"], form), count(both["have"], form)))
-    return let(F.struct(gold.alias("gold"), have.alias("have")), shared)
+    return F.aggregate(F.array_distinct(gold), F.lit(0), lambda n, form: n + F.least(count(gold, form), count(have, form)))
 
 
 def score(rows: DataFrame) -> DataFrame:
@@ -104,19 +118,20 @@ def score(rows: DataFrame) -> DataFrame:
     A null reply is an empty one; missing lists the gold forms whose slot differs.
     """
     out = parsed(rows)
-    right = F.zip_with("expected", "slots", lambda gold, own: F.coalesce(normal_form(own) == normal_form(gold), F.lit(False)))
-    out = out.withColumns({"_right": right, "_gold": F.array_distinct(F.transform("expected", normal_form)), "_said": F.transform(tokens(F.coalesce("raw", F.lit(""))), normal_form)})
-    size = F.size("expected")
+    # each form is brought to its normal form once
+    normal = {"_gold": F.transform("expected", normal_form), "_slots": F.transform("slots", normal_form), "_lines": F.transform("line_forms", _normal_word), "_said": F.transform(tokens(F.coalesce("raw", F.lit(""))), _normal_word)}
+    out = out.withColumns(normal).withColumn("_right", F.zip_with("_gold", "_slots", lambda gold, own: F.coalesce(own == gold, F.lit(False))))
+    size, strict = F.size("expected"), F.size(F.filter("_right", lambda x: x))
     return out.withColumns(
         {
-            "strict": F.size(F.filter("_right", lambda x: x)),
-            "strict_recall": F.round(F.size(F.filter("_right", lambda x: x)) / size, 4),
-            "assignment_recall": F.round(assigned(F.col("expected"), F.col("line_forms")) / size, 4),
-            "presence_recall": F.round(F.size(F.array_intersect("_gold", "_said")) / F.size("_gold"), 4),
+            "strict": strict,
+            "strict_recall": F.round(strict / size, 4),
+            "assignment_recall": F.round(_shared(F.col("_gold"), F.col("_lines")) / size, 4),
+            "presence_recall": F.round(F.size(F.array_intersect("_gold", "_said")) / F.size(F.array_distinct("_gold")), 4),
             "perfect": F.forall("_right", lambda x: x),
             "missing": F.transform(F.filter(F.arrays_zip(F.col("expected").alias("form"), F.col("_right").alias("right")), lambda x: ~x["right"]), lambda x: x["form"]),
         }
-    ).drop("_right", "_gold", "_said")
+    ).drop("_right", *normal)
 
 
 def participle_correct(expected: Column, raw: Column) -> Column:
