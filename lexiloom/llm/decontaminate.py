@@ -257,7 +257,8 @@ def _small_index(docs: DataFrame, benchmark: DataFrame, window: int, shingle: in
         return None
     lists = rows["shingles"].to_pylist()
     sizes = sorted({min(s, shingle) for s in rows["size"].to_pylist()})
-    own = docs.sparkSession.createDataFrame(sorted({(x,) for one in lists for x in one}), "shingle long")
+    # from Arrow: rows of Python would come by a second pool of Python workers in each executor
+    own = docs.sparkSession.createDataFrame(pa.table({"shingle": pa.array(sorted({x for one in lists for x in one}), pa.int64())}))
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     # of the shingles of at most ``most`` windows
     counted = _counts(texts, sizes, own).join(F.broadcast(own), "shingle").toArrow()

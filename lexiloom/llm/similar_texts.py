@@ -343,7 +343,8 @@ def components_of_similar(texts: DataFrame, marked: DataFrame, shingle: int, sim
         sizes = sets.select("name", (F.length("shingles") / 8).cast("long").alias("n"))
         member = checkpointed(crowd.join(_rooted(sizes.select("name"), labels), "name").join(sizes, "name"))
         cells = _cells(member, block).join(sets, "name").select("cell", "name", "side", "shingles").repartition("cell").sortWithinPartitions("cell")
-        near = near.union(cells.mapInArrow(_cell_rows(similarity), "a long, b long"))
+        # checkpointed, as the next step is Python too: a task would hold two workers, and the executor keeps all it ever had
+        near = near.union(checkpointed(cells.mapInArrow(_cell_rows(similarity), "a long, b long")))
     return components(near)
 
 
