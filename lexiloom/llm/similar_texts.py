@@ -175,7 +175,7 @@ def _parts(n: np.ndarray, prints: np.ndarray, similarity: float) -> np.ndarray:
 def _group_rows(similarity: float, few: int):
     """Of rows sorted by key and n: candidate pairs (a, b), and (a, part) for each member of a part of more than ``few``.
 
-    A small part gives all its pairs, a larger one those with its middle member.
+    A small part gives all its pairs, a larger one those with one member of its middle half.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,9 +197,10 @@ def _group_rows(similarity: float, few: int):
             x, y = (rest[x] for x in _near_pairs(label[rest], n[rest], prints[rest], similarity))
             crowd = np.flatnonzero(members > few)
             crowd = crowd[np.argsort(label[crowd], kind="stable")]
-            # the middle of each row's part
+            # of the middle half of each row's part the set that is first by a hash: parts of many keys have few such sets among them
             start = np.searchsorted(label[crowd], label[crowd])
-            head = crowd[start + members[crowd] // 2]
+            outer = np.abs(2 * (np.arange(len(crowd)) - start) - members[crowd] + 1) > members[crowd] // 2
+            head = crowd[np.lexsort((mix(name[crowd].view(np.uint64), 3), outer, label[crowd]))[start]]
             ok = (head != crowd) & (np.minimum(n[head], n[crowd]) + 1e-9 >= similarity * np.maximum(n[head], n[crowd]))
             a, b = np.concatenate([j[narrow], y, crowd[ok]]), np.concatenate([i[narrow], x, head[ok]])
             part = mix(name[label[crowd]].view(np.uint64)) ^ mix(key[crowd].astype(np.uint64), 5)
@@ -334,7 +335,7 @@ def components_of_similar(texts: DataFrame, marked: DataFrame, shingle: int, sim
     found = checkpointed(keyed.mapInArrow(_group_rows(similarity, few), "a long, b long, key long").distinct())
     pairs, crowd = found.filter("b is not null").select("a", "b"), found.filter("b is null").select(F.col("a").alias("name"), "key")
     sets = _shingle_sets(texts, pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct().union(crowd.select("name")).distinct(), shingle)
-    # a part's middle member may be in very many pairs: the sets of these, 256 at most, are broadcast
+    # the member that a part meets may be in very many pairs: the sets of these, 256 at most, are broadcast
     right = join_spread(pairs, sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")), ["b"], 256)
     near = checkpointed(right.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a").mapInArrow(_pair_rows(similarity), "a long, b long"))
     if not crowd.isEmpty():
